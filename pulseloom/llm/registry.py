@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import html_text, licenses, mixing, quality, secrets
 from .common import read
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_secret_scan, op10_source_mix]
+    found = [op1_html_text, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
