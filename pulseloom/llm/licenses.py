@@ -44,7 +44,7 @@ TEMPLATES = {
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain",
-    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "all-rights-reserved": "All rights reserved",
 }
 #: Words in a fingerprint, fingerprints in a winnowing window, band of the alignment (words),
 #: and the least part of a template that must be found.
