@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, mixing, quality, secrets
+from . import html_text, licenses, mixing, ngram_join, quality, secrets
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -31,7 +35,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
+    found = [op1_html_text, op2_ngram_join, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
