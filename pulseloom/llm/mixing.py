@@ -24,7 +24,7 @@ from .common import WORD, stored
 #: that may be taken of a source and of a document, as multiples of its size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Words in a block; documents that a shard of a source should hold.
-BLOCK_WORDS, SHARD_DOCS = 16, 20_000
+BLOCK_WORDS, SHARD_DOCS = 16, 2_000
 #: Bound on the rows of the table of sources times shards that is broadcast.
 MAX_BROADCAST_ROWS = 200_000
 
