@@ -246,22 +246,29 @@ def links(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], Da
     return found if second.isEmpty() else components(first.unionByName(second))
 
 
-def verified(pairs: DataFrame, arrays: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; arrays(ids) gives (id, bytes of the sorted set)."""
+def verified(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], percent: int, to_set: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) whose sets link; payload(ids) gives (id, s), and to_set(s) the sorted set."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    have = stored(arrays(ids), "arrays")
+    have = stored(payload(ids), "payload")
     both = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, None  # a lead comes in many pairs in a row
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                ok[i] = linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent)
+            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                if a != last:
+                    last, of_last = a, to_set(x.as_buffer())
+                ok[i] = linked(of_last, to_set(y.as_buffer()), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def as_hashes(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, _U)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: id, n_shingles, class_id (smallest id with the same set), component_id
     (smallest id reachable by links of Jaccard similarity of at least percent / 100)."""
@@ -281,7 +288,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
         return texts.mapInArrow(run, "id bigint, s binary").dropDuplicates(["id"])
 
-    found = links(members, marks, lambda pairs: verified(pairs, arrays, percent), lambda x, nx, ys, ny: may_link(x, nx, ys, ny, percent))
+    found = links(members, marks, lambda pairs: verified(pairs, arrays, percent, as_hashes), lambda x, nx, ys, ny: may_link(x, nx, ys, ny, percent))
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
     return classed.join(found, classed["rep"] == found["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, mixing, ngram_join, quality, secrets
+from . import html_text, licenses, line_dedup, mixing, ngram_join, quality, secrets
 from .common import read
 
 
@@ -18,6 +18,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -35,7 +40,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_ngram_join, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
+    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
