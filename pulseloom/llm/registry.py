@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, licenses, line_dedup, mixing, ngram_join, quality, secrets
+from . import hnsw, html_text, licenses, line_dedup, mixing, ngram_join, quality, secrets
 from .common import read
 
 
@@ -35,12 +36,17 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op10_source_mix]
+    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op7_nearest_neighbours, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
