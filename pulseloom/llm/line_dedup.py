@@ -30,6 +30,8 @@ from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, may_link, tiles, veri
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
 SHINGLE, BANDS, ROWS, PERCENT = 8, 16, 5, 80
 MIN_WORDS = 3
+#: Least bits of a line's bitmap per shingle.
+BITS = 1
 _U = np.uint64
 
 
@@ -109,7 +111,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                     of = band_keys(signatures(s, edges, bands * rows), bands)
                     for j, row in enumerate(new):
                         mine = np.unique(s[edges[j] : edges[j + 1]])
-                        n[row], keys[row], bits[row] = len(mine), of[j].tobytes(), bitmap(mine)
+                        n[row], keys[row], bits[row] = len(mine), of[j].tobytes(), bitmap(mine, BITS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i + owner]), pa.array(place), pa.array(h.view(np.int64)), pa.array(n), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())],
                     names=["doc", "place", "h", "n", "keys", "bits"],

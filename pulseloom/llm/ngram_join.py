@@ -39,6 +39,8 @@ EQUAL_PARTS = 21.0
 SMALL = 64
 #: Members of a tile that are compared at a time with each other.
 BLOCK = 512
+#: Least bits of the bitmap per element of a set.
+BITS = 8
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
 MAX_BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -96,9 +98,10 @@ def tile_keys(s: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """One bit per hash, in a power of two of bits that is at least the size of the set."""
-    bits = min(1 << 16, max(64, 1 << (max(len(s), 1) - 1).bit_length()))
+def bitmap(s: np.ndarray, each: int) -> bytes:
+    """One bit per hash, in a power of two of bits that is at least `each` times the size of the
+    set: the more bits, the fewer hashes share one and the closer the bound."""
+    bits = min(1 << 20, max(64, 1 << (max(each * len(s), 1) - 1).bit_length()))
     map_ = np.zeros(bits, np.uint8)
     map_[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(map_, bitorder="little").tobytes()
@@ -139,7 +142,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
                 f1.append(tv.mix(s + _U(1)).sum(dtype=_U))
                 f2.append(tv.mix(s ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U))
                 keys.append(tile_keys(s, percent, edges).tobytes())
-                maps.append(bitmap(s))
+                maps.append(bitmap(s, BITS))
             as_long = lambda v: pa.array(np.array(v, _U).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), as_long(f1), as_long(f2), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=["id", "n", "f1", "f2", "keys", "bits"])
 
