@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, licenses, line_dedup, mixing, ngram_join, quality, secrets, vector_dedup
+from . import hnsw, html_text, licenses, line_dedup, mixing, ngram_join, quality, secrets, segments, vector_dedup
 from .common import read
 
 
@@ -45,12 +45,16 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.encode(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op7_nearest_neighbours, op8_vector_dedup, op10_source_mix]
+    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op7_nearest_neighbours, op8_vector_dedup, op9_sampled_pieces, op10_source_mix]
     return {f.__name__: f for f in found}
 
 
