@@ -311,7 +311,8 @@ def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.
     for t in range(texts):
         for s, (logp, g) in enumerate(found[t]):
             inclusion = float(-np.expm1(-np.exp(min(logp - last[t], 700.0)))) if np.isfinite(last[t]) else 1.0
-            out.append((t, s + 1, logp, g, inclusion, full[s][t], lat))
+            # rounded: the order of additions depends on what else is in the chunk
+            out.append((t, s + 1, round(logp, 6), round(g, 6), float(f"{inclusion:.6g}"), full[s][t], lat))
     return out
 
 
