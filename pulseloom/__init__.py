@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""Wellness time-series analytics as Spark jobs."""

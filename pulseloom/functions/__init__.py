@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""Column functions."""

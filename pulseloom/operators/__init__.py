@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""Relational operators: state, gates, decisions, sessions, preferences."""

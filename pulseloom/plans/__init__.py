@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""The registered queries and their SQL."""

@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""Readers, normalisers, adapters, synthetic data and sinks."""

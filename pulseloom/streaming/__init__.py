@@ -1 +1 @@
-"""Part of the wellness time-series engine."""
+"""Structured Streaming forms of the stateful operators."""
