@@ -30,7 +30,7 @@ MAX_LABELLED = 50_000
 #: Rows that may be fetched to settle the threshold inside one narrow range of scores.
 SETTLE_ROWS = 2_000
 #: Of the share of bad documents, the part that is rejected: losing a good one costs more.
-STRICTNESS = 0.95
+STRICTNESS = 0.9
 
 
 def _grams(data: np.ndarray, off: np.ndarray, buckets: int, orders: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
