@@ -2,8 +2,8 @@
 
 Lines are told apart by a 64-bit hash of their trimmed bytes, so exact copies are one node from
 the start. Each distinct line gets a one-permutation MinHash signature of its character shingles
-(one hash per shingle, the least in each of BANDS * ROWS bins, empty bins filled from the bin
-before); bands of the signature name tiles; pairs in a tile are verified by exact Jaccard
+(one hash per shingle, the least in each of BANDS * ROWS bins, an empty bin filled from others in
+an order of its own); bands of the signature name tiles; pairs in a tile are verified by exact Jaccard
 similarity, united by distributed union-find, and of each component the first line, by document
 id and place, stays. All other lines of the component are removed.
 
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import bounded_broadcast, stored
-from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, may_link, tiles, verified
+from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, tiles, verified
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
-SHINGLE, BANDS, ROWS, PERCENT = 8, 16, 5, 80
+SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 MIN_WORDS = 3
 #: Least bits of a line's bitmap per shingle.
-BITS = 1
+BITS = 8
 _U = np.uint64
 
 
@@ -69,12 +69,18 @@ def signatures(h: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
     where = (((h >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64) + np.repeat(np.arange(n) * bins, np.diff(edges))
     np.minimum.at(sig, where, h)
     sig = sig.reshape(n, bins)
-    # an empty bin takes the value of the last full bin before it, round the end, marked by distance
-    twice = np.concatenate([sig, sig], axis=1)
-    full = np.where(twice != none, np.arange(2 * bins), -1)
-    source = np.maximum.accumulate(full, axis=1)[:, bins:]
-    away = (np.arange(bins, 2 * bins) - source).astype(_U)
-    return np.take_along_axis(twice, source, axis=1) + away * _U(0xA0761D6478BD642F)
+    # each empty bin looks at other bins in an order of its own, alike for all lines, until one is full
+    own = sig.copy()
+    rows = np.flatnonzero((sig == none).any(1))
+    for attempt in range(4 * bins):
+        if not len(rows):
+            break
+        source = (tv.mix(np.arange(bins, dtype=_U) + _U(bins * (attempt + 1))) % _U(bins)).astype(np.int64) if attempt < 3 * bins else (np.arange(bins) + attempt) % bins
+        part = sig[rows]
+        part = np.where(part == none, own[rows][:, source] + _U(attempt + 1) * (own[rows][:, source] != none), part)
+        sig[rows] = part
+        rows = rows[(part == none).any(1)]
+    return sig
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
@@ -89,7 +95,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, min_words: int) -> DataFrame:
-    """Per line (doc, place, h); a task gives n, keys and bits where it first meets the line."""
+    """Per line (doc, place, h); a task gives the keys where it first meets the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, _U)
@@ -105,20 +111,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 _, first = np.unique(h, return_index=True)
                 new = np.sort(first[~np.isin(h[first], met)])
                 met = np.union1d(met, h[new])
-                n, keys, bits = np.zeros(len(h), np.int64), [None] * len(h), [None] * len(h)
-                if len(new):
-                    s, edges = shingles(data, start[new], end[new], shingle)
-                    of = band_keys(signatures(s, edges, bands * rows), bands)
-                    for j, row in enumerate(new):
-                        mine = np.unique(s[edges[j] : edges[j + 1]])
-                        n[row], keys[row], bits[row] = len(mine), of[j].tobytes(), bitmap(mine, BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + owner]), pa.array(place), pa.array(h.view(np.int64)), pa.array(n), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())],
-                    names=["doc", "place", "h", "n", "keys", "bits"],
-                )
+                has = np.zeros(len(h), bool)
+                has[new] = True
+                of = band_keys(signatures(*shingles(data, start[new], end[new], shingle), bands * rows), bands)
+                width = 8 * bands
+                # rows without keys are null: their offsets stand still
+                ends = np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32)
+                keys = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(has, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(of.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(place), pa.array(h.view(np.int64)), keys], names=["doc", "place", "h", "keys"])
 
     used = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return stored(used.mapInArrow(run, "doc bigint, place bigint, h bigint, n bigint, keys binary, bits binary"), "lines")
+    return stored(used.mapInArrow(run, "doc bigint, place bigint, h bigint, keys binary"), "lines")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -127,22 +130,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     distinct = stored(table.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("times")), "distinct")
     keyed = table.filter(F.col("keys").isNotNull())
     members = tiles(keyed.select(F.col("h").alias("id"), "keys"))
-    marks = keyed.select(F.col("h").alias("id"), "n", "bits").dropDuplicates(["id"])
-
-    def texts(ids: DataFrame) -> DataFrame:
-        """(id, s): each line's bytes, read from the document where it comes first."""
-        at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
-        at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS)
-        found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(at, "doc")
-        found = found.withColumn("line", F.split("text", "\n", -1)).select(F.explode("wanted").alias("w"), "line")
-        return found.select(F.col("w.h").alias("id"), F.encode(F.get("line", F.col("w.place").cast("int")), "UTF-8").alias("s")).dropDuplicates(["id"])
-
-    def to_set(raw: pa.Buffer) -> np.ndarray:
-        data = np.frombuffer(raw, np.uint8)
-        _, _, start, end, _ = lines(data, np.array([0, len(data)]))
-        return np.unique(shingles(data, start, end, shingle)[0])
-
-    found = links(members, marks, lambda pairs: verified(pairs, texts, percent, to_set), lambda x, nx, ys, ny: may_link(x, nx, ys, ny, percent))
+    ids = members.select("id").distinct()
+    # each line of a tile once: its bytes, read from the document where it comes first
+    at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
+    at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS)
+    cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(at, "doc")
+    cut = cut.withColumn("line", F.split("text", "\n", -1)).select(F.explode("wanted").alias("w"), "line")
+    texts = stored(cut.select(F.col("w.h").alias("id"), F.get("line", F.col("w.place").cast("int")).alias("s")).dropDuplicates(["id"]), "texts")
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        (_, _, data, off), = tv.chunks(column, 1 << 62)
+        _, _, start, end, _ = lines(data, off)
+        return shingles(data, start, end, shingle)
+
+    def marks(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    h, edges = flat(part.column(1))
+                    own = [np.unique(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bitmap(x, BITS) for x in own], pa.binary())], names=["id", "n", "bits"])
+
+        return texts.join(wanted, "id", "left_semi").select("id", "s").mapInArrow(run, "id bigint, n bigint, bits binary")
+
+    found = links(members, marks, lambda pairs: verified(pairs, texts, percent, flat), percent)
     group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))
     kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep")
     lost = bounded_broadcast(stored(group.select("group", "h").join(kept, "group").select("h", "keep"), "repeated"), MAX_BROADCAST_ROWS)

@@ -121,15 +121,6 @@ def may_link(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray, percent: in
     return 100 * over >= percent * (nx + ny - over)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x) or 100 * len(x) < percent * len(y):
-        return False
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Per document: id, size, two hashes of the set, tile keys and bitmap, written once."""
     edges = bands(percent)
@@ -165,11 +156,11 @@ def tiles(keyed: DataFrame) -> DataFrame:
     return stored(rows.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead").distinct(), "tiles")
 
 
-def left_over(members: DataFrame, found: DataFrame, marks: DataFrame, may: Callable[..., np.ndarray]) -> DataFrame:
-    """Pairs (a, b) in one tile but different components that `may` does not rule out.
+def left_over(members: DataFrame, found: DataFrame, marks: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) in one tile but different components that the bitmaps do not rule out.
 
-    marks: (id, n, bits). Tiles of one component are done. The others are compared in squares of
-    BLOCK by BLOCK members; `may(x, nx, ys, ny)` looks at bitmaps and sizes of whole rows."""
+    marks(ids) gives (id, n, bits). Tiles of one component are done. The others are compared in
+    squares of BLOCK by BLOCK members."""
     label = found.select(F.col("node").alias("id"), "component")
     labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_set"))
@@ -179,7 +170,8 @@ def left_over(members: DataFrame, found: DataFrame, marks: DataFrame, may: Calla
         return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     rows = labelled.join(mixed, "key").withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_nb")).cast("int"))
-    rows = rows.join(marks, "id")
+    rows = stored(rows, "open")
+    rows = rows.join(marks(rows.select("id").distinct()), "id")
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     rows = rows.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "component", "n", "bits")
     square = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -199,7 +191,7 @@ def left_over(members: DataFrame, found: DataFrame, marks: DataFrame, may: Calla
                 if w not in maps:
                     maps[w] = np.stack([fold(v, w) if len(v) >= w else np.zeros(w, _U) for v in words])
                 at = np.flatnonzero(other & (np.minimum(width, len(words[x])) == w))
-                ok = at[may(fold(words[x], w), n[x], maps[w][at], n[at])]
+                ok = at[may_link(fold(words[x], w), n[x], maps[w][at], n[at], percent)]
                 left.append(np.minimum(ids[ok], ids[x]))
                 right.append(np.maximum(ids[ok], ids[x]))
         cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
@@ -234,14 +226,14 @@ def left_over(members: DataFrame, found: DataFrame, marks: DataFrame, may: Calla
     return square.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[..., np.ndarray]) -> DataFrame:
+def links(members: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of the links among tile members.
 
     First pairs of a member and the tile's lead are verified; then pairs of different components."""
     star = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
     first = stored(verify(star), "links")
     found = components(first)
-    more = left_over(members, found, marks, may)
+    more = left_over(members, found, marks, percent)
     more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return found
@@ -249,27 +241,43 @@ def links(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], Da
     return found if second.isEmpty() else components(first.unionByName(second))
 
 
-def verified(pairs: DataFrame, payload: Callable[[DataFrame], DataFrame], percent: int, to_set: Callable[[pa.Buffer], np.ndarray]) -> DataFrame:
-    """The pairs (a, b) whose sets link; payload(ids) gives (id, s), and to_set(s) the sorted set."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    have = stored(payload(ids), "payload")
+Flat = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def overlaps(x: np.ndarray, ex: np.ndarray, y: np.ndarray, ey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and overlaps of the sets x[ex[i]:ex[i + 1]] and y[ey[i]:ey[i + 1]]; up to 4096 at a
+    time share a sort, as keys of their number and 52 bits of the hash."""
+    out = []
+    for at in range(0, len(ex) - 1, 4096):
+        n = min(4096, len(ex) - 1 - at)
+        key = [np.unique((np.repeat(np.arange(n, dtype=_U), np.diff(e[at : at + n + 1])) << _U(52)) | (v[e[at] : e[at + n]] >> _U(12))) for v, e in ((x, ex), (y, ey))]
+        both = np.concatenate(key)
+        both.sort()
+        both = both[1:][both[1:] == both[:-1]]
+        out.append([np.bincount((k >> _U(52)).astype(np.int64), minlength=n) for k in (*key, both)])
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
+    """The pairs (a, b) whose sets link. have: (id, s); flat turns a column of s into the
+    concatenated hashes of the sets (repeats allowed) and the edges of the rows among them."""
     both = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, None  # a lead comes in many pairs in a row
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if a != last:
-                    last, of_last = a, to_set(x.as_buffer())
-                ok[i] = linked(of_last, to_set(y.as_buffer()), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                nx, ny, n = overlaps(*flat(part.column(2)), *flat(part.column(3)))
+                ok = (n > 0) & (100 * n >= percent * (nx + ny - n))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def as_hashes(raw: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(raw, _U)
+def as_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes kept as bytes."""
+    (_, _, data, off), = tv.chunks(column, 1 << 62)
+    return np.frombuffer(data.tobytes(), _U), off // 8
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -282,16 +290,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     members = tiles(reps.select("id", "keys"))
     marks = reps.select("id", "n", "bits").dropDuplicates(["id"])
 
-    def arrays(ids: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Sets are made anew, for the documents of the pairs only."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "s"])
 
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = bounded_broadcast(stored(ids, "ids"), MAX_BROADCAST_ROWS)
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        return texts.mapInArrow(run, "id bigint, s binary").dropDuplicates(["id"])
+        return verified(pairs, stored(texts.mapInArrow(run, "id bigint, s binary").dropDuplicates(["id"]), "arrays"), percent, as_hashes)
 
-    found = links(members, marks, lambda pairs: verified(pairs, arrays, percent, as_hashes), lambda x, nx, ys, ny: may_link(x, nx, ys, ny, percent))
+    found = links(members, lambda ids: marks, verify, percent)
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
     return classed.join(found, classed["rep"] == found["node"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))

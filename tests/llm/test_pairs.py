@@ -70,7 +70,9 @@ def test_bit_counts_bound_overlap():
         y = np.unique(np.concatenate([both, tv.mix(rng.integers(0, 2**63, int(rng.integers(0, 200))).astype(np.uint64))]))
         bx, by = (np.frombuffer(ngram_join.bitmap(s, 8), np.uint64) for s in (x, y))
         w = min(len(bx), len(by))
-        if ngram_join.linked(x, y, 80):
+        nx, ny, n = (int(v[0]) for v in ngram_join.overlaps(x, np.array([0, len(x)]), y, np.array([0, len(y)])))
+        assert (nx, ny, n) == (len(x), len(y), len(np.intersect1d(x, y)))
+        if 100 * n >= 80 * (nx + ny - n):
             assert ngram_join.may_link(ngram_join.fold(bx, w), len(x), ngram_join.fold(by, w)[None, :], np.array([len(y)]), 80)[0]
 
 
