@@ -33,7 +33,7 @@ from . import textvec as tv
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 5
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _U = np.uint64
 _loaded: dict[str, Vocabulary] = {}
 
@@ -95,72 +95,79 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Lattices of distinct words laid end to end in `data`.
+    """Lattices of distinct words, laid out in `data` with one byte after each word.
 
-    Edges are sorted by the position they start from, ptr[i]..ptr[i+1] for position i; `cum` is
-    the running sum of their probabilities given that position."""
+    The edges from position i are ptr[i]..ptr[i+1], the longest first; `cum` is the running sum of
+    their probabilities given i. The byte after a word is its end."""
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, starts: np.ndarray):
+    def __init__(self, vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         n = len(data)
-        ends = np.append(starts[1:], n)
-        limit = np.repeat(ends, ends - starts)
-        head = np.flatnonzero((data & 0xC0) != 0x80)  # starts of characters
-        size = np.diff(np.append(head, n))
-        at, node, depth = head, np.zeros(len(head), vocab.next.dtype), 0
+        limit = np.zeros(n, np.int64)
+        limit[starts] = ends - np.concatenate([[0], ends[:-1]])
+        limit = np.cumsum(limit)  # of each position, the end of its word
+        self.is_end = np.zeros(n, bool)
+        self.is_end[ends] = True
+        head = np.flatnonzero(((data & 0xC0) != 0x80) & ~self.is_end)  # starts of characters
+        width = np.zeros(n, np.int32)
+        width[head] = np.minimum(np.diff(np.append(head, n)), limit[head] - head)
+        found = []
         single = np.zeros(n, bool)
-        width = np.zeros(n, np.int64)
-        width[head] = size
-        begin, end, piece = [], [], []
+        at, node, depth = head, np.zeros(len(head), np.int64), 0
         while len(at):
-            node = vocab.next[node.astype(np.int64) * 256 + data[at + depth]]
+            node = vocab.next[node * 256 + data[at + depth]].astype(np.int64)
             depth += 1
             on = node > 0
             at, node = at[on], node[on]
             ids = vocab.ids[node]
             hit = ids >= 0
-            begin.append(at[hit])
-            end.append(at[hit] + depth)
-            piece.append(ids[hit])
-            single[at[hit][width[at[hit]] == depth]] = True
+            b = at[hit]
+            found.append((b, b + depth, ids[hit]))
+            if depth <= 4:
+                single[b[width[b] == depth]] = True
             on = at + depth < limit[at]
             at, node = at[on], node[on]
-        bare = head[~single[head]]  # no piece of its own: bytes
-        begin.append(bare)
-        end.append(bare + width[bare])
-        piece.append(np.full(len(bare), -1, np.int32))
-        b, e, p = np.concatenate(begin), np.concatenate(end), np.concatenate(piece)
-        byte_weight = vocab.weight[vocab.byte_ids[0]]
-        w = np.where(p >= 0, vocab.weight[p], byte_weight * (e - b))
-        # sums to the word's end, by distance from it; edges of one position lie together
-        far = limit[b] - b
-        inner = np.argsort((far << 32) | b, kind="stable")
-        b, e, p, w, far = b[inner], e[inner], p[inner], w[inner], far[inner]
-        total = np.zeros(n + 1)
-        cut = np.searchsorted(far, np.arange(1, far[-1] + 2)) if len(far) else np.zeros(1, int)
-        is_end = np.zeros(n + 1, bool)
-        is_end[ends] = True
-        value = np.empty(len(b))
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
+        bare = head[~single[head]]  # characters without a piece of their own: bytes
+        found.append((bare, bare + width[bare], np.full(len(bare), -1, np.int32)))
+        many = np.zeros(n, np.int64)
+        for b, _, _ in found:
+            many[b] += 1  # a position has at most one edge of each length
+        self.ptr = np.concatenate([[0], np.cumsum(many)])
+        free = self.ptr[1:].copy()
+        count = int(self.ptr[-1])
+        self.end, self.piece = np.empty(count, np.int64), np.empty(count, np.int32)
+        for b, e, p in found:
+            free[b] -= 1
+            self.end[free[b]], self.piece[free[b]] = e, p
+        self.data, self.start = data, np.repeat(np.arange(n), many)
+        weight = np.where(self.piece >= 0, vocab.weight[self.piece], vocab.weight[vocab.byte_ids[0]] * (self.end - self.start))
+        # sums over the ways to the word's end, for all positions at one distance from it at a time
+        far = limit[head] - head
+        order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
+        by = head[order]
+        size = many[by]
+        first = np.cumsum(size) - size
+        edge = np.repeat(self.ptr[by] - first, size) + np.arange(count)
+        w, to = weight[edge], self.end[edge]
+        stop = np.searchsorted(far[order], np.arange(1, far.max(initial=0) + 2))
+        total, value = np.zeros(n), np.empty(count)
+        for x, y in zip(stop[:-1], stop[1:], strict=True):
             if x == y:
                 continue
-            v = w[x:y] + np.where(is_end[e[x:y]], 0.0, total[e[x:y]])
-            first = np.flatnonzero(np.concatenate([[True], b[x + 1 : y] != b[x : y - 1]]))
-            top = np.maximum.reduceat(v, first)
-            many = np.diff(np.append(first, y - x))
-            sums = np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), first)) + top
-            total[b[x + first]] = sums
-            value[x:y] = v - np.repeat(sums, many)
-        by = np.lexsort([-value, b])  # the likeliest edge of a position first
-        self.end, self.piece, self.logp = e[by], p[by], np.minimum(value[by], 0.0)
-        self.data, self.start, self.is_end = data, b[by], is_end
+            i, j = first[x], first[y] if y < len(first) else count
+            own, rep = first[x:y] - i, size[x:y]
+            v = w[i:j] + total[to[i:j]]
+            top = np.maximum.reduceat(v, own)
+            sums = np.log(np.add.reduceat(np.exp(v - np.repeat(top, rep)), own)) + top
+            total[by[x:y]] = sums
+            value[i:j] = v - np.repeat(sums, rep)
+        self.logp = np.empty(count)
+        self.logp[edge] = np.minimum(value, 0.0)
         self.prob = np.exp(self.logp)
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(self.start, minlength=n))])
         run = np.cumsum(self.prob)
-        self.cum = run - (run - self.prob)[self.ptr[self.start]]
-        self.cum[self.ptr[1:][np.diff(self.ptr) > 0] - 1] = 2.0  # the last edge takes what is left
+        self.cum = run - np.repeat((run - self.prob)[self.ptr[:-1][many > 0]], many[many > 0])
+        self.cum[self.ptr[1:][many > 0] - 1] = 2.0  # the last edge takes what is left
         with np.errstate(divide="ignore"):
-            self.rest = np.where(np.diff(self.ptr)[self.start] > 1, np.log1p(-np.minimum(self.prob, 1.0)), -np.inf)
-        self.units = np.where(self.piece >= 0, 1, self.end - self.start)  # ids that an edge stands for
+            self.rest = np.where(many[self.start] > 1, np.log1p(-self.prob), -np.inf)
 
 
 def uniform(key: np.ndarray, a, b, c: int) -> np.ndarray:
@@ -231,10 +238,12 @@ def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.
     h = tv.hash_spans(tv.prefix_sums(data, tv.EXACT), starts, ends)
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     size = (ends - starts)[first]
-    base_at = np.concatenate([[0], np.cumsum(size)])
-    spread = np.repeat(starts[first] - base_at[:-1], size) + np.arange(base_at[-1])
-    lat = Lattice(vocab, data[spread], base_at[:-1])
-    origin = base_at[:-1][inverse]  # of each word in the lattice
+    begin = np.cumsum(size + 1) - size - 1
+    inner = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    laid = np.zeros(int((size + 1).sum()), np.uint8)
+    laid[inner] = data[inner - np.repeat(begin, size) + np.repeat(starts[first], size)]
+    lat = Lattice(vocab, laid, begin, begin + size)
+    origin = begin[inverse]  # of each word in the lattice
     text = np.repeat(np.arange(texts), np.diff(at))
     place = np.arange(len(text)) - at[text]
     zero = np.zeros(texts)
@@ -321,7 +330,7 @@ def ids_of(vocab: Vocabulary, lat: Lattice, edge: np.ndarray) -> np.ndarray:
     piece = lat.piece[edge]
     if (piece >= 0).all():
         return piece
-    units = lat.units[edge]
+    units = np.where(piece >= 0, 1, lat.end[edge] - lat.start[edge])
     out = np.repeat(piece, units)
     bare = np.repeat(piece < 0, units)
     inner = np.arange(len(out)) - np.repeat(np.cumsum(units) - units, units)
