@@ -274,15 +274,16 @@ def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.
                 paths[j].bound[i] = -np.inf
                 out, before, g = (int(paths[j].edge[i]),), float(paths[j].before[i]), g
             g = max(g, more[0])
+            spot = int(i - paths[j].at[t]) + (j << 40)  # where in the text's own tree, whatever else is in the chunk
             e0, e1 = lat.ptr[lat.start[out[0]]], lat.ptr[lat.start[out[0]] + 1]
             choice = np.array([x for x in range(e0, e1) if x not in out])
             p = lat.prob[choice]
-            c = int(choice[min(len(choice) - 1, np.searchsorted(np.cumsum(p), p.sum() * uniform(keys[t : t + 1], i, r, 4)[0]))])
+            c = int(choice[min(len(choice) - 1, np.searchsorted(np.cumsum(p), p.sum() * uniform(keys[t : t + 1], spot, r, 4)[0]))])
             out = (*out, c)
             left = choice[choice != c]
             if len(left):
                 loc = np.array([before + np.log(lat.prob[left].sum())])
-                b = truncated(loc, np.array([g]), uniform(keys[t : t + 1], i, r, 5))[0]
+                b = truncated(loc, np.array([g]), uniform(keys[t : t + 1], spot, r, 5))[0]
                 extra[t].append((float(b), j, i, out, before))
             todo.append((t, j, i, c, before, g))
         if r == k or not todo:
