@@ -29,6 +29,12 @@ BLOCK_WORDS, SHARD_DOCS = 16, 2_000
 MAX_BROADCAST_ROWS = 200_000
 
 
+def seeded(seed: int, *key: str) -> Column:
+    """A number of 60 bits from a seed and columns, from MD5, so that any engine can repeat it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -83,7 +89,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
     """Per row: id, size, source_size, target of its source, and `taken` words (repeats counted)."""
     sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = stored(sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col))), "mix-sizes")
+    sized = stored(sized.withColumn("_h", seeded(seed, id_col)), "mix-sizes")
     # pre-aggregated before the shuffle: one row per source and task
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     goal = targets(by_source, weights, share, cap).join(by_source.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -102,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # copies of block j = c(j + 1) - c(j), c(j) = (j * quota + shift) div blocks: `quota` in all
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.lit(block_words)).cast("long"), F.lit(1))
     placed = placed.withColumn("_n", blocks).withColumn("_q", F.least(F.col("quota"), (F.lit(cap) * F.col("_n")).cast("long")))
-    placed = placed.withColumn("_shift", F.pmod(F.xxhash64(F.lit(seed), "nr", "_shard"), F.col("_n")))
+    placed = placed.withColumn("_shift", F.pmod(seeded(seed, "nr", "_shard"), F.col("_n")))
     placed = placed.withColumn("_begin", F.col("_end") - F.col("size"))
 
     def drawn(x: str) -> str:
@@ -110,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         c = lambda j: f"(({j} * _q + _shift) div _n)"
         return f"({block_words} * {c(k)} + ({x} - {block_words} * {k}) * ({c(f'({k} + 1)')} - {c(k)}))"
 
-    return placed.select(id_col, "size", "source_size", "target", F.expr(f"cast({drawn('_end')} - {drawn('_begin')} as bigint)").alias("taken"), "source", "_shard", F.col("nr").alias("source_nr"))
+    return placed.select(id_col, "size", "source_size", "target", F.expr(f"cast({drawn('_end')} - {drawn('_begin')} as bigint)").alias("taken"), "source", "_shard", F.col("nr").cast("long").alias("source_nr"))
 
 
 def _hinted(df: DataFrame) -> DataFrame:
