@@ -1,7 +1,7 @@
 """Fuzzy removal of lines that repeat across documents.
 
-Lines are told apart by a 64-bit hash of their trimmed bytes, so exact copies are one node from
-the start. Each distinct line gets a one-permutation MinHash signature of its character shingles
+Lines are told apart by a 64-bit hash of their trimmed bytes, ASCII case ignored as in shingles,
+so copies are one node from the start. Each distinct line gets a one-permutation MinHash signature of its character shingles
 (one hash per shingle, the least in each of BANDS * ROWS bins, an empty bin filled from others in
 an order of its own); bands of the signature name tiles; pairs in a tile are verified by exact Jaccard
 similarity, united by distributed union-find, and of each component the first line, by document
@@ -55,11 +55,21 @@ def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tu
     points = np.flatnonzero((data & 0xC0) != 0x80)
     a, b = np.searchsorted(points, start), np.searchsorted(points, end)
     points = np.append(points, len(data))
+    sums = tv.prefix_sums(data)
     runs = np.maximum(b - a - k + 1, 1)
     edges = np.concatenate([[0], np.cumsum(runs)])
-    first = np.repeat(a, runs) + np.arange(edges[-1]) - np.repeat(edges[:-1], runs)
-    last = np.minimum(first + k, np.repeat(b, runs))
-    return tv.hash_spans(tv.prefix_sums(data), points[first], points[last]), edges
+    # windows of k characters from every character; those within a line are picked
+    at, inv = sums[points], tv.inverse_powers(len(data) + 1)[points]
+    window = (at[k:] - at[:-k]) * inv[:-k] + (points[k:] - points[:-k]).astype(_U)
+    short = b - a < k
+    first = np.repeat(a - edges[:-1], runs) + np.arange(edges[-1])
+    if short.any():
+        h = np.zeros(edges[-1], _U)
+        use = ~np.repeat(short, runs)
+        h[use] = tv.mix(window[first[use]])
+        h[edges[:-1][short]] = tv.hash_spans(sums, points[a[short]], points[b[short]])
+        return h, edges
+    return tv.mix(window[first]), edges
 
 
 def signatures(h: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
@@ -107,7 +117,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 owner, place, start, end = owner[use], place[use], start[use], end[use]
                 if not len(owner):
                     continue
-                h = tv.hash_spans(tv.prefix_sums(data, tv.EXACT), start, end)
+                h = tv.hash_spans(tv.prefix_sums(data), start, end)
                 _, first = np.unique(h, return_index=True)
                 new = np.sort(first[~np.isin(h[first], met)])
                 met = np.union1d(met, h[new])

@@ -39,6 +39,8 @@ EQUAL_PARTS = 21.0
 SMALL = 64
 #: Members of a tile that are compared at a time with each other.
 BLOCK = 512
+#: Rounds in which only nearest members of open tiles are paired.
+NEAREST_ROUNDS = 2
 #: Least bits of the bitmap per element of a set.
 BITS = 8
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
@@ -114,11 +116,10 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def may_link(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets with bitmaps ys and sizes ny may link with x: bits of one bitmap alone
-    are elements of one set alone, so they bound the overlap from above."""
-    over = np.minimum(nx - np.bitwise_count(x & ~ys).sum(1, dtype=np.int64), ny - np.bitwise_count(ys & ~x).sum(1, dtype=np.int64))
-    return 100 * over >= percent * (nx + ny - over)
+def most_overlap(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of a set with bitmap x and sets with bitmaps ys, from their
+    sizes: bits of one bitmap alone are elements of one set alone."""
+    return np.minimum(nx - np.bitwise_count(x & ~ys).sum(1, dtype=np.int64), ny - np.bitwise_count(ys & ~x).sum(1, dtype=np.int64))
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -156,72 +157,80 @@ def tiles(keyed: DataFrame) -> DataFrame:
     return stored(rows.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead").distinct(), "tiles")
 
 
-def left_over(members: DataFrame, found: DataFrame, marks: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b) in one tile but different components that the bitmaps do not rule out.
-
-    marks(ids) gives (id, n, bits). Tiles of one component are done. The others are compared in
-    squares of BLOCK by BLOCK members."""
+def open_tiles(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component, _n) of the members of tiles that hold several components; of tiles
+    with the same members one is enough."""
     label = found.select(F.col("node").alias("id"), "component")
-    labelled = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = members.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_set"))
-    # tiles with the same members need one comparison
-    mixed = stored(mixed.filter("_lo <> _hi").groupBy("_n", "_set").agg(F.min("key").alias("key")).select("key", "_n"), "mixed")
-    if mixed.isEmpty():
-        return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    rows = labelled.join(mixed, "key").withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_nb")).cast("int"))
-    rows = stored(rows, "open")
-    rows = rows.join(marks(rows.select("id").distinct()), "id")
+    mixed = mixed.filter("_lo <> _hi").groupBy("_n", "_set").agg(F.min("key").alias("key")).select("key", "_n")
+    return stored(labelled.join(mixed, "key"), "open")
+
+
+def left_over(tiles_: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) in one open tile but different components that the bitmaps do not rule out.
+
+    marks: (id, n, bits). Members are compared in squares of BLOCK by BLOCK. nearest: of each
+    member's pairs in a square only the one of greatest bound."""
+    rows = tiles_.withColumn("_nb", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_nb")).cast("int")).join(marks, "id")
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     rows = rows.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "component", "n", "bits")
     square = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        block, ids, comp, n = (t[c].to_numpy() for c in ("_b", "id", "component", "n"))
-        words = [np.frombuffer(x, _U) for x in t["bits"].to_pylist()]
-        width = np.array([len(v) for v in words])
+    def pairs(one: bool, first: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+        """one: all members are of one block; else those with `first` are compared with the others."""
+        width = np.array([len(v) for v in bits])
         maps: dict[int, np.ndarray] = {}  # by width, all maps folded to it
-        left, right = [], []
         for x in range(len(ids)):
-            if block[x] != i:
+            if not first[x]:
                 continue
-            other = (comp != comp[x]) & ((ids > ids[x]) if i == j else (block == j))
-            for w in np.unique(np.minimum(width[other], len(words[x]))):
+            other = (comp != comp[x]) & ((ids > ids[x]) if one and not nearest else (ids != ids[x]) if one else ~first)
+            if not other.any():
+                continue
+            narrow = np.minimum(width, width[x])
+            best, best_id = -1.0, -1
+            for w in np.unique(narrow[other]):
                 if w not in maps:
-                    maps[w] = np.stack([fold(v, w) if len(v) >= w else np.zeros(w, _U) for v in words])
-                at = np.flatnonzero(other & (np.minimum(width, len(words[x])) == w))
-                ok = at[may_link(fold(words[x], w), n[x], maps[w][at], n[at], percent)]
-                left.append(np.minimum(ids[ok], ids[x]))
-                right.append(np.maximum(ids[ok], ids[x]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return cat(left), cat(right)
+                    maps[w] = np.stack([fold(v, w) if len(v) >= w else np.zeros(w, _U) for v in bits])
+                at = np.flatnonzero(other & (narrow == w))
+                over = most_overlap(fold(bits[x], w), n[x], maps[w][at], n[at])
+                ok = 100 * over >= percent * (n[x] + n[at] - over)
+                if nearest:
+                    like = np.where(ok, over / np.maximum(n[x] + n[at] - over, 1), -1.0)
+                    k = int(like.argmax())
+                    if like[k] > best:
+                        best, best_id = float(like[k]), int(ids[at[k]])
+                else:
+                    out += [(int(min(i, ids[x])), int(max(i, ids[x]))) for i in ids[at[ok]]]
+            if best_id >= 0:
+                out.append((min(best_id, int(ids[x])), max(best_id, int(ids[x]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            yield from cut(t, last=False)
-            rest = t.slice(keep)
+            done, found = compare(t, last=False)
+            yield found
+            rest = t.slice(done)
         if rest is not None and rest.num_rows:
-            yield from cut(rest, last=True)
-
-    keep = 0
+            yield compare(rest, last=True)[1]
 
-    def cut(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        """Compare the whole squares of t; leave the last one, which may go on, unless `last`."""
-        nonlocal keep
-        k, i, j = (t[c].to_numpy() for c in ("key", "i", "j"))
+    def compare(t: pa.Table, last: bool) -> tuple[int, pa.RecordBatch]:
+        """Compare the whole squares of t; the last one, which may go on, is left unless `last`."""
+        k, i, j, own, ids, comp, n = (t[c].to_numpy() for c in ("key", "i", "j", "_b", "id", "component", "n"))
         new = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         ends = [*new, len(k)] if last else list(new)
+        bits = [np.frombuffer(x, _U) for x in t["bits"].slice(0, ends[-1] if ends else 0).to_pylist()]
+        out: list[tuple[int, int]] = []
         at = 0
         for e in ends:
-            a, b = pairs(t.slice(at, e - at))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            s = slice(at, e)
+            pairs(bool(i[at] == j[at]), own[s] == i[at], ids[s], comp[s], n[s], bits[s], out)
             at = e
-        keep = at
+        both = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+        return at, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return square.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -229,16 +238,30 @@ def left_over(members: DataFrame, found: DataFrame, marks: Callable[[DataFrame],
 def links(members: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of the links among tile members.
 
-    First pairs of a member and the tile's lead are verified; then pairs of different components."""
-    star = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    first = stored(verify(star), "links")
-    found = components(first)
-    more = left_over(members, found, marks, percent)
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return found
-    second = stored(verify(more), "links")
-    return found if second.isEmpty() else components(first.unionByName(second))
+    First pairs of a member and the tile's lead are verified. Then, in NEAREST_ROUNDS rounds, each
+    member's nearest one of another component; then all pairs of different components that are
+    left. Only tiles that still hold several components go on to the next round."""
+    tried = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    good = stored(verify(tried), "links")
+    found = components(good)
+    have, rest = None, members
+    for number in range(NEAREST_ROUNDS + 1):
+        rest = open_tiles(rest, found)
+        if rest.isEmpty():
+            break
+        if have is None:
+            have = stored(marks(rest.select("id").distinct()), "marks")
+        more = stored(left_over(rest, have, percent, number < NEAREST_ROUNDS).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            if number == NEAREST_ROUNDS:
+                break
+            continue
+        linked = stored(verify(more), "links")
+        tried = tried.unionByName(more)
+        if not linked.isEmpty():
+            good = good.unionByName(linked)
+            found = components(good)
+    return found
 
 
 Flat = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]

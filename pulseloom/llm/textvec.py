@@ -90,6 +90,10 @@ def prefix_sums(data: np.ndarray, value: np.ndarray = FOLDED) -> np.ndarray:
     return out
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers(n)[1]
+
+
 def hash_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans from prefix_sums(); equal bytes give equal hashes."""
     _, inv = _powers(len(sums))

@@ -72,8 +72,7 @@ def test_bit_counts_bound_overlap():
         w = min(len(bx), len(by))
         nx, ny, n = (int(v[0]) for v in ngram_join.overlaps(x, np.array([0, len(x)]), y, np.array([0, len(y)])))
         assert (nx, ny, n) == (len(x), len(y), len(np.intersect1d(x, y)))
-        if 100 * n >= 80 * (nx + ny - n):
-            assert ngram_join.may_link(ngram_join.fold(bx, w), len(x), ngram_join.fold(by, w)[None, :], np.array([len(y)]), 80)[0]
+        assert ngram_join.most_overlap(ngram_join.fold(bx, w), len(x), ngram_join.fold(by, w)[None, :], np.array([len(y)]))[0] >= n
 
 
 def test_components(spark, monkeypatch):
