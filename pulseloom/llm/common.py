@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java regular expression of one word: a run of anything but ASCII white space.
@@ -32,6 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that at most max_rows rows are there."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, most: int, items: Column | None = None) -> DataFrame:
+    """Hint a broadcast only after counting at most `most` rows, or, for rows that hold lists,
+    at most `most` entries in all; else Spark joins by shuffling. Rows without lists are a few
+    numbers wide, so `most` bounds the size."""
+    if items is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    total = df.agg(F.sum(items)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df

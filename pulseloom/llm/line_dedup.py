@@ -143,7 +143,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     ids = members.select("id").distinct()
     # each line of a tile once: its bytes, read from the document where it comes first
     at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
-    at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS)
+    at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS, F.size("wanted"))
     cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(at, "doc")
     cut = cut.withColumn("line", F.split("text", "\n", -1)).select(F.explode("wanted").alias("w"), "line")
     texts = stored(cut.select(F.col("w.h").alias("id"), F.get("line", F.col("w.place").cast("int")).alias("s")).dropDuplicates(["id"]), "texts")
@@ -170,7 +170,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     lost = bounded_broadcast(stored(group.select("group", "h").join(kept, "group").select("h", "keep"), "repeated"), MAX_BROADCAST_ROWS)
     drops = table.select("doc", "place", "h").join(lost, "h").filter(F.struct("doc", "place") != F.col("keep"))
     drops = drops.groupBy("doc").agg(F.collect_set(F.col("place").cast("int")).alias("_drops"))
-    drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_ROWS)
+    drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_ROWS, F.size("_drops"))
     out = docs.drop("n_lines", "n_dropped").join(drops, F.col(id_col) == F.col("_doc"), "left")
     split = F.split(F.col(text_col), "\n", -1)
     # a map from place makes each look-up cheap however many lines go
