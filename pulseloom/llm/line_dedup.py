@@ -32,6 +32,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 MIN_WORDS = 3
 #: Least bits of a line's bitmap per shingle.
 BITS = 8
+#: Places of dropped lines (4 bytes each) up to which they are broadcast.
+MAX_BROADCAST_PLACES = 2_000_000
 _U = np.uint64
 
 
@@ -170,7 +172,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     lost = bounded_broadcast(stored(group.select("group", "h").join(kept, "group").select("h", "keep"), "repeated"), MAX_BROADCAST_ROWS)
     drops = table.select("doc", "place", "h").join(lost, "h").filter(F.struct("doc", "place") != F.col("keep"))
     drops = drops.groupBy("doc").agg(F.collect_set(F.col("place").cast("int")).alias("_drops"))
-    drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_ROWS, F.size("_drops"))
+    drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_PLACES, F.size("_drops"))
     out = docs.drop("n_lines", "n_dropped").join(drops, F.col(id_col) == F.col("_doc"), "left")
     split = F.split(F.col(text_col), "\n", -1)
     # a map from place makes each look-up cheap however many lines go
