@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import tidy
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "outside", "heading", "listed")
 
 # Hand-labelled blocks: the features in order (words; share of words in links; both for the block
@@ -99,8 +101,14 @@ CONTAINERS = frozenset("address article aside blockquote body center dd details
 OUTSIDE = frozenset("nav aside footer form menu dialog fieldset button".split())
 SKIPPED = "script|style|noscript|template|textarea|title|svg|iframe|object|select|button|math|canvas|audio|video"
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|header|masthead|footer|foot|side-?bar|sidenav|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|breadcrumbs?|pag(?:er|ination)|widgets?|comments?|comment-?\w+|replies|reply|disqus|respond|toolbar|tags|copyright|legal|disclaimer|skip\w*)(?:$|[\s_-])", re.I)
-_INSIDE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:$|[\s_-])", re.I)
+    r"(?:^|[_-])(?:nav(?:bar|igation)?|menus?|footer|foot|side-?bar|sidenav|aside|ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|notices?|notification|cookies?|cookiebar|consent|gdpr|privacy|paywall|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|trending|popular|teasers?|breadcrumbs?|pag(?:er|ination)|widgets?|comments?|commentlist|replies|reply|responses?|discussion|disqus|respond|reader|feedback|toolbar|tags|copyright|legal|disclaimer|skip\w*)(?:$|[_-])", re.I)
+#: Names that mean the page's head, unless inside an article.
+_HEADS = re.compile(r"(?:^|[_-])(?:header|masthead|topbar)(?:$|[_-])", re.I)
+#: Names that describe a layout, not what an element holds.
+_LAYOUT = re.compile(r"(?:has|with|no|is|layout|page|col|row)[_-]", re.I)
+#: Elements that hold the page, whatever they are called.
+_WHOLE = frozenset(("body", "main"))
+_INSIDE = re.compile(r"(?:^|[_-])(?:article|post|entry|story|main|content)(?:$|[_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -110,7 +118,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 
 
@@ -122,8 +130,11 @@ def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                outside = outside or (1 if _NAMES.search(value) else 0)
-                inside = inside or (1 if _INSIDE.search(value) else 0)
+                for part in value.split():
+                    if tag in _WHOLE or _LAYOUT.match(part):
+                        continue
+                    outside = outside or (1 if _NAMES.search(part) or (not in_article and _HEADS.search(part)) else 0)
+                    inside = inside or (1 if _INSIDE.search(part) else 0)
             elif name == "role":
                 outside = outside or (1 if value.lower() in _ROLES else 0)
                 inside = inside or (1 if value.lower() in ("main", "article") else 0)
@@ -141,7 +152,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     stack: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    in_link = article = outside = heading = 0
+    in_link = article = outside = heading = own = 0  # own: the block's element itself is outside
     at = 0
 
     def flush() -> None:
@@ -152,7 +163,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 n = len(words)
                 m = min(n, len(html.unescape(" ".join(linked)).split())) if linked else 0
                 listed = 1 if stack and stack[-1][0] in ("li", "td", "th", "dd", "dt") else 0
-                found.append((" ".join(words), [n, m / n, 1 if article else 0, outside, heading, listed]))
+                found.append((" ".join(words), [n, m / n, 1 if article else 0, outside + own, heading, listed]))
             text, linked = [], []
 
     for m in _TOKEN.finditer(page):
@@ -179,6 +190,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             heading = 0 if m["close"] else 1
         elif tag == "p":
             heading = 0
+        own = 0
+        if not m["close"] and tag not in CONTAINERS and m["attrs"]:
+            own = _kind(tag, m["attrs"], article > 0)[1]
         if tag in CONTAINERS:
             heading = in_link = 0
             if not m["close"]:
@@ -259,4 +273,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 )
 
     kinds = dict(used.dtypes)
-    return used.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint")
+    return used.mapInArrow(tidy(run), f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars bigint")
