@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """Hand freed memory back at the end of a task: Spark keeps Python workers for later tasks,
+    and what the allocator of one stage keeps would count against the executor in the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def bounded_broadcast(df: DataFrame, most: int, items: Column | None = None) -> DataFrame:
     """Hint a broadcast only after counting at most `most` rows, or, for rows that hold lists,
     at most `most` entries in all; else Spark joins by shuffling. Rows without lists are a few

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 #: Edges that one task unites at a time.
 CHUNK_EDGES = 200_000
@@ -68,7 +68,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # by the smaller end, so that chunks share few nodes; by both ends first, so that none is hot
         key = [F.xxhash64("a", "b")] if not levels else [F.least("a", "b")]
         spread = edges.repartition(parts, *key) if parts > 1 else edges.coalesce(1)
-        found = spread.mapInArrow(_united, "v bigint, r bigint")
+        found = spread.mapInArrow(tidy(_united), "v bigint, r bigint")
         # a node has at most one root per chunk, so the sets are bounded by the chunks
         found = stored(found.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("rs")), "united")
         levels.append(found.select("v", "m"))

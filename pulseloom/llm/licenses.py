@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
+from .common import tidy
 
 # License notices, by name.
 TEMPLATES = {
@@ -174,4 +175,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 names=[id_col, "license", "matched_words", "coverage", "span_start", "span_end"],
             )
 
-    return used.mapInArrow(run, f"`{id_col}` {dict(used.dtypes)[id_col]}, license string, matched_words int, coverage double, span_start bigint, span_end bigint")
+    return used.mapInArrow(tidy(run), f"`{id_col}` {dict(used.dtypes)[id_col]}, license string, matched_words int, coverage double, span_start bigint, span_end bigint")

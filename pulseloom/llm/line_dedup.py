@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bounded_broadcast, stored
+from .common import bounded_broadcast, stored, tidy
 from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, tiles, verified
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
@@ -133,7 +133,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(place), pa.array(h.view(np.int64)), keys], names=["doc", "place", "h", "keys"])
 
     used = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return stored(used.mapInArrow(run, "doc bigint, place bigint, h bigint, keys binary"), "lines")
+    return stored(used.mapInArrow(tidy(run), "doc bigint, place bigint, h bigint, keys binary"), "lines")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
                     own = [np.unique(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bitmap(x, BITS) for x in own], pa.binary())], names=["id", "n", "bits"])
 
-        return texts.join(wanted, "id", "left_semi").select("id", "s").mapInArrow(run, "id bigint, n bigint, bits binary")
+        return texts.join(wanted, "id", "left_semi").select("id", "s").mapInArrow(tidy(run), "id bigint, n bigint, bits binary")
 
     found = links(members, marks, lambda pairs: verified(pairs, texts, percent, flat), percent)
     group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import bounded_broadcast, stored
+from .common import bounded_broadcast, stored, tidy
 from .components import components
 
 EQUAL_PARTS = 21.0
@@ -139,7 +139,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), as_long(f1), as_long(f2), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=["id", "n", "f1", "f2", "keys", "bits"])
 
     used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(used.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, keys binary, bits binary"), "sets")
+    return stored(used.mapInArrow(tidy(run), "id bigint, n bigint, f1 bigint, f2 bigint, keys binary, bits binary"), "sets")
 
 
 def tiles(keyed: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def tiles(keyed: DataFrame) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(k) for k in keys]))], names=["key", "id"])
 
-    rows = keyed.mapInArrow(run, "key bigint, id bigint")
+    rows = keyed.mapInArrow(tidy(run), "key bigint, id bigint")
     w = Window.partitionBy("key").orderBy("id")
     rows = rows.withColumn("lead", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("id").over(w))
     return stored(rows.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead").distinct(), "tiles")
@@ -232,7 +232,7 @@ def left_over(tiles_: DataFrame, marks: DataFrame, percent: int, nearest: bool)
         both = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         return at, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return square.mapInArrow(run, "a bigint, b bigint").distinct()
+    return square.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def links(members: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -294,7 +294,7 @@ def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> Dat
                 ok = (n > 0) & (100 * n >= percent * (nx + ny - n))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def as_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +323,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = bounded_broadcast(stored(ids, "ids"), MAX_BROADCAST_ROWS)
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        return verified(pairs, stored(texts.mapInArrow(run, "id bigint, s binary").dropDuplicates(["id"]), "arrays"), percent, as_hashes)
+        return verified(pairs, stored(texts.mapInArrow(tidy(run), "id bigint, s binary").dropDuplicates(["id"]), "arrays"), percent, as_hashes)
 
     found = links(members, lambda ids: marks, verify, percent)
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored
+from .common import stored, tidy
 
 #: Buckets of the hashed n-gram models, n-gram lengths, and additive smoothing.
 BUCKETS, NGRAMS, SMOOTHING = 1 << 16, (1, 2), 0.5
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    sums = marked.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = marked.mapInArrow(tidy(count), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
     if target.sum() == 0:
@@ -100,7 +100,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
             # rounded, so that equal texts tie wherever they lie in a batch
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(out, 6))], names=[id_col, "log_weight"])
 
-    return used.mapInArrow(score, f"`{id_col}` {dict(used.dtypes)[id_col]}, log_weight double")
+    return used.mapInArrow(tidy(score), f"`{id_col}` {dict(used.dtypes)[id_col]}, log_weight double")
 
 
 def kth_largest(scores: DataFrame, col: str, k: int) -> float:

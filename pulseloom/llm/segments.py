@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 5
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 3 << 18
 _U = np.uint64
 _loaded: dict[str, Vocabulary] = {}
 
@@ -363,7 +364,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *cols], names=[id_col, "sample", "n_pieces", "log_prob", "score", "inclusion", "ids"])
 
     used = docs.select(F.col(id_col), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_key"), F.col(text_col).alias("_text"))
-    return used.mapInArrow(run, f"`{id_col}` {dict(used.dtypes)[id_col]}, sample int, n_pieces bigint, log_prob double, score double, inclusion double, ids array<int>")
+    return used.mapInArrow(tidy(run), f"`{id_col}` {dict(used.dtypes)[id_col]}, sample int, n_pieces bigint, log_prob double, score double, inclusion double, ids array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -376,4 +377,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     plain = encoded.drop("text")
-    return plain.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in plain.dtypes) + ", text string")
+    return plain.mapInArrow(tidy(run), ", ".join(f"`{c}` {k}" for c, k in plain.dtypes) + ", text string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .components import components
 from .hnsw import usable
 
@@ -86,7 +86,7 @@ def first_lists(nodes: DataFrame, seed: int, cell: int, k: int) -> DataFrame:
                     code = code * 2 + (v @ planes[:, i] > 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
 
-    coded = nodes.mapInArrow(signs, f"id bigint, label {dict(nodes.dtypes)['label']}, v {dict(nodes.dtypes)['v']}, code bigint")
+    coded = nodes.mapInArrow(tidy(signs), f"id bigint, label {dict(nodes.dtypes)['label']}, v {dict(nodes.dtypes)['v']}, code bigint")
     sizes = coded.groupBy("label", "code").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cuts"))
     cells = coded.join(sizes.withColumnRenamed("label", "_l").withColumnRenamed("code", "_c"), (F.col("label") == F.col("_l")) & (F.col("code") == F.col("_c")))
     cells = cells.withColumn("g", F.xxhash64("label", "code", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("cuts")))).select("g", "id", "v")
@@ -102,7 +102,7 @@ def first_lists(nodes: DataFrame, seed: int, cell: int, k: int) -> DataFrame:
                 yield _edges(np.repeat(ids[at : at + 1024], m), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
     dealt = cells.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda b: _grouped(b, ["g"], compare), _EDGES)
+    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES)
 
 
 def best(edges: DataFrame, cosine: float, k: int, most: int) -> DataFrame:
@@ -131,7 +131,7 @@ def meet(lists: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
             yield _edges(ids[i], ids[j], s[i, j])
 
     dealt = rows.select("g", "id", "worst", "v").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(lambda b: _grouped(b, ["g"], compare), _EDGES).groupBy("a", "b").agg(F.max("s").alias("s"))
+    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES).groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
 def audit(nodes: DataFrame, lists: DataFrame, cosine: float, rows: int, seed: int) -> float:
@@ -152,7 +152,7 @@ def audit(nodes: DataFrame, lists: DataFrame, cosine: float, rows: int, seed: in
             i, j = np.nonzero((s >= cosine) & (labels[:, None] == np.array(batch.column(1).to_pylist())) & (ids[:, None] != batch.column(0).to_numpy()))
             yield _edges(ids[i], batch.column(0).to_numpy()[j], s[i, j])
 
-    truth = nodes.select("id", "label", "v").mapInArrow(compare, _EDGES)
+    truth = nodes.select("id", "label", "v").mapInArrow(tidy(compare), _EDGES)
     found = components(lists.filter(F.col("s") >= cosine))
     got = truth.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     n, hit = got.agg(F.count(F.lit(1)), F.sum((F.col("ca") == F.col("cb")).cast("int"))).first()
@@ -203,7 +203,7 @@ def count_links(nodes: DataFrame, found: DataFrame, cosine: float, block: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array((hit * times[x][:, None]).sum(0).astype(np.int64))], names=["id", "links"])
 
     dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(lambda b: _grouped(b, ["component", "i", "j"], compare), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["component", "i", "j"], compare)), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, **descent_options) -> DataFrame:
