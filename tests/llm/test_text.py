@@ -230,3 +230,20 @@ def test_registered(spark):
     for name in ("op1_html_text", "op4_secret_scan", "op5_license_scan", "op10_source_mix"):
         assert registry.queries()[name](spark, SF).count() > 0
     assert registry.queries()["op10_source_mix"](spark, SF).filter(F.col("taken") > 2 * F.col("size")).count() == 0
+
+
+STORY = "<h1>Head line words</h1><p>First long paragraph of the story with many many words in it.</p><p>Short.</p><ul><li>point one</li><li>point two</li></ul><p>Last paragraph of the story is here too.</p>"
+BEFORE = '<header><div class="logo"><a href=/>Site</a></div></header><nav><ul><li><a href=a>A</a></li><li><a href=b>B</a></li></ul></nav>'
+AFTER = '<aside class="sidebar"><h3>More</h3><p>Some long sidebar text that is not the article at all, really not.</p></aside><div class="comments"><p>I really liked this article, thank you for writing it!</p></div><form><label>Mail</label><input></form><footer><p>Copyright 2024 by the site, all the rights.</p></footer>'
+SHAPES = {
+    "article": f"<article>{STORY}</article>", "layout name": f'<main class="has-sidebar">{STORY}</main>', "class": f'<div class="content">{STORY}</div>', "id": f'<div id="main-content">{STORY}</div>', "plain": f"<div>{STORY}</div>",
+    "head": '<div class="layout-with-sidebar"><article><header class="entry-header">' + STORY.replace("</h1>", "</h1></header>") + "</article></div>",
+    "inner": f'<article>{STORY}<div class="ad-slot">Buy this now</div><section id="comments"><p>Nice one, thank you all for this long read.</p></section></article>',
+    "single block": f'<p class="cookie-notice">We use cookies to make the site better for you.</p><article>{STORY}</article>',
+}
+
+
+@pytest.mark.parametrize("shape", list(SHAPES))
+def test_page_shapes(tree, shape):
+    want = "Head line words\nFirst long paragraph of the story with many many words in it.\nShort.\npoint one\npoint two\nLast paragraph of the story is here too."
+    assert html_text.main_text(f"<html><body>{BEFORE}{SHAPES[shape]}{AFTER}", tree) == want
