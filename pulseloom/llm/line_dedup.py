@@ -40,15 +40,24 @@ _U = np.uint64
 def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, place among the text's lines, start, end, words) of the lines with words;
     start and end are bytes without the white space around the line."""
-    starts, ends, edges = tv.tokens(data, off, tv.LINES)
     word, word_end, _ = tv.tokens(data, off, tv.WORDS)
-    a, b = np.searchsorted(word, starts), np.searchsorted(word, ends)
+    feed = np.flatnonzero(data == 10)
+    of = np.searchsorted(off, feed, "right") - 1
+    count = np.bincount(of, minlength=len(off) - 1) + 1
+    base = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(owner)) - base[owner]
+    start = np.empty(len(owner), np.int64)
+    start[base] = off[:-1]
+    later = place > 0
+    start[later] = feed + 1
+    end = np.empty(len(owner), np.int64)
+    end[base + count - 1] = off[1:]
+    end[np.flatnonzero(later) - 1] = feed
+    a, b = np.searchsorted(word, start), np.searchsorted(word, end)
     has = b > a
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(edges))[has]
-    feeds = np.concatenate([[0], np.cumsum(data == 10)])
-    place = feeds[starts[has]] - feeds[off[owner]]
     a, b = a[has], b[has]
-    return owner, place, word[a], word_end[b - 1], b - a
+    return owner[has], place[has], word[a], word_end[b - 1], b - a
 
 
 def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +156,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
     at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS, F.size("wanted"))
     cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(at, "doc")
-    cut = cut.withColumn("line", F.split("text", "\n", -1)).select(F.explode("wanted").alias("w"), "line")
-    texts = stored(cut.select(F.col("w.h").alias("id"), F.get("line", F.col("w.place").cast("int")).alias("s")).dropDuplicates(["id"]), "texts")
+    cut = cut.withColumn("line", F.split("text", "\n", -1))
+    cut = cut.select(F.inline(F.expr("transform(wanted, w -> named_struct('id', w.h, 's', line[cast(w.place as int)]))")))
+    texts = stored(cut.dropDuplicates(["id"]), "texts")
 
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         (_, _, data, off), = tv.chunks(column, 1 << 62)
@@ -174,9 +184,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     drops = drops.groupBy("doc").agg(F.collect_set(F.col("place").cast("int")).alias("_drops"))
     drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_PLACES, F.size("_drops"))
     out = docs.drop("n_lines", "n_dropped").join(drops, F.col(id_col) == F.col("_doc"), "left")
-    split = F.split(F.col(text_col), "\n", -1)
+    out = out.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
     # a map from place makes each look-up cheap however many lines go
     gone = F.map_from_arrays("_drops", F.transform("_drops", lambda _: F.lit(True)))
-    left = F.array_join(F.filter(split, lambda _, i: ~F.map_contains_key(gone, i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(left)).drop("_doc", "_drops")
+    left = F.array_join(F.filter("_lines", lambda _, i: ~F.map_contains_key(gone, i)), "\n")
+    out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(left)).drop("_doc", "_drops", "_lines")

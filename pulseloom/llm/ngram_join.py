@@ -40,7 +40,7 @@ SMALL = 64
 #: Members of a tile that are compared at a time with each other.
 BLOCK = 512
 #: Rounds in which only nearest members of open tiles are paired.
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
 #: Least bits of the bitmap per element of a set.
 BITS = 8
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
@@ -238,10 +238,10 @@ def left_over(tiles_: DataFrame, marks: DataFrame, percent: int, nearest: bool)
 def links(members: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (node, component) of the links among tile members.
 
-    First pairs of a member and the tile's lead are verified. Then, in NEAREST_ROUNDS rounds, each
+    First each member is paired with the least of its tiles' leads. Then, in NEAREST_ROUNDS rounds, each
     member's nearest one of another component; then all pairs of different components that are
     left. Only tiles that still hold several components go on to the next round."""
-    tried = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    tried = stored(members.filter("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "star")
     good = stored(verify(tried), "links")
     found = components(good)
     have, rest = None, members

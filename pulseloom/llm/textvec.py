@@ -48,10 +48,6 @@ WORD_PUNCT[[32, 9, 10, 11, 12, 13]] = 0
 WORD_PUNCT[48:58] = WORD_PUNCT[65:91] = WORD_PUNCT[97:123] = WORD_PUNCT[128:] = 1
 #: Runs of letters, digits and non-ASCII bytes only.
 ALNUM = np.where(WORD_PUNCT == 1, 1, 0).astype(np.uint8)
-#: Lines.
-LINES = np.ones(256, np.uint8)
-LINES[10] = 0
-
 _power = np.ones(1, _U)
 _inv = np.ones(1, _U)
 
