@@ -57,8 +57,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document into pieces."""
-    return segments.encode(docs)
+    """Sampled segmentations of each document into pieces, in small chunks: executors that ran the
+    stages before have less memory to spare."""
+    return segments.encode(docs, chunk=1 << 18)
 
 
 STAGES = [

@@ -59,22 +59,23 @@ class Vocabulary:
                 self.pieces[i] = piece.replace("▁", " ").encode()
                 rank[i], order = order, order + 1
         self.weight = np.where(rank >= 0, -np.log(rank + 2.7), -2 * np.log(n)) - np.log(np.log(max(order, 3)))
-        table, ids = [np.zeros(256, np.int32)], [-1]
-        for i in np.flatnonzero(rank >= 0):
+        # pieces that would reach over the border of a word have no place in a lattice
+        used = [i for i in np.flatnonzero(rank >= 0) if b" " not in self.pieces[i].lstrip(b" ")]
+        nodes = 1 + len({self.pieces[i][:k] for i in used for k in range(1, len(self.pieces[i]) + 1)})
+        # the smaller the table, the more of it stays in the processor's cache
+        self.next = np.zeros(nodes * 256, np.uint16 if nodes <= 1 << 16 else np.int32)
+        self.ids = np.full(nodes, -1, np.int32)
+        made = 1
+        for i in used:
             node = 0
-            if b" " in self.pieces[i].lstrip(b" "):
-                continue  # would reach over the border of a word
             for byte in self.pieces[i]:
-                if not table[node][byte]:
-                    table[node][byte] = len(table)
-                    table.append(np.zeros(256, np.int32))
-                    ids.append(-1)
-                node = table[node][byte]
-            if ids[node] < 0:
-                ids[node] = int(i)
-        # the smaller the table, the more of it stays in the processor's cache
-        self.next = np.concatenate(table).astype(np.uint16 if len(table) < 1 << 16 else np.int32)
-        self.ids = np.array(ids, np.int32)
+                at = node * 256 + byte
+                if not self.next[at]:
+                    self.next[at] = made
+                    made += 1
+                node = int(self.next[at])
+            if self.ids[node] < 0:
+                self.ids[node] = i
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -340,15 +341,17 @@ def ids_of(vocab: Vocabulary, lat: Lattice, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, seed: int = SEED) -> DataFrame:
-    """One row per sample: id, sample, n_pieces, log_prob, score, inclusion, ids."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+    """One row per sample: id, sample, n_pieces, log_prob, score, inclusion, ids. The results do
+    not depend on `chunk`, the bytes of text worked on at a time: less takes less memory, but
+    builds the lattices of frequent words more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(model)
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
             keys = batch.column(1).to_numpy().view(_U)
-            for i, j, data, off in tv.chunks(batch.column(2), CHUNK):
+            for i, j, data, off in tv.chunks(batch.column(2), chunk):
                 # a space before each text that is not empty
                 some = np.flatnonzero(np.diff(off))
                 data = np.insert(data, off[some], 32)
