@@ -34,7 +34,7 @@ from .common import tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 5
 #: Bytes of text worked on at a time.
-CHUNK = 3 << 18
+CHUNK = 1 << 20
 _U = np.uint64
 _loaded: dict[str, Vocabulary] = {}
 
