@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 Batches = Iterator[pa.RecordBatch]
+#: Rows with whole texts in an Arrow batch. Spark's own default of 10,000 holds tens of MB at once,
+#: several times over, in the executor and in its Python worker.
+TEXT_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to TEXT_ROWS, if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:

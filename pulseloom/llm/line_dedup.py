@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bounded_broadcast, stored, tidy
+from .common import bounded_broadcast, short_batches, stored, tidy
 from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, tiles, verified
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
@@ -117,6 +117,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, min_words: int) -> DataFrame:
     """Per line (doc, place, h); a task gives the keys where it first meets the line."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, _U)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import bounded_broadcast, stored, tidy
+from .common import bounded_broadcast, short_batches, stored, tidy
 from .components import components
 
 EQUAL_PARTS = 21.0
@@ -124,6 +124,7 @@ def most_overlap(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray) -> np.n
 
 def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Per document: id, size, two hashes of the set, tile keys and bitmap, written once."""
+    short_batches(docs.sparkSession)
     edges = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

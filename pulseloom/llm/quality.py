@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored, tidy
+from .common import short_batches, stored, tidy
 
 #: Buckets of the hashed n-gram models, n-gram lengths, and additive smoothing.
 BUCKETS, NGRAMS, SMOOTHING = 1 << 16, (1, 2), 0.5
@@ -57,6 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     One pass over all documents; each task adds its counts up, so a row per task, model and
     bucket is shuffled, and `buckets` sums reach the driver."""
+    short_batches(docs.sparkSession)
     known, share = labelled_ids(labels, max_rows=max_labelled)
     # at most max_labelled rows by construction, so the broadcast is bounded
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id", "left").select("_text", (F.coalesce("_good", F.lit(0)) == 1).alias("_target"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import tidy
+from .common import short_batches, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 5
@@ -345,6 +345,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     """One row per sample: id, sample, n_pieces, log_prob, score, inclusion, ids. The results do
     not depend on `chunk`, the bytes of text worked on at a time: less takes less memory, but
     builds the lattices of frequent words more often."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(model)
