@@ -1,14 +1,13 @@
-"""Near-duplicate vectors within a label by NN-descent.
-
-Equal vectors form a class with one representative. Representatives get first neighbours from
-small random-projection cells, in which all pairs are compared. Then rounds of NN-descent: around
-each node, its neighbours and reverse neighbours meet (a join of the neighbour table with
-itself through the node), their pairs are scored, and each keeps its best. A node whose list
-is full of links of at least the threshold is saturated, and its list may grow to twice the
-length in the next round. Rounds end when few entries change and an audit of sample vectors
-against all rows finds the recall asked for, or after MAX_ROUNDS. Edges at or above the
-threshold give the components, in which all pairs are then compared in squares of BLOCK by
-BLOCK, so the numbers of links are exact within the components found.
+"""Near-duplicate vectors within a label, by comparing all pairs that can link.
+
+Equal vectors form a class with one representative. Each representative goes to the nearest of a
+few seeded pivots, and a pivot's vectors of one label and length are cut in blocks of about BLOCK
+rows. By the triangle inequality of angles, two blocks can hold a link only if the angle of their
+pivots is at most the sum of their radii and of the link's own angle; the rows of all such pairs
+of blocks are compared. So every link is found and counted, whatever the size of a group and
+however rare links are; what pivots cannot tell apart costs time, not links. A square of two blocks gives,
+per linked row, its links and one row that it is tied to, so its result is never its pairs; the
+ties give the components.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows with a null label link with nothing and are their own components; vectors of unequal
@@ -21,32 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
-from .components import components
+from .common import bounded_broadcast, stored, tidy
+from .components import components, roots
 from .hnsw import usable
+from .ngram_join import MAX_BROADCAST_ROWS
 
-#: Least cosine; entries of a list at first and at most; vectors of a cell; rounds; sides of
-#: the squares; sample vectors of the audit and the recall it asks for.
-COSINE, LIST, MAX_LIST, CELL, MAX_ROUNDS, BLOCK = 0.93, 8, 64, 512, 4, 512
-AUDIT_ROWS, AUDIT_RECALL, FEW_CHANGES = 400, 0.99, 0.002
-#: Sets of random-projection cells that give the first lists.
-PROJECTIONS = 6
-#: Neighbours that meet at a time around one node.
-MEETING = 96
-_EDGES = "a bigint, b bigint, s double"
+#: Least cosine; vectors of one label and length for which there is a pivot, and most pivots;
+#: rows of a block and rows that are multiplied at a time.
+COSINE, CELL, MAX_PIVOTS, BLOCK, SLICE = 0.93, 1024, 1024, 2048, 512
 
 
-def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows as unit vectors in double precision; shorter ones are padded by a sign of their length."""
-    rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
-    width = max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r / np.linalg.norm(r)
-    return out
+def unit(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of one length as unit vectors in double precision."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in parts]).astype(np.float64).reshape(-1, width)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], handle) -> Iterator[pa.RecordBatch]:
@@ -66,147 +57,107 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], handle) -> Iter
         yield from handle(rest)
 
 
-def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "s"])
-
-
-def first_lists(nodes: DataFrame, seed: int, cell: int, k: int) -> DataFrame:
-    """Neighbours (a, b, s) from cells of one label whose vectors agree in the signs of seeded
-    random projections; a large cell is cut by hash."""
-    n = nodes.count()
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / cell))))
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = unit(batch.column(batch.schema.names.index("v")))
-            code = np.zeros(len(v), np.int64)
-            if v.shape[1]:
-                planes = np.random.default_rng(seed).standard_normal((v.shape[1], max(bits, 1)))
-                for i in range(bits):
-                    code = code * 2 + (v @ planes[:, i] > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
-
-    coded = nodes.mapInArrow(tidy(signs), f"id bigint, label {dict(nodes.dtypes)['label']}, v {dict(nodes.dtypes)['v']}, code bigint")
-    sizes = coded.groupBy("label", "code").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cuts"))
-    cells = coded.join(sizes.withColumnRenamed("label", "_l").withColumnRenamed("code", "_c"), (F.col("label") == F.col("_l")) & (F.col("code") == F.col("_c")))
-    cells = cells.withColumn("g", F.xxhash64("label", "code", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("cuts")))).select("g", "id", "v")
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, v = t["id"].to_numpy(), unit(t["v"])
-        for at in range(0, len(ids), 1024):
-            s = v[at : at + 1024] @ v.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2
-            m = min(k, len(ids) - 1)
-            if m > 0:
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield _edges(np.repeat(ids[at : at + 1024], m), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
-
-    dealt = cells.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES)
-
-
-def best(edges: DataFrame, cosine: float, k: int, most: int) -> DataFrame:
-    """The best entries of each list: k, doubled while the list is full of links, up to most."""
-    w = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
-    ranked = edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
-    return ranked.filter((F.col("r") <= k) | (F.col("s") >= cosine)).select("a", "b", "s", "r")
-
-
-def meet(lists: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Scored pairs of the neighbours and reverse neighbours of every node."""
-    both = lists.select(F.col("a").alias("at"), F.col("b").alias("id")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
-    worst = lists.groupBy("a").agg(F.min("s").alias("worst")).withColumnRenamed("a", "id")
-    known = nodes.select("id", "v").join(worst, "id", "left")
-    # a node that many lists hold is cut in seeded, bounded meetings; other rounds cut otherwise
-    many = both.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("cuts"))
-    rows = both.join(many, "at").join(known, "id").withColumn("g", F.xxhash64("at", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("cuts"))))
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, v = t["id"].to_numpy(), unit(t["v"])
-        worst = np.array([-2.0 if x is None else x for x in t["worst"].to_pylist()])
-        s = v @ v.T
-        np.fill_diagonal(s, -2)
-        i, j = np.nonzero(s > worst[:, None])
-        if len(i):
-            yield _edges(ids[i], ids[j], s[i, j])
-
-    dealt = rows.select("g", "id", "worst", "v").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES).groupBy("a", "b").agg(F.max("s").alias("s"))
-
-
-def audit(nodes: DataFrame, lists: DataFrame, cosine: float, rows: int, seed: int) -> float:
-    """Share of the links of at most `rows` sample vectors, found by comparing them with all
-    rows, that join the same component in the lists."""
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
-    if not sample:
-        return 1.0
-    labels, ids = np.array([r["label"] for r in sample]), np.array([r["id"] for r in sample])
-    v = unit(pa.array([r["v"] for r in sample]))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = unit(batch.column(2))
-            if x.shape[1] != v.shape[1]:
-                continue
-            s = v @ x.T
-            i, j = np.nonzero((s >= cosine) & (labels[:, None] == np.array(batch.column(1).to_pylist())) & (ids[:, None] != batch.column(0).to_numpy()))
-            yield _edges(ids[i], batch.column(0).to_numpy()[j], s[i, j])
-
-    truth = nodes.select("id", "label", "v").mapInArrow(tidy(compare), _EDGES)
-    found = components(lists.filter(F.col("s") >= cosine))
-    got = truth.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    n, hit = got.agg(F.count(F.lit(1)), F.sum((F.col("ca") == F.col("cb")).cast("int"))).first()
-    return 1.0 if n == 0 else (hit or 0) / n
-
-
-def descent(nodes: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, list[dict]]:
-    """The neighbour table (a, b, s) and what each round changed and the audit found."""
-    start = first_lists(nodes, seed, cell, k)
-    for more in range(1, PROJECTIONS):
-        start = start.unionByName(first_lists(nodes, seed + more, cell, k))
-    size, log = k, []
-    lists = stored(best(start, cosine, size, size), "lists")
-    for number in range(rounds):
-        full = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least"))
-        saturated = not full.filter((F.col("n") >= size) & (F.col("least") >= cosine)).isEmpty()
-        size = min(most, 2 * size) if saturated else size
-        more = meet(lists, nodes, seed + number)
-        before, old = lists.count(), lists
-        lists = stored(best(lists.select("a", "b", "s").unionByName(more), cosine, k, size), "lists")
-        changed = lists.join(old, ["a", "b"], "left_anti").count()
-        recall = audit(nodes, lists, cosine, AUDIT_ROWS, seed + number)
-        log.append({"round": number, "list": size, "changed": changed, "recall": recall})
-        if recall >= AUDIT_RECALL or changed <= FEW_CHANGES * before:
-            break
-    return lists, log
-
-
-def count_links(nodes: DataFrame, found: DataFrame, cosine: float, block: int) -> DataFrame:
-    """(id, links): rows linked with each representative, by comparing all pairs of a component
-    in squares of blocks. nodes: (id, label, v, times)."""
-    inside = nodes.join(found.select(F.col("node").alias("id"), "component"), "id")
-    cuts = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
-    rows = inside.join(cuts, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("cuts")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "times", "v")
+def pivots_of(nodes: DataFrame, seed: int) -> dict[int, np.ndarray]:
+    """At most MAX_PIVOTS vectors, by length."""
+    found: dict[int, list[list[float]]] = {}
+    for r in nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(MAX_PIVOTS).select("v").collect():
+        found.setdefault(len(r["v"]), []).append(r["v"])
+    return {w: unit(pa.array(v, pa.list_(pa.float64())), w) for w, v in found.items()}
+
+
+def place(nodes: DataFrame, pivots: dict[int, np.ndarray], cell: int, block: int) -> DataFrame:
+    """Nodes with their group (label and length), the place of the nearest pivot (-1: none of this
+    length), the angle to it, and the block."""
+    nodes = nodes.withColumn("width", F.size("v")).withColumn("grp", F.xxhash64("label", "width"))
+    sizes = bounded_broadcast(stored(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "sizes"), MAX_BROADCAST_ROWS)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                widths, few = batch.column(2).to_numpy(), np.maximum(batch.column(5).to_numpy() // cell, 1)
+                code, angle = np.full(len(widths), -1), np.full(len(widths), np.pi)
+                for w in np.unique(widths):
+                    at = np.flatnonzero(widths == w)
+                    if int(w) in pivots:
+                        p = pivots[int(w)][: few[at].max()]
+                        s = unit(batch.column(3).take(pa.array(at)), int(w)) @ p.T
+                        s[np.arange(len(p))[None, :] >= few[at][:, None]] = -2
+                        code[at] = s.argmax(1)
+                        angle[at] = np.arccos(np.clip(s.max(1), -1, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(code), pa.array(angle)], names=["grp", "id", "width", "v", "times", "code", "angle"])
+
+    rows = nodes.join(sizes, "grp").select("grp", "id", "width", "v", "times", "n")
+    rows = stored(rows.mapInArrow(tidy(nearest), f"grp bigint, id bigint, width int, v {dict(nodes.dtypes)['v']}, times bigint, code bigint, angle double"), "placed")
+    cuts = rows.groupBy("grp", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("cuts"))
+    cuts = bounded_broadcast(stored(cuts, "cuts"), MAX_BROADCAST_ROWS)
+    cut = F.pmod(F.xxhash64("id", F.lit(9)), F.col("cuts"))
+    return rows.join(cuts, ["grp", "code"]).withColumn("block", F.shiftleft("code", 32) + cut).drop("cuts")
+
+
+def squares(rows: DataFrame, pivots: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """(grp, block, i, j): for each pair of blocks i <= j of a group that may hold a link, its blocks."""
+    stats = stored(rows.groupBy("grp", "width", "code", "block").agg(F.max("angle").alias("radius")), "blocks")
+    reach = float(np.arccos(cosine)) + 1e-6
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                widths, x, y, room = (batch.column(k).to_numpy() for k in (3, 4, 5, 6))
+                ok = np.ones(len(widths), bool)
+                for w in np.unique(widths):
+                    at = np.flatnonzero((widths == w) & (x >= 0) & (y >= 0))
+                    if len(at):
+                        p = pivots[int(w)]
+                        ok[at] = np.arccos(np.clip((p[x[at]] * p[y[at]]).sum(1), -1, 1)) <= room[at] + reach
+                yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["grp", "i", "j"]).filter(pa.array(ok))
+
+    a = stats.select("grp", "width", F.col("block").alias("i"), F.col("code").alias("x"), F.col("radius").alias("ri"))
+    b = stats.select("grp", F.col("block").alias("j"), F.col("code").alias("y"), F.col("radius").alias("rj"))
+    both = a.join(b, "grp").filter("i <= j").select("grp", "i", "j", "width", "x", "y", (F.col("ri") + F.col("rj")).alias("room"))
+    pairs = both.mapInArrow(tidy(possible), "grp bigint, i bigint, j bigint")
+    return pairs.select("grp", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+
+
+def ties(nodes: DataFrame, cosine: float, cell: int, block: int, seed: int) -> DataFrame:
+    """(a, b, links): per square and linked row a, a row b of its component in the square and the
+    rows linked with a there. nodes: (id, label, v, times)."""
+    pivots = pivots_of(nodes, seed)
+    rows = place(nodes, pivots, cell, block)
+    rows = rows.join(squares(rows, pivots, cosine), ["grp", "block"]).select("grp", "i", "j", "block", "id", "times", "width", "v")
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, times, own, v = t["id"].to_numpy(), t["times"].to_numpy(), t["own"].to_numpy(), unit(t["v"])
+        ids, times, own, width = t["id"].to_numpy(), t["times"].to_numpy(), t["block"].to_numpy(), t["width"][0].as_py()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        v = unit(t["v"], width)
+        rough, least = v.astype(np.float32), cosine - 1e-6 * (width + 16)  # single precision rules most slices out
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if len(x) and len(y):
-            hit = v[x] @ v[y].T >= cosine
-            if i == j:
-                np.fill_diagonal(hit, False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array((hit * times[y]).sum(1).astype(np.int64))], names=["id", "links"])
-            if i != j:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array((hit * times[x][:, None]).sum(0).astype(np.int64))], names=["id", "links"])
-
-    dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["component", "i", "j"], compare)), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
-
-
-def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, **descent_options) -> DataFrame:
+        links, tied = np.zeros(len(ids), np.int64), []
+        for a in range(0, len(x), SLICE):
+            for b in range(a if i == j else 0, len(y), SLICE):
+                p, q = x[a : a + SLICE], y[b : b + SLICE]
+                if (rough[p] @ rough[q].T).max() < least:
+                    continue
+                hit = v[p] @ v[q].T >= cosine
+                same = i == j and a == b
+                if same:
+                    np.fill_diagonal(hit, False)
+                links[p] += hit @ times[q]
+                if not same:
+                    links[q] += times[p] @ hit
+                m, n = np.nonzero(hit)
+                if len(m):
+                    tied.append(roots(p[m], q[n]))
+        if tied:
+            at, root = roots(*(np.concatenate(c) for c in zip(*tied, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root]), pa.array(links[at])], names=["a", "b", "links"])
+
+    dealt = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return stored(dealt.mapInArrow(tidy(lambda b: _grouped(b, ["grp", "i", "j"], compare)), "a bigint, b bigint, links bigint"), "ties")
+
+
+def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     ok = usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(ok, F.col(vector_col)).alias("v"))
@@ -214,9 +165,9 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     classes = one.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
     member = stored(one.select("id", "h", "h2").join(classes, ["h", "h2"]).select("id", "rep", "times"), "members")
     nodes = stored(one.join(member.filter("id = rep"), "id").select("id", "label", "v", "times"), "nodes")
-    lists, _ = descent(nodes.select("id", "label", "v"), cosine, **descent_options)
-    found = stored(components(lists.filter(F.col("s") >= cosine)), "components")
-    links = count_links(nodes, found, cosine, BLOCK)
+    tied = ties(nodes, cosine, cell, block, seed)
+    found = stored(components(tied), "components")
+    links = tied.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of = member.join(found, F.col("rep") == F.col("node"), "left").join(links.withColumnRenamed("id", "_i"), F.col("rep") == F.col("_i"), "left")
     of = of.select(F.col("id").alias("_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of, F.col("id") == F.col("_id"), "left").select(

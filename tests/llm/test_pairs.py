@@ -210,6 +210,37 @@ def test_vector_dedup(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
+def brute_vectors(x, label, cosine=0.93):
+    """(links, component) of each row."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= cosine) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    parent = {i: i for i in range(len(x))}
+    for a, b in zip(*np.nonzero(link), strict=True):
+        ra, rb = find(parent, int(a)), find(parent, int(b))
+        parent[max(ra, rb)] = min(ra, rb)
+    return {i: (int(link[i].sum()), find(parent, i)) for i in parent}
+
+
+def vectors_frame(spark, x, label):
+    return spark.createDataFrame([(i, [float(c) for c in v], int(b)) for i, (v, b) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+
+
+def test_vector_lobes_are_joined(spark):
+    """Two lobes whose cross links are in no vector's 64 best."""
+    rng = np.random.default_rng(6)
+    e = np.eye(64)
+    x = np.concatenate([c + 0.0125 * rng.standard_normal((300, 64)) for c in (e[0], 0.95 * e[0] + (1 - 0.95**2) ** 0.5 * e[1])])
+    label = np.zeros(600, int)
+    want = brute_vectors(x, label)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    best = np.argsort(-(u @ u.T), axis=1)[:, 1:65]
+    assert ((best < 300) == (np.arange(600) < 300)[:, None]).all() and sum((u[:300] @ u[300:].T >= 0.93).ravel()) > 50_000
+    for cell, block in ((vector_dedup.CELL, 100), (50, vector_dedup.BLOCK)):
+        got = vector_dedup.dedup(vectors_frame(spark, x, label), cell=cell, block=block).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and sum(r["kept"] for r in got) == 1
+
+
 def split(vocab, text, keys, k):
     data = np.frombuffer((b" " + text.encode()) * len(keys), np.uint8)
     off = np.arange(len(keys) + 1) * (len(text.encode()) + 1)
