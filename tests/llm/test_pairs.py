@@ -241,6 +241,24 @@ def test_vector_lobes_are_joined(spark):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and sum(r["kept"] for r in got) == 1
 
 
+def test_rare_vector_links_are_all_found(spark):
+    """Few pairs right above the threshold among many rows; results do not depend on seed or cells."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(40):  # partners at cosine 0.932
+        d = rng.standard_normal(64)
+        d -= (d @ x[i]) * x[i]
+        x[2000 + i] = 0.932 * x[i] + (1 - 0.932**2) ** 0.5 * d / np.linalg.norm(d)
+    label = np.zeros(3000, int)
+    want = brute_vectors(x, label)
+    assert sum(n for n, _ in want.values()) == 80
+    df = vectors_frame(spark, x, label)
+    for options in ({"cell": 8}, {"seed": 5}):
+        got = vector_dedup.dedup(df, **options).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
 def split(vocab, text, keys, k):
     data = np.frombuffer((b" " + text.encode()) * len(keys), np.uint8)
     off = np.arange(len(keys) + 1) * (len(text.encode()) + 1)
