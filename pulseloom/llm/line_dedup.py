@@ -8,7 +8,7 @@ similarity, united by distributed union-find, and of each component the first li
 id and place, stays. All other lines of the component are removed.
 
 Defined results: lines end at line feeds; white space around a line is ignored in comparison;
-lines of fewer than MIN_WORDS words are always kept; a null text stays null; rows with the same
+every line that is not blank takes part, and blank lines are always kept; a null text stays null; rows with the same
 id count as one document; a document may lose all its lines and then has an empty text. Columns
 of the input stay as they are, apart from the text; n_lines and n_dropped are added (and replace
 columns of these names).
@@ -28,8 +28,8 @@ from .common import bounded_broadcast, short_batches, stored, tidy
 from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, tiles, verified
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
-SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
-MIN_WORDS = 3
+SHINGLE, BANDS, ROWS, PERCENT = 8, 16, 5, 80
+MIN_WORDS = 1
 #: Least bits of a line's bitmap per shingle.
 BITS = 8
 #: Places of dropped lines (4 bytes each) up to which they are broadcast.
@@ -92,7 +92,11 @@ def signatures(h: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
     sig = sig.reshape(n, bins)
     # each empty bin looks at other bins in an order of its own, alike for all lines, until one is full
     own = sig.copy()
-    rows = np.flatnonzero((sig == none).any(1))
+    # a line with one full bin (mostly a short one) is its value in all bins
+    full = (sig != none).sum(1)
+    one = full == 1
+    sig[one] = own[one].min(1)[:, None]
+    rows = np.flatnonzero((full < bins) & ~one)
     for attempt in range(4 * bins):
         if not len(rows):
             break

@@ -148,6 +148,20 @@ def test_repeated_line_stays_once(spark):
     assert sorted((r["doc_id"], r["text"] != "") for r in line_dedup.dedup(df).collect()) == [(3, True), (3, True), (5, False), (9, False)]
 
 
+def test_short_and_unspaced_lines(spark):
+    """Lines of one or two words, of any length, are removed like others."""
+    unspaced = "同じ文章が何度も繰り返されるので一つだけ残す必要がある長い行です"
+    url = "https://example.org/a/long/path/without/any/space/index.html?id=4711"
+    texts = ["Of.\nAnd ornd.\nkept one here", f"of.\n{unspaced}\nkept two there", f"And ornd.\n{unspaced}。\n{url}", f"{url}&\n \nx\naaaaaaaa", "x\n\naaaaaaaaaaaa\nOf."]
+    rows = list(enumerate(texts))
+    want = brute_lines(rows, line_dedup.SHINGLE, line_dedup.PERCENT, 1)
+    assert want == {(1, 0), (2, 0), (2, 1), (3, 0), (4, 0), (4, 2), (4, 3)}
+    left = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in want) for i, t in rows}
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == left
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {0: 0, 1: 1, 2: 2, 3: 1, 4: 3}
+
+
 BAD = [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [float("inf")] * 8), (904, [None] + [1.0] * 7), (905, [])]
 
 
