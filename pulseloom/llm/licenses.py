@@ -4,7 +4,8 @@ Templates and documents are read as lower-case runs of letters and digits. Every
 k-word fingerprints are winnowed into an inverted index (a few hundred entries, shipped with the
 tasks). A document's fingerprints that occur in the index give hits; hits of one template on
 nearby diagonals give a candidate region; a banded alignment of template and region counts the
-template words that are found in order. Matches are reported with coverage and spans.
+template words that are found in order; then the text between matches is aligned again, until no
+hit is left in it that gives one. Matches are reported with coverage and spans.
 
 Defined results: null, empty and wordless texts give no rows; each occurrence gives a row, so a
 document can have several; repeated rows give repeated results. Spans are code points, end
@@ -13,6 +14,7 @@ exclusive. Input columns other than the id and text are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -118,28 +120,44 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 
 def find(index: Index, words: np.ndarray, prints: np.ndarray, hit: np.ndarray, band: int, coverage: float) -> list[tuple[int, int, float, int, int]]:
     """(template, matched, coverage, first word, end word) of one document's matches."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hit:
         for t, j in index.entries(prints[p]):
-            diagonals[t].append(int(p) - j)
+            places[t].append((int(p), j))
     found = []
-    for t, shifts in diagonals.items():
-        last = None
-        for s in sorted(set(shifts)):
-            if last is not None and s - last <= band // 2:
-                continue  # the band around the last one covers it
-            last = s
-            n, first, end = align(index.words[t], words, s, band)
-            share = n / len(index.words[t])
-            if share >= coverage:
-                found.append((t, n, share, first, end))
+    for t, hits in places.items():
+        # stretches of text without a match so far, and the hits in each
+        open_ = [(0, len(words), sorted(set(hits)))]
+        while open_:
+            a, b, mine = open_.pop()
+            new, last = [], None
+            for s in sorted({p - j for p, j in mine}):
+                if last is not None and s - last <= band // 2:
+                    continue  # the band around the last one covers it, or the next round does
+                last = s
+                # a band reaches no further than this, so a stretch is not copied for each
+                low, high = max(a, s - band), min(b, s + len(index.words[t]) + band)
+                n, first, end = align(index.words[t], words[low:high], s - low, band)
+                if n / len(index.words[t]) >= coverage:
+                    new.append((t, n, n / len(index.words[t]), low + first, low + end))
+            taken = apart(new)
+            found += taken
+            for x, y in zip([a, *(m[4] for m in taken)], [*(m[3] for m in taken), b], strict=True) if taken else ():
+                rest = mine[bisect_left(mine, (x, -1)) : bisect_left(mine, (y - index.gram + 1, -1))]
+                if rest:
+                    open_.append((x, y, rest))
+    return apart(found)
+
+
+def apart(found: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int, int]]:
+    """Matches that do not overlap, in order."""
     # of overlapping matches the one with most words stays; ties to the shorter span, then the first template
-    found.sort(key=lambda m: (-m[1], m[4] - m[3], m[0], m[3]))
     kept: list[tuple[int, int, float, int, int]] = []
-    for m in found:
-        if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[3], m[0]))
+    for m in sorted(set(found), key=lambda m: (-m[1], m[4] - m[3], m[0], m[3])):
+        at = bisect_left(kept, m[3], key=lambda k: k[3])  # kept are in order and apart
+        if (at == 0 or kept[at - 1][4] <= m[3]) and (at == len(kept) or m[4] <= kept[at][3]):
+            kept.insert(at, m)
+    return kept
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = COVERAGE) -> DataFrame:

@@ -129,6 +129,17 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_adjacent_licenses_each_give_a_row(spark):
+    names = ["MIT-notice", "BSD-notice", "Apache-2.0", "CC-BY-4.0", "all-rights-reserved"]
+    texts = [sep.join([licenses.TEMPLATES[n] + "."] * k) for n in names for k in (2, 3, 7) for sep in (" ", "\n", " x ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    for i, t in enumerate(texts):
+        n = names[i // 9]
+        at = [m.start() for m in re.finditer(re.escape(licenses.TEMPLATES[n]), t)]
+        assert sorted((r["license"], r["span_start"]) for r in got if r["doc_id"] == i) == [(n, x) for x in at]
+
+
 def test_license_alignment_is_longest_common_subsequence():
     import numpy as np
 
