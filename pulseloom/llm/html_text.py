@@ -112,28 +112,35 @@ _INSIDE = re.compile(r"(?:^|[_-])(?:article|post|entry|story|main|content)(?:$|[
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skip>{SKIPPED})\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<skip>{SKIPPED})(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: End tags of skipped elements, and those elements that run to the page's end without one: what they hold is never text.
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")}
+_RAW = frozenset(("script", "style"))
+#: Names of what an article is about, as blogs give them to its element.
+_TERMS = re.compile(r"(?:tag|category)-", re.I)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 
 
-def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, int]:
-    """(opens an article, opens a container without article text)."""
+def _kind(tag: str, attrs: str, in_article: bool, nested: bool = False) -> tuple[int, int]:
+    """(opens an article, opens a container without article text). Names do not condemn an
+    article, unless it is nested in another one, as comments and teasers are."""
     inside = 1 if tag in ("article", "main") else 0
     outside = 1 if tag in OUTSIDE or (tag == "header" and not in_article) else 0
     if attrs:
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
+        known = [(name.lower(), a or b or c) for name, a, b, c in _ATTR.findall(attrs)]
+        whole = not nested and (tag == "article" or any((n == "role" and v.lower() in ("main", "article")) or (n == "itemprop" and v.lower() == "articlebody") for n, v in known))
+        for name, value in known:
             if name in ("class", "id"):
                 for part in value.split():
-                    if tag in _WHOLE or _LAYOUT.match(part):
+                    if tag in _WHOLE or _LAYOUT.match(part) or _TERMS.match(part):
                         continue
-                    outside = outside or (1 if _NAMES.search(part) or (not in_article and _HEADS.search(part)) else 0)
+                    outside = outside or (1 if not whole and (_NAMES.search(part) or (not in_article and _HEADS.search(part))) else 0)
                     inside = inside or (1 if _INSIDE.search(part) else 0)
             elif name == "role":
                 outside = outside or (1 if value.lower() in _ROLES else 0)
@@ -166,13 +173,23 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 found.append((" ".join(words), [n, m / n, 1 if article else 0, outside + own, heading, listed]))
             text, linked = [], []
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # skipped elements of which no end tag is left
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
                 linked.append(piece)
         at = m.end()
+        if m["skip"] and not m[0].endswith("/>"):
+            name = m["skip"].lower()
+            end = None if name in unclosed else _ENDS[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in _RAW:
+                at = len(page)
+            else:
+                unclosed.add(name)
         tag = m["tag"]
         if tag is None:
             if m["skip"]:
@@ -200,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     _, a, o = stack.pop()
                     article, outside = article - a, outside - o
                 if not m["attrs"].endswith("/"):
-                    a, o = _kind(tag, m["attrs"], article > 0)
+                    a, o = _kind(tag, m["attrs"], article > 0, any(x[0] == "article" for x in stack))
                     stack.append((tag, a, o))
                     article, outside = article + a, outside + o
             elif any(x[0] == tag for x in stack):

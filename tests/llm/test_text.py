@@ -258,3 +258,19 @@ SHAPES = {
 def test_page_shapes(tree, shape):
     want = "Head line words\nFirst long paragraph of the story with many many words in it.\nShort.\npoint one\npoint two\nLast paragraph of the story is here too."
     assert html_text.main_text(f"<html><body>{BEFORE}{SHAPES[shape]}{AFTER}", tree) == want
+
+
+SKIPS = ['<svg viewBox="0 0 1 1"/>', "<video-player src=x>", "<svg-icon>", "<button-group>", "<iframe src=x />", "<svg>", "<button>", "<script data-x=it's>var a = 1;</script>", '<svg alt="a > b"></svg>']
+
+
+@pytest.mark.parametrize("start", SKIPS)
+def test_skipped_elements_end(tree, start):
+    want = html_text.main_text(f"<body><article>{STORY}</article></body>", tree)
+    assert want and html_text.main_text(f"<body>{start}<article>{STORY}</article></body>", tree) == want
+    assert html_text.main_text(f"<body><article>{STORY}</article><script>var code = 1; // never closed", tree) == want
+
+
+@pytest.mark.parametrize("opened", ["article class='post tag-privacy'", "article class='post category-social'", "article class='post privacy'", "div role=article class='post share'", "div class='post category-social'"])
+def test_names_do_not_condemn_articles(tree, opened):
+    want = html_text.main_text(f"<body><article>{STORY}</article></body>", tree)
+    assert want and html_text.main_text(f"<body><{opened}>{STORY}</{opened.split()[0]}></body>", tree) == want
