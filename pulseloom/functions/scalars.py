@@ -104,6 +104,12 @@ def valid_element(x: Column) -> Column:
     return F.when(ok, x).otherwise(F.raise_error(F.concat(F.lit("Invalid element "), x)).cast("string"))
 
 
+def engine_mode(flag: Column, api_key: Column) -> Column:
+    """mock if the flag is exactly true or there is no key (null or empty), else real."""
+    none = default_empty(api_key, "") == ""
+    return F.when(F.coalesce(flag == "true", F.lit(False)) | none, "mock").otherwise("real")
+
+
 def audio_task(recommended: Column) -> Column:
     return F.when(recommended == "meditation", "meditation").when(recommended == "zhan_zhuang", "zhanZhuang").otherwise("breathing")
 
@@ -126,6 +132,16 @@ def day_end(day: Column) -> Column:
     return F.to_timestamp(F.concat(day, F.lit("T23:59:59Z")))
 
 
+def utc_date(ts: Column) -> Column:
+    """The calendar day in UTC of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86_400)).cast("int"))
+
+
+def shortest(x: Column) -> Column:
+    """A number as text, without a fraction where it is whole."""
+    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def nanos_to_timestamp(nanos: Column) -> Column:
     """Whole milliseconds of a string of nanoseconds, by integer division."""
     return F.timestamp_millis(F.floor(nanos.cast("decimal(20,0)") / F.lit(1_000_000)).cast("long"))

@@ -1,24 +1,39 @@
 """Rules over time: refractory gates, cache hits, and the sliding call limit.
 
 A gate lets an event pass if no earlier passed event of its key is nearer than d; an event that is
-refused does not extend the wait. It is a fold, but an event at least d after the one before it
-always passes, so each key's events fall into runs that are folded apart, in parallel.
+refused does not extend the wait. It is a fold over each key's events, see folds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 DAY_MS = 86_400_000
 
 
-def runs(events: DataFrame, keys: list[str], ms: str, order: str, gap_ms: int, inclusive: bool = True) -> DataFrame:
-    """Add `_run`, which counts the events of a key that come at least (or more than) a gap after the one before."""
-    w = Window.partitionBy(*keys).orderBy(ms, order)
-    step = F.col(ms) - F.lag(ms).over(w)
-    free = F.coalesce(step >= gap_ms if inclusive else step > gap_ms, F.lit(True))
-    return events.withColumn("_free", free.cast("int")).withColumn("_run", F.sum("_free").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_free")
+def pass_times(t: np.ndarray, forced: np.ndarray, last: int | None, d_ms: int, strict: bool) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(passed, last passed time before each event or the least long, last passed time) of times in
+    order. One look-up per event that passes, so a long wait is one step."""
+    none = np.iinfo(np.int64).min
+    passed, before = np.zeros(len(t), bool), np.full(len(t), none)
+    force_at = np.flatnonzero(forced)
+    i = 0
+    while i < len(t):
+        j = i if last is None else i + int(np.searchsorted(t[i:], last + d_ms, "right" if strict else "left"))
+        f = int(np.searchsorted(force_at, i))
+        if f < len(force_at):
+            j = min(j, int(force_at[f]))
+        if last is not None:
+            before[i : j + 1] = last
+        if j == len(t):
+            break
+        passed[j], last, i = True, int(t[j]), j + 1
+    return passed, before, last
 
 
 def gate(events: DataFrame, keys: list[str], ms: str, order: str, d_ms: int, strict: bool = False, force: str | None = None) -> DataFrame:
@@ -26,20 +41,19 @@ def gate(events: DataFrame, keys: list[str], ms: str, order: str, d_ms: int, str
 
     strict=False: an event exactly d after passes (a cooldown that has ended); strict=True: it must
     be later (a cache entry exactly as old as its time to live still serves). An event whose
-    `force` column is true always passes."""
-    cut = runs(events, keys, ms, order, d_ms, inclusive=not strict)
+    `force` column is true always passes. An event without a time never passes and counts for nothing."""
     forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
-    # the last passed time before a run is only needed to report the wait
-    cut = cut.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(order).alias("o"), forced.alias("f")))).alias("_events"))
-    op = ">" if strict else ">="
-    folded = F.expr(f"""
-      aggregate(_events,
-        named_struct('last', cast(null as bigint), 'out', cast(array() as array<struct<t:bigint,o:bigint,p:boolean,w:bigint>>)),
-        (a, e) -> named_struct(
-          'last', if(a.last is null or e.f or e.t - a.last {op} {d_ms}, e.t, a.last),
-          'out', array_append(a.out, named_struct('t', e.t, 'o', e.o, 'p', a.last is null or e.f or e.t - a.last {op} {d_ms}, 'w', e.t - a.last))),
-        a -> a.out)""")
-    return cut.select(*keys, F.explode(folded).alias("e")).select(*keys, F.col("e.o").alias(order), F.col("e.t").alias(ms), F.col("e.p").alias("passed"), F.col("e.w").alias("waited_ms"))
+
+    def step(last: int | None, columns: list[pa.Array]) -> tuple[int | None, list[pa.Array]]:
+        skip = columns[0].null_count  # nulls come first
+        t = columns[0].slice(skip).to_numpy()
+        passed, before, last = pass_times(t, columns[2].slice(skip).to_numpy(zero_copy_only=False), last, d_ms, strict)
+        unknown = before == np.iinfo(np.int64).min
+        waited = pa.array(np.where(unknown, 0, t - np.where(unknown, 0, before)), mask=unknown)
+        return last, [pa.concat_arrays([pa.array(np.zeros(skip, bool)), pa.array(passed)]), pa.concat_arrays([pa.nulls(skip, pa.int64()), waited])]
+
+    rows = events.select(*keys, F.col(ms).cast("long").alias(ms), order, forced.alias("_force"))
+    return fold(rows, keys, [ms, order], [("passed", "boolean"), ("waited_ms", "bigint")], lambda: None, step)
 
 
 def cooldown(events: DataFrame, keys: list[str], ms: str, order: str, minutes: int) -> DataFrame:
@@ -66,5 +80,17 @@ def call_counts(calls: DataFrame, keys: list[str], ms: str, order: str, limit: i
     return calls.withColumn("calls_in_window", n.cast("long")).withColumn("rejected", F.col("calls_in_window") > limit)
 
 
+def checked_calls(calls: DataFrame, tools: tuple[str, ...], elements: tuple[str, ...]) -> DataFrame:
+    """Add `error`: an unknown element or an unknown tool, in this order, else null. A call with an
+    unknown element is refused before calls are counted (`counted` is false); one of an unknown tool
+    counts.
+
+    calls: (..., tool, element)."""
+    bad = F.coalesce(~F.nullif(F.col("element"), F.lit("")).isin(*elements), F.lit(False))
+    unknown = ~F.coalesce(F.col("tool").isin(*tools), F.lit(False))
+    error = F.when(bad, F.concat(F.lit("Invalid element "), F.col("element"))).when(unknown, F.concat(F.lit("Unknown tool "), F.coalesce("tool", F.lit("null"))))
+    return calls.withColumn("error", error).withColumn("counted", ~bad)
+
+
 def call_number(calls: DataFrame, keys: list[str], ms: str, order: str) -> DataFrame:
     return calls.withColumn("call_no", F.row_number().over(Window.partitionBy(*keys).orderBy(ms, order)).cast("long"))

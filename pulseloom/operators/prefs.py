@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom import schemas
@@ -36,14 +36,30 @@ def merge_preferences(stored: DataFrame, updates: DataFrame, now: str | None = N
     return j.select("user_id", *[value(c) for c in DEFAULTS])
 
 
-def session_counts(starts: DataFrame, ms: str, order: str, initial_voiceover: bool = True, enable: str | None = None) -> DataFrame:
+def session_counts(starts: DataFrame, ms: str, order: str, initial_voiceover: bool = True, switch: str | None = None) -> DataFrame:
     """session_count after each start, and voiceover, which a start switches off from the third on.
 
-    `enable` marks rows that are no starts but switch it on again, until the next start."""
+    `switch` names a boolean column that is null for starts; other rows are no starts but switch
+    the voice-over on (true) or off (false). A start before the third leaves it as it is."""
     w = Window.partitionBy("user_id").orderBy(ms, order).rowsBetween(Window.unboundedPreceding, 0)
-    on = F.coalesce(F.col(enable), F.lit(False)) if enable else F.lit(False)
-    out = starts.withColumn("session_count", F.sum((~on).cast("long")).over(w))
-    return out.withColumn("voiceover", on | (F.lit(initial_voiceover) & (F.col("session_count") < VOICEOVER_SESSIONS)))
+    to = F.col(switch) if switch else F.lit(None).cast("boolean")
+    out = starts.withColumn("session_count", F.sum(to.isNull().cast("long")).over(w))
+    before = F.coalesce(F.last(to, ignorenulls=True).over(w), F.lit(initial_voiceover))
+    return out.withColumn("voiceover", F.when(to.isNull() & (F.col("session_count") >= VOICEOVER_SESSIONS), F.lit(False)).otherwise(before))
+
+
+def save_preferences(merged: DataFrame, path: str) -> None:
+    """Write merged preferences as JSON, one row per user, under a name of their own in `path`; the
+    newest is the one read, so a reader never meets half a rewrite."""
+    merged.withColumn("saved_at", F.current_timestamp()).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def load_preferences(spark: SparkSession, path: str) -> DataFrame:
+    """The newest preferences of each user that `path` holds; unreadable records count as none."""
+    rows = spark.read.schema(schemas.PREFERENCES + ", saved_at timestamp").json(path).filter(F.col("user_id").isNotNull())
+    cols = [f.split()[0] for f in schemas.PREFERENCES.split(", ")]
+    newest = rows.groupBy("user_id").agg(F.max_by(F.struct(*cols[1:]), "saved_at").alias("p"))
+    return newest.select("user_id", "p.*")
 
 
 def connected(sources: list[str], registry: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Scores are one row per user with yin, yang and a column per element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom import dims
@@ -72,5 +72,31 @@ def with_active_session(states: DataFrame, active: DataFrame, now_ms: Column) ->
     return states.join(a, "user_id", "left")
 
 
+def status(users: DataFrame, mock: bool, sources: tuple[str, ...], registry: DataFrame, devices: DataFrame, preferences: DataFrame, active: DataFrame, now_ms: Column) -> DataFrame:
+    """One row per user: mode, a struct of connected sources, headphones, preferences, and the running session, if any.
+
+    registry: (user_id, source); devices: (user_id, device); preferences: one row per user; active:
+    (user_id, session_id, element, mode, start_ms)."""
+    have = registry.groupBy("user_id").agg(*[F.max((F.col("source") == s).cast("int")).alias(f"_{s}") for s in sources])
+    named = lambda s: F.when(F.col(f"_{s}") == 1, "connected").otherwise("not_connected").alias(s)
+    dev = devices.groupBy("user_id").agg(F.max(S.is_headphones(F.col("device"))).alias("_phones"))
+    prefs = preferences.select("user_id", F.struct(*[c for c in preferences.columns if c != "user_id"]).alias("preferences"))
+    out = users.select("user_id").join(have, "user_id", "left").join(dev, "user_id", "left").join(prefs, "user_id", "left")
+    out = with_active_session(out, active, now_ms)
+    return out.select("user_id", F.lit("mock" if mock else "real").alias("mode"), F.struct(*[named(s) for s in sources]).alias("data_sources"), F.coalesce("_phones", F.lit(False)).alias("headphones"), "preferences", "active_session")
+
+
+def trend(daily: DataFrame, short: int = 7, long: int = 28, weeks: int = 2) -> DataFrame:
+    """Signals of a daily series (user_id, day, value): the mean of the last `short` days against that
+    of the last `long`, and the slope per day over `weeks` weeks. An extension, as a proxy: the
+    signals are described only in prose."""
+    number = F.unix_date("day")
+    w = Window.partitionBy("user_id").orderBy(number)
+    back = lambda n: w.rangeBetween(-(n - 1), 0)
+    span = back(7 * weeks)
+    out = daily.withColumn("baseline", F.avg("value").over(back(long))).withColumn("recent", F.avg("value").over(back(short)))
+    return out.withColumn("below_baseline", F.col("recent") < F.col("baseline")).withColumn("slope", F.regr_slope("value", number).over(span)).withColumn("declining", F.coalesce(F.col("slope") < 0, F.lit(False)))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

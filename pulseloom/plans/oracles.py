@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pulseloom import dims
 
-from .queries import AS_OF, CALL_LIMIT, GATE_HOURS, HISTORY_DAYS, HOUR_MS, SESSION_HOURS, TTL_HOURS
+from .queries import AS_OF, CALL_LIMIT, DAY_MS, DEVICES, GATE_HOURS, HISTORY_DAYS, HOUR_MS, KINDS, PRACTICES, SESSION_HOURS, TTL_HOURS
 
 _EV = """ev AS (
   SELECT user_id, event_id, event_type, value, ts, epoch_us(ts) // 1000 AS ms,
@@ -110,7 +110,66 @@ _SYN = f"""{_EV}, cn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER
 _LIFT = "CASE WHEN stressed AND m < 50 AND {e} = m{others} THEN b ELSE {e} END AS {e}"
 _LIFTS = ", ".join(_LIFT.format(e=e, others="".join(f" AND {o} <> m" for o in dims.ELEMENTS[:i])) for i, e in enumerate(dims.ELEMENTS))
 
+_HR = """hr AS (SELECT user_id, 'heart_rate' AS metric_type, v AS value, 'bpm' AS unit, ms AS start_ms, ms AS end_ms, 'oura' AS source FROM
+    (SELECT *, unnest(CASE WHEN event_id % 3 = 0 THEN [value, 0.0] ELSE [value] END) AS v FROM ev WHERE event_id % 11 NOT IN (0, 1) AND event_id % 13 <> 0) WHERE v IS NOT NULL)"""
+_SLEEP = """sl AS (SELECT user_id, m AS metric_type, v AS value, u AS unit, ms AS start_ms, ms AS end_ms, 'oura' AS source FROM (
+    SELECT *, 'heart_rate_variability' AS m, CASE WHEN event_id % 2 = 0 THEN value END AS v, 'ms' AS u FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)
+    UNION ALL SELECT *, 'resting_heart_rate', CASE WHEN event_id % 3 <> 0 THEN value END, 'bpm' FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)
+    UNION ALL SELECT *, 'sleep_analysis', CASE WHEN event_id % 5 = 0 THEN 0.0 END, 'seconds' FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)) WHERE v IS NOT NULL)"""
+_READY = """rd AS (SELECT user_id, 'body_temperature' AS metric_type, 36.8::DOUBLE + round(value / 100, 2) AS value, 'celsius' AS unit, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS start_ms,
+    epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) + 86399000 AS end_ms, 'oura' AS source FROM ev WHERE event_id % 3 <> 0 AND value IS NOT NULL)"""
+_VENDOR = f"{_EV}, {_HR}, {_SLEEP}, {_READY}, vs AS (SELECT * FROM hr UNION ALL SELECT * FROM sl UNION ALL SELECT * FROM rd)"
+
+
+def _pick(values: tuple[str | None, ...]) -> str:
+    return "([" + ", ".join("NULL" if v is None else _text(v) for v in values) + f"])[event_id % {len(values)} + 1]"
+
+
+_ROUND1 = "printf('%.1f', {x})"
 ORACLES = {
+    "voiceover_switched": f"""WITH {_EV}, s AS (SELECT user_id, event_id, event_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS session_count,
+          last_value(CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END IGNORE NULLS) OVER w AS switched
+        FROM ev WHERE event_type IN ('purchase', 'signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING))
+        SELECT user_id, event_id, session_count, CASE WHEN event_type = 'purchase' AND session_count >= 3 THEN false ELSE coalesce(switched, false) END AS voiceover FROM s""",
+    "ring_samples": f"WITH {_EV}, {_HR}, {_SLEEP} SELECT * FROM hr UNION ALL SELECT * FROM sl",
+    "readiness_samples": f"WITH {_EV}, {_READY} SELECT * FROM rd",
+    "fit_samples": f"WITH {_EV} SELECT user_id, 'heart_rate' AS metric_type, value, 'bpm' AS unit, ms AS start_ms, ms + 1000 AS end_ms, 'google_fit' AS source FROM ev WHERE event_id % 4 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AND value IS NOT NULL",
+    "lookback_samples": f"""WITH {_VENDOR}, n AS (SELECT (max(ms) // {DAY_MS} - 1) AS day FROM ev)
+        SELECT vs.* FROM vs, n WHERE CASE WHEN metric_type = 'heart_rate' THEN start_ms BETWEEN day * {DAY_MS} + {8 * HOUR_MS} AND day * {DAY_MS} + {12 * HOUR_MS} ELSE start_ms // {DAY_MS} BETWEEN day - 2 AND day END""",
+    "sync_summary": f"WITH {_VENDOR} SELECT 'oura' AS source, count(*) AS samples_pushed, CAST(NULL AS VARCHAR) AS error FROM vs UNION ALL SELECT 'google_fit', 0, 'No token found'",
+    "sync_requests": "SELECT event_id, (event_id % 3 = 1 AND event_id % 5 <> 0 AND event_id % 7 <> 0) AS synced FROM events",
+    "connected_sources": "SELECT 'oura' AS source, CASE WHEN count(*) > 0 THEN 'connected' ELSE 'not_connected' END AS status FROM events WHERE user_id > 0 UNION ALL SELECT 'google_fit', 'not_connected' UNION ALL SELECT 'apple_watch', 'not_connected'",
+    "device_rules": f"""WITH d AS (SELECT event_id, {_pick(DEVICES)} AS device, {_pick(KINDS)} AS kind, {_pick(PRACTICES)} AS practice, {_pick(('a|1|peak|x', 'b|2|burnout|y|z', 'c|3', ''))} AS line FROM events)
+        SELECT event_id, coalesce(len(list_filter([{', '.join(map(_text, dims.BUILTIN_SPEAKERS))}], lambda s: contains(lower(trim(device)), s))) = 0 AND device IS NOT NULL, false) AS headphones,
+          (coalesce(regexp_matches(kind, '{dims.HEADPHONE_KINDS}'), false) OR coalesce(regexp_matches(device, '{dims.HEADPHONE_NAMES}'), false)) AS wireless,
+          CASE practice WHEN 'meditation' THEN 'meditation' WHEN 'zhan_zhuang' THEN 'zhanZhuang' ELSE 'breathing' END AS task, coalesce(practice, 'none') AS practice_or_none, coalesce(nullif(practice, ''), 'none') AS practice_or_default,
+          split_part(line, '|', 1) AS field_element, split_part(line, '|', 4) AS field_signal FROM d""",
+    "token_rules": f"""WITH {_EV}, t AS (SELECT event_id, ms, ms + 1000 * (CASE WHEN event_id % 4 <> 0 THEN (event_id % 4) * 1800 ELSE 86400 END) AS expires_ms FROM ev)
+        SELECT event_id, expires_ms, ms + {HOUR_MS} >= expires_ms AS expired FROM t""",
+    "request_errors": f"""WITH {_EV}, c AS (SELECT user_id, event_id, ms, CASE WHEN event_id % 9 = 0 THEN 'Invalid element plastic' WHEN event_id % 10 = 0 THEN 'Unknown tool no_such_tool' END AS error, event_id % 9 <> 0 AS counted FROM ev),
+        n AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW)
+          - (count(*) OVER (PARTITION BY user_id, ms) - row_number() OVER (PARTITION BY user_id, ms ORDER BY event_id)) AS calls_in_window FROM c WHERE counted)
+        SELECT c.event_id, error, counted, calls_in_window, calls_in_window > {CALL_LIMIT} AS rejected FROM c LEFT JOIN n ON c.event_id = n.event_id""",
+    "valid_elements": f"WITH {_EV} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 <> 1 THEN element END AS element FROM ev",
+    "stopped_sessions": f"""WITH {_EV}, b AS (SELECT user_id, ms, CASE event_type WHEN 'purchase' THEN event_id END AS session_no, CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END AS side, event_id FROM ev WHERE event_type IN ('purchase', 'error')),
+        l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY side DESC, event_id DESC) AS r FROM b) WHERE r = 1),
+        v AS (SELECT user_id, event_id AS read_id, ms FROM ev WHERE event_type = 'view'),
+        j AS (SELECT v.user_id, v.read_id, v.ms, l.session_no, l.ms AS start_ms, l.session_no IS NOT NULL AND v.ms < l.ms + {30 * DAY_MS} AS live FROM v ASOF LEFT JOIN l ON v.user_id = l.user_id AND v.ms >= l.ms)
+        SELECT user_id, read_id, CASE WHEN live THEN session_no END AS session_no, CASE WHEN live THEN CAST(floor((ms - start_ms) / 1000.0 + 0.5) AS BIGINT) END AS duration_played FROM j""",
+    "user_status": f"""WITH {_EV}, u AS (SELECT DISTINCT user_id FROM ev), n AS (SELECT max(ms) AS now FROM ev),
+        l AS (SELECT user_id, ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS r FROM ev WHERE event_type = 'purchase') WHERE r = 1 AND user_id % 5 <> 0)
+        SELECT u.user_id, 'mock' AS mode, CASE WHEN u.user_id % 4 = 0 THEN 'connected' ELSE 'not_connected' END AS oura, CASE WHEN u.user_id % 4 = 2 THEN 'connected' ELSE 'not_connected' END AS google_fit, 'not_connected' AS apple_watch,
+          u.user_id % 3 = 1 AS headphones, u.user_id % 10 AS session_count, true AS voiceover, CASE WHEN l.ms IS NOT NULL THEN {_sess('l.ms')} END AS session_id, CAST(floor((now - l.ms) / 1000.0 + 0.5) AS BIGINT) AS duration_played
+        FROM u CROSS JOIN n LEFT JOIN l ON u.user_id = l.user_id""",
+    "trend_signals": f"""WITH {_EV}, d AS (SELECT user_id, ms // {DAY_MS} AS day, avg(value) AS value FROM ev WHERE event_type = 'error' GROUP BY 1, 2)
+        SELECT user_id, day, round(avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 27 PRECEDING AND CURRENT ROW), 6) AS baseline, round(avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS recent,
+          round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(value, day) OVER w END, 6) AS slope FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+    "mode_selection": "SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 4 IN (0, 1) THEN 'mock' ELSE 'real' END AS mode FROM events",
+    "breathing_text": f"""WITH {_EL}, c AS (SELECT *, 4.0::DOUBLE + ord AS bpm, 60.0::DOUBLE / (4.0::DOUBLE + ord) AS d, ord * 15 + 30 AS s FROM el), n AS (SELECT *, CAST(floor(s / d) AS BIGINT) AS n, {_ROUND1.format(x='d / 3')} AS i, {_ROUND1.format(x='d * 2 / 3')} AS o FROM c)
+        SELECT element, chr(10) || label || ' · ' || organ || ' — ' || summary || chr(10) || n || ' breathing cycles at ' || CAST(bpm AS BIGINT) || ' BPM' || chr(10) || chr(10)
+          || array_to_string(list_transform(range(1, least(n, 6) + 1), lambda k: 'Cycle ' || k || '/' || n || ':' || chr(10) || '  Inhale... (' || i || 's)' || chr(10) || '  Exhale slowly... (' || o || 's)' || chr(10) || chr(10)), '')
+          || CASE WHEN n > 6 THEN '  ... (' || (n - 6) || ' more cycles)' || chr(10) || chr(10) ELSE '' END || 'Session complete.' || chr(10) AS script FROM n""",
+    "session_offers": f"WITH {_EV}, {_EL} SELECT event_id, {_sess('ms')} AS session_id, 'playing' AS status, 'audio' AS tier, ev.element, genre, CAST(300 AS BIGINT) AS duration_seconds, CAST(6.0 AS DOUBLE) AS breathing_rate_bpm FROM ev JOIN el ON ev.element = el.element WHERE event_type = 'purchase'",
     "samples_normalized": f"WITH {_EV} SELECT user_id, metric_type, value, unit, ms AS start_ms, ms AS end_ms, 'events' AS source FROM ev WHERE value IS NOT NULL",
     "sample_summary": f"WITH {_EV} SELECT 'events' AS source, metric_type, count(*) AS samples_pushed, count(DISTINCT user_id) AS users FROM ev WHERE value IS NOT NULL GROUP BY metric_type",
     "samples_deduped": f"WITH {_EV} SELECT metric_type, count(*) AS n FROM (SELECT DISTINCT user_id, metric_type, ts FROM ev WHERE value IS NOT NULL) GROUP BY metric_type",
@@ -135,7 +194,7 @@ ORACLES = {
     "stress_cycle": f"WITH {_EV}, n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS call_no FROM ev) SELECT user_id, event_id, call_no, (call_no = 1 OR call_no % 3 = 0) AS stressed FROM n",
     "session_history_limit": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, session_no) AS rank FROM lg) SELECT user_id, rank, session_id, element, tier, duration_seconds FROM r WHERE rank <= 5",
     "session_history_days": f"WITH {_LOG} SELECT user_id, session_id, element, tier, duration_seconds FROM lg WHERE ts <= TIMESTAMP '{AS_OF}' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL {HISTORY_DAYS} DAY",
-    "session_result": f"WITH {_STATE}, {_LOG} SELECT session_id, lg.user_id, lg.element, duration_seconds, quadrant AS post_quadrant, top_element AS post_top_element FROM lg LEFT JOIN ws ON lg.user_id = ws.user_id WHERE session_no % 100 = 1",
+    "session_result": f"WITH {_STATE}, {_LOG} SELECT session_id, lg.user_id, lg.element, duration_seconds, quadrant AS post_quadrant, top_element AS post_top_element FROM lg LEFT JOIN ws ON lg.user_id = ws.user_id",
     "session_identifiers": f"WITH {_EV} SELECT event_id, {_sess('ms')} AS session_id FROM ev",
     "voiceover_state": f"""WITH {_EV}, s AS (SELECT user_id, event_id, event_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_count
         FROM ev WHERE event_type IN ('purchase', 'signup')) SELECT user_id, event_id, session_count, (event_type = 'signup' OR session_count < 3) AS voiceover FROM s""",

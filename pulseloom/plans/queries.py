@@ -13,12 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom import dims
+from pulseloom import dims, schemas
 from pulseloom.functions import scalars as S
 from pulseloom.operators import decide, gates, prefs, sessions, state
 from pulseloom.sources import adapters, synth, vendor
 
-HOUR_MS = 3_600_000
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+#: Devices, kinds and practices that the queries on rules go through.
+DEVICES = ("MacBook Pro Speakers", "USB DAC", None, " Mac mini ", "AirPods Pro", "Display Audio", "Bose QC")
+KINDS = ("Headset", None, "Mouse", "Speaker")
+PRACTICES = ("meditation", "zhan_zhuang", None, "", "breathing")
 GATE_HOURS, TTL_HOURS, SESSION_HOURS, CALL_LIMIT = 6, 6, 6, 7
 AS_OF, HISTORY_DAYS = dt.datetime(1998, 1, 1), 90
 
@@ -108,8 +112,8 @@ def session_history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session's row with the state of its user after it."""
-    log = adapters.session_log(spark, sf_dir).filter(F.col("session_no") % 100 == 1)
+    """Each session's row with the state of its user after it."""
+    log = adapters.session_log(spark, sf_dir)
     after = state.wellness_state(adapters.scores(adapters.events(spark, sf_dir))).select("user_id", F.col("quadrant").alias("post_quadrant"), F.col("top_element").alias("post_top_element"))
     return log.join(after, "user_id", "left").select("session_id", "user_id", "element", "duration_seconds", "post_quadrant", "post_top_element")
 
@@ -121,8 +125,8 @@ def session_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def voiceover_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases start sessions; a signup switches the voice-over on again."""
-    e = adapters.events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "signup")).withColumn("enable", F.col("event_type") == "signup")
-    return prefs.session_counts(e, "ms", "event_id", enable="enable").select("user_id", "event_id", "session_count", "voiceover")
+    e = adapters.events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "signup")).withColumn("switch", F.when(F.col("event_type") == "signup", True))
+    return prefs.session_counts(e, "ms", "event_id", switch="switch").select("user_id", "event_id", "session_count", "voiceover")
 
 
 def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +192,160 @@ def state_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.from_json("json", "user_id bigint, quadrant string, yin bigint").alias("s")).select("s.*")
 
 
+def voiceover_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Off at first; signups switch it on, errors off, purchases start sessions."""
+    e = adapters.events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "signup", "error"))
+    e = e.withColumn("switch", F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "error", False))
+    return prefs.session_counts(e, "ms", "event_id", False, "switch").select("user_id", "event_id", "session_count", "voiceover")
+
+
+def _in_ms(s: DataFrame) -> DataFrame:
+    return s.select("user_id", "metric_type", "value", "unit", F.unix_millis("start_time").alias("start_ms"), F.unix_millis("end_time").alias("end_ms"), "source")
+
+
+def ring_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heart rates and sleep from the ring's JSON: null, zero, missing and empty fields included."""
+    e = adapters.events(spark, sf_dir)
+    hr = vendor.ring_heart_rate(vendor.parsed(adapters.ring_heart_rate_json(e), schemas.RING_HEART_RATE))
+    sleep = vendor.ring_sleep(vendor.parsed(adapters.ring_sleep_json(e), schemas.RING_SLEEP))
+    return _in_ms(vendor.union_samples(hr, sleep))
+
+
+def readiness_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_ms(vendor.ring_readiness(vendor.parsed(adapters.ring_readiness_json(adapters.events(spark, sf_dir)), schemas.RING_READINESS)))
+
+
+def fit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heart rates from four nested arrays; nanoseconds are strings that end in 999999."""
+    return _in_ms(vendor.fit_heart_rate(vendor.parsed(adapters.fit_json(adapters.events(spark, sf_dir)), schemas.FIT_HEART_RATE)))
+
+
+def _vendor_samples(e: DataFrame) -> DataFrame:
+    """All samples of the ring; the other source is not connected."""
+    return vendor.union_samples(
+        vendor.ring_heart_rate(vendor.parsed(adapters.ring_heart_rate_json(e), schemas.RING_HEART_RATE)), vendor.ring_sleep(vendor.parsed(adapters.ring_sleep_json(e), schemas.RING_SLEEP)),
+        vendor.ring_readiness(vendor.parsed(adapters.ring_readiness_json(e), schemas.RING_READINESS)))
+
+
+def lookback_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync at noon, in UTC, of the day before the last would fetch: hours for heart rates, UTC days for the rest."""
+    e = adapters.events(spark, sf_dir)
+    last = e.agg(F.max("ms")).first()[0]
+    now = dt.datetime.fromtimestamp(((last or 0) // DAY_MS - 1) * 86_400 + 43_200, dt.UTC)
+    return _in_ms(vendor.since(_vendor_samples(e), now))
+
+
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per known source: samples pushed, or why there are none."""
+    known = spark.createDataFrame([("oura", True), ("google_fit", False)], "source string, connected boolean")
+    return vendor.source_summary(_vendor_samples(adapters.events(spark, sf_dir)), known).select("source", "samples_pushed", "error")
+
+
+def sync_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which reads sync the sources."""
+    k = F.col("event_id")
+    e = adapters.events(spark, sf_dir).select("event_id", F.when(k % 3 != 0, k % 3 == 1).alias("force_refresh"), (k % 5 == 0).alias("mock"), (k % 7 != 0).alias("has_client"))
+    return vendor.sync(e).select("event_id", "synced")
+
+
+def connected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of which some user's properties hold a small number."""
+    ring = adapters.events(spark, sf_dir).filter("user_id > 0").limit(1).select(F.lit("oura").alias("source"))
+    return prefs.connected(["oura", "google_fit", "apple_watch"], ring)
+
+
+def device_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output devices and recommended practices, by the event's number."""
+    k = F.col("event_id")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+    e = adapters.events(spark, sf_dir).select("event_id", pick(*DEVICES).alias("device"), pick(*KINDS).alias("kind"), pick(*PRACTICES).alias("practice"), pick("a|1|peak|x", "b|2|burnout|y|z", "c|3", "").alias("line"))
+    f = S.split_fields(F.col("line"))
+    return e.select(
+        "event_id", S.is_headphones(F.col("device")).alias("headphones"), S.is_wireless_headphones(F.col("kind"), F.col("device")).alias("wireless"), S.audio_task(F.col("practice")).alias("task"),
+        S.default_null(F.col("practice"), "none").alias("practice_or_none"), S.default_empty(F.col("practice"), "none").alias("practice_or_default"), f["element"].alias("field_element"), f["signal"].alias("field_signal"))
+
+
+def token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expiry of tokens issued at each event for some seconds, or the default, and read an hour later."""
+    e = adapters.events(spark, sf_dir).withColumn("given", F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 4) * 1800))
+    until = S.token_expiry(F.col("ms"), F.col("given"), 86_400)
+    return e.select("event_id", until.alias("expires_ms"), S.token_expired(until, F.col("ms") + HOUR_MS).alias("expired"))
+
+
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown elements are refused before calls are counted, unknown tools after."""
+    k = F.col("event_id")
+    calls = adapters.events(spark, sf_dir).withColumn("element", F.when(k % 9 == 0, "plastic").when(k % 9 == 1, "").when(k % 9 != 2, F.col("element")))
+    calls = calls.withColumn("tool", F.when(k % 10 == 0, "no_such_tool").otherwise("get_wellness_state"))
+    calls = gates.checked_calls(calls, ("get_wellness_state",), dims.ELEMENTS)
+    counted = gates.call_counts(calls.filter("counted").select("user_id", "event_id", "ms"), ["user_id"], "ms", "event_id", CALL_LIMIT)
+    return calls.join(counted.select("event_id", "calls_in_window", "rejected"), "event_id", "left").select("event_id", "error", "counted", "calls_in_window", "rejected")
+
+
+def valid_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that pass validation, which would fail the query on any other; empty ones pass."""
+    e = adapters.events(spark, sf_dir).withColumn("asked", F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 != 1, F.col("element")))
+    return e.select("event_id", S.valid_element(F.col("asked")).alias("element"))
+
+
+def stopped_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the events that view, those that meet a running session; errors end it (a stop or an exit)."""
+    e = adapters.events(spark, sf_dir)
+    start = e.filter(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("request_id"), "ms", F.lit("ondemand").alias("mode"))
+    ends = e.filter(F.col("event_type") == "error").select("user_id", F.col("event_id").alias("end_id"), "ms")
+    reads = e.filter(F.col("event_type") == "view").select("user_id", F.col("event_id").alias("read_id"), "ms")
+    return sessions.running_at(start, reads, 30 * DAY_MS, ends).select("user_id", "read_id", "session_no", "duration_played")
+
+
+def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status row of every user, at the last event's time; structs as columns."""
+    e = adapters.events(spark, sf_dir)
+    users = e.select("user_id").distinct()
+    u = F.col("user_id")
+    registry = users.filter(u % 2 == 0).select("user_id", F.when(u % 4 == 0, "oura").otherwise("google_fit").alias("source"))
+    devices = users.select("user_id", F.when(u % 3 == 0, "MacBook Pro Speakers").when(u % 3 == 1, "USB DAC").alias("device"))
+    kept = prefs.merge_preferences(users.select("user_id", (u % 10).cast("int").alias("session_count")), users.limit(0))
+    now = e.agg(F.max("ms")).first()[0] or 0
+    w = Window.partitionBy("user_id").orderBy(F.col("ms").desc(), F.col("event_id").desc())
+    last = e.filter(F.col("event_type") == "purchase").withColumn("r", F.row_number().over(w)).filter("r = 1 and user_id % 5 <> 0")
+    active = last.select("user_id", S.session_id(F.col("ms")).alias("session_id"), "element", F.lit("ambient").alias("mode"), F.col("ms").alias("start_ms"))
+    s = state.status(users, True, ("oura", "google_fit", "apple_watch"), registry, devices, kept, active, F.lit(now))
+    return s.select("user_id", "mode", "data_sources.*", "headphones", F.col("preferences.session_count").cast("long").alias("session_count"), "preferences.voiceover", "active_session.session_id", "active_session.duration_played")
+
+
+def trend_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means of each user against their trailing baseline, and their slope over two weeks."""
+    e = adapters.events(spark, sf_dir).filter(F.col("event_type") == "error")
+    daily = e.groupBy("user_id", S.utc_date(F.col("ts")).alias("day")).agg(F.avg("value").alias("value"))
+    t = state.trend(daily)
+    return t.select("user_id", F.unix_date("day").cast("long").alias("day"), F.round("baseline", 6).alias("baseline"), F.round("recent", 6).alias("recent"), F.round(F.nanvl("slope", F.lit(None)), 6).alias("slope"))
+
+
+def mode_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mock only on the exact flag, or without a key."""
+    k = F.col("event_id")
+    e = adapters.events(spark, sf_dir).select("event_id", F.when(k % 3 == 0, "true").when(k % 3 == 1, "TRUE").alias("flag"), F.when(k % 4 == 0, "").when(k % 4 != 1, "key").alias("api_key"))
+    return e.select("event_id", S.engine_mode(F.col("flag"), F.col("api_key")).alias("mode"))
+
+
+def breathing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dims.elements(spark).withColumn("seconds", F.col("ord") * 15 + 30).withColumn("bpm", F.lit(4.0) + F.col("ord"))
+    return sessions.breathing_text(d, F.col("seconds"), F.col("bpm")).select("element", "script")
+
+
+def session_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that starts a session for each purchase of the synthetic mode."""
+    e = adapters.events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    return synth.starts(e, "ms", "element").select("event_id", "session_id", "status", "tier", "element", "genre", "duration_seconds", "breathing_rate_bpm")
+
+
 QUERIES: list[Query] = [
     samples_normalized, sample_summary, samples_deduped, element_scores, wellness_state, active_elements, element_detail, element_detail_fire,
     time_of_day_bias, hourly_buckets, rate_limited_calls, cooldown_gate, cache_ttl_hits, ambient_gate, stress_cycle, session_history_limit,
     session_history_days, session_result, session_identifiers, voiceover_state, guard_decision, active_sessions, before_after, breathing_script,
-    preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields,
+    preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields, voiceover_switched, ring_samples,
+    readiness_samples, fit_samples, lookback_samples, sync_summary, sync_requests, connected_sources, device_rules, token_rules,
+    request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers,
 ]
 
 

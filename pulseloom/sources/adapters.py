@@ -40,6 +40,49 @@ def samples(ev: DataFrame) -> DataFrame:
         "user_id", metric.alias("metric_type"), "value", unit.alias("unit"), F.col("ts").alias("start_time"), F.col("ts").alias("end_time"), F.lit("events").alias("source"))
 
 
+def _json(**fields: Column) -> Column:
+    """A document with its null fields written out."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}).alias("json")
+
+
+def iso(ts: Column) -> Column:
+    """The wall-clock time of the table as an instant in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def ring_heart_rate_json(ev: DataFrame) -> DataFrame:
+    """A document per event: a reading; one of null; for some a zero and one with an empty time;
+    for some an empty or a missing list, or no JSON at all."""
+    one = lambda bpm, at: F.struct(bpm.cast("double").alias("bpm"), at.alias("timestamp"))
+    k, t = F.col("event_id"), iso(F.col("ts"))
+    data = F.when(k % 11 == 0, F.array().cast("array<struct<bpm:double,timestamp:string>>")).when(k % 11 != 1, F.array(one(F.col("value"), t), one(F.lit(None), t), one(F.when(k % 3 == 0, 0.0), t), one(F.col("value"), F.when(k % 2 == 0, ""))))
+    return ev.select(F.when(k % 13 == 0, F.lit("{")).otherwise(_json(user_id=F.col("user_id"), data=data)).alias("json"))
+
+
+def ring_sleep_json(ev: DataFrame) -> DataFrame:
+    """A document per event: a night of which some metrics are missing, and one without an end."""
+    k, t = F.col("event_id"), iso(F.col("ts"))
+    night = lambda end: F.struct(F.when(k % 2 == 0, F.col("value")).alias("average_hrv"), F.when(k % 3 != 0, F.col("value")).alias("lowest_heart_rate"), F.when(k % 5 == 0, 0.0).alias("total_sleep_duration"), t.alias("bedtime_start"), end.alias("bedtime_end"))
+    return ev.select(_json(user_id=F.col("user_id"), data=F.array(night(t), night(F.lit("")))))
+
+
+def ring_readiness_json(ev: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    day = lambda d: F.struct(F.when(k % 3 != 0, F.round(F.col("value") / 100, 2)).alias("temperature_deviation"), d.alias("day"))
+    return ev.select(_json(user_id=F.col("user_id"), data=F.array(day(F.date_format("ts", "yyyy-MM-dd")), day(F.lit("")))))
+
+
+def fit_json(ev: DataFrame) -> DataFrame:
+    """A document per event: a point of two values, of which one is no floating-point number; points
+    and lists that are missing."""
+    k = F.col("event_id")
+    nanos = lambda add: F.concat((F.col("ms") + add).cast("string"), F.lit("999999"))
+    values = F.array(F.struct(F.col("value").alias("fpVal")), F.struct(F.lit(None).cast("double").alias("fpVal")))
+    point = F.struct(nanos(0).alias("startTimeNanos"), nanos(1000).alias("endTimeNanos"), F.when(k % 4 != 0, values).alias("value"))
+    sets = F.array(F.struct(F.when(k % 5 != 0, F.array(point)).alias("point")), F.struct(F.lit(None).cast("array<struct<startTimeNanos:string,endTimeNanos:string,value:array<struct<fpVal:double>>>>").alias("point")))
+    return ev.select(_json(user_id=F.col("user_id"), bucket=F.array(F.struct(F.when(k % 7 != 0, sets).alias("dataset")))))
+
+
 def _score(values: Column) -> Column:
     return S.clamp(F.floor(F.avg(values.cast("decimal(18,2)"))), 0, 100).cast("long")
 

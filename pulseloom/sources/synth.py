@@ -58,6 +58,15 @@ def history(users: DataFrame, key: str, days: int, as_of: Column) -> DataFrame:
         F.lit(dims.SESSION_SECONDS).cast("long").alias("duration_seconds"), draw(at, "change", 10, 55).alias("hrv_change_pct"))
 
 
+def starts(rows: DataFrame, ms: str, element: str) -> DataFrame:
+    """Add the answer to a session start: identifier, status, tier and the element's offer."""
+    offer = dims.elements(rows.sparkSession).select(F.col("element").alias(element), "genre")
+    out = rows.join(offer, element)
+    return out.withColumns({
+        "session_id": S.session_id(F.col(ms)), "status": F.lit("playing"), "tier": F.lit("audio"),
+        "duration_seconds": F.lit(dims.SESSION_SECONDS).cast("long"), "breathing_rate_bpm": F.lit(dims.BREATHS_PER_MINUTE)})
+
+
 def pick_file(files: DataFrame, element: str, task: str, seed: int = 0) -> DataFrame:
     """One path at random among exact and numbered tracks of any folder, or, if there is none,
     among the element's tracks of the folder marked `legacy`. files: (path, name, legacy)."""

@@ -8,7 +8,7 @@ required times drop it. Missing inner arrays count as empty.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,11 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema, strict: bo
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def parsed(raw: DataFrame, schema: str) -> DataFrame:
+    """Rows of a `json` column by a declared schema; unreadable text gives nulls."""
+    return raw.select(F.from_json("json", schema).alias("j")).select("j.*")
+
+
 def _has(x: Column) -> Column:
     return F.coalesce(x, F.lit("")) != ""
 
@@ -63,7 +68,7 @@ def since(samples: DataFrame, as_of: dt.datetime) -> DataFrame:
     now = F.lit(as_of)
     hr = F.col("metric_type") == "heart_rate"
     recent = F.col("start_time").between(now - F.expr(f"interval {LOOKBACK_HOURS} hours"), now)
-    days = F.to_date("start_time").between(F.date_sub(F.to_date(now), LOOKBACK_DAYS), F.to_date(now))
+    days = S.utc_date(F.col("start_time")).between(F.date_sub(S.utc_date(now), LOOKBACK_DAYS), S.utc_date(now))
     return samples.filter(F.when(hr, recent).otherwise(days))
 
 
@@ -87,10 +92,39 @@ def source_summary(samples: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(~F.col("connected"), F.lit("No token found")))
 
 
+def sync(requests: DataFrame) -> DataFrame:
+    """Add `synced`: a request syncs the sources only if it forces a refresh, not in mock mode, and
+    with a client. Requests whose cache entry has only expired don't.
+
+    requests: (..., force_refresh, mock, has_client)."""
+    return requests.withColumn("synced", S.strictly_true(F.col("force_refresh")) & ~S.strictly_true(F.col("mock")) & S.strictly_true(F.col("has_client")))
+
+
+def sync_sources(parts: dict[str, Callable[[], DataFrame] | None], path: str) -> list[dict]:
+    """Push each source by itself, in the order given, to the sample table at `path`: a row per
+    source with the samples pushed and the error, if any. One that fails stops no other; None
+    stands for a source that is not connected."""
+    out = []
+    for source, build in parts.items():
+        row = {"source": source, "samples_pushed": 0, "error": None}
+        if build is None:
+            row["error"] = "No token found"
+        else:
+            try:
+                samples = build().select(*COLUMNS)
+                n = samples.count()
+                push(samples, path)
+                row["samples_pushed"] = n
+            except Exception as e:  # whatever the source raised is its row's error
+                row["error"] = str(e).split("\n")[0]
+        out.append(row)
+    return out
+
+
 def push(samples: DataFrame, path: str) -> None:
     """Append to the sample table, laid out by source and day; nothing is written for no rows."""
     if not samples.isEmpty():
-        samples.withColumn("day", F.to_date("start_time")).write.mode("append").partitionBy("source", "day").parquet(path)
+        samples.withColumn("day", S.utc_date(F.col("start_time"))).write.mode("append").partitionBy("source", "day").parquet(path)
 
 
-__all__ = ["COLUMNS", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "union_samples"]
+__all__ = ["COLUMNS", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "sync", "sync_sources", "union_samples"]

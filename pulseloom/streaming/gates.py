@@ -1,7 +1,8 @@
 """Stateful rules over streams, one keyed state each; results equal those of the batch forms.
 
-State is durable through the query's checkpoint. Within a micro-batch a key's rows are put in
-order; across batches, rows are expected in order per key, as the rules are about arrival.
+State is durable through the query's checkpoint: a restarted query goes on where it stopped. Within
+a micro-batch a key's rows are put in order; across batches, rows are expected in order per key, as
+the rules are about arrival. What a state holds is bounded: a few numbers, or the calls of a window.
 """
 
 from __future__ import annotations
@@ -9,11 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pulseloom.operators import decide
+from pulseloom.operators.gates import DAY_MS, pass_times
+from pulseloom.operators.prefs import VOICEOVER_SESSIONS
+
+
+def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(by, kind="stable")
+
 
 class Gate(StatefulProcessor):
     """Remembers when its key last passed: the refractory gate, the cooldown, and the cache clock."""
@@ -26,72 +36,111 @@ class Gate(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        data = pd.concat(list(rows)).sort_values(["ms", "event_id"], kind="stable")
-        passed = []
-        for t, force in zip(data["ms"], data["force"], strict=True):
-            wait = None if last is None else t - last
-            ok = wait is None or bool(force) or (wait > self.d_ms if self.strict else wait >= self.d_ms)
-            last = t if ok else last
-            passed.append(ok)
-        self.last.update((int(last),))
-        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "ms": data["ms"], "passed": passed})
+        data = in_order(rows, ["ms", "event_id"])
+        t = data["ms"].to_numpy()
+        passed, before, last = pass_times(t, data["force"].to_numpy(bool), last, self.d_ms, self.strict)
+        age = np.where(passed, 0, np.floor((t - np.where(passed, t, before)) / 1000 + 0.5)).astype(np.int64)
+        if last is not None:
+            self.last.update((int(last),))
+        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "ms": data["ms"], "passed": passed, "age_seconds": age})
 
     def close(self) -> None:
         pass
 
 
 def gate(events: DataFrame, d_ms: int, strict: bool = False, force: str | None = None) -> DataFrame:
-    """user_id, event_id, ms, passed of a stream with user_id, event_id and ms."""
-    rows = events.select("user_id", "event_id", "ms", (F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)).alias("force"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Gate(d_ms, strict), "user_id bigint, event_id bigint, ms bigint, passed boolean", "Append", "None")
+    """user_id, event_id, ms, passed, and the age in seconds of what served a refused row, of a
+    stream with user_id, event_id and ms. With strict, refused rows are cache hits."""
+    rows = events.filter(F.col("ms").isNotNull()).select("user_id", "event_id", "ms", (F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)).alias("force"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Gate(d_ms, strict), "user_id bigint, event_id bigint, ms bigint, passed boolean, age_seconds bigint", "Append", "None")
 
 
 class CallWindow(StatefulProcessor):
-    """Keeps the times of a key's calls of the last window; every call counts, refused ones too."""
+    """Keeps the times of a key's calls of the last window; every call counts, refused ones too.
+
+    The list of a key without calls for two windows, in processing time, is dropped."""
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window_ms = limit, window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.calls = handle.getListState("calls", "ms bigint")
+        self.calls = handle.getListState("calls", "ms bigint", ttlDurationMs=2 * self.window_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.calls.get()] if self.calls.exists() else []
-        data = pd.concat(list(rows)).sort_values(["ms", "event_id"], kind="stable")
-        counts = []
-        for t in data["ms"]:
-            kept = [x for x in kept if x > t - self.window_ms] + [int(t)]
-            counts.append(len(kept))
-        self.calls.put([(x,) for x in kept])
-        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "calls_in_window": counts, "rejected": [n > self.limit for n in counts]})
+        kept = np.array([r[0] for r in self.calls.get()] if self.calls.exists() else [], np.int64)
+        data = in_order(rows, ["ms", "event_id"])
+        t = np.sort(np.concatenate([kept, data["ms"].to_numpy()]), kind="stable")
+        own = t[len(kept) :]
+        counts = len(kept) + 1 + np.arange(len(own)) - np.searchsorted(t, own - self.window_ms, "right")
+        self.calls.put([(int(x),) for x in t[t > t[-1] - self.window_ms]])
+        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "calls_in_window": counts, "rejected": counts > self.limit})
 
     def close(self) -> None:
         pass
 
 
-def call_counts(events: DataFrame, limit: int, window_ms: int = 86_400_000) -> DataFrame:
-    return events.select("user_id", "event_id", "ms").groupBy("user_id").transformWithStateInPandas(CallWindow(limit, window_ms), "user_id bigint, event_id bigint, calls_in_window bigint, rejected boolean", "Append", "None")
+def call_counts(events: DataFrame, limit: int, window_ms: int = DAY_MS) -> DataFrame:
+    rows = events.filter(F.col("ms").isNotNull()).select("user_id", "event_id", "ms")
+    return rows.groupBy("user_id").transformWithStateInPandas(CallWindow(limit, window_ms), "user_id bigint, event_id bigint, calls_in_window bigint, rejected boolean", "Append", "ProcessingTime")
 
 
 class SessionCount(StatefulProcessor):
     """Counts a key's session starts; from the third on a start switches the voice-over off."""
 
+    def __init__(self, initial_voiceover: bool = True):
+        self.initial = initial_voiceover
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n bigint, voiceover boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        n, on = self.count.get() if self.count.exists() else (0, self.initial)
+        data = in_order(rows, ["ms", "event_id"])
+        numbers, states = [], []
+        for to in data["switch"]:
+            start = pd.isna(to)
+            n += start
+            on = (on and n < VOICEOVER_SESSIONS) if start else bool(to)
+            numbers.append(n)
+            states.append(on)
+        self.count.update((int(n), bool(on)))
+        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "session_count": numbers, "voiceover": states})
+
+    def close(self) -> None:
+        pass
+
+
+def session_counts(starts: DataFrame, initial_voiceover: bool = True, switch: str | None = None) -> DataFrame:
+    """As prefs.session_counts; `switch` names a boolean column that is null for starts."""
+    rows = starts.select("user_id", "event_id", "ms", (F.col(switch) if switch else F.lit(None).cast("boolean")).alias("switch"))
+    return rows.groupBy("user_id").transformWithStateInPandas(SessionCount(initial_voiceover), "user_id bigint, event_id bigint, session_count bigint, voiceover boolean", "Append", "None")
+
+
+class GuardChain(StatefulProcessor):
+    """The guard chain of session requests: ends of both cooldowns and of the running session."""
+
+    def __init__(self, session_ms: int):
+        self.session_ms = session_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n bigint")
+        self.ends = handle.getValueState("ends", "ambient_end bigint, ondemand_end bigint, session_end bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        data = pd.concat(list(rows)).sort_values(["ms", "event_id"], kind="stable")
-        numbers = list(range(n + 1, n + 1 + len(data)))
-        self.count.update((n + len(data),))
-        yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "session_count": numbers, "voiceover": [i < 3 for i in numbers]})
+        guard = decide.Guard(self.session_ms, *(self.ends.get() if self.ends.exists() else ()))
+        data = in_order(rows, ["ms", "request_id"])
+        got = [guard.decide(int(r.ms), r.mode == "ambient", bool(r.force), None if pd.isna(r.before) else r.before, r.after, int(r.cool)) for r in data.itertuples()]
+        self.ends.update((guard.ambient_end, guard.ondemand_end, guard.session_end))
+        left = pd.array([x for _, x in got], "Int64")
+        yield pd.DataFrame({"user_id": data["user_id"].array, "request_id": data["request_id"].array, "ms": data["ms"].array, "mode": data["mode"].array, "status": [s for s, _ in got], "remaining_minutes": left})
 
     def close(self) -> None:
         pass
 
 
-def session_counts(starts: DataFrame) -> DataFrame:
-    return starts.select("user_id", "event_id", "ms").groupBy("user_id").transformWithStateInPandas(SessionCount(), "user_id bigint, event_id bigint, session_count bigint, voiceover boolean", "Append", "None")
+def decide_requests(requests: DataFrame, session_ms: int) -> DataFrame:
+    """As decide.decide_requests, for a stream of requests."""
+    rows = decide.prepared(requests).filter(F.col("ms").isNotNull())
+    return rows.groupBy("user_id").transformWithStateInPandas(GuardChain(session_ms), "user_id bigint, request_id bigint, ms bigint, mode string, status string, remaining_minutes bigint", "Append", "None")
 
 
 def hourly_means(samples: DataFrame, late: str = "10 minutes") -> DataFrame:
