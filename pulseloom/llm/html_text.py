@@ -93,6 +93,36 @@ LABELLED = """
 5 0.5 50 0.0 0 0.0 0 0 0 0 0
 20 0.8 15 0.9 12 1.0 0 0 0 1 0
 15 0.9 70 0.0 30 0.0 0 0 0 1 0
+40 0.0 2 1.0 40 0.0 1 0 0 0 1
+40 0.0 40 0.0 2 0.5 1 0 0 0 1
+90 0.05 3 1.0 3 0.5 1 0 0 0 1
+30 0.0 3 1.0 3 1.0 1 0 0 0 1
+35 0.0 2 1.0 38 0.0 0 0 0 0 1
+35 0.0 38 0.0 2 0.5 0 0 0 0 1
+25 0.0 1 1.0 0 0.0 0 0 0 0 1
+60 0.0 6 1.0 5 1.0 0 0 0 0 1
+45 0.1 3 1.0 4 0.4 0 0 0 0 1
+50 0.0 4 1.0 50 0.0 0 0 0 1 1
+50 0.0 50 0.0 4 0.5 0 0 0 1 1
+7 0.0 0 0.0 30 0.0 1 0 1 0 1
+5 0.0 0 0.0 12 0.0 1 0 1 0 1
+3 0.0 2 1.0 12 0.0 1 0 1 0 1
+40 0.0 0 0.0 40 0.0 1 0 0 0 1
+12 0.0 0 0.0 2 0.0 1 0 0 0 1
+3 0.0 0 0.0 6 0.0 1 0 0 0 1
+4 0.0 0 0.0 0 0.0 1 0 0 0 1
+4 0.1 2 1.0 2 1.0 1 0 0 0 1
+9 0.2 3 1.0 2 1.0 1 0 0 0 1
+30 0.0 0 0.0 30 0.0 0 0 0 0 1
+40 0.0 0 0.0 0 0.0 0 0 0 0 1
+6 0.0 0 0.0 60 0.0 0 0 1 0 1
+4 0.0 2 1.0 12 0.0 0 0 1 0 1
+2 1.0 0 0.0 40 0.0 1 0 0 1 0
+1 0.0 12 0.0 2 0.0 0 0 0 0 1
+2 0.0 1 0.0 2 0.0 0 0 0 1 1
+10 0.0 2 0.0 0 0.0 0 0 0 0 1
+10 0.0 2 0.0 3 0.5 0 0 0 0 1
+7 0.0 20 0.0 0 0.0 0 0 0 0 1
 """
 
 # How tags and names are read.
@@ -100,10 +130,29 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CONTAINERS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figure footer form header li main menu nav ol section table tbody td th thead tr ul".split())
 OUTSIDE = frozenset("nav aside footer form menu dialog fieldset button".split())
 SKIPPED = "script|style|noscript|template|textarea|title|svg|iframe|object|select|button|math|canvas|audio|video"
-_NAMES = re.compile(
-    r"(?:^|[_-])(?:nav(?:bar|igation)?|menus?|footer|foot|side-?bar|sidenav|aside|ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|notices?|notification|cookies?|cookiebar|consent|gdpr|privacy|paywall|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|trending|popular|teasers?|breadcrumbs?|pag(?:er|ination)|widgets?|comments?|commentlist|replies|reply|responses?|discussion|disqus|respond|reader|feedback|toolbar|tags|copyright|legal|disclaimer|skip\w*)(?:$|[_-])", re.I)
+#: Parts of class names and ids that say that an element holds no article text.
+_HINT = re.compile(
+    r"(?:nav(?:bar|igation)?|menus?|footer|foot|side-?bar|sidenav|aside|ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|notices?|notification|cookies?|cookiebar|consent|gdpr|privacy|paywall|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|trending|popular|teasers?|breadcrumbs?|pag(?:er|ination)|widgets?|comments?|commentlist|replies|reply|responses?|discussion|disqus|respond|feedback|toolbar|tags|copyright|legal|disclaimer|skip\w*)", re.I)
+#: Parts that may stand beside a hint; with any other part a name is about something else, as
+#: 'ad-hoc' and 'search-for-life' are.
+_BESIDE = re.compile(
+    r"(?:box|bar|block|wrap(?:per|ped)?|container|section|area|zone|region|list|items?|panel|form|field|input|top|bottom|left|right|center|main|mobile|desktop|site|page|global|primary|secondary|inner|outer|wide|narrow|sticky|fixed|links?|buttons?|btn|icons?|text|title|heading|header|head|body|content|module|inline|unit|slot|row|col(?:umn)?|group|set|stack|card|grid|strip|note|message|msg|warning|info|policy|terms|settings?|us|this|post|posts|article|articles|story|stories|entry|news|blog|reader|readers|user|users|author|guest|thread|count|counter|new|latest|more|to|the|and|your|our|by|for|in|up|down|on|off|el|js|ui|wp|id|rail|leader(?:board)?|large|small|medium|big|mini|s|m|l|xl|media|video|image|img|native|partner|content|outbrain|taboola|google|dfp|gpt|facebook|twitter|email|e|mail|toggle|open|close|closed|hidden|visible|\d+|[a-f0-9]{6,})", re.I)
+_PARTS = re.compile(r"[_-]+")
 #: Names that mean the page's head, unless inside an article.
-_HEADS = re.compile(r"(?:^|[_-])(?:header|masthead|topbar)(?:$|[_-])", re.I)
+_HEADS = re.compile(r"(?:header|masthead|topbar)", re.I)
+
+
+def _condemned(name: str, in_article: bool) -> bool:
+    """A class name or id all of whose parts are known, one of them as a hint."""
+    hint = False
+    for part in filter(None, _PARTS.split(name)):
+        if _HINT.fullmatch(part) or (not in_article and _HEADS.fullmatch(part)):
+            hint = True
+        elif not _BESIDE.fullmatch(part):
+            return False
+    return hint
+
+
 #: Names that describe a layout, not what an element holds.
 _LAYOUT = re.compile(r"(?:has|with|no|is|layout|page|col|row)[_-]", re.I)
 #: Elements that hold the page, whatever they are called.
@@ -125,11 +174,14 @@ _RAW = frozenset(("script", "style"))
 _TERMS = re.compile(r"(?:tag|category)-", re.I)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HEADING = re.compile(r"h[1-6]$")
+#: Words of a block that is long enough to be an article's.
+LONG_BLOCK = 20
 
 
-def _kind(tag: str, attrs: str, in_article: bool, nested: bool = False) -> tuple[int, int]:
+def _kind(tag: str, attrs: str, in_article: bool, nested: bool = False, names: bool = True) -> tuple[int, int]:
     """(opens an article, opens a container without article text). Names do not condemn an
-    article, unless it is nested in another one, as comments and teasers are."""
+    article, unless it is nested in another one, as comments and teasers are; with names=False
+    they condemn nothing."""
     inside = 1 if tag in ("article", "main") else 0
     outside = 1 if tag in OUTSIDE or (tag == "header" and not in_article) else 0
     if attrs:
@@ -140,7 +192,7 @@ def _kind(tag: str, attrs: str, in_article: bool, nested: bool = False) -> tuple
                 for part in value.split():
                     if tag in _WHOLE or _LAYOUT.match(part) or _TERMS.match(part):
                         continue
-                    outside = outside or (1 if not whole and (_NAMES.search(part) or (not in_article and _HEADS.search(part))) else 0)
+                    outside = outside or (1 if names and not whole and _condemned(part, in_article) else 0)
                     inside = inside or (1 if _INSIDE.search(part) else 0)
             elif name == "role":
                 outside = outside or (1 if value.lower() in _ROLES else 0)
@@ -152,9 +204,9 @@ def _kind(tag: str, attrs: str, in_article: bool, nested: bool = False) -> tuple
     return (0 if outside else inside), outside
 
 
-def blocks(page: str) -> list[tuple[str, list[float]]]:
+def blocks(page: str, names: bool = True) -> list[tuple[str, list[float]]]:
     """The page's text blocks in order, each with its own features: words, share of words in
-    links, in an article, depth outside, heading, listed."""
+    links, in an article, depth outside, heading, listed. names: class names and ids are read."""
     found: list[tuple[str, list[float]]] = []
     stack: list[tuple[str, int, int]] = []
     text: list[str] = []
@@ -209,7 +261,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             heading = 0
         own = 0
         if not m["close"] and tag not in CONTAINERS and m["attrs"]:
-            own = _kind(tag, m["attrs"], article > 0)[1]
+            own = _kind(tag, m["attrs"], article > 0, names=names)[1]
         if tag in CONTAINERS:
             heading = in_link = 0
             if not m["close"]:
@@ -217,7 +269,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     _, a, o = stack.pop()
                     article, outside = article - a, outside - o
                 if not m["attrs"].endswith("/"):
-                    a, o = _kind(tag, m["attrs"], article > 0, any(x[0] == "article" for x in stack))
+                    a, o = _kind(tag, m["attrs"], article > 0, any(x[0] == "article" for x in stack), names)
                     stack.append((tag, a, o))
                     article, outside = article + a, outside + o
             elif any(x[0] == tag for x in stack):
@@ -270,8 +322,14 @@ def decide(tree: tuple, x: list[float]) -> int:
 
 
 def main_text(page: str | None, tree: tuple) -> str:
-    found = blocks(page or "")
-    return "\n".join(b for (b, _), x in zip(found, features(found), strict=True) if decide(tree, x))
+    """Kept blocks. If names of containers condemned all of a page that has blocks as long as
+    those of articles, without links, the neighbours' words and links decide without the names."""
+    for names in (True, False):
+        found = blocks(page or "", names)
+        kept = [b for (b, _), x in zip(found, features(found), strict=True) if decide(tree, x)]
+        if kept or not any(x[0] >= LONG_BLOCK and x[1] < 0.3 for _, x in found):
+            break
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: tuple | None = None) -> DataFrame:

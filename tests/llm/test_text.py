@@ -61,6 +61,43 @@ def test_articles_of_the_small_pages(spark, tree):
         assert r["text"].split() == __import__("html").unescape(words).split()
 
 
+TALE = [f"The river rose again in the night of day {i}, and the people of the lower town carried what they could up to the chapel, as they had done in other years, while the water stood in the lanes." for i in range(6)]
+TALE_HTML = "".join(f"<p>{p}</p>" for p in TALE)
+AROUND = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>", "<footer>Copyright <a href=/c>us</a></footer>"
+TALE_LAYOUTS = [
+    "{0}<article class='ad-hoc post'>{t}</article>{1}", "{0}<div id='reader'><article>{t}</article></div>{1}", "{0}<section id='search-for-life'>{t}</section>{1}", "{0}<div class='search'><div class='share'>{t}</div></div>{1}",
+    "{0}<svg class='i'/><article>{t}</article>{1}", "{0}<article><button>{t}</article>{1}", "{0}<article class='post tag-privacy category-social'>{t}</article>{1}", "{0}<main>{t}</main>{1}",
+    "{0}<div class='content'>{t}</div>{1}", "{0}<div><div><div>{t}</div></div></div>{1}", "<body class='has-sidebar no-comments'>{0}{t}{1}", "{0}<table><tr><td>{t}</td></tr></table>{1}", "{0}<video-player src=x></video-player><div role=main>{t}</div>{1}",
+    "{0}<div class='related-work-in-physics'>{t}</div>{1}",
+]
+
+
+@pytest.mark.parametrize("layout", TALE_LAYOUTS)
+def test_no_layout_loses_the_story(tree, layout):
+    got = html_text.main_text("<html><body>" + layout.format(*AROUND, t=TALE_HTML) + "</body></html>", tree)
+    assert set(TALE) <= set(got.split("\n")) and "Home" not in got and "Copyright" not in got
+
+
+@pytest.mark.parametrize("noise", ["<div class='comments'>{}</div>", "<div id='cookie-notice'>{}</div>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<div class='sponsor-box-2'>{}</div>", "<form>{}</form>", "<section class='reader-comments'>{}</section>"])
+def test_noise_beside_a_story_goes(tree, noise):
+    other = "<p>I have read all of this with much joy and I will tell it to all my friends at home.</p>"
+    got = html_text.main_text(f"<html><body><article>{TALE_HTML}</article>{noise.format(other)}</body></html>", tree)
+    assert got == "\n".join(TALE)
+
+
+def test_articles_without_names(spark, tree):
+    """With all names masked, neighbours' words and links still find nine tenths of the articles' words."""
+    have = found = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = re.sub(r"(?i)</?(article|main|nav|aside|footer|header|form)\b[^>]*>", "<div>", re.sub(r"(class|id)=(\"[^\"]*\"|'[^']*')", "", r["html"]))
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        words = __import__("html").unescape(re.sub(r"<[^>]*(>|\Z)", " ", inner)).split()
+        left = __import__("collections").Counter(html_text.main_text(page, tree).split())
+        have += len(words)
+        found += sum((__import__("collections").Counter(words) & left).values())
+    assert found >= 0.9 * have
+
+
 def brute_secrets(t):
     t = t or ""
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
