@@ -20,22 +20,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session has none (tests)."""
+    """The folder all executors share. Only a local session without one (tests) gets its own; a
+    cluster without one is an error, as its executors would write where nobody else reads."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(f"/tmp/pulseloom-{uuid.uuid4().hex}")
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+#: Folders that `stored` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: it is computed once and its
     lineage ends in files that survive the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what this application's operators have written in between, and say how many folders
+    that were. To be called when their results have been written or are not needed any more."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
+def row_key(*cols: str) -> Column:
+    """A 64-bit key of a row's columns, mostly of a document's id and text: rows that repeat an id
+    with another text are told apart, rows that repeat both are not. Nulls have keys, too."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
 Batches = Iterator[pa.RecordBatch]
 #: Rows with whole texts in an Arrow batch. Spark's own default of 10,000 holds tens of MB at once,
 #: several times over, in the executor and in its Python worker.

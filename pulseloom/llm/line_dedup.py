@@ -3,13 +3,16 @@
 Lines are told apart by a 64-bit hash of their trimmed bytes, ASCII case ignored as in shingles,
 so copies are one node from the start. Each distinct line gets a one-permutation MinHash signature of its character shingles
 (one hash per shingle, the least in each of BANDS * ROWS bins, an empty bin filled from others in
-an order of its own); bands of the signature name tiles; pairs in a tile are verified by exact Jaccard
-similarity, united by distributed union-find, and of each component the first line, by document
-id and place, stays. All other lines of the component are removed.
+an order of its own); bands of the signature name tiles; a tile's lines meet in one task, where
+pairs are verified by exact Jaccard similarity (as in ngram_join: only a spanning forest leaves the
+task), the links are united by distributed union-find, and of each component the first line, by
+document id and place, stays. All other lines of the component are removed.
 
 Defined results: lines end at line feeds; white space around a line is ignored in comparison;
-every line that is not blank takes part, and blank lines are always kept; a null text stays null; rows with the same
-id count as one document; a document may lose all its lines and then has an empty text. Columns
+every line that is not blank takes part, and blank lines are always kept; a null text stays null.
+Each row is a document of its own, also where it repeats an id with another text; a null id takes
+part and comes last in order. Rows that repeat id and text are one document: what stays, stays in
+each of them. A document may lose all its lines and then has an empty text. Columns
 of the input stay as they are, apart from the text; n_lines and n_dropped are added (and replace
 columns of these names).
 """
@@ -24,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bounded_broadcast, short_batches, stored, tidy
-from .ngram_join import MAX_BROADCAST_ROWS, bitmap, links, tiles, verified
+from .common import bounded_broadcast, row_key, short_batches, stored, tidy
+from .ngram_join import MAX_BROADCAST_ROWS, links, tiles
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
 SHINGLE, BANDS, ROWS, PERCENT = 8, 16, 5, 80
 MIN_WORDS = 1
-#: Least bits of a line's bitmap per shingle.
-BITS = 8
 #: Places of dropped lines (4 bytes each) up to which they are broadcast.
 MAX_BROADCAST_PLACES = 2_000_000
 _U = np.uint64
@@ -120,14 +121,14 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, min_words: int) -> DataFrame:
-    """Per line (doc, place, h); a task gives the keys where it first meets the line."""
+    """Per line (doc, k, place, h), k the key of the document's row; a task gives the keys where it
+    first meets the line."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, _U)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, _, data, off in tv.chunks(batch.column(1)):
+            for i, _, data, off in tv.chunks(batch.column(2)):
                 owner, place, start, end, words = lines(data, off)
                 use = words >= min_words
                 owner, place, start, end = owner[use], place[use], start[use], end[use]
@@ -136,7 +137,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 h = tv.hash_spans(tv.prefix_sums(data), start, end)
                 _, first = np.unique(h, return_index=True)
                 new = np.sort(first[~np.isin(h[first], met)])
-                met = np.union1d(met, h[new])
+                met = np.concatenate([met, h[new]])
                 has = np.zeros(len(h), bool)
                 has[new] = True
                 of = band_keys(signatures(*shingles(data, start[new], end[new], shingle), bands * rows), bands)
@@ -144,25 +145,26 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                 # rows without keys are null: their offsets stand still
                 ends = np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32)
                 keys = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(has, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(of.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(place), pa.array(h.view(np.int64)), keys], names=["doc", "place", "h", "keys"])
+                at = pa.array(i + owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), keys], names=["doc", "k", "place", "h", "keys"])
 
-    used = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return stored(used.mapInArrow(tidy(run), "doc bigint, place bigint, h bigint, keys binary"), "lines")
+    used = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    return stored(used.mapInArrow(tidy(run), "doc bigint, k bigint, place int, h bigint, keys binary"), "lines")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without repeated lines, with n_lines (before) and n_dropped."""
     table = line_table(docs, id_col, text_col, shingle, bands, rows, min_words)
-    distinct = stored(table.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("times")), "distinct")
-    keyed = table.filter(F.col("keys").isNotNull())
-    members = tiles(keyed.select(F.col("h").alias("id"), "keys"))
-    ids = members.select("id").distinct()
+    where = F.struct(F.col("doc").isNull().alias("none"), "doc", "k", "place")
+    distinct = stored(table.groupBy("h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")), "distinct")
+    members = tiles(table.filter(F.col("keys").isNotNull()).select(F.col("h").alias("id"), "keys"))
+    ids = bounded_broadcast(stored(members.select("id").distinct(), "ids"), MAX_BROADCAST_ROWS)
     # each line of a tile once: its bytes, read from the document where it comes first
-    at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
+    at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
     at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS, F.size("wanted"))
-    cut = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(at, "doc")
+    cut = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(at, "k")
     cut = cut.withColumn("line", F.split("text", "\n", -1))
-    cut = cut.select(F.inline(F.expr("transform(wanted, w -> named_struct('id', w.h, 's', line[cast(w.place as int)]))")))
+    cut = cut.select(F.inline(F.expr("transform(wanted, w -> named_struct('id', w.h, 's', line[w.place]))")))
     texts = stored(cut.dropDuplicates(["id"]), "texts")
 
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,28 +172,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         _, _, start, end, _ = lines(data, off)
         return shingles(data, start, end, shingle)
 
-    def marks(wanted: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
-                    h, edges = flat(part.column(1))
-                    own = [np.unique(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bitmap(x, BITS) for x in own], pa.binary())], names=["id", "n", "bits"])
-
-        return texts.join(wanted, "id", "left_semi").select("id", "s").mapInArrow(tidy(run), "id bigint, n bigint, bits binary")
-
-    found = links(members, marks, lambda pairs: verified(pairs, texts, percent, flat), percent)
+    found = stored(links(members, texts, percent, flat), "components")
+    found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
     group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))
-    kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep")
-    lost = bounded_broadcast(stored(group.select("group", "h").join(kept, "group").select("h", "keep"), "repeated"), MAX_BROADCAST_ROWS)
-    drops = table.select("doc", "place", "h").join(lost, "h").filter(F.struct("doc", "place") != F.col("keep"))
-    drops = drops.groupBy("doc").agg(F.collect_set(F.col("place").cast("int")).alias("_drops"))
-    drops = bounded_broadcast(stored(drops.withColumnRenamed("doc", "_doc"), "drops"), MAX_BROADCAST_PLACES, F.size("_drops"))
-    out = docs.drop("n_lines", "n_dropped").join(drops, F.col(id_col) == F.col("_doc"), "left")
+    kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep.k", "keep.place")
+    lost = group.select("group", "h").join(kept, "group").select("h", F.col("k").alias("_k"), F.col("place").alias("_p"))
+    lost = bounded_broadcast(stored(lost, "repeated"), MAX_BROADCAST_ROWS)
+    drops = table.select("k", "place", "h").join(lost, "h").filter("k <> _k or place <> _p")
+    drops = drops.groupBy(F.col("k").alias("_k")).agg(F.collect_set("place").alias("_drops"))
+    drops = bounded_broadcast(stored(drops, "drops"), MAX_BROADCAST_PLACES, F.size("_drops"))
+    out = docs.drop("n_lines", "n_dropped").withColumn("_key", row_key(id_col, text_col)).join(drops, F.col("_key") == F.col("_k"), "left")
     out = out.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
     # a map from place makes each look-up cheap however many lines go
     gone = F.map_from_arrays("_drops", F.transform("_drops", lambda _: F.lit(True)))
     left = F.array_join(F.filter("_lines", lambda _, i: ~F.map_contains_key(gone, i)), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(left)).drop("_doc", "_drops", "_lines")
+    return out.withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(left)).drop("_key", "_k", "_drops", "_lines")

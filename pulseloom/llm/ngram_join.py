@@ -4,17 +4,20 @@ A document's set is kept as sorted 64-bit hashes. Equal sets form a class with o
 representative, and only representatives are joined. Sets of similar size share a band; in a
 band, a set is dealt into m parts by hash range, where m exceeds the number of differences that
 two linked sets can have, so at least one part is equal; its hash, with band and part, names a
-tile. Tiles with several members are compared: first each member with the tile's least one, then,
-where the links found so far leave a tile in several components, the members of different
-components, by bit counts of hashed bitmaps, which bound the overlap from above. Whatever is
-left is settled by exact intersection of the sorted arrays.
+tile. The members of a tile go to one task with their sets, or, where a tile is large, to one
+task per square of two blocks of members. There, bit counts of hashed bitmaps bound overlaps
+from above, what they leave is settled by exact intersection of the sorted arrays, and the task
+gives out a spanning forest of the links that it found: fewer rows than it has members.
 
-For large sets m is smaller than the certain bound: it is the least m for which, at the greatest
-allowed difference, the expected number of equal parts is at least EQUAL_PARTS, so that all parts
-differ with probability below exp(-EQUAL_PARTS), 1e-9, for a pair right at the threshold.
+In a large tile, members are first compared with its least one; squares follow only if the tile
+then still holds several components, and none of two blocks of its largest component.
+
+m is always more than the greatest number of differences, so no link is missed at any size.
 
 Defined results: null, empty and wordless texts have empty sets and link with nothing; a text
-with fewer than n words has its whole sequence as its one n-gram; repeated rows fall in one class.
+with fewer than n words has its whole sequence as its one n-gram. Each row is a document of its
+own: rows that repeat an id with other texts have their own sets and links, rows with null ids
+take part, and a component is named by its least id that is not null (null if there is none).
 Input columns other than the id and text are ignored.
 """
 
@@ -26,23 +29,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import bounded_broadcast, short_batches, stored, tidy
-from .components import components
+from .common import bounded_broadcast, row_key, short_batches, stored, tidy
+from .components import components, roots
 
-EQUAL_PARTS = 21.0
 #: Sets up to this size also use their empty parts, to be exact where parts are few.
 SMALL = 64
-#: Members of a tile that are compared at a time with each other.
-BLOCK = 512
-#: Rounds in which only nearest members of open tiles are paired.
-NEAREST_ROUNDS = 1
-#: Least bits of the bitmap per element of a set.
+#: Members of a block of a large tile, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 1 << 21
+#: Tiles up to so many members are compared together, many at a time.
+FEW = 8
+#: Rows of tiles, and bytes of sets, that a task compares at a time.
+CHUNK_ROWS, CHUNK_BYTES = 1024, 1 << 20
+#: Least bits of the bitmaps per element of a set.
 BITS = 8
+#: Rows of one tile key that may be sorted in one task; keys are counted in KEY_BUCKETS first.
+HOT_ROWS, KEY_BUCKETS = 1_000_000, 1 << 12
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
 MAX_BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -58,15 +64,9 @@ def bands(percent: int) -> list[int]:
 
 
 def parts(high: int, percent: int) -> int:
-    """Parts of a set in the band up to size `high`."""
-    d = (2 * high * (100 - percent)) // (100 + percent)  # the most differences of a linked pair
-    if d == 0:
-        return 0  # linked sets are equal
-    low, top = 1, d + 1
-    while low < top:
-        m = (low + top) // 2
-        low, top = (low, m) if m * math.exp(-d / m) >= EQUAL_PARTS else (m + 1, top)
-    return low
+    """Parts of a set in the band up to size `high`: one more than a linked pair's differences."""
+    d = (2 * high * (100 - percent)) // (100 + percent)
+    return d + 1 if d else 0  # linked sets without differences are equal
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -76,7 +76,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         h = tv.hash_spans(tv.prefix_sums(data), starts, ends)
         grams, at = tv.ngrams(h, edges, n)
         for d in range(len(off) - 1):
-            yield np.unique(grams[at[d] : at[d + 1]])
+            yield tv.distinct(grams[at[d] : at[d + 1]])
 
 
 def tile_keys(s: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
@@ -100,233 +100,308 @@ def tile_keys(s: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def bitmap(s: np.ndarray, each: int) -> bytes:
-    """One bit per hash, in a power of two of bits that is at least `each` times the size of the
-    set: the more bits, the fewer hashes share one and the closer the bound."""
-    bits = min(1 << 20, max(64, 1 << (max(each * len(s), 1) - 1).bit_length()))
-    map_ = np.zeros(bits, np.uint8)
-    map_[(s & _U(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(map_, bitorder="little").tobytes()
-
-
-def fold(words: np.ndarray, n: int) -> np.ndarray:
-    """Shrink a bitmap of 64-bit words to n words; bits that meet are united."""
-    while len(words) > n:
-        words = words[: len(words) // 2] | words[len(words) // 2 :]
-    return words
-
-
-def most_overlap(x: np.ndarray, nx: int, ys: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlap of a set with bitmap x and sets with bitmaps ys, from their
-    sizes: bits of one bitmap alone are elements of one set alone."""
-    return np.minimum(nx - np.bitwise_count(x & ~ys).sum(1, dtype=np.int64), ny - np.bitwise_count(ys & ~x).sum(1, dtype=np.int64))
-
-
-def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Per document: id, size, two hashes of the set, tile keys and bitmap, written once."""
+def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, key: Column) -> DataFrame:
+    """Per document: number of the row, id, key of the content, size, two hashes of the set, and
+    tile keys, written once, so that the numbers stand."""
     short_batches(docs.sparkSession)
     edges = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, f1, f2, keys, maps = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), n):
+            size, f1, f2, keys = [], [], [], []
+            for s in shingle_sets(batch.column(3), n):
                 size.append(len(s))
                 f1.append(tv.mix(s + _U(1)).sum(dtype=_U))
                 f2.append(tv.mix(s ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U))
                 keys.append(tile_keys(s, percent, edges).tobytes())
-                maps.append(bitmap(s, BITS))
             as_long = lambda v: pa.array(np.array(v, _U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), as_long(f1), as_long(f2), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=["id", "n", "f1", "f2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), as_long(f1), as_long(f2), pa.array(keys, pa.binary())], names=["row", "id", "k", "n", "f1", "f2", "keys"])
 
-    used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(used.mapInArrow(tidy(run), "id bigint, n bigint, f1 bigint, f2 bigint, keys binary, bits binary"), "sets")
+    used = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("k"), F.col(text_col).alias("text"))
+    return stored(used.mapInArrow(tidy(run), "row bigint, id bigint, k bigint, n bigint, f1 bigint, f2 bigint, keys binary"), "sets")
 
 
-def tiles(keyed: DataFrame) -> DataFrame:
-    """From (id, keys) the members (key, id, lead) of tiles with several; lead is the least id."""
+def hot_keys(keyed: DataFrame) -> DataFrame | None:
+    """(key, lead, last) of the keys with more than HOT_ROWS rows, or None. Rows are counted by
+    bucket of the key first, so only keys of full buckets are grouped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(KEY_BUCKETS, np.int64)
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), [np.frombuffer(k or b"", np.int64) for k in batch.column(1).to_pylist()]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(k) for k in keys]))], names=["key", "id"])
+            keys = np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x), np.int64)
+            n += np.bincount(keys & (KEY_BUCKETS - 1), minlength=KEY_BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(KEY_BUCKETS)), pa.array(n)], names=["bucket", "n"])
 
-    rows = keyed.mapInArrow(tidy(run), "key bigint, id bigint")
-    w = Window.partitionBy("key").orderBy("id")
-    rows = rows.withColumn("lead", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("id").over(w))
-    return stored(rows.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead").distinct(), "tiles")
+    counts = keyed.select("keys").mapInArrow(tidy(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    full = [r["bucket"] for r in counts.filter(F.col("n") > HOT_ROWS).collect()]  # at most KEY_BUCKETS numbers
+    if not full:
+        return None
+    rows = key_rows(keyed).filter(F.col("key").bitwiseAND(F.lit(KEY_BUCKETS - 1)).isin(full))
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("lead"), F.max("id").alias("last")).filter(F.col("_n") > HOT_ROWS)
+    return bounded_broadcast(stored(hot.drop("_n"), "hot"), MAX_BROADCAST_ROWS)
 
 
-def open_tiles(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, component, _n) of the members of tiles that hold several components; of tiles
-    with the same members one is enough."""
-    label = found.select(F.col("node").alias("id"), "component")
-    labelled = members.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_set"))
-    mixed = mixed.filter("_lo <> _hi").groupBy("_n", "_set").agg(F.min("key").alias("key")).select("key", "_n")
-    return stored(labelled.join(mixed, "key"), "open")
-
-
-def left_over(tiles_: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) in one open tile but different components that the bitmaps do not rule out.
-
-    marks: (id, n, bits). Members are compared in squares of BLOCK by BLOCK. nearest: of each
-    member's pairs in a square only the one of greatest bound."""
-    rows = tiles_.withColumn("_nb", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_nb")).cast("int")).join(marks, "id")
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    rows = rows.select("key", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "component", "n", "bits")
-    square = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs(one: bool, first: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], out: list[tuple[int, int]]) -> None:
-        """one: all members are of one block; else those with `first` are compared with the others."""
-        width = np.array([len(v) for v in bits])
-        maps: dict[int, np.ndarray] = {}  # by width, all maps folded to it
-        for x in range(len(ids)):
-            if not first[x]:
-                continue
-            other = (comp != comp[x]) & ((ids > ids[x]) if one and not nearest else (ids != ids[x]) if one else ~first)
-            if not other.any():
-                continue
-            narrow = np.minimum(width, width[x])
-            best, best_id = -1.0, -1
-            for w in np.unique(narrow[other]):
-                if w not in maps:
-                    maps[w] = np.stack([fold(v, w) if len(v) >= w else np.zeros(w, _U) for v in bits])
-                at = np.flatnonzero(other & (narrow == w))
-                over = most_overlap(fold(bits[x], w), n[x], maps[w][at], n[at])
-                ok = 100 * over >= percent * (n[x] + n[at] - over)
-                if nearest:
-                    like = np.where(ok, over / np.maximum(n[x] + n[at] - over, 1), -1.0)
-                    k = int(like.argmax())
-                    if like[k] > best:
-                        best, best_id = float(like[k]), int(ids[at[k]])
-                else:
-                    out += [(int(min(i, ids[x])), int(max(i, ids[x]))) for i in ids[at[ok]]]
-            if best_id >= 0:
-                out.append((min(best_id, int(ids[x])), max(best_id, int(ids[x]))))
+def key_rows(keyed: DataFrame) -> DataFrame:
+    """(key, id) for each of the keys of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            done, found = compare(t, last=False)
-            yield found
-            rest = t.slice(done)
-        if rest is not None and rest.num_rows:
-            yield compare(rest, last=True)[1]
-
-    def compare(t: pa.Table, last: bool) -> tuple[int, pa.RecordBatch]:
-        """Compare the whole squares of t; the last one, which may go on, is left unless `last`."""
-        k, i, j, own, ids, comp, n = (t[c].to_numpy() for c in ("key", "i", "j", "_b", "id", "component", "n"))
-        new = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        ends = [*new, len(k)] if last else list(new)
-        bits = [np.frombuffer(x, _U) for x in t["bits"].slice(0, ends[-1] if ends else 0).to_pylist()]
-        out: list[tuple[int, int]] = []
-        at = 0
-        for e in ends:
-            s = slice(at, e)
-            pairs(bool(i[at] == j[at]), own[s] == i[at], ids[s], comp[s], n[s], bits[s], out)
-            at = e
-        both = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return at, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return square.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
-
-
-def links(members: DataFrame, marks: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Components (node, component) of the links among tile members.
-
-    First each member is paired with the least of its tiles' leads. Then, in NEAREST_ROUNDS rounds, each
-    member's nearest one of another component; then all pairs of different components that are
-    left. Only tiles that still hold several components go on to the next round."""
-    tried = stored(members.filter("id <> lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "star")
-    good = stored(verify(tried), "links")
-    found = components(good)
-    have, rest = None, members
-    for number in range(NEAREST_ROUNDS + 1):
-        rest = open_tiles(rest, found)
-        if rest.isEmpty():
-            break
-        if have is None:
-            have = stored(marks(rest.select("id").distinct()), "marks")
-        more = stored(left_over(rest, have, percent, number < NEAREST_ROUNDS).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if number == NEAREST_ROUNDS:
-                break
+            ids, keys = batch.column(0).to_numpy(), [np.frombuffer(k or b"", np.int64) for k in batch.column(1).to_pylist()]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(k) for k in keys]))], names=["key", "id"])
+
+    return keyed.select("id", "keys").mapInArrow(tidy(run), "key bigint, id bigint")
+
+
+def tiles(keyed: DataFrame) -> DataFrame:
+    """From (id, keys) the members (key, id, lead) of tiles with several; lead is the least id."""
+    rows, hot = key_rows(keyed), hot_keys(keyed)
+    some = rows if hot is None else rows.join(hot.select("key"), "key", "left_anti")
+    w = Window.partitionBy("key").orderBy("id")
+    some = some.withColumn("lead", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("id").over(w))
+    some = some.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead")
+    if hot is not None:
+        some = some.unionByName(rows.join(hot.filter("lead <> last"), "key").select("key", "id", "lead"))
+    return stored(some.distinct(), "tiles")
+
+
+class Members:
+    """The sets of some members, from concatenated hashes (repeats allowed) and their edges."""
+
+    def __init__(self, h: np.ndarray, edges: np.ndarray, percent: int):
+        self.percent, count = percent, len(edges) - 1
+        _, rank = np.unique(h, return_inverse=True)
+        #: member and rank of the hash among all, sorted: the arrays of the sets, one after another
+        self.key = tv.distinct((np.repeat(np.arange(count), np.diff(edges)) << 32) | rank)
+        of = self.key >> 32
+        self.n = np.bincount(of, minlength=count)
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        # one width of bitmap for all; it follows the mean size, so that all fit in memory
+        bits = max(64, 1 << (max(BITS * len(self.key) // max(count, 1), 1) - 1).bit_length())
+        maps = np.zeros((count, bits), bool)
+        maps[of, tv.mix((self.key & 0xFFFFFFFF).astype(_U)).astype(np.int64) & (bits - 1)] = True
+        self.bits = np.packbits(maps, axis=1).view(_U)
+
+    def possible(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """An upper bound of the similarity of each pair in per cent, -1 where it rules the pair
+        out: bits of one bitmap alone are elements of one set alone."""
+        x, y, nx, ny = self.bits[p], self.bits[q], self.n[p], self.n[q]
+        over = np.minimum(nx - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        ok = (over > 0) & (100 * over >= self.percent * (nx + ny - over))
+        return np.where(ok, 100 * over / np.maximum(nx + ny - over, 1), -1.0)
+
+    def linked(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs link, by exact intersection of the sorted arrays."""
+        if not len(p):
+            return np.zeros(0, bool)
+        size = self.n[p]
+        edges = np.cumsum(size) - size
+        flat = np.repeat(self.at[p] - edges, size) + np.arange(size.sum())
+        want = (self.key[flat] & 0xFFFFFFFF) | (np.repeat(q, size) << 32)
+        where = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        # empty sets link with nothing; they have no elements to sum
+        same = np.bincount(np.repeat(np.arange(len(p)), size), self.key[where] == want, minlength=len(p)).astype(np.int64)
+        return (same > 0) & (100 * same >= self.percent * (size + self.n[q] - same))
+
+
+def few_links(m: Members, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Links (node, root) that unite what links within runs of rows that start at first[i] and hold
+    count[i] <= FEW rows: all rows are compared with the first of their run, then those that are
+    still apart with each other."""
+    done, root = [], np.arange(len(m.n))
+    for xs in ((0,), range(1, FEW)):
+        starts = [(first[count > y], x, y) for x in xs for y in range(x + 1, FEW)]
+        p, q = (np.concatenate([f + z[k] for f, *z in starts] or [first[:0]]) for k in (0, 1))
+        apart = root[p] != root[q]
+        p, q = p[apart], q[apart]
+        near = m.possible(p, q) >= 0
+        p, q = p[near], q[near]
+        hit = m.linked(p, q)
+        done.append((p[hit], q[hit]))
+        node, up = roots(*(np.concatenate(c) for c in zip(*done, strict=True)))
+        root[node] = up
+    node = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([node, root[node]], 1)
+
+
+def spanning(m: Members, at: np.ndarray, side: np.ndarray | None, component: np.ndarray) -> list[tuple[int, int]]:
+    """Links that unite the components among the members at `at`; with `side`, only pairs of
+    members of both sides are compared. Members of one component are not compared."""
+    _, root = np.unique(component, return_inverse=True)
+    out = []
+    for i in range(len(at)):
+        if side is not None and not side[i]:
+            continue
+        other = root != root[i]
+        if side is None:
+            other[: i + 1] = False
+        else:
+            other &= ~side
+        cand = np.flatnonzero(other)
+        if not len(cand):
             continue
-        linked = stored(verify(more), "links")
-        tried = tried.unionByName(more)
-        if not linked.isEmpty():
-            good = good.unionByName(linked)
-            found = components(good)
-    return found
+        bound = m.possible(np.full(len(cand), at[i]), at[cand])
+        cand = cand[np.argsort(-bound, kind="stable")[: (bound >= 0).sum()]]
+        while len(cand):
+            now, cand = cand[:32], cand[32:]
+            for j in now[m.linked(np.full(len(now), at[i]), at[now])]:
+                if root[j] != root[i]:
+                    out.append((at[i], at[j]))
+                    root[root == root[j]] = root[i]
+            cand = cand[root[cand] != root[i]]
+    return out
 
 
 Flat = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def overlaps(x: np.ndarray, ex: np.ndarray, y: np.ndarray, ey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes and overlaps of the sets x[ex[i]:ex[i + 1]] and y[ey[i]:ey[i + 1]]; up to 4096 at a
-    time share a sort, as keys of their number and 52 bits of the hash."""
-    out = []
-    for at in range(0, len(ex) - 1, 4096):
-        n = min(4096, len(ex) - 1 - at)
-        key = [np.unique((np.repeat(np.arange(n, dtype=_U), np.diff(e[at : at + n + 1])) << _U(52)) | (v[e[at] : e[at + n]] >> _U(12))) for v, e in ((x, ex), (y, ey))]
-        both = np.concatenate(key)
-        both.sort()
-        both = both[1:][both[1:] == both[:-1]]
-        out.append([np.bincount((k >> _U(52)).astype(np.int64), minlength=n) for k in (*key, both)])
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+def forest(rows: DataFrame, keys: list[str], percent: int, flat: Flat) -> DataFrame:
+    """Links (a, b) that unite what links within each group of rows: (keys..., id, component, own,
+    s). flat turns a column of s into the concatenated hashes of the sets and their edges. With
+    keys (key, i, j) a group is a square: if i < j, only rows of block i (own) and j are compared."""
+    square = len(keys) > 1
+
+    def compare(t: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        ids, comp = t["id"].to_numpy(), t["component"].to_numpy()
+        m = Members(*flat(t["s"].combine_chunks()), percent)
+        starts = np.array([0, *ends[:-1]])
+        count = np.array(ends) - starts
+        few = count <= FEW if not square else np.zeros(len(count), bool)
+        links = [few_links(m, starts[few], count[few])]
+        for a, e in zip(starts[~few], np.array(ends)[~few], strict=True):
+            side = None
+            if square and (i := t["i"][int(a)].as_py()) != t["j"][int(a)].as_py():
+                side = t["own"].slice(int(a), int(e - a)).to_numpy() == i
+            links.append(np.array(spanning(m, np.arange(a, e), side, comp[a:e]), np.int64).reshape(-1, 2))
+        both = np.concatenate(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[both[:, 0]]), pa.array(ids[both[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups are compared as soon as there are enough rows of them."""
+        rest: list[pa.RecordBatch] = []
+        size = 0
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, size
+            t = pa.Table.from_batches(rest).combine_chunks()
+            new = np.flatnonzero(np.any([(c := t[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)) + 1
+            ends = [*new.tolist(), t.num_rows] if last else new.tolist()
+            if ends:
+                yield compare(t.slice(0, ends[-1]), ends)
+                t = t.slice(ends[-1])
+            rest, size = t.to_batches(), t.nbytes
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK_ROWS):
+                rest.append(whole.slice(at, CHUNK_ROWS))
+                size += rest[-1].nbytes
+                if size >= CHUNK_BYTES or sum(r.num_rows for r in rest) >= CHUNK_ROWS:
+                    yield from done(False)
+        if rest:
+            yield from done(True)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
-    """The pairs (a, b) whose sets link. have: (id, s); flat turns a column of s into the
-    concatenated hashes of the sets (repeats allowed) and the edges of the rows among them."""
+    """The pairs (a, b) whose sets link. have: (id, s)."""
     both = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                nx, ny, n = overlaps(*flat(part.column(2)), *flat(part.column(3)))
-                ok = (n > 0) & (100 * n >= percent * (nx + ny - n))
+                (x, ex), (y, ey) = flat(part.column(2)), flat(part.column(3))
+                m, n = Members(np.concatenate([x, y]), np.concatenate([ex, ex[-1] + ey[1:]]), percent), part.num_rows
+                p = np.arange(n)
+                p = p[m.possible(p, p + n) >= 0]
+                ok = np.zeros(n, bool)
+                ok[p] = m.linked(p, p + n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
+def open_squares(large: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, i, j, own, id, component) of the large tiles that hold several components: a row per
+    square of two blocks for each member. Blocks of the largest component do not meet each other.
+
+    large: (key, id, w), w the bytes of the member's set."""
+    label = found.select(F.col("node").alias("id"), "component")
+    rows = stored(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    of = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.max(F.struct("n", "component", "w")).alias("_m"), F.sum("n").alias("_n"), F.sum("w").alias("_w"))
+    of = of.filter("_m.n < _n")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES)).cast("int")
+    of = of.select("key", "_main", blocks(F.col("_m.n"), F.col("_m.w")).alias("_first"), blocks(F.col("_n") - F.col("_m.n"), F.col("_w") - F.col("_m.w")).alias("_rest"))
+    rows, h = rows.join(of, "key"), F.xxhash64("id", F.lit(5))
+    main = F.col("component") == F.col("_main")
+    rows = rows.withColumn("own", F.when(main, F.pmod(h, F.col("_first"))).otherwise(F.col("_first") + F.pmod(h, F.col("_rest"))).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.when(main, F.col("_first")).otherwise(0), F.col("_first") + F.col("_rest") - 1)))
+    return rows.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "component")
+
+
+def links(members: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
+    """Components (node, component) of the links among tile members. have: (id, s).
+
+    Of tiles with the same members one is enough. Tiles of one block are compared whole; in
+    larger ones each member is compared with the least one first."""
+    rows = members.join(have.select("id", F.length("s").alias("w")), "id")
+    tile = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_set"))
+    tile = tile.groupBy("_n", "_set").agg(F.min(F.struct("key", "_w")).alias("_k"))
+    tile = tile.select("_k.key", ((F.col("_n") > BLOCK) | (F.col("_k._w") > BLOCK_BYTES)).alias("_large"))
+    rows = stored(rows.join(tile, "key"), "members")
+    small = rows.filter("not _large").select("key", "id", F.col("id").alias("component"), F.lit(0).alias("own"))
+    good = forest(small.join(have, "id"), ["key"], percent, flat)
+    large = rows.filter("_large")
+    star = large.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    good = stored(good.unionByName(verified(star, have, percent, flat)), "links")
+    found = components(good)
+    squares = stored(open_squares(large.select("key", "id", "w"), found), "squares")
+    if squares.isEmpty():
+        return found
+    more = forest(squares.join(have, "id"), ["key", "i", "j"], percent, flat)
+    return components(good.unionByName(stored(more, "links")))
+
+
 def as_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes kept as bytes."""
     (_, _, data, off), = tv.chunks(column, 1 << 62)
     return np.frombuffer(data.tobytes(), _U), off // 8
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, key: Column | None = None) -> DataFrame:
     """Per document: id, n_shingles, class_id (smallest id with the same set), component_id
-    (smallest id reachable by links of Jaccard similarity of at least percent / 100)."""
-    have = sets(docs, id_col, text_col, n, percent)
-    same = have.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    classed = have.join(bounded_broadcast(stored(same, "classes"), MAX_BROADCAST_ROWS), ["f1", "f2", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    reps = classed.filter("id = rep")
-    members = tiles(reps.select("id", "keys"))
-    marks = reps.select("id", "n", "bits").dropDuplicates(["id"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Sets are made anew, for the documents of the pairs only."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "s"])
-
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = bounded_broadcast(stored(ids, "ids"), MAX_BROADCAST_ROWS)
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        return verified(pairs, stored(texts.mapInArrow(tidy(run), "id bigint, s binary").dropDuplicates(["id"]), "arrays"), percent, as_hashes)
-
-    found = links(members, lambda ids: marks, verify, percent)
+    (smallest id reachable by links of Jaccard similarity of at least percent / 100), row_key
+    (key, by default of the id and text), and kept, true for one row of each component."""
+    key = row_key(id_col, text_col) if key is None else key
+    have = sets(docs, id_col, text_col, n, percent, key)
+    same = have.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    same = bounded_broadcast(stored(same, "classes"), MAX_BROADCAST_ROWS)
+    classed = have.select("row", "id", "k", "n", "f1", "f2").join(same, ["f1", "f2", "n"], "left")
+    classed = classed.select("row", "id", "k", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    classed = stored(classed, "classed")
+    reps = classed.filter("row = rep")
+    members = tiles(have.select(F.col("row").alias("id"), "keys").join(bounded_broadcast(classed.filter("row <> rep").select(F.col("row").alias("id")), MAX_BROADCAST_ROWS), "id", "left_anti"))
+    wanted = reps.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), "k")
+    wanted = bounded_broadcast(stored(wanted, "wanted"), MAX_BROADCAST_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "s"])
+
+    # sets are made anew, for the documents of tiles only
+    texts = docs.select(F.col(id_col).cast("long").alias("_i"), key.alias("k"), F.col(text_col).alias("text")).join(wanted, "k")
+    texts = texts.filter(F.col("_i").eqNullSafe(F.col("_id"))).select("row", "text")
+    arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary").dropDuplicates(["id"]), "arrays")
+    found = stored(links(members, arrays, percent, as_hashes), "components")
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
-    return classed.join(found, classed["rep"] == found["node"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+    # the least id of each component of several rows, and the row that bears it
+    least = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    least = bounded_broadcast(stored(least.filter("_n > 1").select("component", "component_id", F.col("_first.row").alias("_keep")), "least"), MAX_BROADCAST_ROWS)
+    out = out.join(least, "component", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.when(F.col("_keep").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("k").alias("row_key"), F.coalesce(F.col("_keep") == F.col("row"), F.lit(True)).alias("kept"))

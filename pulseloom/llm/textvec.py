@@ -31,6 +31,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of mix()."""
+    h = h.astype(_U, copy=True)
+    h ^= (h >> _U(31)) ^ (h >> _U(62))
+    h *= _U(_inverse(0x94D049BB133111EB))
+    h ^= (h >> _U(27)) ^ (h >> _U(54))
+    h *= _U(_inverse(0xBF58476D1CE4E5B9))
+    h ^= (h >> _U(30)) ^ (h >> _U(60))
+    return h
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. numpy.unique() without indexes hashes instead, which takes
+    several times as long on large arrays."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 #: A random value per byte; A-Z have those of a-z, so hashes ignore ASCII case.
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
 _VALUE[65:91] = _VALUE[97:123]
