@@ -9,8 +9,10 @@ A document lies in its shard as an interval of tokens, in seeded order, so the t
 from it follow from the interval's ends in closed form; no list of blocks is built.
 
 Defined results: a null text has no words and takes part with size 0; null is a source of its
-own, last in order; an empty table gives an empty result; repeated rows count each. Of the input
-only the id, text and source columns are used.
+own, last in order; an empty table gives an empty result; repeated rows count each, also where
+they repeat an id with another text. The seeded order follows id and text, and rows equal in it
+are alike in id and size, so reruns agree. Of the input only the id, text and source columns are
+used.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, row_key, stored
 
 #: Weights that the sources take in turn, the share of all words that is taken, the most
 #: that may be taken of a source and of a document, as multiples of its size.
@@ -29,9 +31,9 @@ BLOCK_WORDS, SHARD_DOCS = 16, 2_000
 MAX_BROADCAST_ROWS = 200_000
 
 
-def seeded(seed: int, *key: str) -> Column:
+def seeded(seed: int, *key: Column) -> Column:
     """A number of 60 bits from a seed and columns, from MD5, so that any engine can repeat it."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -86,10 +88,14 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
     return out.select(*parties.columns, (F.col("_low") + F.coalesce(F.col("_more"), F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
-    """Per row: id, size, source_size, target of its source, and `taken` words (repeats counted)."""
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = stored(sized.withColumn("_h", seeded(seed, id_col)), "mix-sizes")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 7, key: Column | None = None) -> DataFrame:
+    """Per row: id, size, source_size, target of its source, `taken` words (repeats counted), and
+    row_key (key, by default of the id and text)."""
+    key = row_key(id_col, text_col) if key is None else key
+    order = seeded(seed, F.col(id_col), F.md5(F.encode(F.col(text_col), "UTF-8")))
+    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("_h"), key.alias("_key"))
+    # rows without words lie nowhere in their shard, so each input partition deals with its own
+    sized = stored(sized.withColumn("_part", F.when(F.col("size") == 0, F.spark_partition_id()).otherwise(-1)), "mix-sizes")
     # pre-aggregated before the shuffle: one row per source and task
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     goal = targets(by_source, weights, share, cap).join(by_source.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -103,12 +109,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = dealt.groupBy("nr", "_shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = sainte_lague(shards, ["nr"], "shard_size", "source_quota", ["_shard"])
     quotas = _hinted(stored(quotas.select("nr", "_shard", "shard_size", "quota"), "mix-quotas"))
-    placed = dealt.withColumn("_end", F.sum("size").over(Window.partitionBy("nr", "_shard").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, 0)))
+    placed = dealt.withColumn("_end", F.sum("size").over(Window.partitionBy("nr", "_shard", "_part").orderBy("_h", id_col, "size", "_key").rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["nr", "_shard"])
     # copies of block j = c(j + 1) - c(j), c(j) = (j * quota + shift) div blocks: `quota` in all
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.lit(block_words)).cast("long"), F.lit(1))
     placed = placed.withColumn("_n", blocks).withColumn("_q", F.least(F.col("quota"), (F.lit(cap) * F.col("_n")).cast("long")))
-    placed = placed.withColumn("_shift", F.pmod(seeded(seed, "nr", "_shard"), F.col("_n")))
+    placed = placed.withColumn("_shift", F.pmod(seeded(seed, F.col("nr"), F.col("_shard")), F.col("_n")))
     placed = placed.withColumn("_begin", F.col("_end") - F.col("size"))
 
     def drawn(x: str) -> str:
@@ -116,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         c = lambda j: f"(({j} * _q + _shift) div _n)"
         return f"({block_words} * {c(k)} + ({x} - {block_words} * {k}) * ({c(f'({k} + 1)')} - {c(k)}))"
 
-    return placed.select(id_col, "size", "source_size", "target", F.expr(f"cast({drawn('_end')} - {drawn('_begin')} as bigint)").alias("taken"), "source", "_shard", F.col("nr").cast("long").alias("source_nr"))
+    return placed.select(id_col, "size", "source_size", "target", F.expr(f"cast({drawn('_end')} - {drawn('_begin')} as bigint)").alias("taken"), "source", "_shard", F.col("nr").cast("long").alias("source_nr"), F.col("_key").alias("row_key"))
 
 
 def _hinted(df: DataFrame) -> DataFrame:

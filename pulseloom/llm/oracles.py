@@ -1,25 +1,28 @@
 """DuckDB SQL for the queries that SQL can express.
 
 The others are tested against brute force, exact round trips or held-out labels instead: HTML
-blocks and trees (1), probabilistic banding (3), windows of entropy (4), alignment (5), hashed
-models (6), graph search (7) and sampled lattices (9).
+blocks and trees (1), probabilistic banding (3), alignment (5), hashed models (6), graph search
+(7) and sampled lattices (9).
 """
 
 from __future__ import annotations
 
+from . import secrets
 from .mixing import BLOCK_WORDS, CAP, SHARD_DOCS, SHARE, WEIGHTS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _REACH = """re AS (SELECT x AS a, x AS b FROM nodes UNION SELECT re.a, l.y FROM re JOIN li l ON re.b = l.x),
   co AS (SELECT a AS x, min(b) AS component_id FROM re GROUP BY a)"""
 
-OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
-  sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
-  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-  pa AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-  ok AS (SELECT x, y FROM pa JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
-  li AS (SELECT x, y FROM ok UNION ALL SELECT y, x FROM ok), nodes AS (SELECT DISTINCT doc_id AS x FROM documents), {_REACH}
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN co ON co.x = d.doc_id"""
+OP2 = f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+  sh AS (SELECT DISTINCT k, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT k, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+  pa AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2),
+  ok AS (SELECT x, y FROM pa JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+  li AS (SELECT x, y FROM ok UNION ALL SELECT y, x FROM ok), nodes AS (SELECT k AS x FROM w),
+  re AS (SELECT x AS a, x AS b FROM nodes UNION SELECT re.a, l.y FROM re JOIN li l ON re.b = l.x),
+  co AS (SELECT a AS k, min(doc_id) AS component_id FROM re JOIN w ON w.k = re.b GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w d LEFT JOIN n ON d.k = n.k JOIN co ON co.k = d.k"""
 
 OP8 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
   g AS (SELECT * FROM v WHERE len(list_filter(e, lambda z: z IS NULL OR isnan(z) OR isinf(z))) = 0 AND len(list_filter(e, lambda z: z <> 0)) > 0),
@@ -47,7 +50,7 @@ def _seats(name: str, parties: str, group: str, votes: str, seats: str, order: s
   {name} AS (SELECT {keys}, count(*) AS quota FROM {name}_r WHERE r <= seats_ GROUP BY {keys})"""
 
 
-OP10 = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, {_seeded('doc_id')} AS h FROM documents),
+OP10 = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, {_seeded('doc_id', 'md5(text)')} AS h FROM documents),
   src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM sized GROUP BY source),
   num AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM src),
   wt AS (SELECT *, CAST(([{', '.join(map(str, WEIGHTS))}])[(nr - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * {float(CAP)} AS cap FROM num),
@@ -61,9 +64,43 @@ OP10 = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coa
   sh AS (SELECT nr, shard, CAST(sum(size) AS BIGINT) AS shard_size, min(source_quota) AS source_quota FROM dl GROUP BY nr, shard),
   {_seats('hq', 'sh', 'nr', 'shard_size', 'source_quota', 'shard')},
   pl AS (SELECT dl.*, sh.shard_size, greatest(1, CAST(ceil(sh.shard_size / {BLOCK_WORDS}.0) AS BIGINT)) AS n, coalesce(hq.quota, 0) AS quota,
-      CAST(sum(size) OVER (PARTITION BY dl.nr, dl.shard ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+      CAST(sum(size) OVER (PARTITION BY dl.nr, dl.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
     FROM dl JOIN sh ON sh.nr = dl.nr AND sh.shard = dl.shard LEFT JOIN hq ON hq.nr = dl.nr AND hq.shard = dl.shard),
   pq AS (SELECT *, e - size AS b, least(quota, {CAP} * n) AS q, {_seeded('nr', 'shard')} % n AS shift FROM pl)
 SELECT doc_id, size, source_size, target, CAST({_drawn('e')} - {_drawn('b')} AS BIGINT) AS taken, source, shard AS _shard, nr AS source_nr FROM pq"""
 
-ORACLES = {"op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}
+# Letters of the base patterns in either case, spelled out: case folding of other letters differs between engines.
+_ASSIGN = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(name: str, pattern: str, group: int = 0) -> str:
+    """(k, s, e, m, g): matches with their places, from the lengths of the text between them."""
+    q = pattern.replace("'", "''")
+    return f"""{name}_l AS (SELECT k, regexp_extract_all(t, '{q}', 0) AS ms, regexp_extract_all(t, '{q}', {group}) AS gs, string_split_regex(t, '{q}') AS bs FROM tx WHERE regexp_matches(t, '{q}')),
+  {name}_u AS (SELECT k, unnest(ms) AS m, unnest(gs) AS g, unnest(bs[:len(ms)]) AS b, generate_subscripts(ms, 1) AS i FROM {name}_l),
+  {name} AS (SELECT k, m, g, sum(length(b) + length(m)) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS e, e - length(m) AS s FROM {name}_u)"""
+
+
+def _windows(name: str, c: secrets.EntropyClass) -> str:
+    """Merged windows of high entropy of the candidates that no allow-list entry covers."""
+    plain, w = c.alphabet.replace("-", r"\-"), c.window
+    allowed = " OR ".join([f"regexp_matches(m, '{a}')" for a in secrets.ALLOW if "\\1" not in a] + [f"len(list_filter(string_split('{c.alphabet}', ''), lambda x: contains(m, repeat(x, 8)))) > 0"])
+    return f"""{_matches(name, f'[{plain}]{{{w},}}')},
+  {name}_w AS (SELECT k, s, unnest(generate_series(0, length(m) - {w})) AS i, m FROM {name} WHERE NOT ({allowed})),
+  {name}_h AS (SELECT k, s, s + i AS a FROM {name}_w WHERE list_entropy(string_split(substr(m, CAST(i AS BIGINT) + 1, {w}), '')) >= {c.bits - 1e-9}),
+  {name}_g AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY k, s ORDER BY a) <= {w} THEN 0 ELSE 1 END AS new FROM {name}_h),
+  {name}_i AS (SELECT *, sum(new) OVER (PARTITION BY k, s ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM {name}_g),
+  {name}_m AS (SELECT k, min(a) AS s, max(a) + {w} AS e FROM {name}_i GROUP BY k, s, island)"""
+
+
+OP4 = f"""WITH tx AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+  {_matches('ma', _ASSIGN, 2)}, {_matches('mc', f'AKIA[A-Z0-9]{{{secrets.MIN_ACCESS - 4},}}')}, {_matches('mh', f'[0-9a-f]{{{secrets.MIN_HEX},}}')},
+  {_windows('wh', secrets.HEX_CLASS)}, {_windows('wb', secrets.BASE64_CLASS)},
+  sp AS (SELECT k, 1 AS o, 'assign' AS kind, s, e FROM ma WHERE length(g) >= {secrets.MIN_ASSIGN} UNION ALL SELECT k, 2, 'access', s, e FROM mc UNION ALL SELECT k, 3, 'hex', s, e FROM mh
+    UNION ALL SELECT k, 4, '{secrets.HEX_CLASS.kind}', s, e FROM wh_m UNION ALL SELECT k, 5, '{secrets.BASE64_CLASS.kind}', s, e FROM wb_m),
+  ag AS (SELECT k, count(*) FILTER (o = 1) AS n_assign, count(*) FILTER (o = 2) AS n_access, count(*) FILTER (o = 3) AS n_hex, count(*) FILTER (o > 3) AS n_entropy,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) FILTER (o <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS spans FROM sp GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM tx LEFT JOIN ag ON tx.k = ag.k"""
+
+ORACLES = {"op4_secret_scan": OP4, "op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}

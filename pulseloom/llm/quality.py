@@ -2,11 +2,12 @@
 
 Two hashed n-gram models are fitted: one of the target (labelled good documents) and one of the
 raw text (all documents). A document's log weight is the sum over its n-grams of the log ratio
-of the two models; Gumbel noise, seeded by document id, is added, and the top k are kept, so
+of the two models; Gumbel noise, seeded by the key of id and text, is added, and the top k are kept, so
 that documents are drawn without replacement in proportion to their weights.
 
 Defined results: a null or text without tokens has log weight 0; rows tied at the k-th place
-are all kept; repeated rows count each and share their fate; an empty table gives an empty
+are all kept; rows that repeat id and text count each and share their fate, others of the same or no
+id are judged by themselves; an empty table gives an empty
 result; without labels both models agree, and all weights are 0.
 """
 
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import short_batches, stored, tidy
+from .common import row_key, short_batches, stored, tidy
 
 #: Buckets of the hashed n-gram models, n-gram lengths, and additive smoothing.
 BUCKETS, NGRAMS, SMOOTHING = 1 << 16, (1, 2), 0.5
@@ -84,24 +85,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.log(p / q), share
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = NGRAMS) -> DataFrame:
-    """(id, log_weight) of every document."""
+def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = NGRAMS, key: Column | None = None) -> DataFrame:
+    """(id, row_key, log_weight) of every document."""
     buckets = len(ratio)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    used = docs.select(id_col, text_col)
+    used = docs.select(id_col, (row_key(id_col, text_col) if key is None else key).alias("row_key"), text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, data, off in tv.chunks(batch.column(1)):
+            for i, j, data, off in tv.chunks(batch.column(2)):
                 for g, e in _grams(data, off, buckets, orders):
                     sums = np.concatenate([[0.0], np.cumsum(r[g])])
                     out[i:j] += sums[e[1:]] - sums[e[:-1]]
             # rounded, so that equal texts tie wherever they lie in a batch
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(out, 6))], names=[id_col, "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(out, 6))], names=[id_col, "row_key", "log_weight"])
 
-    return used.mapInArrow(tidy(score), f"`{id_col}` {dict(used.dtypes)[id_col]}, log_weight double")
+    return used.mapInArrow(tidy(score), f"`{id_col}` {dict(used.dtypes)[id_col]}, row_key bigint, log_weight double")
 
 
 def kth_largest(scores: DataFrame, col: str, k: int) -> float:
@@ -129,13 +130,13 @@ def kth_largest(scores: DataFrame, col: str, k: int) -> float:
     return inside.orderBy(F.col(col).desc()).limit(k - above).agg(F.min(col)).first()[0]
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 11, **model) -> DataFrame:
-    """Per document: id, log_weight, score (with Gumbel noise times temperature), kept.
+def resample(docs: DataFrame, labels: DataFrame, keep_share: float | None = None, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 11, key: Column | None = None, **model) -> DataFrame:
+    """Per document: id, row_key (key, by default of the id and text), log_weight, score (with Gumbel noise times temperature), kept.
 
     keep_share: the share of documents to draw; if None, it follows from the share of good labels."""
     ratio, good = fit(docs, labels, id_col, text_col, **model)
-    drawn = weights(docs, ratio, id_col, text_col)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    drawn = weights(docs, ratio, id_col, text_col, key=key)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("row_key")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     noisy = stored(drawn.withColumn("score", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u))), "quality")
     k = round(noisy.count() * (1 - STRICTNESS * (1 - good) if keep_share is None else keep_share))
     return noisy.withColumn("kept", F.col("score") >= F.lit(kth_largest(noisy, "score", k)))

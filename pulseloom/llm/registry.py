@@ -50,7 +50,7 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("row_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

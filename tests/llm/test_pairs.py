@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseloom.llm import components, hnsw, line_dedup, ngram_join, segments, vector_dedup
+from pulseloom.llm import components, hnsw, line_dedup, mixing, ngram_join, quality, segments, vector_dedup
 from pulseloom.llm import textvec as tv
 
 SF = "/root/testdata/sf0.001"
@@ -55,24 +55,100 @@ def test_join(spark, n, percent):
     assert ngram_join.join(df.limit(0), n=n, percent=percent).count() == 0
 
 
-def test_parts_suffice():
+def test_parts_exceed_differences():
     for percent in (80, 90):
-        for high in ngram_join.bands(percent)[:40]:
+        for high in ngram_join.bands(percent)[:60]:
             m, d = ngram_join.parts(high, percent), 2 * high * (100 - percent) // (100 + percent)
-            assert m == 0 if d == 0 else (m == d + 1 or m * np.exp(-d / m) >= ngram_join.EQUAL_PARTS)
+            assert m == (d + 1 if d else 0)
 
 
-def test_bit_counts_bound_overlap():
+def hashes(rng, n):
+    return tv.mix(rng.integers(0, 2**63, n).astype(np.uint64))
+
+
+def test_members_are_exact():
+    """Bounds never rule a link out, and links are those of the sets."""
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        both = tv.mix(rng.integers(0, 2**63, 60).astype(np.uint64))
-        x = np.unique(np.concatenate([both, tv.mix(rng.integers(0, 2**63, int(rng.integers(0, 20))).astype(np.uint64))]))
-        y = np.unique(np.concatenate([both, tv.mix(rng.integers(0, 2**63, int(rng.integers(0, 200))).astype(np.uint64))]))
-        bx, by = (np.frombuffer(ngram_join.bitmap(s, 8), np.uint64) for s in (x, y))
-        w = min(len(bx), len(by))
-        nx, ny, n = (int(v[0]) for v in ngram_join.overlaps(x, np.array([0, len(x)]), y, np.array([0, len(y)])))
-        assert (nx, ny, n) == (len(x), len(y), len(np.intersect1d(x, y)))
-        assert ngram_join.most_overlap(ngram_join.fold(bx, w), len(x), ngram_join.fold(by, w)[None, :], np.array([len(y)]))[0] >= n
+    sets = []
+    for _ in range(60):
+        both = hashes(rng, 60)
+        sets += [np.concatenate([both, hashes(rng, int(rng.integers(0, 20)))]), np.concatenate([both, both[:5], hashes(rng, int(rng.integers(0, 30)))])]
+    sets += [np.zeros(0, np.uint64), hashes(rng, 3000)]
+    m = ngram_join.Members(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 80)
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    plain = [set(s.tolist()) for s in sets]
+    want = np.array([len(plain[a] & plain[b]) > 0 and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]) for a, b in zip(p, q, strict=True)])
+    assert (m.linked(p, q) == want).all() and (m.possible(p, q)[want] >= 0).all() and 60 < want.sum()
+    assert m.n.tolist() == [len(s) for s in plain]
+
+
+def test_join_at_the_threshold(spark):
+    """Sets of some 2,000 shingles right at, and right below, the threshold."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(12):
+        words = [f"{group}x{i}" for i in range(2002)]
+        rows.append((group * 10, " ".join(words)))
+        for j, changes in enumerate((35, 36)):  # 3 shingles each: 1895 of 2105 (0.9002), 1892 of 2108 (0.8975)
+            other = list(words)
+            for k in rng.choice(np.arange(10, 1990, 4), changes, replace=False):
+                other[k] = f"{group}y{k}"
+            rows.append((group * 10 + 1 + 4 * j, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_join(rows, 3, 90)
+    assert sum(i != c for i, (_, c) in want.items()) >= 12
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, n=3, percent=90).collect()} == want
+
+
+def brute_rows(rows, n, percent):
+    """As brute_join, each row a document of its own; (id, n_shingles, component_id) of each."""
+    found = brute_join(list(enumerate(t for _, t in rows)), n, percent)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            c = found[k][1]
+            least[c] = min(i, least.get(c, i))
+    return [(i, found[k][0], least.get(found[k][1])) for k, (i, _) in enumerate(rows)]
+
+
+def near_copies(rng, n, size, changes):
+    words = [f"v{i}" for i in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(words)
+        for k in rng.choice(size, changes, replace=False):
+            w[k] = f"r{rng.integers(0, 10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 6, "HOT_ROWS": 5, "MAX_BROADCAST_ROWS": 0}, {"BLOCK_BYTES": 3000, "FEW": 2, "MAX_BROADCAST_ROWS": 0}])
+def test_join_rows(spark, monkeypatch, bounds):
+    """Null ids, ids with several texts, large tiles, hot keys, and no broadcasts."""
+    for k, v in bounds.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rng = np.random.default_rng(9)
+    rows = [(i, t) for i, t in enumerate(near_copies(rng, 60, 80, 2))] + [(200 + i, t) for i, t in enumerate(near_copies(rng, 40, 40, 1))]
+    rows += [(None, "all alone here with no copy"), (None, rows[5][1]), (7, rows[70][1]), (7, "short"), (7, "short"), (8, "short"), (None, None), (None, ""), (None, "two rows without id"), (None, "two rows without id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(df, n=3, percent=80).collect()
+    want = brute_rows(rows, 3, 80)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+    assert sum(r["kept"] for r in got) == len({c for _, c in brute_join(list(enumerate(t for _, t in rows)), 3, 80).values()})
+
+
+def test_tile_of_many_near_copies(spark):
+    """A tile of 5,000 distinct near copies loses no link and gives no more rows than members."""
+    rng = np.random.default_rng(10)
+    texts = near_copies(rng, 5000, 60, 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.join(df, n=3, percent=80).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    h = np.concatenate([np.concatenate([np.arange(50), 1000 + 10 * i + np.arange(3)]) for i in range(300)]).astype(np.uint64)
+    rows = spark.createDataFrame([(1, 0, 1, i, i, i % 2, h[53 * i : 53 * i + 53].tobytes()) for i in range(300)], "key long, i int, j int, id long, component long, own int, s binary")
+    links = ngram_join.forest(rows, ["key", "i", "j"], 80, ngram_join.as_hashes)
+    assert 0 < links.count() < 300
 
 
 def test_components(spark, monkeypatch):
@@ -88,6 +164,15 @@ def test_components(spark, monkeypatch):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of the chunks."""
+    monkeypatch.setattr(components, "CHUNK_EDGES", 400)
+    n, log = 20_000, []
+    got = components.components(spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), log=log)
+    assert got.count() == n + 1 and got.filter("component <> 0").isEmpty()
+    assert len(log) < 15 and all(b <= 0.75 * a for a, b in zip(log[1:], log[2:], strict=False))
+
+
 def test_words_and_ngrams():
     import pyarrow as pa
 
@@ -148,6 +233,19 @@ def test_repeated_line_stays_once(spark):
     assert sorted((r["doc_id"], r["text"] != "") for r in line_dedup.dedup(df).collect()) == [(3, True), (3, True), (5, False), (9, False)]
 
 
+def test_lines_of_rows(spark, monkeypatch):
+    """Null ids, ids with several texts, very long lines, and no broadcasts: no unique line goes."""
+    same = "the very same shared line here"
+    rows = [(1, same), (2, same), (2, "unique content nobody else has written"), (None, same), (None, "a line of a row without an id"), (None, None), (3, "x" * 300_000 + "\n" + same), (4, "x" * 300_001), (5, same), (5, same)]
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, k string")
+    want = collections.Counter([(1, same), (2, ""), (2, rows[2][1]), (None, ""), (None, rows[4][1]), (None, None), (3, "x" * 300_000), (4, ""), (5, ""), (5, "")])
+    for bound in (line_dedup.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST_ROWS", bound)
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST_PLACES", bound)
+        got = collections.Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup(df).collect())
+        assert got == want
+
+
 def test_short_and_unspaced_lines(spark):
     """Lines of one or two words, of any length, are removed like others."""
     unspaced = "同じ文章が何度も繰り返されるので一つだけ残す必要がある長い行です"
@@ -349,8 +447,50 @@ def test_pipeline(spark):
             assert docs.columns == corpus_pipeline.COLUMNS
     assert 0 < seen[2] <= seen[1] <= seen[0] <= 200
     assert corpus_pipeline.run(spark, SF).count() == seen[-1]
-    odd = spark.createDataFrame([(1, None, "en", None, None), (1, None, "en", None, None), (2, "", None, "s", 0), (3, "some words of text " * 9, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+ODD = [
+    (1, None, "en", None, None), (1, None, "en", None, None), (2, "", None, "s", 0), (3, "some words of text " * 9, "en", "s", 1), (None, "a text without an id " * 5, "en", "s", 2),
+    (None, "another text without an id, longer by some words, that nobody repeats", "en", None, 3), (4, "a text that repeats as a whole row and so is there once", "en", "s", 4), (4, "a text that repeats as a whole row and so is there once", "en", "s", 4),
+    (4, "quite another text under an id that has been used before, and longer", "de", "t", 5), (5, "z" * 200_000 + " " + "long words go on and on " * 9_000, "en", "t", 6),
+]
+
+
+def test_pipeline_stages_by_row(spark):
+    """Null and repeated ids, very long texts and empty tables, stage by stage."""
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda d: collections.Counter(tuple(r) for r in d.collect())
+    assert rows(stages["quality"](spark, odd, SF)) <= collections.Counter(ODD)
+    lines = rows(stages["lines"](spark, odd, SF))
+    assert sum(lines.values()) == len(ODD) and {(i, t) for i, t, *_ in lines} == {(i, t) for i, t, *_ in ODD}
+    assert rows(stages["near_duplicates"](spark, odd, SF)) == collections.Counter(ODD) - collections.Counter([ODD[6]])
+    mixed = rows(stages["mix"](spark, odd, SF))
+    assert set(mixed) <= set(ODD) and not any(t in (None, "") for _, t, *_ in mixed) and sum(mixed.values()) > 5
+    assert mixed == rows(stages["mix"](spark, odd.repartition(3), SF)) and mixed[ODD[6]] <= 4
     for d in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, SF)
         d.count()
+
+
+def test_pipeline_decisions(spark):
+    """Each stage does what its operator says, row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id % 9 = 0").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1))).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = brute_join(list(enumerate(t for _, t in texts)), corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILARITY)
+    groups = collections.defaultdict(list)
+    for k, (n, c) in found.items():
+        groups[c if n else (c, k)].append(texts[k])
+    first = lambda g: min(g, key=lambda r: (r[0] is None, r[0] or 0))
+    want = collections.Counter(first(g)[0] for g in groups.values())
+    got = stages["near_duplicates"](spark, docs, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == want
+    judged = quality.resample(docs, spark.read.parquet(f"{SF}/labels.parquet"), key=corpus_pipeline._key()).filter("kept")
+    assert stages["quality"](spark, docs, SF).count() == judged.count() < len(texts)
+    mixed = stages["mix"](spark, docs, SF)
+    size = mixed.select(mixing.n_words(F.col("text")).alias("n"), "source").groupBy("source").agg(F.sum("n").alias("n"))
+    goal = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    assert all(abs(r["n"] - goal[r["source"]]) < 0.35 * goal[r["source"]] for r in size.collect())
