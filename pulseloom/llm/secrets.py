@@ -22,11 +22,13 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+#: Matches that are placed at a time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """A character class: alphabet, window length and least entropy in bits."""
+    """A character class: alphabet, window length and least entropy in bits (to a rounding of 1e-9)."""
 
     kind: str
     alphabet: str
@@ -52,15 +54,18 @@ def _spans(text: Column, pattern: str, guard: Column, kind: str, order: int, kee
     between = F.split(text, pattern, -1)
     lengths = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("b"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("got")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.array_append(acc["got"], F.struct((acc["at"] + x["b"]).alias("s"), (acc["at"] + x["b"] + x["m"]).alias("e"))).alias("got"),
-        ),
-        lambda acc: acc["got"],
-    )
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = acc["at"] + x["b"], acc["at"] + x["b"] + x["m"]
+        return F.struct(e.alias("at"), F.array_append(acc["got"], F.struct(s.alias("s"), e.alias("e"))).alias("got"))
+
+    def block(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("got")), step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["got"], d["got"]).alias("got"))), F.lit(0))
+
+    # an array grows by copying, so the matches of a text with many are placed in blocks
+    blocks = F.get(F.transform(F.array(lengths), lambda all_: F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(BLOCK)), lambda k: F.slice(all_, k, BLOCK))), F.lit(0))
+    placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("got")), block, lambda acc: acc["got"])
     rows = F.zip_with(
         placed, found,
         lambda p, m: F.struct(p["s"].alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("kind"), p["e"].alias("e"), m.alias("m")),
@@ -72,29 +77,30 @@ def _spans(text: Column, pattern: str, guard: Column, kind: str, order: int, kee
 def _window_sql(c: EntropyClass) -> str:
     """SQL for the merged windows of high entropy in the candidate r, as array<struct<s,e>>.
 
-    `n` holds the count of each character of the alphabet in the window and `sum` the sum of
-    k*log2(k) over them, both updated by the character that enters and the one that leaves."""
-    w, n = c.window, len(c.alphabet)
+    `sum` holds the sum of k*log2(k) over the counts k of the window's characters. A step updates
+    the counts of two characters, x that enters and y that leaves; their counts before it are those
+    in the window's own few bytes (z.w), so no table of counts is copied."""
+    w = c.window
     weight = "array(" + ",".join(f"{k}D * log2({max(k, 1)}D)" for k in range(w + 2)) + ")"
+    count = lambda x: f"(length(z.w) - length(replace(z.w, {x}, '')))"
+    last = "b.got[greatest(size(b.got) - 1, 0)]"
     return f"""
       aggregate(
         sequence(0, length(r.m) - 1),
-        named_struct('n', array_repeat(0, {n}), 'sum', 0D, 'got', cast(array() as array<struct<s:int,e:int>>)),
+        named_struct('bytes', cast(r.m as binary), 'sum', 0D, 'got', cast(array() as array<struct<s:int,e:int>>)),
         (a, i) -> aggregate(
-          array(named_struct('x', instr('{c.alphabet}', substr(r.m, i + 1, 1)) - 1,
-                             'y', if(i >= {w}, instr('{c.alphabet}', substr(r.m, i - {w - 1}, 1)) - 1, -1))),
+          array(named_struct('x', cast(substr(a.bytes, i + 1, 1) as string), 'y', if(i >= {w}, cast(substr(a.bytes, i - {w - 1}, 1) as string), ''),
+                             'w', cast(substr(a.bytes, greatest(i - {w}, 0) + 1, least(i, {w})) as string))),
           a,
           (b, z) -> named_struct(
-            'n', transform(b.n, (k, j) -> k + if(j = z.x, 1, 0) - if(j = z.y, 1, 0)),
-            'sum', b.sum + if(z.x = z.y, 0D,
-                 {weight}[b.n[z.x] + 1] - {weight}[b.n[z.x]]
-                 + if(z.y < 0, 0D, {weight}[b.n[greatest(z.y, 0)] - 1] - {weight}[b.n[greatest(z.y, 0)]])),
+            'bytes', b.bytes,
+            'sum', b.sum + if(z.x = z.y, 0D, {weight}[{count('z.x')} + 1] - {weight}[{count('z.x')}]
+                 + if(z.y = '', 0D, {weight}[greatest({count('z.y')} - 1, 0)] - {weight}[{count('z.y')}])),
             'got', b.got),
-          b -> named_struct('n', b.n, 'sum', b.sum, 'got',
-            if(i < {w - 1} or log2({w}D) - b.sum / {w}D < {c.bits}D, b.got,
-              if(size(b.got) > 0 and b.got[greatest(size(b.got) - 1, 0)].e >= r.s + i - {w - 1},
-                 concat(slice(b.got, 1, size(b.got) - 1),
-                        array(named_struct('s', b.got[greatest(size(b.got) - 1, 0)].s, 'e', r.s + i + 1))),
+          b -> named_struct('bytes', b.bytes, 'sum', b.sum, 'got',
+            if(i < {w - 1} or log2({w}D) - b.sum / {w}D < {c.bits}D - 1e-9D, b.got,
+              if(size(b.got) > 0 and {last}.e >= r.s + i - {w - 1},
+                 concat(slice(b.got, 1, size(b.got) - 1), array(named_struct('s', {last}.s, 'e', r.s + i + 1))),
                  concat(b.got, array(named_struct('s', r.s + i - {w - 1}, 'e', r.s + i + 1))))))),
         a -> a.got)
     """

@@ -311,3 +311,68 @@ def test_skipped_elements_end(tree, start):
 def test_names_do_not_condemn_articles(tree, opened):
     want = html_text.main_text(f"<body><article>{STORY}</article></body>", tree)
     assert want and html_text.main_text(f"<body><{opened}>{STORY}</{opened.split()[0]}></body>", tree) == want
+
+
+def test_many_secrets_in_one_text(spark):
+    """More matches than are placed at a time, and a candidate of many windows."""
+    rng = random.Random(5)
+    many = " ".join(f"token={i:08x} x" for i in range(3000)) + " " + "".join(rng.choices(secrets.BASE64_CLASS.alphabet, k=20_000))
+    got = secrets.digest(secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string"))).first()
+    assert (got["n_assign"], got["n_access"], got["n_hex"], got["base_sha256"]) == brute_secrets(many) and got["n_assign"] == 3000
+
+
+def test_full_license_texts(spark):
+    """Full texts are found whole, also with words lost; of their shorter beginnings none is reported."""
+    names = [n for n in licenses.TEMPLATES if n.endswith("-text")]
+    rng, texts = random.Random(6), []
+    for n in names:
+        words = licenses.TEMPLATES[n].split()
+        gone = set(rng.sample(range(len(words)), len(words) // 12))
+        texts.append("Some lines before.\n" + licenses.TEMPLATES[n] + "\nand some words between\n" + " ".join(w for i, w in enumerate(words) if i not in gone))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, n in enumerate(names):
+        mine = sorted(((r["span_start"], r["license"], r["coverage"]) for r in got if r["doc_id"] == i))
+        assert [m[1] for m in mine] == [n, n] and mine[0][2] == 1.0 and 0.8 <= mine[1][2] < 1 and texts[i][mine[0][0] :].startswith(licenses.TEMPLATES[n][:20])
+
+
+def brute_quality(docs, good):
+    """Log weights from plain counts, one text at a time."""
+    import collections
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pulseloom.llm import textvec as tv
+
+    def grams(text):
+        out = collections.Counter()
+        for _, _, data, off in tv.chunks(pa.array([text or ""])):
+            for g, _ in quality._grams(data, off, quality.BUCKETS, quality.NGRAMS):
+                out.update(g.tolist())
+        return out
+
+    counts = [grams(t) for _, t in docs]
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), c in zip(docs, counts, strict=True):
+        raw.update(c)
+        if good.get(i):
+            target.update(c)
+    n, r, b = sum(target.values()), sum(raw.values()), quality.BUCKETS
+    ratio = lambda g: math.log((target[g] + 0.5) / (n + 0.5 * b)) - math.log((raw[g] + 0.5) / (r + 0.5 * b))
+    return np.array([sum(k * ratio(g) for g, k in c.items()) for c in counts])
+
+
+def test_quality_equals_plain_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = quality.resample(docs, labels).collect()
+    mine = dict(zip((i for i, _ in rows), brute_quality(rows, good), strict=True))
+    assert all(abs(r["log_weight"] - mine[r["doc_id"]]) < 1e-4 for r in got)
+    k = round(len(rows) * (1 - quality.STRICTNESS * (1 - sum(good.values()) / len(good))))
+    order = sorted((r["score"] for r in got), reverse=True)
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in got if r["score"] >= order[k - 1]}
+    noise = [r["score"] - r["log_weight"] for r in got]
+    assert len(set(noise)) == len(noise) and abs(sum(noise) / len(noise) - 0.5772) < 0.4  # Gumbel noise
