@@ -1,17 +1,28 @@
-"""Near-duplicate vectors within a label, by comparing all pairs that can link.
+"""Near-duplicate vectors within a label, by NN-descent and an exact check of what it missed.
 
-Equal vectors form a class with one representative. Each representative goes to the nearest of a
+Equal vectors form a class with one representative. Representatives of one label and length get
+first neighbours from small random-projection cells, in which all pairs are compared. Then rounds
+of NN-descent: around each node, its neighbours and reverse neighbours meet (a join of the
+neighbour table with itself through the node), their pairs are scored, and each keeps its best. A
+node whose list is full of links is saturated, and its list may grow to twice the length in the
+next round. An audit compares sample vectors with all rows; rounds end when it finds the recall
+asked for, or when few entries change, but never because the sample has no link. Entries of at
+least the threshold are the edges kept.
+
+Lists are bounded, so a dense group has more links than lists hold, and rare links may never be
+met. An exact check follows, which loses none: each representative goes to the nearest of a
 few seeded pivots, and a pivot's vectors of one label and length are cut in blocks of about BLOCK
 rows. By the triangle inequality of angles, two blocks can hold a link only if the angle of their
 pivots is at most the sum of their radii and of the link's own angle; the rows of all such pairs
 of blocks are compared. So every link is found and counted, whatever the size of a group and
-however rare links are; what pivots cannot tell apart costs time, not links. A square of two blocks gives,
-per linked row, its links and one row that it is tied to, so its result is never its pairs; the
-ties give the components.
+however rare links are; what pivots cannot tell apart costs time, not links. A square of two
+blocks gives, per linked row, its links and one row that it is tied to, so its result is never its
+pairs. The edges of the descent and these ties give the components.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
-and rows with a null label link with nothing and are their own components; vectors of unequal
-lengths do not link; a repeated id counts once in links, with one result row per row.
+and rows with a null id or label link with nothing and are their own components; vectors of unequal
+lengths do not link; a repeated id counts once in links, by its least label and vector, with one
+result row per row.
 """
 
 from __future__ import annotations
@@ -20,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textvec as tv
 from .common import bounded_broadcast, stored, tidy
 from .components import components, roots
 from .hnsw import usable
@@ -31,6 +43,13 @@ from .ngram_join import MAX_BROADCAST_ROWS
 #: Least cosine; vectors of one label and length for which there is a pivot, and most pivots;
 #: rows of a block and rows that are multiplied at a time.
 COSINE, CELL, MAX_PIVOTS, BLOCK, SLICE = 0.93, 1024, 1024, 2048, 512
+#: Descent: entries of a list at first and at most, rows of a cell of first neighbours, sets of
+#: cells, neighbours that meet at a time around one node, and most rounds.
+LIST, MAX_LIST, FIRST_CELL, PROJECTIONS, MEETING, MAX_ROUNDS = 8, 64, 256, 3, 96, 6
+#: Sample vectors of the audit, the recall of their links that ends the rounds, and the share of
+#: changed entries that does.
+AUDIT_ROWS, AUDIT_RECALL, FEW_CHANGES = 200, 0.95, 0.01
+_EDGES = "a bigint, b bigint, s double"
 
 
 def unit(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -57,6 +76,141 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], handle) -> Iter
         yield from handle(rest)
 
 
+def _units(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Unit vectors in single precision, kept as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+
+
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
+
+
+def as_units(nodes: DataFrame) -> DataFrame:
+    """(id, grp, width, u) of nodes (id, label, v, ...): label and length as one number, and the
+    unit vector as bytes; made once, as all rounds read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, out = batch.column(2).to_numpy(), np.empty(batch.num_rows, object)
+            for w in np.unique(widths):
+                at = np.flatnonzero(widths == w)
+                out[at] = [x.tobytes() for x in unit(batch.column(3).take(pa.array(at)), int(w)).astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out.tolist(), pa.binary())], names=["id", "grp", "width", "u"])
+
+    rows = nodes.withColumn("width", F.size("v")).select("id", F.xxhash64("label", "width").alias("grp"), "width", "v")
+    return stored(rows.mapInArrow(tidy(run), "id bigint, grp bigint, width int, u binary"), "units")
+
+
+def first_lists(units: DataFrame, k: int, cell: int, seed: int) -> DataFrame:
+    """Neighbours (a, b, s) from cells of one label and length whose vectors agree in the signs of
+    seeded random projections; a large cell is cut by hash."""
+    sizes = bounded_broadcast(stored(units.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "sizes"), MAX_BROADCAST_ROWS)
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, grp = batch.column(2).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            bits = np.ceil(np.log2(np.maximum(batch.column(4).to_numpy() / cell, 1))).astype(np.int64)
+            for p in range(PROJECTIONS):
+                code = np.zeros(batch.num_rows, np.int64)
+                for w in np.unique(widths):
+                    at = np.flatnonzero(widths == w)
+                    planes = np.random.default_rng([seed, p]).standard_normal((int(bits.max()), int(w)))
+                    up = (_units(batch.column(3).take(pa.array(at)), int(w)) @ planes.T > 0) @ (1 << np.arange(len(planes)))
+                    code[at] = up & ((1 << bits[at]) - 1)
+                g = tv.mix(grp + tv.mix((code * PROJECTIONS + p).astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0), batch.column(2), batch.column(3)], names=["g", "id", "width", "u"])
+
+    rows = units.join(sizes, "grp").select("id", "grp", "width", "u", "n").mapInArrow(tidy(signs), "g bigint, id bigint, width int, u binary")
+    rows = stored(rows, "cells")
+    cuts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (2 * cell)).cast("int").alias("cuts")).filter("cuts > 1")
+    cuts = bounded_broadcast(stored(cuts, "cuts"), MAX_BROADCAST_ROWS)
+    rows = rows.join(cuts, "g", "left").withColumn("g", F.xxhash64("g", F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("cuts", F.lit(1))))).drop("cuts")
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, u = t["id"].to_numpy(), _units(t["u"], t["width"][0].as_py())
+        m = min(k, len(ids) - 1)
+        for at in range(0, len(ids) if m > 0 else 0, 1024):
+            s = u[at : at + 1024] @ u.T
+            s[np.arange(len(s)), at + np.arange(len(s))] = -2
+            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            yield _edges(np.repeat(ids[at : at + 1024], m), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
+
+    dealt = rows.repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES)
+
+
+def best(edges: DataFrame, cosine: float, k: int, most: int) -> DataFrame:
+    """The best entries of each list: k, or up to `most` as long as they are links."""
+    w = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
+    ranked = edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+    return ranked.filter((F.col("r") <= k) | (F.col("s") >= cosine)).select("a", "b", "s", "r")
+
+
+def meet(lists: DataFrame, units: DataFrame, seed: int) -> DataFrame:
+    """Scored pairs of the neighbours and reverse neighbours of every node that better a list."""
+    both = lists.select(F.col("a").alias("at"), F.col("b").alias("id")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
+    known = units.select("id", "width", "u").join(lists.groupBy(F.col("a").alias("id")).agg(F.min("s").alias("worst")), "id", "left")
+    # a node that many lists hold is cut in seeded, bounded meetings; other rounds cut otherwise
+    many = both.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("cuts")).filter("cuts > 1")
+    cut = F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("cuts", F.lit(1)))
+    rows = both.join(bounded_broadcast(stored(many, "many"), MAX_BROADCAST_ROWS), "at", "left").withColumn("g", F.xxhash64("at", cut)).select("g", "id").join(known, "id")
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, u = t["id"].to_numpy(), _units(t["u"], t["width"][0].as_py())
+        worst = t["worst"].fill_null(-2.0).to_numpy()
+        s = u @ u.T
+        np.fill_diagonal(s, -2)
+        i, j = np.nonzero(s > worst[:, None])
+        if len(i):
+            yield _edges(ids[i], ids[j], s[i, j])
+
+    dealt = rows.select("g", "id", "width", "worst", "u").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES)
+
+
+def audit(units: DataFrame, lists: DataFrame, cosine: float, most: int, rows: int, seed: int) -> float | None:
+    """Of the links of at most `rows` sample vectors, found by comparing them with all rows, the
+    share that the lists hold; of a vector with more links than a list may hold, `most` count.
+    None if the sample has no link."""
+    sample = units.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
+    by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for key in {(r["grp"], r["width"]) for r in sample}:
+        own = [r for r in sample if (r["grp"], r["width"]) == key]
+        by[key] = np.array([r["id"] for r in own]), np.frombuffer(b"".join(r["u"] for r in own), np.float32).reshape(len(own), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for (g, w), (who, v) in by.items():
+                at = np.flatnonzero(grp == g)
+                if len(at):
+                    s = v @ _units(batch.column(3).take(pa.array(at)), w).T
+                    i, j = np.nonzero((s >= cosine) & (who[:, None] != ids[at]))
+                    yield _edges(who[i], ids[at][j], s[i, j])
+
+    true = units.mapInArrow(tidy(compare), _EDGES).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    have = lists.filter(F.col("s") >= cosine).groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    n, m = true.join(have, "a", "left").select(F.least("n", F.lit(most)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")).agg(F.sum("n"), F.sum(F.least("n", "m"))).first()
+    return m / n if n else None
+
+
+def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = FIRST_CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, list[dict]]:
+    """The neighbour table (a, b, s, r) and what each round changed and the audit found."""
+    size, log = k, []
+    lists = stored(best(first_lists(units, k, cell, seed), cosine, k, k), "lists")
+    for number in range(rounds):
+        saturated = not lists.filter((F.col("r") >= size) & (F.col("s") >= cosine)).isEmpty()
+        size = min(most, 2 * size) if saturated else size
+        old = lists
+        lists = stored(best(old.select("a", "b", "s").unionByName(meet(old, units, seed + number)), cosine, k, size), "lists")
+        changed, entries = lists.join(old, ["a", "b"], "left_anti").count(), lists.count()
+        recall = audit(units, lists, cosine, size, AUDIT_ROWS, seed + number)
+        log.append({"round": number, "list": size, "changed": changed, "recall": recall})
+        if changed <= FEW_CHANGES * entries or recall is not None and recall >= AUDIT_RECALL and not (saturated and size < most):
+            break
+    return lists, log
+
+
 def pivots_of(nodes: DataFrame, seed: int) -> dict[int, np.ndarray]:
     """At most MAX_PIVOTS vectors, by length."""
     found: dict[int, list[list[float]]] = {}
@@ -161,15 +315,19 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """Per row: id, n_links, component_id, kept."""
     ok = usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(ok, F.col(vector_col)).alias("v"))
-    one = stored(rows.filter(F.col("v").isNotNull()).dropDuplicates(["id"]).withColumn("h", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "label")), "vectors")
+    one = rows.filter(F.col("v").isNotNull()).groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v")
+    one = stored(one.withColumn("h", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "label")), "vectors")
     classes = one.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
     member = stored(one.select("id", "h", "h2").join(classes, ["h", "h2"]).select("id", "rep", "times"), "members")
     nodes = stored(one.join(member.filter("id = rep"), "id").select("id", "label", "v", "times"), "nodes")
+    lists, _ = descent(as_units(nodes), cosine, seed=seed)
+    # single precision: entries next to the threshold are left to the check
+    kept = lists.filter(F.col("s") >= cosine + 1e-5).select("a", "b")
     tied = ties(nodes, cosine, cell, block, seed)
-    found = stored(components(tied), "components")
+    found = stored(components(kept.unionByName(tied.select("a", "b"))), "components")
     links = tied.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of = member.join(found, F.col("rep") == F.col("node"), "left").join(links.withColumnRenamed("id", "_i"), F.col("rep") == F.col("_i"), "left")
     of = of.select(F.col("id").alias("_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of, F.col("id") == F.col("_id"), "left").select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
