@@ -1,17 +1,21 @@
 """The pipeline from raw documents to sampled token sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept.
-All but the last return the columns of documents. Rows that repeat an id share their fate, and
-null ids are never rejected by id.
+All but the last return the columns of documents.
+
+Defined results: each row is a document of its own, also with a null id or with the id of another
+row. Rows that repeat all columns share their fate in the first two stages; of them, as of all
+near duplicates, the third leaves one; the fourth adds up what it takes of them. Texts without
+words are no duplicates of anything, and mixing takes nothing of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm import line_dedup, mixing, ngram_join, quality, segments
-from pulseloom.llm.common import bounded_broadcast, read, stored
+from pulseloom.llm.common import bounded_broadcast, read, row_key, stored
 from pulseloom.llm.ngram_join import MAX_BROADCAST_ROWS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,17 +23,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """The documents whose ids are not among the rejected; texts are shuffled only if the ids
-    are too many to broadcast."""
-    ids = bounded_broadcast(stored(rejected.select("doc_id").distinct(), name), MAX_BROADCAST_ROWS)
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+def _key() -> Column:
+    """What tells rows apart."""
+    return row_key(*COLUMNS)
+
+
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """A table by row_key, written once; texts are shuffled to it only if it is too large to broadcast."""
+    return bounded_broadcast(stored(df, name), MAX_BROADCAST_ROWS)
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One of the equal rows of each repeated row_key, and all other rows. Only repeated rows are shuffled."""
+    if repeated.isEmpty():
+        return docs
+    return docs.join(repeated, "row_key", "left_anti").unionByName(docs.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling; the others go."""
-    judged = quality.resample(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter(~F.col("kept")), "rejected")
+    judged = quality.resample(docs, read(spark, sf_dir, "labels"), key=_key())
+    rejected = _few(judged.filter(~F.col("kept")).select("row_key").distinct(), "rejected")
+    return docs.withColumn("row_key", _key()).join(rejected, "row_key", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +56,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near duplicates."""
-    found = ngram_join.join(docs, n=SHINGLE_WORDS, percent=SIMILARITY)
-    return _without(docs, found.filter("doc_id <> component_id"), "duplicates")
+    found = ngram_join.join(docs, n=SHINGLE_WORDS, percent=SIMILARITY, key=_key()).filter("n_shingles > 0")
+    rows = stored(found.groupBy("row_key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 or not kept"), "not-alone")
+    left = docs.withColumn("row_key", _key()).join(_few(rows.filter("not kept").select("row_key"), "duplicates"), "row_key", "left_anti")
+    return _once(left, _few(rows.filter("kept").select("row_key"), "repeated")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many whole copies of a document as the words taken from it amount to: the fraction is
     rounded up with a seeded chance equal to it, so sources come near their targets."""
-    mixed = mixing.mix(docs)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + chance).cast("int")
-    taken = mixed.select("doc_id", copies.alias("copies")).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = bounded_broadcast(stored(taken, "copies"), MAX_BROADCAST_ROWS)
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    mixed = mixing.mix(docs, key=_key()).groupBy("row_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).filter("taken > 0")
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "row_key"), 11) / F.lit(float(1 << 53))
+    taken = mixed.withColumn("copies", F.floor(F.col("taken") / F.col("size") + chance).cast("int")).filter("copies > 0")
+    taken = stored(taken.select("row_key", "copies", "n"), "copies")
+    left = _once(docs.withColumn("row_key", _key()), _few(taken.filter("n > 1").select("row_key"), "repeated"))
+    left = left.join(bounded_broadcast(taken.select("row_key", "copies"), MAX_BROADCAST_ROWS), "row_key")
+    return left.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
