@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The five elements, in their significant order.
 ELEMENTS = ("wood", "fire", "earth", "metal", "water")
+# Texts of the elements, which outputs must match.
 ELEMENT_ROWS = [
     (0, "wood", "Wood", "Liver", "ambient_downtempo", "stagnation detected", "The Detox · Cleansing & Qi flow", "Low HRV detected — Liver Qi stagnation.", "Deep breathing steadies and restores Liver Qi."),
     (1, "fire", "Fire", "Heart", "lofi_chill_jazz", "restlessness detected", "The Vessel · Circulation & clarity", "Elevated resting heart rate — Heart Fire rising.", "Slow breathing settles Shen and draws Fire down."),

@@ -7,4 +7,3 @@ RING_READINESS = "user_id bigint, data array<struct<temperature_deviation:double
 FIT_HEART_RATE = "user_id bigint, bucket array<struct<dataset:array<struct<point:array<struct<startTimeNanos:string,endTimeNanos:string,value:array<struct<fpVal:double>>>>>>>>"
 PREFERENCES = "user_id bigint, ambient_optin boolean, ambient_optin_date string, preferred_volume double, cooldown_minutes int, disabled boolean, headphones_trusted boolean, session_count int, voiceover boolean"
 SESSION_LOG = "user_id bigint, session_id string, timestamp timestamp, element string, tier string, duration_seconds int, hrv_change_pct double"
-REQUEST = "user_id bigint, request_id bigint, ts timestamp, element string, tier string, mode string, force boolean, ambient_optin boolean, disabled boolean, headphones_trusted boolean, headphones boolean, audio_ok boolean, cooldown_minutes int"

@@ -154,3 +154,79 @@ def test_history(spark):
     log = spark.createDataFrame([(1, i, dt.datetime(2024, 1, 1 + i // 2)) for i in range(12)], "user_id bigint, session_no bigint, timestamp timestamp")
     assert [r["session_no"] for r in sessions.history_limit(log, 1).orderBy("rank").collect()] == [10, 11, 8, 9, 6]
     assert sessions.history_days(log, dt.datetime(2024, 1, 6), 2).count() == 4
+
+
+def test_a_key_of_many_dense_events(spark):
+    """One key without any gap passes through a task as a stream; what passes is exact."""
+    n = 300_000
+    e = spark.range(n).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"), (F.col("id") * 1000).alias("ms"))
+    got = gates.gate(e, ["user_id"], "ms", "event_id", 3_600_000).filter("passed").select("event_id").collect()
+    assert sorted(r[0] for r in got) == list(range(0, n, 3600))
+    r = e.limit(20_000).select("user_id", F.col("event_id").alias("request_id"), "ms", F.lit("ondemand").alias("mode"), *[F.lit(x).alias(c) for c, x in (("force", False), ("ambient_optin", True), ("disabled", False), ("headphones_trusted", True), ("headphones", True), ("audio_ok", True), ("cooldown_minutes", 30))])
+    playing = decide.decide_requests(r, 60_000).filter("status = 'playing'").select("ms").collect()
+    assert sorted(x[0] for x in playing) == list(range(0, 20_000_000, 1_800_000))
+
+
+def test_gate_without_time_or_key(spark):
+    e = spark.createDataFrame([(None, "a", 1, 0), (None, "a", 2, 5), (1, None, 3, None), (1, None, 4, 7), (1, "a", 5, 7), (None, None, 6, 1)], "user_id bigint, element string, event_id bigint, ms bigint")
+    got = {r["event_id"]: (r["passed"], r["waited_ms"]) for r in gates.gate(e, ["user_id", "element"], "ms", "event_id", 10).collect()}
+    assert got == {1: (True, None), 2: (False, 5), 3: (False, None), 4: (True, None), 5: (True, None), 6: (True, None)}
+
+
+def test_cooldowns_are_clamped(spark):
+    rows = [request(1, 0, cooldown_minutes=2880), request(2, 25 * 60, cooldown_minutes=-5), request(3, 25 * 60 + 1, cooldown_minutes=1)]
+    df = spark.createDataFrame(rows, "user_id bigint, request_id bigint, ms bigint, mode string, force boolean, ambient_optin boolean, disabled boolean, headphones_trusted boolean, headphones boolean, audio_ok boolean, cooldown_minutes int")
+    assert [r["status"] for r in decide.decide_requests(df, MIN).orderBy("request_id").collect()] == ["playing"] * 3
+    assert decide.decide_requests(df.limit(0), MIN).count() == 0
+
+
+def test_voiceover_switches(spark):
+    rows = [(1, 0, 1, True), (1, 1, 2, None), (1, 2, 3, None), (1, 3, 4, False), (1, 4, 5, True), (1, 5, 6, None), (1, 6, 7, True)]
+    df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ms bigint, switch boolean")
+    got = [(r["session_count"], r["voiceover"]) for r in prefs.session_counts(df, "ms", "event_id", False, "switch").orderBy("event_id").collect()]
+    assert got == [(0, True), (1, True), (2, True), (2, False), (2, True), (3, False), (3, True)]
+
+
+def test_preferences_are_saved(spark, tmp_path):
+    path = str(tmp_path / "prefs")
+    first = prefs.merge_preferences(spark.createDataFrame([(1, 2)], "user_id bigint, session_count int"), spark.createDataFrame([(2, 0.5)], "user_id bigint, preferred_volume double"))
+    prefs.save_preferences(first, path)
+    loaded = prefs.load_preferences(spark, path)
+    assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, first.collect()))
+    prefs.save_preferences(prefs.merge_preferences(loaded, spark.createDataFrame([(1, True)], "user_id bigint, disabled boolean")).filter("user_id = 1"), path)
+    (tmp_path / "prefs" / "broken.json").write_text("{")
+    assert {r["user_id"]: (r["disabled"], r["session_count"], r["preferred_volume"]) for r in prefs.load_preferences(spark, path).collect()} == {1: (True, 2, 0.3), 2: (False, 0, 0.5)}
+
+
+def test_session_log_grows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    row = [(1, "s1", dt.datetime(2024, 1, 1, 23, 30), "wood", "audio", 300, None)]
+    df = spark.createDataFrame(row, schemas.SESSION_LOG)
+    sessions.append_sessions(df.limit(0), path)
+    assert not (tmp_path / "log").exists()
+    sessions.append_sessions(df, path)
+    sessions.append_sessions(df.withColumn("session_id", F.lit("s2")), path)
+    assert sorted(r["session_id"] for r in spark.read.parquet(path).collect()) == ["s1", "s2"]
+
+
+def test_one_source_fails_alone(spark, tmp_path):
+    hr = vendor.parsed(spark.createDataFrame([('{"user_id":1,"data":[{"bpm":60,"timestamp":"2024-01-01T00:00:00Z"}]}',)], "json string"), schemas.RING_HEART_RATE)
+
+    def broken():
+        raise RuntimeError("no answer")
+
+    path = str(tmp_path / "samples")
+    got = vendor.sync_sources({"oura": lambda: vendor.ring_heart_rate(hr), "google_fit": broken, "other": None}, path)
+    assert got == [{"source": "oura", "samples_pushed": 1, "error": None}, {"source": "google_fit", "samples_pushed": 0, "error": "no answer"}, {"source": "other", "samples_pushed": 0, "error": "No token found"}]
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_utc_days_in_another_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        hr = vendor.parsed(spark.createDataFrame([('{"user_id":1,"data":[{"temperature_deviation":0.5,"day":"2024-01-02"},{"temperature_deviation":0.5,"day":"2023-12-30"}]}',)], "json string"), schemas.RING_READINESS)
+        s = vendor.ring_readiness(hr)
+        assert sorted(r[0] for r in s.select(F.unix_seconds("start_time")).collect()) == [1703894400, 1704153600]
+        assert vendor.since(s, dt.datetime.fromtimestamp(1704153600 + 3600, dt.UTC)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
