@@ -5,7 +5,7 @@ A draw is an integer in [low, high] taken from the MD5 of its key, so any engine
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom import dims
@@ -67,6 +67,17 @@ def starts(rows: DataFrame, ms: str, element: str) -> DataFrame:
         "duration_seconds": F.lit(dims.SESSION_SECONDS).cast("long"), "breathing_rate_bpm": F.lit(dims.BREATHS_PER_MINUTE)})
 
 
+def audio_files(spark: SparkSession, folders: list[str], legacy: list[str] | None = None) -> DataFrame:
+    """(path, name, legacy) of the files of some folders, those of `legacy` marked; a folder in
+    both lists gives its files twice. Only names are read, no contents."""
+    out = None
+    for group, old in ((folders, False), (legacy or [], True)):
+        if group:
+            found = spark.read.format("binaryFile").load(group).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(old).alias("legacy"))
+            out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "path string, name string, legacy boolean") if out is None else out
+
+
 def pick_file(files: DataFrame, element: str, task: str, seed: int = 0) -> DataFrame:
     """One path at random among exact and numbered tracks of any folder, or, if there is none,
     among the element's tracks of the folder marked `legacy`. files: (path, name, legacy)."""

@@ -230,3 +230,13 @@ def test_utc_days_in_another_zone(spark):
         assert vendor.since(s, dt.datetime.fromtimestamp(1704153600 + 3600, dt.UTC)).count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_audio_files(spark, tmp_path):
+    for folder, name in (("a", "wood_breathing.m4a"), ("a", "notes.txt"), ("b", "fire_x.m4a")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text("x")
+    files = synth.audio_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], [str(tmp_path / "b")])
+    assert sorted((r["name"], r["legacy"]) for r in files.collect()) == [("fire_x.m4a", False), ("fire_x.m4a", True), ("notes.txt", False), ("wood_breathing.m4a", False)]
+    assert synth.pick_file(files, "wood", "breathing").first()[0].endswith("a/wood_breathing.m4a")
+    assert synth.pick_file(files, "fire", "breathing").first()[0].endswith("b/fire_x.m4a") and synth.audio_files(spark, []).count() == 0
