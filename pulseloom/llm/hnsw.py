@@ -7,9 +7,10 @@ a flat array of neighbour numbers, built by inserting nodes in growing batches.
 the levels and search the lowest with a beam; scores of what they find are computed again in
 double precision from the original vectors, and the shards' lists are merged.
 
-Defined results: vectors that are null, empty, zero, of another length than most in their
-shard's table, or hold null or non-finite components take no part, as queries or candidates;
-rows with the same id count once; ties go to the smaller id; a query with fewer than k
+Defined results: vectors that are null, empty, zero, of another length than most vectors of the
+table (of lengths as frequent, the least), or hold null or non-finite components take no part, as
+queries or candidates; rows with the same id count once, by their least vector; rows without an id
+take no part; ties go to the smaller id; a query with fewer than k
 candidates gets them all. Input columns other than id and vector are ignored.
 """
 
@@ -27,7 +28,7 @@ from .common import stored
 
 #: Rows of a shard; queries that one task searches; neighbours per node on upper levels (twice
 #: on the lowest); beams while building and searching.
-SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH = 8192, 16384, 12, 64, 192
+SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH = 32768, 16384, 12, 64, 192
 
 
 def usable(vector: str) -> Column:
@@ -279,7 +280,10 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, s
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """The k nearest of all other vectors for each query."""
-    good = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(id_col, vector_col).dropDuplicates([id_col])
-    asked = queries.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(id_col, vector_col).dropDuplicates([id_col])
+    one = lambda df: df.filter(usable(vector_col) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(vector_col).alias(vector_col))
+    good = stored(one(vectors), "vectors")
+    lengths = good.groupBy(F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").first()
+    dim = F.size(vector_col) == (lengths["dim"] if lengths else 0)
+    good, asked = good.filter(dim), stored(one(queries).filter(dim), "queries")
     shards = max(1, -(-good.count() // shard_rows))
     return search(build(good, id_col, vector_col, shards), asked, id_col, vector_col, shards, k, asked.count(), ef)
