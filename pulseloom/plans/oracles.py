@@ -116,7 +116,7 @@ _SLEEP = """sl AS (SELECT user_id, m AS metric_type, v AS value, u AS unit, ms A
     SELECT *, 'heart_rate_variability' AS m, CASE WHEN event_id % 2 = 0 THEN value END AS v, 'ms' AS u FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)
     UNION ALL SELECT *, 'resting_heart_rate', CASE WHEN event_id % 3 <> 0 THEN value END, 'bpm' FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)
     UNION ALL SELECT *, 'sleep_analysis', CASE WHEN event_id % 5 = 0 THEN 0.0 END, 'seconds' FROM (SELECT * EXCLUDE (unit, metric_type) FROM ev)) WHERE v IS NOT NULL)"""
-_READY = """rd AS (SELECT user_id, 'body_temperature' AS metric_type, 36.8::DOUBLE + round(value / 100, 2) AS value, 'celsius' AS unit, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS start_ms,
+_READY = """rd AS (SELECT user_id, 'body_temperature' AS metric_type, 36.8::DOUBLE + value / 100 AS value, 'celsius' AS unit, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS start_ms,
     epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) + 86399000 AS end_ms, 'oura' AS source FROM ev WHERE event_id % 3 <> 0 AND value IS NOT NULL)"""
 _VENDOR = f"{_EV}, {_HR}, {_SLEEP}, {_READY}, vs AS (SELECT * FROM hr UNION ALL SELECT * FROM sl UNION ALL SELECT * FROM rd)"
 

@@ -68,7 +68,7 @@ def ring_sleep_json(ev: DataFrame) -> DataFrame:
 
 def ring_readiness_json(ev: DataFrame) -> DataFrame:
     k = F.col("event_id")
-    day = lambda d: F.struct(F.when(k % 3 != 0, F.round(F.col("value") / 100, 2)).alias("temperature_deviation"), d.alias("day"))
+    day = lambda d: F.struct(F.when(k % 3 != 0, F.col("value") / 100).alias("temperature_deviation"), d.alias("day"))
     return ev.select(_json(user_id=F.col("user_id"), data=F.array(day(F.date_format("ts", "yyyy-MM-dd")), day(F.lit("")))))
 
 
