@@ -172,7 +172,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         _, _, start, end, _ = lines(data, off)
         return shingles(data, start, end, shingle)
 
-    found = stored(links(members, texts, percent, flat), "components")
+    found = stored(links(members, texts, percent, flat, light=True), "components")
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
     group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))
     kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep.k", "keep.place")

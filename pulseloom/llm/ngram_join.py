@@ -4,13 +4,12 @@ A document's set is kept as sorted 64-bit hashes. Equal sets form a class with o
 representative, and only representatives are joined. Sets of similar size share a band; in a
 band, a set is dealt into m parts by hash range, where m exceeds the number of differences that
 two linked sets can have, so at least one part is equal; its hash, with band and part, names a
-tile. The members of a tile go to one task with their sets, or, where a tile is large, to one
-task per square of two blocks of members. There, bit counts of hashed bitmaps bound overlaps
-from above, what they leave is settled by exact intersection of the sorted arrays, and the task
-gives out a spanning forest of the links that it found: fewer rows than it has members.
-
-In a large tile, members are first compared with its least one; squares follow only if the tile
-then still holds several components, and none of two blocks of its largest component.
+tile. First each member is compared with one of its tiles' leads (their least members), the one
+that it shares most tiles with. In tiles that then still hold several components, bit counts of hashed bitmaps bound overlaps from above; each member is
+compared with the one that may be most alike, and members that may link with still others go to one task with their sets, or, where a tile is large, to one task per square of
+two blocks of members, but none of two blocks of its largest component. There, what the bounds do
+not rule out is settled by exact intersection of the sorted arrays, and the task gives out a
+spanning forest of the links that it found: fewer rows than it has members.
 
 m is always more than the greatest number of differences, so no link is missed at any size.
 
@@ -29,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,8 +45,9 @@ BLOCK, BLOCK_BYTES = 512, 1 << 21
 FEW = 8
 #: Rows of tiles, and bytes of sets, that a task compares at a time.
 CHUNK_ROWS, CHUNK_BYTES = 1024, 1 << 20
-#: Least bits of the bitmaps per element of a set.
-BITS = 8
+#: Least bits of the bitmaps per element of a set, where sets are at hand and where bitmaps are
+#: sent in their place.
+BITS, SENT_BITS = 8, 8
 #: Rows of one tile key that may be sorted in one task; keys are counted in KEY_BUCKETS first.
 HOT_ROWS, KEY_BUCKETS = 1_000_000, 1 << 12
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
@@ -204,11 +205,15 @@ class Members:
         return (same > 0) & (100 * same >= self.percent * (size + self.n[q] - same))
 
 
-def few_links(m: Members, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Links (node, root) that unite what links within runs of rows that start at first[i] and hold
+def few_links(m: Members, first: np.ndarray, count: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Links that unite the components within runs of rows that start at first[i] and hold
     count[i] <= FEW rows: all rows are compared with the first of their run, then those that are
     still apart with each other."""
-    done, root = [], np.arange(len(m.n))
+    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    _, one, of = np.unique(np.stack([np.repeat(first, count), component[at]], 1), axis=0, return_index=True, return_inverse=True)
+    root = np.arange(len(m.n))
+    root[at] = at[one[of.ravel()]]
+    known, done = (at, root[at]), [(at[:0], at[:0])]
     for xs in ((0,), range(1, FEW)):
         starts = [(first[count > y], x, y) for x in xs for y in range(x + 1, FEW)]
         p, q = (np.concatenate([f + z[k] for f, *z in starts] or [first[:0]]) for k in (0, 1))
@@ -218,10 +223,11 @@ def few_links(m: Members, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         p, q = p[near], q[near]
         hit = m.linked(p, q)
         done.append((p[hit], q[hit]))
-        node, up = roots(*(np.concatenate(c) for c in zip(*done, strict=True)))
+        node, up = roots(*(np.concatenate(c) for c in zip(known, *done, strict=True)))
         root[node] = up
-    node = np.flatnonzero(root != np.arange(len(root)))
-    return np.stack([node, root[node]], 1)
+    # of the links found, at most one per row: the last round's components, by their links alone
+    node, up = roots(*(np.concatenate(c) for c in zip(*done, strict=True)))
+    return np.stack([node, up], 1)[node != up]
 
 
 def spanning(m: Members, at: np.ndarray, side: np.ndarray | None, component: np.ndarray) -> list[tuple[int, int]]:
@@ -255,53 +261,55 @@ def spanning(m: Members, at: np.ndarray, side: np.ndarray | None, component: np.
 Flat = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], compare: Callable[[pa.Table, list[int]], list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Call compare(table, ends of its groups) on sorted rows as soon as there are enough of them;
+    a group is never cut."""
+    rest: list[pa.RecordBatch] = []
+    size = 0
+
+    def done(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal rest, size
+        t = pa.Table.from_batches(rest).combine_chunks()
+        new = np.flatnonzero(np.any([(c := t[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)) + 1
+        ends = [*new.tolist(), t.num_rows] if last else new.tolist()
+        if ends:
+            yield from compare(t.slice(0, ends[-1]), ends)
+            t = t.slice(ends[-1])
+        rest, size = t.to_batches(), t.nbytes
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK_ROWS):
+            rest.append(whole.slice(at, CHUNK_ROWS))
+            size += rest[-1].nbytes
+            if size >= CHUNK_BYTES or sum(r.num_rows for r in rest) >= CHUNK_ROWS:
+                yield from done(False)
+    if rest:
+        yield from done(True)
+
+
 def forest(rows: DataFrame, keys: list[str], percent: int, flat: Flat) -> DataFrame:
     """Links (a, b) that unite what links within each group of rows: (keys..., id, component, own,
     s). flat turns a column of s into the concatenated hashes of the sets and their edges. With
     keys (key, i, j) a group is a square: if i < j, only rows of block i (own) and j are compared."""
     square = len(keys) > 1
 
-    def compare(t: pa.Table, ends: list[int]) -> pa.RecordBatch:
+    def compare(t: pa.Table, ends: list[int]) -> list[pa.RecordBatch]:
         ids, comp = t["id"].to_numpy(), t["component"].to_numpy()
         m = Members(*flat(t["s"].combine_chunks()), percent)
         starts = np.array([0, *ends[:-1]])
         count = np.array(ends) - starts
-        few = count <= FEW if not square else np.zeros(len(count), bool)
-        links = [few_links(m, starts[few], count[few])]
+        few = count <= FEW if not square else (count <= FEW) & (t["i"].to_numpy()[starts] == t["j"].to_numpy()[starts])
+        links = [few_links(m, starts[few], count[few], comp)]
         for a, e in zip(starts[~few], np.array(ends)[~few], strict=True):
             side = None
             if square and (i := t["i"][int(a)].as_py()) != t["j"][int(a)].as_py():
                 side = t["own"].slice(int(a), int(e - a)).to_numpy() == i
             links.append(np.array(spanning(m, np.arange(a, e), side, comp[a:e]), np.int64).reshape(-1, 2))
         both = np.concatenate(links)
-        return pa.RecordBatch.from_arrays([pa.array(ids[both[:, 0]]), pa.array(ids[both[:, 1]])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups are compared as soon as there are enough rows of them."""
-        rest: list[pa.RecordBatch] = []
-        size = 0
-
-        def done(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, size
-            t = pa.Table.from_batches(rest).combine_chunks()
-            new = np.flatnonzero(np.any([(c := t[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)) + 1
-            ends = [*new.tolist(), t.num_rows] if last else new.tolist()
-            if ends:
-                yield compare(t.slice(0, ends[-1]), ends)
-                t = t.slice(ends[-1])
-            rest, size = t.to_batches(), t.nbytes
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK_ROWS):
-                rest.append(whole.slice(at, CHUNK_ROWS))
-                size += rest[-1].nbytes
-                if size >= CHUNK_BYTES or sum(r.num_rows for r in rest) >= CHUNK_ROWS:
-                    yield from done(False)
-        if rest:
-            yield from done(True)
+        return [pa.RecordBatch.from_arrays([pa.array(ids[both[:, 0]]), pa.array(ids[both[:, 1]])], names=["a", "b"])]
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(tidy(lambda b: by_group(b, keys, compare)), "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
@@ -310,8 +318,13 @@ def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            # as many pairs at a time as have some bytes of sets
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, "right"))
+                part = batch.slice(at, min(max(end - at, 1), 512))
+                at += part.num_rows
                 (x, ex), (y, ey) = flat(part.column(2)), flat(part.column(3))
                 m, n = Members(np.concatenate([x, y]), np.concatenate([ex, ex[-1] + ey[1:]]), percent), part.num_rows
                 p = np.arange(n)
@@ -323,45 +336,136 @@ def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> Dat
     return both.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
-def open_squares(large: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, i, j, own, id, component) of the large tiles that hold several components: a row per
-    square of two blocks for each member. Blocks of the largest component do not meet each other.
+def open_groups(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, i, j, own, id, component) of the tiles that hold several components. A tile of one block
+    is one group (i = j); of a larger one each square of two blocks is, with a row for each of its
+    members, but no two blocks of its largest component meet.
 
-    large: (key, id, w), w the bytes of the member's set."""
+    rows: (key, id, w), w the bytes of the member's set."""
     label = found.select(F.col("node").alias("id"), "component")
-    rows = stored(large.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    rows = stored(rows.select("key", "id", "w").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    of = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.max(F.struct("n", "component", "w")).alias("_m"), F.sum("n").alias("_n"), F.sum("w").alias("_w"))
+    of = each.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("_m"), F.sum("n").alias("_n"), F.sum("w").alias("_w"))
     of = of.filter("_m.n < _n")
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES)).cast("int")
-    of = of.select("key", "_main", blocks(F.col("_m.n"), F.col("_m.w")).alias("_first"), blocks(F.col("_n") - F.col("_m.n"), F.col("_w") - F.col("_m.w")).alias("_rest"))
+    one = (F.col("_n") <= BLOCK) & (F.col("_w") <= BLOCK_BYTES)
+    first, rest = blocks(F.col("_m.n"), F.col("_m.w")), blocks(F.col("_n") - F.col("_m.n"), F.col("_w") - F.col("_m.w"))
+    of = of.select("key", F.col("_m.component").alias("_main"), F.when(one, 0).otherwise(first).alias("_first"), F.when(one, 1).otherwise(rest).alias("_rest"))
     rows, h = rows.join(of, "key"), F.xxhash64("id", F.lit(5))
-    main = F.col("component") == F.col("_main")
-    rows = rows.withColumn("own", F.when(main, F.pmod(h, F.col("_first"))).otherwise(F.col("_first") + F.pmod(h, F.col("_rest"))).cast("int"))
+    main = (F.col("component") == F.col("_main")) & (F.col("_first") > 0)
+    rows = rows.withColumn("own", F.when(main, F.pmod(h, F.greatest("_first", F.lit(1)))).otherwise(F.col("_first") + F.pmod(h, F.col("_rest"))).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.when(main, F.col("_first")).otherwise(0), F.col("_first") + F.col("_rest") - 1)))
     return rows.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "component")
 
 
-def links(members: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit per hash, in a power of two of bits that is at least SENT_BITS times the size of the set."""
+    bits = max(64, 1 << (max(SENT_BITS * len(s), 1) - 1).bit_length())
+    map_ = np.zeros(bits, bool)
+    map_[(tv.mix(s) & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(map_).tobytes()
+
+
+def bitmaps(have: DataFrame, flat: Flat) -> DataFrame:
+    """(id, n, bits) of (id, s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                h, edges = flat(part.column(1))
+                own = [tv.distinct(h[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([bitmap(x) for x in own], pa.binary())], names=["id", "n", "bits"])
+
+    return have.select("id", "s").mapInArrow(tidy(run), "id bigint, n bigint, bits binary")
+
+
+def not_ruled_out(groups: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Of groups, as open_groups gives them with n and bits, what bit counts leave: the rows that may
+    link with a row of another component of their group, or, with nearest, pairs (a, b) of each such
+    row and the one that may be most alike. No more rows than went in, either way."""
+    keys = ["key", "i", "j"]
+
+    def best_of(bits: list[bytes], n: np.ndarray, component: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+        """Of each row the row of another component that may be most alike, or -1."""
+        least = min(len(b) for b in bits)
+        # bits that fold onto each other are united; the bound stays one
+        maps = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, least), 0) for b in bits]).view(_U)
+        best, like = np.full(len(n), -1), np.full(len(n), -1.0)
+        for x in range(len(n)):
+            if side is not None and not side[x]:
+                continue
+            other = component != component[x]
+            if side is None:
+                other[:x] = False
+            else:
+                other &= ~side
+            at = np.flatnonzero(other)
+            over = np.minimum(n[x] - np.bitwise_count(maps[x] & ~maps[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(maps[at] & ~maps[x]).sum(1, dtype=np.int64))
+            ok = (over > 0) & (100 * over >= percent * (n[x] + n[at] - over))
+            at, sim = at[ok], over[ok] / (n[x] + n[at[ok]] - over[ok])
+            if len(at):
+                more = sim > like[at]
+                best[at[more]], like[at[more]] = x, sim[more]
+                k = int(sim.argmax())
+                if sim[k] > like[x]:
+                    best[x], like[x] = at[k], sim[k]
+        return best
+
+    def compare(t: pa.Table, ends: list[int]) -> list[pa.RecordBatch]:
+        n, comp, own, i, j, ids = (t[c].to_numpy() for c in ("n", "component", "own", "i", "j", "id"))
+        bits, best, a = t["bits"].to_pylist(), np.full(t.num_rows, -1), 0
+        for e in ends:
+            found = best_of(bits[a:e], n[a:e], comp[a:e], own[a:e] == i[a] if i[a] != j[a] else None)
+            best[a:e] = np.where(found < 0, -1, found + a)
+            a = e
+        keep = best >= 0
+        if nearest:
+            x, y = ids[keep], ids[best[keep]]
+            return [pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])]
+        return t.drop_columns(["n", "bits"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    dealt = groups.repartition(*keys).sortWithinPartitions(*keys)
+    out = dealt.mapInArrow(tidy(lambda b: by_group(b, keys, compare)), "a bigint, b bigint" if nearest else "key bigint, i int, j int, own int, id bigint, component bigint")
+    return out.distinct() if nearest else out
+
+
+def links(members: DataFrame, have: DataFrame, percent: int, flat: Flat, light: bool) -> DataFrame:
     """Components (node, component) of the links among tile members. have: (id, s).
 
-    Of tiles with the same members one is enough. Tiles of one block are compared whole; in
-    larger ones each member is compared with the least one first."""
+    Of tiles with the same members one is enough. light: a set is so small that it is sent to each
+    small tile of its member at once, where otherwise each member is first compared with a lead and
+    bitmaps are sent before sets."""
     rows = members.join(have.select("id", F.length("s").alias("w")), "id")
     tile = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_set"))
     tile = tile.groupBy("_n", "_set").agg(F.min(F.struct("key", "_w")).alias("_k"))
     tile = tile.select("_k.key", ((F.col("_n") > BLOCK) | (F.col("_k._w") > BLOCK_BYTES)).alias("_large"))
     rows = stored(rows.join(tile, "key"), "members")
-    small = rows.filter("not _large").select("key", "id", F.col("id").alias("component"), F.lit(0).alias("own"))
-    good = forest(small.join(have, "id"), ["key"], percent, flat)
-    large = rows.filter("_large")
-    star = large.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    good = stored(good.unionByName(verified(star, have, percent, flat)), "links")
+    rest = rows.filter("_large") if light else rows
+    # of a member's leads the one that leads most of its tiles, and so shares most parts with it
+    star = (rest if light else members).filter("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
+    star = star.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("n", (-F.col("lead")).alias("lead"))).alias("_l")).select((-F.col("_l.lead")).alias("a"), "b")
+    good = verified(star, have, percent, flat)
+    if light:
+        small = rows.filter("not _large").select("key", "id", F.col("id").alias("component"), F.lit(0).alias("own"))
+        good = good.unionByName(forest(small.join(have, "id"), ["key"], percent, flat))
+    good = stored(good, "links")
     found = components(good)
-    squares = stored(open_squares(large.select("key", "id", "w"), found), "squares")
-    if squares.isEmpty():
+    groups = stored(open_groups(rest, found), "groups")
+    if not light and not groups.isEmpty():
+        # pairs of nearest ones first: many groups hold the same pair, whose sets are then sent once
+        maps = stored(bitmaps(have.join(groups.select("id").distinct(), "id", "left_semi"), flat), "bitmaps")
+        marked = lambda g: g.join(maps, "id").select(*groups.columns, "n", "bits")
+        pairs = stored(not_ruled_out(marked(groups), percent, True), "pairs")
+        good = good.unionByName(stored(verified(pairs, have, percent, flat), "links"))
+        found = components(good)
+        # a row that could link with none before cannot now: components only grow
+        able = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        groups = open_groups(rest, found).join(able, "id", "left_semi").select(*groups.columns)
+        groups = stored(not_ruled_out(marked(groups), percent, False), "groups")
+    if groups.isEmpty():
         return found
-    more = forest(squares.join(have, "id"), ["key", "i", "j"], percent, flat)
+    more = forest(groups.join(have, "id"), ["key", "i", "j"], percent, flat)
     return components(good.unionByName(stored(more, "links")))
 
 
@@ -394,8 +498,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     # sets are made anew, for the documents of tiles only
     texts = docs.select(F.col(id_col).cast("long").alias("_i"), key.alias("k"), F.col(text_col).alias("text")).join(wanted, "k")
     texts = texts.filter(F.col("_i").eqNullSafe(F.col("_id"))).select("row", "text")
-    arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary").dropDuplicates(["id"]), "arrays")
-    found = stored(links(members, arrays, percent, as_hashes), "components")
+    arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary"), "arrays")
+    if arrays.count() > wanted.count():  # rows that repeat id and text
+        arrays = stored(arrays.dropDuplicates(["id"]), "arrays")
+    found = stored(links(members, arrays, percent, as_hashes, light=False), "components")
     found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
     out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))
     # the least id of each component of several rows, and the row that bears it
