@@ -6,8 +6,8 @@ of NN-descent: around each node, its neighbours and reverse neighbours meet (a j
 neighbour table with itself through the node), their pairs are scored, and each keeps its best. A
 node whose list is full of links is saturated, and its list may grow to twice the length in the
 next round. An audit compares sample vectors with all rows; rounds end when it finds the recall
-asked for, or when few entries change, but never because the sample has no link. Entries of at
-least the threshold are the edges kept.
+asked for, or when a round after the first brings few new links; a sample without a link ends
+nothing. Entries of at least the threshold are the edges kept.
 
 Lists are bounded, so a dense group has more links than lists hold, and rare links may never be
 met. An exact check follows, which loses none: each representative goes to the nearest of a
@@ -47,7 +47,7 @@ COSINE, CELL, MAX_PIVOTS, BLOCK, SLICE = 0.93, 1024, 1024, 2048, 512
 #: cells, neighbours that meet at a time around one node, and most rounds.
 LIST, MAX_LIST, FIRST_CELL, PROJECTIONS, MEETING, MAX_ROUNDS = 8, 64, 256, 3, 96, 6
 #: Sample vectors of the audit, the recall of their links that ends the rounds, and the share of
-#: changed entries that does.
+#: new ones among the links of the lists that does.
 AUDIT_ROWS, AUDIT_RECALL, FEW_CHANGES = 200, 0.95, 0.01
 _EDGES = "a bigint, b bigint, s double"
 
@@ -195,7 +195,7 @@ def audit(units: DataFrame, lists: DataFrame, cosine: float, most: int, rows: in
 
 
 def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = FIRST_CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, list[dict]]:
-    """The neighbour table (a, b, s, r) and what each round changed and the audit found."""
+    """The neighbour table (a, b, s, r), and per round the new links and what the audit found."""
     size, log = k, []
     lists = stored(best(first_lists(units, k, cell, seed), cosine, k, k), "lists")
     for number in range(rounds):
@@ -203,10 +203,11 @@ def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int =
         size = min(most, 2 * size) if saturated else size
         old = lists
         lists = stored(best(old.select("a", "b", "s").unionByName(meet(old, units, seed + number)), cosine, k, size), "lists")
-        changed, entries = lists.join(old, ["a", "b"], "left_anti").count(), lists.count()
+        linked = lists.filter(F.col("s") >= cosine)
+        changed, entries = linked.join(old, ["a", "b"], "left_anti").count(), linked.count()
         recall = audit(units, lists, cosine, size, AUDIT_ROWS, seed + number)
         log.append({"round": number, "list": size, "changed": changed, "recall": recall})
-        if changed <= FEW_CHANGES * entries or recall is not None and recall >= AUDIT_RECALL and not (saturated and size < most):
+        if number and changed <= FEW_CHANGES * entries or recall is not None and recall >= AUDIT_RECALL and not (saturated and size < most):
             break
     return lists, log
 
