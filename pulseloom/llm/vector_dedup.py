@@ -146,10 +146,13 @@ def best(edges: DataFrame, cosine: float, k: int, most: int) -> DataFrame:
     return ranked.filter((F.col("r") <= k) | (F.col("s") >= cosine)).select("a", "b", "s", "r")
 
 
-def meet(lists: DataFrame, units: DataFrame, seed: int) -> DataFrame:
-    """Scored pairs of the neighbours and reverse neighbours of every node that better a list."""
+def meet(lists: DataFrame, units: DataFrame, cosine: float, size: int, seed: int) -> DataFrame:
+    """Scored pairs of the neighbours and reverse neighbours of every node that better a list, or
+    that are links where a list of links alone may still grow to `size`."""
     both = lists.select(F.col("a").alias("at"), F.col("b").alias("id")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
-    known = units.select("id", "width", "u").join(lists.groupBy(F.col("a").alias("id")).agg(F.min("s").alias("worst")), "id", "left")
+    state = lists.groupBy(F.col("a").alias("id")).agg(F.min("s").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    worst = F.when((F.col("_n") < size) & (F.col("_s") >= cosine), F.lit(cosine)).otherwise(F.col("_s")).alias("worst")
+    known = units.select("id", "width", "u").join(state.select("id", worst), "id", "left")
     # a node that many lists hold is cut in seeded, bounded meetings; other rounds cut otherwise
     many = both.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("cuts")).filter("cuts > 1")
     cut = F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("cuts", F.lit(1)))
@@ -160,6 +163,8 @@ def meet(lists: DataFrame, units: DataFrame, seed: int) -> DataFrame:
         worst = t["worst"].fill_null(-2.0).to_numpy()
         s = u @ u.T
         np.fill_diagonal(s, -2)
+        if len(ids) > size:  # a list takes no more
+            worst = np.maximum(worst, np.nextafter(-np.partition(-s, size - 1, axis=1)[:, size - 1], -2, dtype=s.dtype))
         i, j = np.nonzero(s > worst[:, None])
         if len(i):
             yield _edges(ids[i], ids[j], s[i, j])
@@ -202,7 +207,7 @@ def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int =
         saturated = not lists.filter((F.col("r") >= size) & (F.col("s") >= cosine)).isEmpty()
         size = min(most, 2 * size) if saturated else size
         old = lists
-        lists = stored(best(old.select("a", "b", "s").unionByName(meet(old, units, seed + number)), cosine, k, size), "lists")
+        lists = stored(best(old.select("a", "b", "s").unionByName(meet(old, units, cosine, size, seed + number)), cosine, k, size), "lists")
         linked = lists.filter(F.col("s") >= cosine)
         changed, entries = linked.join(old, ["a", "b"], "left_anti").count(), linked.count()
         recall = audit(units, lists, cosine, size, AUDIT_ROWS, seed + number)

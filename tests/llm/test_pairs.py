@@ -122,7 +122,7 @@ def near_copies(rng, n, size, changes):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 6, "HOT_ROWS": 5, "MAX_BROADCAST_ROWS": 0}, {"BLOCK_BYTES": 3000, "FEW": 2, "MAX_BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("bounds", [{"BLOCK": 6, "HOT_ROWS": 5, "MAX_BROADCAST_ROWS": 0}, {"BLOCK_BYTES": 3000, "FEW": 2, "MAX_BROADCAST_ROWS": 0}])
 def test_join_rows(spark, monkeypatch, bounds):
     """Null ids, ids with several texts, large tiles, hot keys, and no broadcasts."""
     for k, v in bounds.items():
@@ -348,9 +348,8 @@ def test_vector_lobes_are_joined(spark):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     best = np.argsort(-(u @ u.T), axis=1)[:, 1:65]
     assert ((best < 300) == (np.arange(600) < 300)[:, None]).all() and sum((u[:300] @ u[300:].T >= 0.93).ravel()) > 50_000
-    for cell, block in ((vector_dedup.CELL, 100), (50, vector_dedup.BLOCK)):
-        got = vector_dedup.dedup(vectors_frame(spark, x, label), cell=cell, block=block).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and sum(r["kept"] for r in got) == 1
+    got = vector_dedup.dedup(vectors_frame(spark, x, label), cell=50, block=100).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and sum(r["kept"] for r in got) == 1
 
 
 def test_rare_vector_links_are_all_found(spark):
@@ -366,9 +365,8 @@ def test_rare_vector_links_are_all_found(spark):
     want = brute_vectors(x, label)
     assert sum(n for n, _ in want.values()) == 80
     df = vectors_frame(spark, x, label)
-    for options in ({"cell": 8}, {"seed": 5}):
-        got = vector_dedup.dedup(df, **options).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    got = vector_dedup.dedup(df, cell=8, seed=5).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
 
 
 def split(vocab, text, keys, k):
@@ -468,10 +466,11 @@ def test_pipeline_stages_by_row(spark):
     mixed = rows(stages["mix"](spark, odd, SF))
     assert set(mixed) <= set(ODD) and not any(t in (None, "") for _, t, *_ in mixed) and sum(mixed.values()) > 5
     assert mixed == rows(stages["mix"](spark, odd.repartition(3), SF)) and mixed[ODD[6]] <= 4
-    for d in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            d = stage(spark, d, SF)
-        d.count()
+    assert stages["pieces"](spark, odd, SF).select("doc_id").distinct().count() == 5
+    none = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0
 
 
 def test_pipeline_decisions(spark):
@@ -494,3 +493,23 @@ def test_pipeline_decisions(spark):
     size = mixed.select(mixing.n_words(F.col("text")).alias("n"), "source").groupBy("source").agg(F.sum("n").alias("n"))
     goal = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
     assert all(abs(r["n"] - goal[r["source"]]) < 0.35 * goal[r["source"]] for r in size.collect())
+
+
+def test_descent_finds_links(spark):
+    """NN-descent by itself finds nearly all links of clusters that its lists can hold, and says so."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal((60, 24))
+    x = np.concatenate([c + 0.12 * rng.standard_normal((10, 24)) for c in centre])
+    label = np.zeros(len(x), int)
+    df = vectors_frame(spark, x, label).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    lists, log = vector_dedup.descent(vector_dedup.as_units(df), k=4, cell=32)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero((u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)), strict=True)}
+    got = {(r["a"], r["b"]) for r in lists.filter("s >= 0.93").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and log[-1]["list"] > 4 and log[-1]["recall"] >= 0.9
+
+
+def test_vectors_of_unequal_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1.0, 0.0], 1), (3, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (0, 4, True), None: (0, None, True)}  # of id 3 the least vector counts
