@@ -207,7 +207,7 @@ def test_quality_edges(spark):
     df = clashing(spark, EDGES)
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (9, 1), (None, 1), (1, None)], "doc_id long, quality int")
     a = quality.resample(df, labels, keep_share=0.5)
-    assert a.columns == ["doc_id", "log_weight", "score", "kept"] and a.count() == 7 and a.filter("kept").count() >= 4
+    assert a.columns == ["doc_id", "row_key", "log_weight", "score", "kept"] and a.count() == 7 and a.filter("kept").count() >= 4
     assert sorted(map(str, a.collect())) == sorted(map(str, quality.resample(df.repartition(3), labels, keep_share=0.5).collect()))
     assert quality.resample(df, labels.limit(0)).filter("log_weight <> 0").count() == 0
     assert quality.resample(df.limit(0), labels).count() == 0
