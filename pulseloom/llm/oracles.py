@@ -103,4 +103,20 @@ OP4 = f"""WITH tx AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
 FROM tx LEFT JOIN ag ON tx.k = ag.k"""
 
-ORACLES = {"op4_secret_scan": OP4, "op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM {table}"
+
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents), i AS (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+  dt AS (SELECT k, term, count(*) AS tf FROM ({_terms('d', 'k')}) GROUP BY k, term), it AS (SELECT q, term, count(*) AS qf FROM ({_terms('i', 'q')}) GROUP BY q, term),
+  dn AS (SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM dt GROUP BY k), tot AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM dn),
+  dm AS (SELECT k, 100 - 75 + ((75 * n * nd) // l) AS m FROM dn, tot),
+  w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM dt, tot GROUP BY term, nd),
+  sc AS (SELECT q, k, CAST(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM it JOIN dt USING (term) JOIN w USING (term) JOIN dm USING (k) GROUP BY q, k),
+  rk AS (SELECT q, k, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS r FROM sc JOIN d USING (k) WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM rk JOIN i USING (q) JOIN d USING (k) WHERE r <= 10"""
+
+ORACLES = {"op12_ranked_search": OP12, "op4_secret_scan": OP4, "op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}

@@ -15,7 +15,7 @@ def plain(v):
 
 def rows_of_sql(folder, sql):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'/*.parquet' if folder != SF else ''}'")
     res = con.execute(sql)
     names = [d[0] for d in res.description]
@@ -34,7 +34,7 @@ def test_equals_sql(spark, name):
     same(registry.queries()[name](spark, SF), *rows_of_sql(SF, oracles.ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_join", "op4_secret_scan", "op10_source_mix"])
+@pytest.mark.parametrize("name", ["op2_ngram_join", "op4_secret_scan", "op10_source_mix", "op12_ranked_search"])
 def test_odd_rows_equal_sql(spark, tmp_path, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     k = F.col("doc_id")
@@ -42,6 +42,11 @@ def test_odd_rows_equal_sql(spark, tmp_path, name):
     none = docs.filter(k % 9 == 0).withColumn("text", F.when(k % 2 == 0, ""))
     docs.unionByName(again).unionByName(none).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(str(tmp_path / "embeddings.parquet"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    other = items.filter("item_id % 3 = 0").withColumn("text", F.upper("text")).withColumn("item_id", F.when(F.col("item_id") % 2 == 0, F.col("item_id")))
+    items = items.unionByName(other).unionByName(items.filter("item_id % 5 = 0")).unionByName(items.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for folder in (tmp_path, tmp_path / "other"):
+        items.write.parquet(str(folder / "benchmark.parquet"))
     same(registry.queries()[name](spark, str(tmp_path)), *rows_of_sql(tmp_path, oracles.ORACLES[name]))
     # dealt in another way, the same rows
     docs.unionByName(again).unionByName(none).repartition(7).write.parquet(str(tmp_path / "other" / "documents.parquet"))
