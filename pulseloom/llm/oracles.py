@@ -119,4 +119,19 @@ OP12 = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM docume
   rk AS (SELECT q, k, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS r FROM sc JOIN d USING (k) WHERE score > 0)
 SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM rk JOIN i USING (q) JOIN d USING (k) WHERE r <= 10"""
 
-ORACLES = {"op12_ranked_search": OP12, "op4_secret_scan": OP4, "op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), CAST(4294967295 AS BIGINT))"""
+
+OP11 = f"""WITH cv AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+  tt AS (SELECT r, t, row_number() OVER () AS id, len(regexp_extract_all(t, '{_WORD}')) AS words FROM (SELECT DISTINCT r, t FROM cv)),
+  cl AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, substr(sha256(length(r) || ':' || r || t), 1, 32)) AS ts FROM cv JOIN tt USING (r, t) GROUP BY conv_id),
+  rb AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM (SELECT *, {_CRC32.format(c='conv_id')} % 4 AS h FROM cl) c LEFT JOIN cl b ON b.conv_id = c.conv_id - c.conv_id % 20),
+  ex AS (SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS d, ts FROM rb),
+  nd AS (SELECT ts[1:d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM ex GROUP BY ALL),
+  ch AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nd WHERE depth > 0 GROUP BY 1),
+  sv AS (SELECT nd.p, nd.depth, coalesce((n_convs - 1) * words, 0) AS saved, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM nd LEFT JOIN tt ON tt.id = nd.p[nd.depth] LEFT JOIN ch ON ch.p = nd.p),
+  up AS (SELECT p[1:k] AS p, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM sv) GROUP BY 1)
+SELECT nd.conv_id, nd.depth, pa.conv_id AS parent_conv_id, nd.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(nd.ends) AS ends_sha256
+FROM nd JOIN up ON up.p = nd.p LEFT JOIN ch ON ch.p = nd.p LEFT JOIN nd pa ON nd.depth > 0 AND pa.p = nd.p[1:nd.depth - 1]"""
+
+ORACLES = {"op11_prefix_trie": OP11, "op12_ranked_search": OP12, "op4_secret_scan": OP4, "op2_ngram_join": OP2, "op8_vector_dedup": OP8, "op10_source_mix": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, html_text, lexical, licenses, line_dedup, mixing, ngram_join, oracles, packing, quality, secrets, segments, vector_dedup
+from . import hnsw, html_text, lexical, licenses, line_dedup, mixing, ngram_join, oracles, packing, prefix_trie, quality, secrets, segments, vector_dedup
 from .common import read
 
 
@@ -53,6 +53,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, sf_dir, "conversations"))).drop("key")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
@@ -63,7 +67,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op7_nearest_neighbours, op8_vector_dedup, op9_sampled_pieces, op10_source_mix, op12_ranked_search, op13_best_fit_packing]
+    found = [op1_html_text, op2_ngram_join, op3_line_dedup, op4_secret_scan, op5_license_scan, op6_quality_resampling, op7_nearest_neighbours, op8_vector_dedup, op9_sampled_pieces, op10_source_mix, op11_prefix_trie, op12_ranked_search, op13_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
