@@ -227,7 +227,7 @@ def _dealt(items: DataFrame, size: int, bins: int, level: int) -> tuple[DataFram
     out = ", ".join([f"`{c}` {k}" for c, k in kinds] + ["bin bigint", "offset bigint", "filled bigint"])
     # a seeded hash of the whole row, then the row itself: a task that is run again packs alike
     dealt = items.withColumn("_h", F.xxhash64(F.lit(23), *[x for c in names for x in (F.col(c).isNull(), F.col(c))]))
-    dealt = (dealt.repartition(parts, "_h") if parts > 1 else dealt.coalesce(1)).sortWithinPartitions("_h", *names).drop("_h")
+    dealt = (dealt.repartition(parts, "_h") if parts > 1 else dealt.repartition(1)).sortWithinPartitions("_h", *names).drop("_h")
     packed = stored(dealt.mapInArrow(tidy(run), out), "packed")
     placed = packed.filter("filled is null").drop("filled")
     return placed, None if parts == 1 else packed.filter("filled is not null").select("bin", F.col("filled").alias("length"))
