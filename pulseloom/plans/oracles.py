@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pulseloom import dims
+from pulseloom.operators import replay
 
-from .queries import AS_OF, CALL_LIMIT, DAY_MS, DEVICES, GATE_HOURS, HISTORY_DAYS, HOUR_MS, KINDS, PRACTICES, SESSION_HOURS, TTL_HOURS
+from .queries import AS_OF, CALL_LIMIT, DAY_MS, DEVICES, GATE_HOURS, HISTORY_DAYS, HOUR_MS, KINDS, PRACTICES, REPLAY_LIMIT, REPLAY_SESSION_HOURS, REPLAY_TTL_HOURS, SESSION_HOURS, TTL_HOURS
 
 _EV = """ev AS (
   SELECT user_id, event_id, event_type, value, ts, epoch_us(ts) // 1000 AS ms,
@@ -79,6 +80,55 @@ _GUARD = f"""{_REQ}, fold AS (
     FROM (SELECT q.user_id, q.rn, q.request_id, q.ms, q.mode, {_STEP} AS status, p.ae, p.oe, p.se FROM fold p JOIN rq q ON q.user_id = p.user_id AND q.rn = p.rn + 1))"""
 
 
+_TOOL = """CASE event_type WHEN 'view' THEN 'get_wellness_state' WHEN 'click' THEN 'start_breathing_session' WHEN 'signup' THEN 'set_monitoring'
+      WHEN 'purchase' THEN (CASE WHEN k < 40 THEN 'get_session_result' WHEN k < 70 THEN 'stop_session' ELSE 'get_session_history' END)
+      ELSE (CASE WHEN k < 30 THEN 'status' WHEN k < 50 THEN 'connect_source' WHEN k < 70 THEN 'get_element_detail' WHEN k < 80 THEN 'no_such_tool' WHEN k < 90 THEN 'get_wellness_state' WHEN k < 95 THEN 'clear_cooldown' ELSE 'invalidate_cache' END) END"""
+_TOOLS = ", ".join(_text(t) for t in replay.TOOLS)
+#: Preferences: name, start, and the value that a request gives (null: none).
+_GIVEN = [
+    ("ambient_optin", "false", "CASE WHEN tool = 'restore' THEN user_id % 2 = 0 WHEN event_type = 'signup' AND k % 3 < 2 THEN k % 3 = 0 END"), ("disabled", "false", "CASE WHEN event_type = 'signup' AND k % 5 < 3 THEN k % 10 = 0 END"),
+    ("preferred_volume", "CAST(0.3 AS DOUBLE)", "CASE WHEN event_type = 'signup' AND k % 4 = 0 THEN greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), k / 40.0::DOUBLE)) END"),
+    ("cooldown_minutes", "CAST(30 AS BIGINT)", "CAST(CASE WHEN tool = 'restore' THEN greatest(1, user_id % 4 * 200) WHEN event_type = 'signup' AND k % 5 = 4 THEN greatest(1, least(1440, k * 20 - 100)) END AS BIGINT)"),
+    ("headphones_trusted", "false", "CASE WHEN event_type = 'signup' AND k % 6 < 2 THEN k % 6 = 0 END"), ("voiceover", "true", "CASE WHEN event_type = 'signup' AND k % 7 < 2 THEN k % 7 = 0 END"),
+]
+_STATES = "ca, sn, ss, sm, pe, ae, oe, stn, nct"
+_KEEP = ", ".join(p for p, _, _ in _GIVEN)
+#: One step per request: what the request is before the state is asked, what it meets, and what it leaves.
+_REPLAY = f"""ek AS (SELECT ev.*, CAST(json_extract(e.props, '$.k') AS INTEGER) AS k FROM ev JOIN events e ON e.event_id = ev.event_id),
+  ta AS (SELECT user_id, event_id AS request_id, ms, event_type, k, {_TOOL} AS tool, CASE WHEN k % 17 = 3 THEN 'plastic' WHEN k % 17 = 4 THEN '' ELSE element END AS element FROM ek
+    UNION ALL SELECT user_id, -1, min(ms), NULL, NULL, 'restore', NULL FROM ev GROUP BY user_id),
+  tb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, request_id) AS rn, tool IN ('restore', 'clear_cooldown', 'invalidate_cache') AS control, coalesce(element = 'plastic', false) AS bad, user_id % 5 = 0 AS mock,
+    CASE WHEN k % 3 = 0 THEN 'ambient' WHEN k % 3 = 1 THEN 'ondemand' END AS asked_mode, coalesce(k % 13 <> 1, true) AS backend_ok, coalesce(k % 9 <> 1, true) AS state_ok, {", ".join(f"{g} AS g_{p}" for p, _, g in _GIVEN)} FROM ta),
+  tc AS (SELECT *, NOT control AND NOT bad AND NOT mock AS counted FROM tb),
+  td AS (SELECT *, CASE WHEN counted THEN count(*) FILTER (counted) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) END AS calls FROM tc),
+  tq AS (SELECT *, CASE WHEN control THEN NULL WHEN bad THEN 'Invalid element ' || element WHEN calls > {REPLAY_LIMIT} THEN 'limit' WHEN tool NOT IN ({_TOOLS}) THEN 'Unknown tool ' || tool END AS before, CASE WHEN counted THEN greatest(0, {REPLAY_LIMIT} - calls) END AS calls_left FROM td),
+  fo AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS ms, CAST(0 AS BIGINT) AS request_id, '' AS tool, '' AS error, '' AS status, CAST(0 AS BIGINT) AS calls_left, CAST(0 AS BIGINT) AS cache_age_seconds, false AS synced, CAST(0 AS BIGINT) AS state_no,
+      CAST(0 AS BIGINT) AS session_no, '' AS session_mode, CAST(0 AS BIGINT) AS duration_played, CAST(0 AS BIGINT) AS remaining_minutes,
+      CAST(NULL AS BIGINT) AS ca, CAST(NULL AS BIGINT) AS sn, CAST(NULL AS BIGINT) AS ss, CAST(NULL AS VARCHAR) AS sm, CAST(0 AS BIGINT) AS pe, CAST(0 AS BIGINT) AS ae, CAST(0 AS BIGINT) AS oe, CAST(0 AS BIGINT) AS stn, CAST(0 AS BIGINT) AS nct,
+      {", ".join(f"{v} AS {p}" for p, v, _ in _GIVEN)} FROM (SELECT DISTINCT user_id FROM tq)
+    UNION ALL
+    SELECT user_id, rn, ms, request_id, tool, CASE WHEN before IS NOT NULL THEN before WHEN failed THEN (CASE WHEN tool = 'get_wellness_state' THEN 'state' ELSE 'backend' END) END,
+      CASE WHEN before IS NOT NULL OR failed THEN NULL WHEN control THEN 'done' WHEN hit THEN 'cached' WHEN fresh THEN 'fresh' WHEN guard IS NOT NULL THEN guard WHEN result THEN 'result' WHEN tool = 'stop_session' THEN (CASE WHEN sn IS NULL THEN 'no_active_session' ELSE 'stopped' END)
+        WHEN tool = 'status' THEN 'status' WHEN tool = 'set_monitoring' THEN 'updated' WHEN tool = 'get_element_detail' THEN 'detail' WHEN tool = 'get_session_history' THEN 'history'
+        ELSE (CASE WHEN k % 4 = 3 THEN 'error' WHEN mock AND k % 4 = 2 THEN 'mock_mode' WHEN mock THEN 'error' WHEN backend_ok THEN 'started' ELSE 'backend_error' END) END,
+      calls_left, CASE WHEN hit THEN (ms - ca + 500) // 1000 WHEN fresh THEN 0 END, CASE WHEN asks AND NOT hit THEN k % 7 = 0 AND NOT mock END, CASE WHEN made THEN stn + 1 END,
+      CASE WHEN plays THEN request_id WHEN shows THEN sn END, CASE WHEN plays THEN mode WHEN shows THEN sm END, CASE WHEN plays THEN 0 WHEN shows THEN (ms - ss + 500) // 1000 END, CASE WHEN guard = 'cooldown' THEN CAST(ceil((wait - ms) / 60000.0) AS BIGINT) END,
+      CASE WHEN made THEN ms WHEN result OR (control AND tool = 'invalidate_cache') THEN NULL ELSE ca END,
+      CASE WHEN plays THEN request_id WHEN gone THEN NULL ELSE sn END, CASE WHEN plays THEN ms WHEN gone THEN NULL ELSE ss END, CASE WHEN plays THEN mode WHEN gone THEN NULL ELSE sm END, CASE WHEN plays THEN ms + {REPLAY_SESSION_HOURS * HOUR_MS} ELSE pe END,
+      CASE WHEN plays AND mode = 'ambient' THEN ms + cooldown_minutes * 60000 WHEN tool = 'clear_cooldown' AND coalesce(asked_mode, '') <> 'ondemand' THEN 0 ELSE ae END, CASE WHEN plays AND mode = 'ondemand' THEN ms + cooldown_minutes * 60000 WHEN tool = 'clear_cooldown' AND coalesce(asked_mode, '') <> 'ambient' THEN 0 ELSE oe END,
+      stn + CAST(made AS BIGINT), CASE WHEN tool = 'restore' THEN user_id % 3 ELSE nct + CAST(plays AS BIGINT) END,
+      {", ".join(f"CASE WHEN saves THEN coalesce(g_{p}, {p})" + (" WHEN plays THEN voiceover AND nct + 1 < 3" if p == "voiceover" else "") + f" ELSE {p} END" for p, _, _ in _GIVEN)}
+    FROM (SELECT *, before IS NULL AND tool = 'get_wellness_state' AS asks,
+        asks AND k % 7 <> 0 AND ca IS NOT NULL AND ms - ca <= {REPLAY_TTL_HOURS * HOUR_MS} AS hit, coalesce(hit, false) IS FALSE AND asks AND (mock OR state_ok) AS fresh,
+        coalesce(asked_mode, 'ondemand') AS mode, CASE WHEN coalesce(asked_mode, 'ondemand') = 'ambient' THEN ae ELSE oe END AS wait, before IS NULL AND tool = 'start_breathing_session' AS starts, starts AND NOT disabled AND NOT (mode = 'ambient' AND NOT ambient_optin) AS meets,
+        CASE WHEN NOT starts THEN NULL WHEN disabled THEN 'disabled' WHEN NOT meets THEN 'requires_optin' WHEN sn IS NOT NULL AND ms < pe THEN 'session_active' WHEN k % 11 <> 0 AND ms < wait THEN 'cooldown'
+          WHEN NOT (mode = 'ondemand' AND headphones_trusted) AND k % 8 = 2 THEN (CASE WHEN mode = 'ambient' THEN 'skipped_no_headphones' ELSE 'no_headphones' END) WHEN NOT (mock OR backend_ok) THEN 'backend' WHEN k % 10 = 3 THEN 'audio_error' ELSE 'playing' END AS guard,
+        coalesce(guard = 'playing', false) AS plays, before IS NULL AND tool = 'get_session_result' AND (mock OR backend_ok) AS result, coalesce(fresh, false) OR (result AND (mock OR state_ok)) AS made,
+        coalesce(guard = 'backend', false) OR (asks AND NOT coalesce(hit, false) AND NOT fresh) OR (before IS NULL AND tool IN ('get_session_result', 'get_element_detail', 'get_session_history') AND NOT (mock OR backend_ok)) AS failed,
+        coalesce(hit, false) OR fresh OR (before IS NULL AND tool IN ('status', 'stop_session')) AS shows, (before IS NULL AND tool = 'stop_session') OR (meets AND sn IS NOT NULL AND ms >= pe) AS gone, (before IS NULL AND tool = 'set_monitoring') OR tool = 'restore' AS saves
+      FROM (SELECT q.*, {", ".join("p." + c for c in _STATES.split(", "))}, {", ".join("p." + c for c, _, _ in _GIVEN)} FROM fo p JOIN tq q ON q.user_id = p.user_id AND q.rn = p.rn + 1)))"""
+
+
 def _draw(key: str, name: str, low: str, high: str) -> str:
     return f"({low} + CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{name}'), 1, 8)) AS BIGINT) % ({high} - {low} + 1))"
 
@@ -198,6 +248,7 @@ ORACLES = {
     "session_identifiers": f"WITH {_EV} SELECT event_id, {_sess('ms')} AS session_id FROM ev",
     "voiceover_state": f"""WITH {_EV}, s AS (SELECT user_id, event_id, event_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_count
         FROM ev WHERE event_type IN ('purchase', 'signup')) SELECT user_id, event_id, session_count, (event_type = 'signup' OR session_count < 3) AS voiceover FROM s""",
+    "request_replay": f"WITH RECURSIVE {_EV}, {_REPLAY} SELECT user_id, ms, request_id, tool, error, status, calls_left, cache_age_seconds, synced, state_no, session_no, session_mode, duration_played, remaining_minutes, {_KEEP}, nct AS session_count FROM fo WHERE rn > 0",
     "guard_decision": f"WITH RECURSIVE {_GUARD} SELECT user_id, request_id, mode, status, remaining_minutes FROM fold WHERE rn > 0",
     "active_sessions": f"""WITH RECURSIVE {_GUARD}, s AS (SELECT * FROM fold WHERE status = 'playing'), v AS (SELECT user_id, event_id AS read_id, ms FROM ev WHERE event_type = 'view'),
         j AS (SELECT v.user_id, v.read_id, v.ms, s.request_id, s.mode, s.ms AS start_ms, v.ms < s.ms + {SESSION_HOURS * HOUR_MS} AS live FROM v ASOF LEFT JOIN s ON v.user_id = s.user_id AND v.ms >= s.ms)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseloom import dims, schemas
 from pulseloom.functions import scalars as S
-from pulseloom.operators import decide, gates, prefs, sessions, state
+from pulseloom.operators import decide, gates, prefs, replay, sessions, state
 from pulseloom.sources import adapters, synth, vendor
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
@@ -24,6 +24,8 @@ DEVICES = ("MacBook Pro Speakers", "USB DAC", None, " Mac mini ", "AirPods Pro",
 KINDS = ("Headset", None, "Mouse", "Speaker")
 PRACTICES = ("meditation", "zhan_zhuang", None, "", "breathing")
 GATE_HOURS, TTL_HOURS, SESSION_HOURS, CALL_LIMIT = 6, 6, 6, 7
+#: The replay's limit of calls a day, and how long a session and a cached state last.
+REPLAY_LIMIT, REPLAY_SESSION_HOURS, REPLAY_TTL_HOURS = 3, 8, 40
 AS_OF, HISTORY_DAYS = dt.datetime(1998, 1, 1), 90
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +136,12 @@ def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.decide_requests(r, SESSION_HOURS * HOUR_MS).select("user_id", "request_id", "mode", "status", "remaining_minutes")
 
 
+def request_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests of all users, each answered from the state that those before it have left."""
+    asked = adapters.tool_requests(adapters.events(spark, sf_dir))
+    return replay.replay(asked, REPLAY_SESSION_HOURS * HOUR_MS, REPLAY_TTL_HOURS * HOUR_MS, REPLAY_LIMIT)
+
+
 def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the events that view, those that meet a running session."""
     e = adapters.events(spark, sf_dir)
@@ -345,7 +353,7 @@ QUERIES: list[Query] = [
     session_history_days, session_result, session_identifiers, voiceover_state, guard_decision, active_sessions, before_after, breathing_script,
     preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields, voiceover_switched, ring_samples,
     readiness_samples, fit_samples, lookback_samples, sync_summary, sync_requests, connected_sources, device_rules, token_rules,
-    request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers,
+    request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers, request_replay,
 ]
 
 

@@ -105,6 +105,29 @@ def requests(ev: DataFrame) -> DataFrame:
         (F.col("user_id") % 3 == 0).alias("headphones_trusted"), (k % 5 != 0).alias("headphones"), (k % 13 != 0).alias("audio_ok"), F.lit(720).alias("cooldown_minutes"))
 
 
+def tool_requests(ev: DataFrame) -> DataFrame:
+    """Requests of all tools: the kind of an event and the number in its properties say what is
+    asked for. Every fifth user is in mock mode; a user's preferences are restored at the first event."""
+    k = F.from_json("props", "k int")["k"]
+    kind = F.col("event_type")
+    tool = (
+        F.when(kind == "view", "get_wellness_state").when(kind == "click", "start_breathing_session").when(kind == "signup", "set_monitoring")
+        .when(kind == "purchase", F.when(k < 40, "get_session_result").when(k < 70, "stop_session").otherwise("get_session_history"))
+        .otherwise(F.when(k < 30, "status").when(k < 50, "connect_source").when(k < 70, "get_element_detail").when(k < 80, "no_such_tool").when(k < 90, "get_wellness_state").when(k < 95, "clear_cooldown").otherwise("invalidate_cache")))
+    on = lambda when, value: F.when((kind == "signup") & when, value)
+    asked = ev.select(
+        "user_id", F.col("event_id").alias("request_id"), "ms", tool.alias("tool"), F.when(k % 17 == 3, "plastic").when(k % 17 == 4, "").otherwise(F.col("element")).alias("element"),
+        F.when(k % 3 == 0, "ambient").when(k % 3 == 1, "ondemand").alias("mode"), F.when(k % 4 == 0, "oura").when(k % 4 == 1, "google_fit").when(k % 4 == 2, "apple_watch").otherwise("scales").alias("source"),
+        (k % 11 == 0).alias("force"), (k % 7 == 0).alias("force_refresh"), (F.col("user_id") % 5 == 0).alias("mock"), (k % 13 != 1).alias("backend_ok"), (k % 9 != 1).alias("state_ok"), (k % 8 != 2).alias("headphones"), (k % 10 != 3).alias("audio_ok"),
+        on(k % 3 < 2, k % 3 == 0).alias("ambient_optin"), on(k % 5 < 3, k % 10 == 0).alias("disabled"), on(k % 4 == 0, k / 40).alias("preferred_volume"), on(k % 5 == 4, k * 20 - 100).alias("cooldown_minutes"), on(k % 6 < 2, k % 6 == 0).alias("headphones_trusted"), on(k % 7 < 2, k % 7 == 0).alias("voiceover"),
+        F.lit(None).cast("bigint").alias("session_count"))
+    none = lambda c: F.lit(None).cast(dict(asked.dtypes)[c]).alias(c)
+    given = {"tool": F.lit("restore"), "ambient_optin": F.col("user_id") % 2 == 0, "cooldown_minutes": (F.col("user_id") % 4 * 200).cast("int"), "session_count": F.col("user_id") % 3}
+    first = ev.groupBy("user_id").agg(F.min("ms").alias("ms"))
+    kept = first.select("user_id", F.lit(-1).cast("bigint").alias("request_id"), "ms", *[given[c].alias(c) if c in given else none(c) for c in asked.columns[3:]])
+    return kept.unionByName(asked)
+
+
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
