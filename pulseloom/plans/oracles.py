@@ -182,6 +182,10 @@ ORACLES = {
         FROM ev WHERE event_type IN ('purchase', 'signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING))
         SELECT user_id, event_id, session_count, CASE WHEN event_type = 'purchase' AND session_count >= 3 THEN false ELSE coalesce(switched, false) END AS voiceover FROM s""",
     "ring_samples": f"WITH {_EV}, {_HR}, {_SLEEP} SELECT * FROM hr UNION ALL SELECT * FROM sl",
+    "landed_samples": f"WITH {_EV}, {_HR}, {_SLEEP} SELECT * FROM hr UNION ALL SELECT * FROM sl",
+    "checked_documents": """WITH d AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 13 AS k FROM events)
+      SELECT event_id, CASE WHEN k IN (0, 2, 4) THEN 'unreadable' WHEN k = 1 THEN 'empty' WHEN k = 3 THEN 'no user' END AS reason, CASE WHEN k = 5 THEN event_type END AS device,
+        CASE WHEN k >= 5 THEN CAST(CASE WHEN k = 5 THEN 2 ELSE 0 END AS BIGINT) END AS n_rescued, CASE WHEN k >= 5 THEN CAST(1 AS BIGINT) END AS n_readings FROM d""",
     "readiness_samples": f"WITH {_EV}, {_READY} SELECT * FROM rd",
     "fit_samples": f"WITH {_EV} SELECT user_id, 'heart_rate' AS metric_type, value, 'bpm' AS unit, ms AS start_ms, ms + 1000 AS end_ms, 'google_fit' AS source FROM ev WHERE event_id % 4 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AND value IS NOT NULL",
     "lookback_samples": f"""WITH {_VENDOR}, n AS (SELECT (max(ms) // {DAY_MS} - 1) AS day FROM ev)

@@ -17,6 +17,7 @@ from pulseloom import dims, schemas
 from pulseloom.functions import scalars as S
 from pulseloom.operators import decide, gates, prefs, replay, sessions, state
 from pulseloom.sources import adapters, synth, vendor
+from pulseloom.streaming import landing
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 #: Devices, kinds and practices that the queries on rules go through.
@@ -347,6 +348,25 @@ def session_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.starts(e, "ms", "element").select("event_id", "session_id", "status", "tier", "element", "genre", "duration_seconds", "breathing_rate_bpm")
 
 
+def landed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heart rates and sleep of documents that land as files in three arrivals, each taken up once."""
+    e = adapters.events(spark, sf_dir)
+    at = landing.shared_folder(spark, "landed")
+    for n in range(3):
+        part = e.filter(F.col("user_id") % 3 == n)
+        for kind, docs in (("ring_heart_rate", adapters.ring_heart_rate_json(part)), ("ring_sleep", adapters.ring_sleep_json(part))):
+            docs.write.mode("append").text(f"{at}/landing/{kind}")
+        landing.land(spark, f"{at}/landing", f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return _in_ms(landing.samples(spark, f"{at}/table"))
+
+
+def checked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why documents are rejected, fields that their schema does not have, and how many readings they hold."""
+    docs = vendor.checked(adapters.uneven_heart_rate_json(adapters.events(spark, sf_dir)), schemas.RING_HEART_RATE)
+    held = F.when(F.col("reason").isNull(), F.size("doc.data")).cast("long")
+    return docs.select("event_id", "reason", F.col("rescued")["device"].alias("device"), F.size(F.map_keys("rescued")).cast("long").alias("n_rescued"), held.alias("n_readings"))
+
+
 QUERIES: list[Query] = [
     samples_normalized, sample_summary, samples_deduped, element_scores, wellness_state, active_elements, element_detail, element_detail_fire,
     time_of_day_bias, hourly_buckets, rate_limited_calls, cooldown_gate, cache_ttl_hits, ambient_gate, stress_cycle, session_history_limit,
@@ -354,6 +374,7 @@ QUERIES: list[Query] = [
     preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields, voiceover_switched, ring_samples,
     readiness_samples, fit_samples, lookback_samples, sync_summary, sync_requests, connected_sources, device_rules, token_rules,
     request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers, request_replay,
+    landed_samples, checked_documents,
 ]
 
 

@@ -59,6 +59,19 @@ def ring_heart_rate_json(ev: DataFrame) -> DataFrame:
     return ev.select(F.when(k % 13 == 0, F.lit("{")).otherwise(_json(user_id=F.col("user_id"), data=data)).alias("json"))
 
 
+def uneven_heart_rate_json(ev: DataFrame) -> DataFrame:
+    """event_id and a document per event, by the number in its properties: cut short, blank, a list,
+    without a user, of a user that is no number, with fields beyond the schema, or as it should be."""
+    k = F.from_json("props", "k int")["k"]
+    one = F.struct(F.col("value").alias("bpm"), iso(F.col("ts")).alias("timestamp"))
+    fine = _json(user_id=F.col("user_id"), data=F.array(one))
+    cases = [F.lit("{"), F.lit(" "), F.concat(F.lit("["), fine, F.lit("]")), _json(data=F.array(one)), _json(user_id=F.concat(F.lit("u"), F.col("user_id")), data=F.array(one)), _json(user_id=F.col("user_id"), data=F.array(one), device=F.col("event_type"), k=k)]
+    made = fine
+    for i, c in enumerate(cases):
+        made = F.when(k % 13 == i, c).otherwise(made)
+    return ev.select("event_id", made.alias("json"))
+
+
 def ring_sleep_json(ev: DataFrame) -> DataFrame:
     """A document per event: a night of which some metrics are missing, and one without an end."""
     k, t = F.col("event_id"), iso(F.col("ts"))

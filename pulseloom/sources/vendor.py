@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulseloom import schemas
 from pulseloom.functions import scalars as S
@@ -30,6 +31,23 @@ def parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select(F.from_json("json", schema).alias("j")).select("j.*")
 
 
+def checked(raw: DataFrame, schema: str) -> DataFrame:
+    """The columns of `raw` with `doc` (its `json` by the schema), `rescued` (fields of the document
+    that the schema does not have, as text) and `reason`, why it can't be used: null if it can.
+
+    A document is rejected as `empty` (null or blank), `unreadable` (no JSON object, or a value of
+    another type than its field's) or `no user`."""
+    kept = F.from_json("json", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    rows = raw.withColumn("_all", kept).withColumn("doc", F.struct(*[F.col(f"_all.{n}").alias(n) for n in names]))
+    text = F.from_json("json", "map<string,string>")
+    rescued = F.when(F.col("reason").isNull(), F.map_filter(text, lambda k, _: ~k.isin(*names)))
+    blank = F.trim(F.coalesce("json", F.lit(""))) == ""
+    whole = F.startswith(F.trim("json"), F.lit("{"))  # a list of documents is none
+    reason = F.when(blank, "empty").when(~whole | F.col("_all").isNull() | F.col("_all._bad").isNotNull(), "unreadable").when(F.col("doc.user_id").isNull(), "no user")
+    return rows.withColumn("reason", reason).withColumn("rescued", rescued).drop("_all")
+
+
 def _has(x: Column) -> Column:
     return F.coalesce(x, F.lit("")) != ""
 
@@ -127,4 +145,4 @@ def push(samples: DataFrame, path: str) -> None:
         samples.withColumn("day", S.utc_date(F.col("start_time"))).write.mode("append").partitionBy("source", "day").parquet(path)
 
 
-__all__ = ["COLUMNS", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "sync", "sync_sources", "union_samples"]
+__all__ = ["COLUMNS", "checked", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "sync", "sync_sources", "union_samples"]
