@@ -2,16 +2,18 @@
 
 A document's set is kept as sorted 64-bit hashes. Equal sets form a class with one
 representative, and only representatives are joined. Sets of similar size share a band; in a
-band, a set is dealt into m parts by hash range, where m exceeds the number of differences that
-two linked sets can have, so at least one part is equal; its hash, with band and part, names a
-tile. First each member is compared with one of its tiles' leads (their least members), the one
+band, a set is dealt into m parts by hash range; the hash of a part that is not empty, with band and
+part, names a tile. First each member is compared with one of its tiles' leads (their least members), the one
 that it shares most tiles with. In tiles that then still hold several components, bit counts of hashed bitmaps bound overlaps from above; each member is
 compared with the one that may be most alike, and members that may link with still others go to one task with their sets, or, where a tile is large, to one task per square of
 two blocks of members, but none of two blocks of its largest component. There, what the bounds do
 not rule out is settled by exact intersection of the sorted arrays, and the task gives out a
 spanning forest of the links that it found: fewer rows than it has members.
 
-m is always more than the greatest number of differences, so no link is missed at any size.
+No link is missed at any size. Each difference of two linked sets makes at most one part unequal. If
+a set has more parts that are not empty than it can have differences with any set that it links with,
+one of them is equal in both. m is chosen so that nearly all sets have; those that have not name
+tiles for their empty parts, too, and as m is more than the differences, two such sets share one.
 
 Defined results: null, empty and wordless texts have empty sets and link with nothing; a text
 with fewer than n words has its whole sequence as its one n-gram. Each row is a document of its
@@ -22,6 +24,7 @@ Input columns other than the id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -37,8 +40,8 @@ from . import textvec as tv
 from .common import bounded_broadcast, row_key, short_batches, stored, tidy
 from .components import components, roots
 
-#: Sets up to this size also use their empty parts, to be exact where parts are few.
-SMALL = 64
+#: About the share of sets that may need tiles for their empty parts.
+SPARSE = 1e-5
 #: Members of a block of a large tile, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 1 << 21
 #: Tiles up to so many members are compared together, many at a time.
@@ -64,10 +67,22 @@ def bands(percent: int) -> list[int]:
     return out
 
 
+def differences(high: int, percent: int) -> int:
+    """Most elements that are in one only of two linked sets of up to `high` elements."""
+    return (2 * high * (100 - percent)) // (100 + percent)
+
+
+@functools.cache
 def parts(high: int, percent: int) -> int:
-    """Parts of a set in the band up to size `high`: one more than a linked pair's differences."""
-    d = (2 * high * (100 - percent)) // (100 + percent)
-    return d + 1 if d else 0  # linked sets without differences are equal
+    """Parts of a set in the band up to size `high`: more than a linked pair's differences d, and so
+    many that a set seldom fills d of them only. C(m, d) (d / m) ** high bounds the chance of that."""
+    d = differences(high, percent)
+    if not d:
+        return 0  # linked sets without differences are equal
+    m = d + 1
+    while m < 4 * (d + 1) and math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1) + high * math.log(d / m) > math.log(SPARSE):
+        m += max(1, m // 200)
+    return m
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -96,7 +111,10 @@ def tile_keys(s: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
         part = ((s >> _U(32)) * _U(m)) >> _U(32)  # sorted hashes: each part is a run
         at = np.searchsorted(part, np.arange(m + 1, dtype=_U))
         sums = mixed[at[1:]] - mixed[at[:-1]]
-        used = np.arange(m) if edges[band] <= SMALL else np.flatnonzero(np.diff(at))
+        used = np.flatnonzero(np.diff(at))
+        # a partner has at most len(s) / similarity elements more or less
+        if len(used) <= min(differences(edges[band], percent), len(s) * (100 - percent) // percent):
+            used = np.arange(m)
         out.append(tv.mix(sums[used] + tv.mix(used.astype(_U) + _U(1 + (band << 32)))))
     return np.concatenate(out) if out else np.zeros(0, _U)
 

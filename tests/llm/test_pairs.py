@@ -1,6 +1,8 @@
 """Similarity joins, line dedup, vectors, segmentations and the pipeline against brute force."""
 
+import bisect
 import collections
+import random
 
 import numpy as np
 import pytest
@@ -58,8 +60,54 @@ def test_join(spark, n, percent):
 def test_parts_exceed_differences():
     for percent in (80, 90):
         for high in ngram_join.bands(percent)[:60]:
-            m, d = ngram_join.parts(high, percent), 2 * high * (100 - percent) // (100 + percent)
-            assert m == (d + 1 if d else 0)
+            m, d = ngram_join.parts(high, percent), ngram_join.differences(high, percent)
+            assert d < m <= 4 * (d + 1) if d else m == 0
+            assert high < 100 or m < 1.4 * (d + 1)
+
+
+def built_pair(rng, common, one, two, m, filled):
+    """Two sets with `common` elements in both and others in one only, all in `filled` of m parts, of
+    which as many as there are others are unequal."""
+    def of_part(p, n):
+        low, high = -(-(p << 32) // m), -(-((p + 1) << 32) // m)
+        return [(rng.randrange(low, high) << 32) | rng.getrandbits(32) for _ in range(n)]
+
+    places = rng.sample(range(m), filled)
+    both = [h for i in range(common) for h in of_part(places[i % filled], 1)]
+    others = [of_part(places[i % filled], 1)[0] for i in range(one + two)]
+    return (np.unique(np.array(both + o, np.uint64)) for o in (others[:one], others[one:]))
+
+
+def test_no_link_is_missed_where_equal_parts_are_empty():
+    """Pairs right at the threshold, of which every part that is not empty is unequal."""
+    rng, alone = random.Random(6), 0
+    for percent in (80, 90):
+        edges = ngram_join.bands(percent)
+        for union in [*range(10, 120), 150, 200, 333, 500, 1000, 1999]:
+            most = union - -(-union * percent // 100)  # differences of a linked pair with this union
+            for one in {0, most // 2, most}:
+                sizes = sorted((union - most + one, union - one))
+                m = ngram_join.parts(edges[bisect.bisect_left(edges, sizes[1])], percent)
+                if not most or not m:
+                    continue
+                x, y = built_pair(rng, union - most, one, most - one, m, min(most, m))
+                assert 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+                keys = [set(ngram_join.tile_keys(s, percent, edges).tolist()) for s in (x, y)]
+                assert keys[0] & keys[1], (percent, union, one)
+                alone += all(len(s) for s in keys)
+    assert alone > 300
+
+
+def test_few_sets_name_tiles_for_empty_parts():
+    rng = np.random.default_rng(3)
+    for percent, n in ((80, 60), (80, 200), (90, 60), (90, 400)):
+        edges, more = ngram_join.bands(percent), 0
+        for _ in range(400):
+            s = np.sort(hashes(rng, n))
+            m = ngram_join.parts(edges[bisect.bisect_left(edges, n)], percent)
+            part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            more += len(np.unique(part)) <= min(ngram_join.differences(edges[bisect.bisect_left(edges, n)], percent), n * (100 - percent) // percent)
+        assert more <= 1
 
 
 def hashes(rng, n):
