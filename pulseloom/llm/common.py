@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -41,18 +42,41 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Delete what this application's operators have written in between, and say how many folders
     that were. To be called when their results have been written or are not needed any more."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    return len(paths)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is `stored` in the block is deleted at its end, but for tables that it was told to keep:
+    what the block gives out may read those only."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    yield keep
+    mine = written[before:]
+    written[before:] = [p for p in mine if p in kept]
+    _delete(spark, [p for p in mine if p not in kept])
 
 
 def row_key(*cols: str) -> Column:

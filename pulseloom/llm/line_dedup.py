@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import bounded_broadcast, row_key, short_batches, stored, tidy
+from .common import bounded_broadcast, row_key, scratch, short_batches, stored, tidy
 from .ngram_join import MAX_BROADCAST_ROWS, links, tiles
 
 #: Characters of a shingle, bands and rows of the signature, least similarity in per cent.
@@ -154,33 +154,35 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without repeated lines, with n_lines (before) and n_dropped."""
-    table = line_table(docs, id_col, text_col, shingle, bands, rows, min_words)
-    where = F.struct(F.col("doc").isNull().alias("none"), "doc", "k", "place")
-    distinct = stored(table.groupBy("h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")), "distinct")
-    members = tiles(table.filter(F.col("keys").isNotNull()).select(F.col("h").alias("id"), "keys"))
-    ids = bounded_broadcast(stored(members.select("id").distinct(), "ids"), MAX_BROADCAST_ROWS)
-    # each line of a tile once: its bytes, read from the document where it comes first
-    at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
-    at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS, F.size("wanted"))
-    cut = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(at, "k")
-    cut = cut.withColumn("line", F.split("text", "\n", -1))
-    cut = cut.select(F.inline(F.expr("transform(wanted, w -> named_struct('id', w.h, 's', line[w.place]))")))
-    texts = stored(cut.dropDuplicates(["id"]), "texts")
-
-    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        (_, _, data, off), = tv.chunks(column, 1 << 62)
-        _, _, start, end, _ = lines(data, off)
-        return shingles(data, start, end, shingle)
-
-    found = stored(links(members, texts, percent, flat, light=True), "components")
-    found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
-    group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))
-    kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep.k", "keep.place")
-    lost = group.select("group", "h").join(kept, "group").select("h", F.col("k").alias("_k"), F.col("place").alias("_p"))
-    lost = bounded_broadcast(stored(lost, "repeated"), MAX_BROADCAST_ROWS)
-    drops = table.select("k", "place", "h").join(lost, "h").filter("k <> _k or place <> _p")
-    drops = drops.groupBy(F.col("k").alias("_k")).agg(F.collect_set("place").alias("_drops"))
-    drops = bounded_broadcast(stored(drops, "drops"), MAX_BROADCAST_PLACES, F.size("_drops"))
+    with scratch(docs.sparkSession) as keep:
+        table = line_table(docs, id_col, text_col, shingle, bands, rows, min_words)
+        where = F.struct(F.col("doc").isNull().alias("none"), "doc", "k", "place")
+        distinct = stored(table.groupBy("h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("times")), "distinct")
+        members = tiles(table.filter(F.col("keys").isNotNull()).select(F.col("h").alias("id"), "keys"))
+        ids = bounded_broadcast(stored(members.select("id").distinct(), "ids"), MAX_BROADCAST_ROWS)
+        # each line of a tile once: its bytes, read from the document where it comes first
+        at = distinct.join(ids, distinct["h"] == ids["id"], "left_semi").groupBy("first.k").agg(F.collect_list(F.struct("first.place", "h")).alias("wanted"))
+        at = bounded_broadcast(stored(at, "wanted"), MAX_BROADCAST_ROWS, F.size("wanted"))
+        cut = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text")).join(at, "k")
+        cut = cut.withColumn("line", F.split("text", "\n", -1))
+        cut = cut.select(F.inline(F.expr("transform(wanted, w -> named_struct('id', w.h, 's', line[w.place]))")))
+        texts = stored(cut.dropDuplicates(["id"]), "texts")
+
+        def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            (_, _, data, off), = tv.chunks(column, 1 << 62)
+            _, _, start, end, _ = lines(data, off)
+            return shingles(data, start, end, shingle)
+
+        found = stored(links(members, texts, percent, flat, light=True), "components")
+        found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
+        group = distinct.join(found, distinct["h"] == found["node"], "left").withColumn("group", F.coalesce("component", "h"))
+        kept = group.groupBy("group").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).filter("times > 1").select("group", "keep.k", "keep.place")
+        lost = group.select("group", "h").join(kept, "group").select("h", F.col("k").alias("_k"), F.col("place").alias("_p"))
+        lost = bounded_broadcast(stored(lost, "repeated"), MAX_BROADCAST_ROWS)
+        drops = table.select("k", "place", "h").join(lost, "h").filter("k <> _k or place <> _p")
+        drops = drops.groupBy(F.col("k").alias("_k")).agg(F.collect_set("place").alias("_drops"))
+        drops = keep(stored(drops, "drops"))
+    drops = bounded_broadcast(drops, MAX_BROADCAST_PLACES, F.size("_drops"))
     out = docs.drop("n_lines", "n_dropped").withColumn("_key", row_key(id_col, text_col)).join(drops, F.col("_key") == F.col("_k"), "left")
     out = out.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
     # a map from place makes each look-up cheap however many lines go

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import bounded_broadcast, row_key, short_batches, stored, tidy
+from .common import bounded_broadcast, row_key, scratch, short_batches, stored, tidy
 from .components import components, roots
 
 #: About the share of sets that may need tiles for their empty parts.
@@ -498,34 +498,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     (smallest id reachable by links of Jaccard similarity of at least percent / 100), row_key
     (key, by default of the id and text), and kept, true for one row of each component."""
     key = row_key(id_col, text_col) if key is None else key
-    have = sets(docs, id_col, text_col, n, percent, key)
-    same = have.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    same = bounded_broadcast(stored(same, "classes"), MAX_BROADCAST_ROWS)
-    classed = have.select("row", "id", "k", "n", "f1", "f2").join(same, ["f1", "f2", "n"], "left")
-    classed = classed.select("row", "id", "k", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    classed = stored(classed, "classed")
-    reps = classed.filter("row = rep")
-    members = tiles(have.select(F.col("row").alias("id"), "keys").join(bounded_broadcast(classed.filter("row <> rep").select(F.col("row").alias("id")), MAX_BROADCAST_ROWS), "id", "left_anti"))
-    wanted = reps.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), "k")
-    wanted = bounded_broadcast(stored(wanted, "wanted"), MAX_BROADCAST_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "s"])
-
-    # sets are made anew, for the documents of tiles only
-    texts = docs.select(F.col(id_col).cast("long").alias("_i"), key.alias("k"), F.col(text_col).alias("text")).join(wanted, "k")
-    texts = texts.filter(F.col("_i").eqNullSafe(F.col("_id"))).select("row", "text")
-    arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary"), "arrays")
-    if arrays.count() > wanted.count():  # rows that repeat id and text
-        arrays = stored(arrays.dropDuplicates(["id"]), "arrays")
-    found = stored(links(members, arrays, percent, as_hashes, light=False), "components")
-    found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
-    out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))
-    # the least id of each component of several rows, and the row that bears it
-    least = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    least = bounded_broadcast(stored(least.filter("_n > 1").select("component", "component_id", F.col("_first.row").alias("_keep")), "least"), MAX_BROADCAST_ROWS)
-    out = out.join(least, "component", "left")
+    with scratch(docs.sparkSession) as keep:
+        have = sets(docs, id_col, text_col, n, percent, key)
+        same = have.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("class_id"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+        same = bounded_broadcast(stored(same, "classes"), MAX_BROADCAST_ROWS)
+        classed = have.select("row", "id", "k", "n", "f1", "f2").join(same, ["f1", "f2", "n"], "left")
+        classed = classed.select("row", "id", "k", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+        classed = keep(stored(classed, "classed"))
+        reps = classed.filter("row = rep")
+        members = tiles(have.select(F.col("row").alias("id"), "keys").join(bounded_broadcast(classed.filter("row <> rep").select(F.col("row").alias("id")), MAX_BROADCAST_ROWS), "id", "left_anti"))
+        wanted = reps.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), "k")
+        wanted = bounded_broadcast(stored(wanted, "wanted"), MAX_BROADCAST_ROWS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "s"])
+
+        # sets are made anew, for the documents of tiles only
+        texts = docs.select(F.col(id_col).cast("long").alias("_i"), key.alias("k"), F.col(text_col).alias("text")).join(wanted, "k")
+        texts = texts.filter(F.col("_i").eqNullSafe(F.col("_id"))).select("row", "text")
+        arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary"), "arrays")
+        if arrays.count() > wanted.count():  # rows that repeat id and text
+            arrays = stored(arrays.dropDuplicates(["id"]), "arrays")
+        found = keep(stored(links(members, arrays, percent, as_hashes, light=False), "components"))
+        found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
+        out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))
+        # the least id of each component of several rows, and the row that bears it
+        least = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        least = keep(stored(least.filter("_n > 1").select("component", "component_id", F.col("_first.row").alias("_keep")), "least"))
+    out = out.join(bounded_broadcast(least, MAX_BROADCAST_ROWS), "component", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.when(F.col("_keep").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("k").alias("row_key"), F.coalesce(F.col("_keep") == F.col("row"), F.lit(True)).alias("kept"))
