@@ -1,7 +1,8 @@
 """Rules over time: refractory gates, cache hits, and the sliding call limit.
 
 A gate lets an event pass if no earlier passed event of its key is nearer than d; an event that is
-refused does not extend the wait. It is a fold over each key's events, see folds.
+refused does not extend the wait. It is a fold over each key's events, see folds; keys too large for
+one task are cut in segments, see hotkeys.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hotkeys
 from .folds import fold
 
 DAY_MS = 86_400_000
@@ -53,7 +55,13 @@ def gate(events: DataFrame, keys: list[str], ms: str, order: str, d_ms: int, str
         return last, [pa.concat_arrays([pa.array(np.zeros(skip, bool)), pa.array(passed)]), pa.concat_arrays([pa.nulls(skip, pa.int64()), waited])]
 
     rows = events.select(*keys, F.col(ms).cast("long").alias(ms), order, forced.alias("_force"))
-    return fold(rows, keys, [ms, order], [("passed", "boolean"), ("waited_ms", "bigint")], lambda: None, step)
+    rows, hot = hotkeys.apart(rows, keys)
+    found = fold(rows, keys, [ms, order], [("passed", "boolean"), ("waited_ms", "bigint")], lambda: None, step)
+    if hot is None:
+        return found
+    # rows without a time need no order
+    untimed = hot.filter(F.col(ms).isNull()).select(*keys, ms, order, F.lit(False).alias("passed"), F.lit(None).cast("bigint").alias("waited_ms"))
+    return found.unionByName(untimed).unionByName(hotkeys.gate(hot.filter(F.col(ms).isNotNull()), keys, ms, order, d_ms, strict))
 
 
 def cooldown(events: DataFrame, keys: list[str], ms: str, order: str, minutes: int) -> DataFrame:
@@ -73,11 +81,15 @@ def call_counts(calls: DataFrame, keys: list[str], ms: str, order: str, limit: i
 
     A call exactly a window old no longer counts. A range frame also counts calls of the same
     millisecond that come later, so those are taken off."""
+    calls, hot = hotkeys.apart(calls, keys)
     w = Window.partitionBy(*keys).orderBy(ms).rangeBetween(-(window_ms - 1), 0)
     same = Window.partitionBy(*keys, ms)
     nth = F.row_number().over(same.orderBy(order))
     n = F.count(F.lit(1)).over(w) - (F.count(F.lit(1)).over(same) - nth)
-    return calls.withColumn("calls_in_window", n.cast("long")).withColumn("rejected", F.col("calls_in_window") > limit)
+    found = calls.withColumn("calls_in_window", n.cast("long"))
+    if hot is not None:
+        found = found.unionByName(hotkeys.call_counts(hot, keys, ms, order, window_ms))
+    return found.withColumn("rejected", F.col("calls_in_window") > limit)
 
 
 def checked_calls(calls: DataFrame, tools: tuple[str, ...], elements: tuple[str, ...]) -> DataFrame:

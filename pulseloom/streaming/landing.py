@@ -11,7 +11,6 @@ Layout: landing/<kind>/<any file of JSON documents, one a line>; table/{samples,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulseloom import schemas
+from pulseloom.shared import shared_folder
 from pulseloom.sources import vendor
 
 #: Kinds of documents: schema and normaliser.
@@ -32,17 +32,6 @@ SAMPLES = f"{schemas.SAMPLE}, kind string, file string, batch bigint"
 REJECTED = "kind string, file string, json string, reason string, batch bigint"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"/tmp/pulseloom-{uuid.uuid4().hex}")
-        at = spark.sparkContext.getCheckpointDir()
-    return f"{at}/{name}-{uuid.uuid4().hex}"
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
