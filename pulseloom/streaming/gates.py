@@ -2,7 +2,11 @@
 
 State is durable through the query's checkpoint: a restarted query goes on where it stopped. Within
 a micro-batch a key's rows are put in order; across batches, rows are expected in order per key, as
-the rules are about arrival. What a state holds is bounded: a few numbers, or the calls of a window.
+the rules are about arrival. With a `delay`, rows may come in any order within it: they are held back
+and released in order when the watermark passes them, so results are those of the sorted rows; rows
+that come still later are dropped, and counted (eventtime.late_rows). What a state holds is bounded:
+a few numbers, or the calls of a window, and with a delay the rows of that delay. With a delay, state
+that no later row can depend on is cleared by a timer.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,9 +24,7 @@ from pulseloom.operators import decide
 from pulseloom.operators.gates import DAY_MS, pass_times
 from pulseloom.operators.prefs import VOICEOVER_SESSIONS
 
-
-def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(by, kind="stable")
+from .eventtime import in_order, keyed
 
 
 class Gate(StatefulProcessor):
@@ -44,27 +46,41 @@ class Gate(StatefulProcessor):
             self.last.update((int(last),))
         yield pd.DataFrame({"user_id": data["user_id"], "event_id": data["event_id"], "ms": data["ms"], "passed": passed, "age_seconds": age})
 
+    def until(self) -> int | None:
+        """When whatever comes passes, with or without the state."""
+        return self.last.get()[0] + self.d_ms + 1 if self.last.exists() else None
+
+    def forget(self) -> None:
+        self.last.clear()
+
     def close(self) -> None:
         pass
 
 
-def gate(events: DataFrame, d_ms: int, strict: bool = False, force: str | None = None) -> DataFrame:
+def gate(events: DataFrame, d_ms: int, strict: bool = False, force: str | None = None, delay: str | None = None) -> DataFrame:
     """user_id, event_id, ms, passed, and the age in seconds of what served a refused row, of a
     stream with user_id, event_id and ms. With strict, refused rows are cache hits."""
     rows = events.filter(F.col("ms").isNotNull()).select("user_id", "event_id", "ms", (F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)).alias("force"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Gate(d_ms, strict), "user_id bigint, event_id bigint, ms bigint, passed boolean, age_seconds bigint", "Append", "None")
+    return keyed(rows, Gate(d_ms, strict), "user_id bigint, event_id bigint, ms bigint, passed boolean, age_seconds bigint", delay)
 
 
 class CallWindow(StatefulProcessor):
     """Keeps the times of a key's calls of the last window; every call counts, refused ones too.
 
-    The list of a key without calls for two windows, in processing time, is dropped."""
+    The list of a key without calls for two windows, in processing time, is dropped; with timed, when
+    the watermark has passed the window."""
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+    def __init__(self, limit: int, window_ms: int, timed: bool = False):
+        self.limit, self.window_ms, self.timed = limit, window_ms, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.calls = handle.getListState("calls", "ms bigint", ttlDurationMs=2 * self.window_ms)
+        self.calls = handle.getListState("calls", "ms bigint", ttlDurationMs=None if self.timed else 2 * self.window_ms)
+
+    def until(self) -> int | None:
+        return max(r[0] for r in self.calls.get()) + self.window_ms if self.calls.exists() else None
+
+    def forget(self) -> None:
+        self.calls.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         kept = np.array([r[0] for r in self.calls.get()] if self.calls.exists() else [], np.int64)
@@ -79,9 +95,9 @@ class CallWindow(StatefulProcessor):
         pass
 
 
-def call_counts(events: DataFrame, limit: int, window_ms: int = DAY_MS) -> DataFrame:
+def call_counts(events: DataFrame, limit: int, window_ms: int = DAY_MS, delay: str | None = None) -> DataFrame:
     rows = events.filter(F.col("ms").isNotNull()).select("user_id", "event_id", "ms")
-    return rows.groupBy("user_id").transformWithStateInPandas(CallWindow(limit, window_ms), "user_id bigint, event_id bigint, calls_in_window bigint, rejected boolean", "Append", "ProcessingTime")
+    return keyed(rows, CallWindow(limit, window_ms, delay is not None), "user_id bigint, event_id bigint, calls_in_window bigint, rejected boolean", delay, "ProcessingTime")
 
 
 class SessionCount(StatefulProcessor):
@@ -110,10 +126,10 @@ class SessionCount(StatefulProcessor):
         pass
 
 
-def session_counts(starts: DataFrame, initial_voiceover: bool = True, switch: str | None = None) -> DataFrame:
+def session_counts(starts: DataFrame, initial_voiceover: bool = True, switch: str | None = None, delay: str | None = None) -> DataFrame:
     """As prefs.session_counts; `switch` names a boolean column that is null for starts."""
     rows = starts.select("user_id", "event_id", "ms", (F.col(switch) if switch else F.lit(None).cast("boolean")).alias("switch"))
-    return rows.groupBy("user_id").transformWithStateInPandas(SessionCount(initial_voiceover), "user_id bigint, event_id bigint, session_count bigint, voiceover boolean", "Append", "None")
+    return keyed(rows, SessionCount(initial_voiceover), "user_id bigint, event_id bigint, session_count bigint, voiceover boolean", delay)
 
 
 class GuardChain(StatefulProcessor):
@@ -133,14 +149,55 @@ class GuardChain(StatefulProcessor):
         left = pd.array([x for _, x in got], "Int64")
         yield pd.DataFrame({"user_id": data["user_id"].array, "request_id": data["request_id"].array, "ms": data["ms"].array, "mode": data["mode"].array, "status": [s for s, _ in got], "remaining_minutes": left})
 
+    def until(self) -> int | None:
+        """When the session and both cooldowns have ended."""
+        return max(self.ends.get()) if self.ends.exists() else None
+
+    def forget(self) -> None:
+        self.ends.clear()
+
     def close(self) -> None:
         pass
 
 
-def decide_requests(requests: DataFrame, session_ms: int) -> DataFrame:
+def decide_requests(requests: DataFrame, session_ms: int, delay: str | None = None) -> DataFrame:
     """As decide.decide_requests, for a stream of requests."""
     rows = decide.prepared(requests).filter(F.col("ms").isNotNull())
-    return rows.groupBy("user_id").transformWithStateInPandas(GuardChain(session_ms), "user_id bigint, request_id bigint, ms bigint, mode string, status string, remaining_minutes bigint", "Append", "None")
+    return keyed(rows, GuardChain(session_ms), "user_id bigint, request_id bigint, ms bigint, mode string, status string, remaining_minutes bigint", delay)
+
+
+class Ambient(StatefulProcessor):
+    """The prompt-time gate of a user, which remembers the session that it let through."""
+
+    def __init__(self, d_ms: int):
+        self.d_ms = d_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "last_session_ms bigint, element string, quadrant string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        data = in_order(rows, ["ms", "event_id"])
+        before = self.last.get()[0] if self.last.exists() else None
+        passed, _, last = pass_times(data["ms"].to_numpy(), np.zeros(len(data), bool), before, self.d_ms, False)
+        if passed.any():
+            row = data[passed].iloc[-1]
+            self.last.update((int(last), *[None if pd.isna(row[c]) else str(row[c]) for c in ("element", "quadrant")]))
+        yield data[["user_id", "event_id", "ms", "element", "quadrant"]].assign(passed=passed)
+
+    def close(self) -> None:
+        pass
+
+
+def ambient_gate(events: DataFrame, d_ms: int, delay: str | None = None) -> DataFrame:
+    """Which events (user_id, event_id, ms, element, quadrant) of a stream start a session: at most one of a user in d_ms."""
+    rows = events.filter(F.col("ms").isNotNull()).select("user_id", "event_id", "ms", "element", "quadrant")
+    return keyed(rows, Ambient(d_ms), "user_id bigint, event_id bigint, ms bigint, element string, quadrant string, passed boolean", delay)
+
+
+def ambient_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """user_id, last_session_ms, element and quadrant, as the gate's checkpoint holds them."""
+    held = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return held.select(F.col("key.user_id").alias("user_id"), "value.*")
 
 
 def hourly_means(samples: DataFrame, late: str = "10 minutes") -> DataFrame:

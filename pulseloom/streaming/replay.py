@@ -2,7 +2,7 @@
 
 The state is a row of fixed size and the times of at most `limit` calls, kept in the query's
 checkpoint. Within a micro-batch a user's requests are put in order; across batches they are
-expected in order. The state of a user without requests for `idle_ms`, in processing time, expires;
+expected in order, or, with a delay, in any order within it. The state of a user without requests for `idle_ms`, in processing time, expires;
 without it, states are kept for ever, as preferences are."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pulseloom.operators import replay
 from pulseloom.operators.gates import DAY_MS
 
-from .gates import in_order
+from .eventtime import in_order, keyed
 
 STATE = (
     "cached bigint, session_no bigint, session_ms bigint, session_mode string, player_end bigint, ambient_end bigint, ondemand_end bigint, states bigint, "
@@ -58,7 +58,8 @@ class Replay(StatefulProcessor):
         pass
 
 
-def replay_requests(requests: DataFrame, session_ms: int, ttl_ms: int, limit: int, window_ms: int = DAY_MS, idle_ms: int | None = None) -> DataFrame:
-    """As operators.replay.replay, for a stream of requests."""
-    made = Replay(session_ms, ttl_ms, limit, window_ms, idle_ms)
-    return replay.prepared(requests).groupBy("user_id").transformWithStateInPandas(made, OUT, "Append", "ProcessingTime" if idle_ms else "None")
+def replay_requests(requests: DataFrame, session_ms: int, ttl_ms: int, limit: int, window_ms: int = DAY_MS, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """As operators.replay.replay, for a stream of requests; with a delay they may come in any order within it."""
+    if idle_ms and delay:
+        raise ValueError("states expire by processing time, not with a delay")
+    return keyed(replay.prepared(requests), Replay(session_ms, ttl_ms, limit, window_ms, idle_ms), OUT, delay, "ProcessingTime" if idle_ms else "None")
