@@ -1,23 +1,27 @@
-"""Near-duplicate vectors within a label, by NN-descent and an exact check of what it missed.
+"""Near-duplicate vectors within a label by NN-descent, and counts of the links of what it unites.
 
 Equal vectors form a class with one representative. Representatives of one label and length get
 first neighbours from small random-projection cells, in which all pairs are compared. Then rounds
 of NN-descent: around each node, its neighbours and reverse neighbours meet (a join of the
-neighbour table with itself through the node), their pairs are scored, and each keeps its best. A
-node whose list is full of links is saturated, and its list may grow to twice the length in the
-next round. An audit compares sample vectors with all rows; rounds end when it finds the recall
-asked for, or when a round after the first brings few new links; a sample without a link ends
-nothing. Entries of at least the threshold are the edges kept.
-
-Lists are bounded, so a dense group has more links than lists hold, and rare links may never be
-met. An exact check follows, which loses none: each representative goes to the nearest of a
-few seeded pivots, and a pivot's vectors of one label and length are cut in blocks of about BLOCK
-rows. By the triangle inequality of angles, two blocks can hold a link only if the angle of their
-pivots is at most the sum of their radii and of the link's own angle; the rows of all such pairs
-of blocks are compared. So every link is found and counted, whatever the size of a group and
-however rare links are; what pivots cannot tell apart costs time, not links. A square of two
-blocks gives, per linked row, its links and one row that it is tied to, so its result is never its
-pairs. The edges of the descent and these ties give the components.
+neighbour table with itself through the node), and so do the rows of new cells; their pairs are
+scored, and each keeps its best. A node whose list is full of links is saturated, and its list may
+grow to twice the length in the next round. Whatever a list can hold, every pair of at least the
+threshold that is ever compared is kept as a tie: where rows meet, a spanning forest of their links
+is given out, never their pairs. The ties' components are the clusters.
+
+An audit compares sample vectors with all rows and says which share of their links lies within
+clusters; a sample without a link is enlarged. Rounds end when the recall asked for is found and a
+round has hardly joined clusters, or when even the largest sample holds no link and nothing was
+joined; after MAX_ROUNDS with less recall a warning gives it.
+
+Lists are bounded, so a dense cluster has more links than lists hold. The links of a cluster are
+counted exactly, and only they: each member goes to the nearest of a few seeded pivots, and a
+pivot's vectors of one cluster are cut in blocks of about BLOCK rows. By the triangle inequality of
+angles, two blocks can hold a link only if the angle of their pivots is at most the sum of their
+radii and of the link's own angle; the rows of all such pairs of blocks are compared in double
+precision. A square of two blocks gives, per linked row, its links and one row that it is tied to,
+so its result is never its pairs. What descent does not bring into one cluster is not compared:
+work follows the clusters, not the square of a label's rows.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows with a null id or label link with nothing and are their own components; vectors of unequal
@@ -27,6 +31,7 @@ result row per row.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +49,14 @@ from .ngram_join import MAX_BROADCAST_ROWS
 #: rows of a block and rows that are multiplied at a time.
 COSINE, CELL, MAX_PIVOTS, BLOCK, SLICE = 0.93, 1024, 1024, 2048, 512
 #: Descent: entries of a list at first and at most, rows of a cell of first neighbours, sets of
-#: cells, neighbours that meet at a time around one node, and most rounds.
-LIST, MAX_LIST, FIRST_CELL, PROJECTIONS, MEETING, MAX_ROUNDS = 8, 64, 256, 3, 96, 6
-#: Sample vectors of the audit, the recall of their links that ends the rounds, and the share of
-#: new ones among the links of the lists that does.
-AUDIT_ROWS, AUDIT_RECALL, FEW_CHANGES = 200, 0.95, 0.01
-_EDGES = "a bigint, b bigint, s double"
+#: cells of a round, neighbours that meet at a time around one node, and least and most rounds.
+LIST, MAX_LIST, FIRST_CELL, PROJECTIONS, MEETING, MIN_ROUNDS, MAX_ROUNDS = 8, 64, 256, 3, 96, 2, 10
+#: Sample vectors of the audit at first and at most, the recall of their links that is asked for,
+#: and the share of clustered rows that a round may still join when rounds end.
+AUDIT_ROWS, MOST_AUDIT_ROWS, AUDIT_RECALL, FEW_CHANGES = 200, 3200, 0.95, 0.001
+#: Single precision decides who shares a cluster, with this much to spare; links are counted in double.
+SPARE = 1e-5
+_EDGES = "a bigint, b bigint, s double, tie boolean"
 
 
 def unit(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -81,8 +88,17 @@ def _units(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
-def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray, tie: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float64)), pa.array(np.full(len(a), tie))], names=["a", "b", "s", "tie"])
+
+
+def _tied(ids: np.ndarray, s: np.ndarray, first: int, cosine: float) -> Iterator[pa.RecordBatch]:
+    """Ties that unite what links among rows whose similarities to the rows from `first` on are s."""
+    i, j = np.nonzero(s >= cosine - SPARE)
+    if len(i):
+        at, root = roots(i + first, j)
+        new = at != root
+        yield _edges(ids[at[new]], ids[root[new]], np.ones(new.sum()), True)
 
 
 def as_units(nodes: DataFrame) -> DataFrame:
@@ -101,8 +117,8 @@ def as_units(nodes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(tidy(run), "id bigint, grp bigint, width int, u binary"), "units")
 
 
-def first_lists(units: DataFrame, k: int, cell: int, seed: int) -> DataFrame:
-    """Neighbours (a, b, s) from cells of one label and length whose vectors agree in the signs of
+def first_lists(units: DataFrame, cosine: float, k: int, cell: int, seed: int) -> DataFrame:
+    """Neighbours and ties from cells of one label and length whose vectors agree in the signs of
     seeded random projections; a large cell is cut by hash."""
     sizes = bounded_broadcast(stored(units.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "sizes"), MAX_BROADCAST_ROWS)
 
@@ -132,6 +148,7 @@ def first_lists(units: DataFrame, k: int, cell: int, seed: int) -> DataFrame:
         for at in range(0, len(ids) if m > 0 else 0, 1024):
             s = u[at : at + 1024] @ u.T
             s[np.arange(len(s)), at + np.arange(len(s))] = -2
+            yield from _tied(ids, s, at, cosine)
             best = np.argpartition(-s, m - 1, axis=1)[:, :m]
             yield _edges(np.repeat(ids[at : at + 1024], m), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel())
 
@@ -148,7 +165,7 @@ def best(edges: DataFrame, cosine: float, k: int, most: int) -> DataFrame:
 
 def meet(lists: DataFrame, units: DataFrame, cosine: float, size: int, seed: int) -> DataFrame:
     """Scored pairs of the neighbours and reverse neighbours of every node that better a list, or
-    that are links where a list of links alone may still grow to `size`."""
+    that are links where a list of links alone may still grow to `size`; and their ties."""
     both = lists.select(F.col("a").alias("at"), F.col("b").alias("id")).union(lists.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
     state = lists.groupBy(F.col("a").alias("id")).agg(F.min("s").alias("_s"), F.count(F.lit(1)).alias("_n"))
     worst = F.when((F.col("_n") < size) & (F.col("_s") >= cosine), F.lit(cosine)).otherwise(F.col("_s")).alias("worst")
@@ -165,6 +182,7 @@ def meet(lists: DataFrame, units: DataFrame, cosine: float, size: int, seed: int
         np.fill_diagonal(s, -2)
         if len(ids) > size:  # a list takes no more
             worst = np.maximum(worst, np.nextafter(-np.partition(-s, size - 1, axis=1)[:, size - 1], -2, dtype=s.dtype))
+        yield from _tied(ids, s, 0, cosine)
         i, j = np.nonzero(s > worst[:, None])
         if len(i):
             yield _edges(ids[i], ids[j], s[i, j])
@@ -173,47 +191,68 @@ def meet(lists: DataFrame, units: DataFrame, cosine: float, size: int, seed: int
     return dealt.mapInArrow(tidy(lambda b: _grouped(b, ["g"], compare)), _EDGES)
 
 
-def audit(units: DataFrame, lists: DataFrame, cosine: float, most: int, rows: int, seed: int) -> float | None:
-    """Of the links of at most `rows` sample vectors, found by comparing them with all rows, the
-    share that the lists hold; of a vector with more links than a list may hold, `most` count.
-    None if the sample has no link."""
-    sample = units.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
-    by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def audit(units: DataFrame, clusters: DataFrame, cosine: float, rows: int, seed: int) -> tuple[int, float | None]:
+    """(links, recall): the links of at most `rows` sample vectors, found by comparing them with all
+    rows, and the share of them within clusters (node, component). None if the sample has no link."""
+    of = units.join(clusters, units["id"] == clusters["node"], "left").select("id", "grp", "width", "u", F.coalesce("component", "id").alias("c"))
+    sample = of.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows).collect()
+    by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for key in {(r["grp"], r["width"]) for r in sample}:
         own = [r for r in sample if (r["grp"], r["width"]) == key]
-        by[key] = np.array([r["id"] for r in own]), np.frombuffer(b"".join(r["u"] for r in own), np.float32).reshape(len(own), -1)
+        by[key] = np.array([r["id"] for r in own]), np.frombuffer(b"".join(r["u"] for r in own), np.float32).reshape(len(own), -1), np.array([r["c"] for r in own])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = within = 0
         for batch in batches:
-            ids, grp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for (g, w), (who, v) in by.items():
+            ids, grp, cluster = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            for (g, w), (who, v, own) in by.items():
                 at = np.flatnonzero(grp == g)
                 if len(at):
-                    s = v @ _units(batch.column(3).take(pa.array(at)), w).T
-                    i, j = np.nonzero((s >= cosine) & (who[:, None] != ids[at]))
-                    yield _edges(who[i], ids[at][j], s[i, j])
-
-    true = units.mapInArrow(tidy(compare), _EDGES).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    have = lists.filter(F.col("s") >= cosine).groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    n, m = true.join(have, "a", "left").select(F.least("n", F.lit(most)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")).agg(F.sum("n"), F.sum(F.least("n", "m"))).first()
-    return m / n if n else None
-
-
-def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = FIRST_CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, list[dict]]:
-    """The neighbour table (a, b, s, r), and per round the new links and what the audit found."""
-    size, log = k, []
-    lists = stored(best(first_lists(units, k, cell, seed), cosine, k, k), "lists")
+                    hit = (v @ _units(batch.column(3).take(pa.array(at)), w).T >= cosine) & (who[:, None] != ids[at])
+                    links += int(hit.sum())
+                    within += int((hit & (own[:, None] == cluster[at])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([within])], names=["links", "within"])
+
+    links, within = of.mapInArrow(tidy(compare), "links bigint, within bigint").agg(F.sum("links"), F.sum("within")).first()
+    return links or 0, within / links if links else None
+
+
+def refine(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = FIRST_CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """The neighbour table (a, b, s, r), the clusters (node, component), and per round the length of
+    lists, the new rows of clusters and of their joins, the links of the audit's sample, and its recall."""
+    size, log, sample = k, [], AUDIT_ROWS
+    raw = stored(first_lists(units, cosine, k, cell, seed), "met")
+    lists = stored(best(raw.filter("not tie"), cosine, k, k), "lists")
+    tied = [raw.filter("tie").select("a", "b")]
+    joined = 0
     for number in range(rounds):
         saturated = not lists.filter((F.col("r") >= size) & (F.col("s") >= cosine)).isEmpty()
         size = min(most, 2 * size) if saturated else size
-        old = lists
-        lists = stored(best(old.select("a", "b", "s").unionByName(meet(old, units, cosine, size, seed + number)), cosine, k, size), "lists")
-        linked = lists.filter(F.col("s") >= cosine)
-        changed, entries = linked.join(old, ["a", "b"], "left_anti").count(), linked.count()
-        recall = audit(units, lists, cosine, size, AUDIT_ROWS, seed + number)
-        log.append({"round": number, "list": size, "changed": changed, "recall": recall})
-        if number and changed <= FEW_CHANGES * entries or recall is not None and recall >= AUDIT_RECALL and not (saturated and size < most):
+        raw = stored(meet(lists, units, cosine, size, seed + number).unionByName(first_lists(units, cosine, k, cell, seed + 1 + number)), "met")
+        lists = stored(best(lists.select("a", "b", "s").unionByName(raw.filter("not tie").drop("tie")), cosine, k, size), "lists")
+        tied.append(raw.filter("tie").select("a", "b"))
+        every = tied[0]
+        for more in tied[1:]:
+            every = every.unionByName(more)
+        clusters = stored(components(every.distinct()), "clusters")
+        tied = [clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        rows, sets = clusters.agg(F.count(F.lit(1)), F.countDistinct("component")).first()
+        changed, joined = rows - sets - joined, rows - sets  # unions that the ties amount to
+        links, recall = audit(units, clusters, cosine, sample, seed + number)
+        while not links and sample < MOST_AUDIT_ROWS:
+            sample = min(4 * sample, MOST_AUDIT_ROWS)
+            links, recall = audit(units, clusters, cosine, sample, seed + number)
+        log.append({"round": number, "list": size, "changed": changed, "links": links, "recall": recall})
+        if number + 1 >= MIN_ROUNDS and changed <= FEW_CHANGES * joined and (recall is None or recall >= AUDIT_RECALL):
             break
+    if log and log[-1]["recall"] is not None and log[-1]["recall"] < AUDIT_RECALL:
+        warnings.warn(f"descent found {log[-1]['recall']:.3f} of the links of {sample} sample vectors", stacklevel=2)
+    return lists, clusters, log
+
+
+def descent(units: DataFrame, cosine: float = COSINE, k: int = LIST, most: int = MAX_LIST, cell: int = FIRST_CELL, rounds: int = MAX_ROUNDS, seed: int = 1) -> tuple[DataFrame, list[dict]]:
+    """The neighbour table and the log of `refine`."""
+    lists, _, log = refine(units, cosine, k, most, cell, rounds, seed)
     return lists, log
 
 
@@ -317,8 +356,8 @@ def ties(nodes: DataFrame, cosine: float, cell: int, block: int, seed: int) -> D
     return stored(dealt.mapInArrow(tidy(lambda b: _grouped(b, ["grp", "i", "j"], compare)), "a bigint, b bigint, links bigint"), "ties")
 
 
-def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """Per row: id, n_links, component_id, kept."""
+def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, seed: int = 1, log: list[dict] | None = None) -> DataFrame:
+    """Per row: id, n_links, component_id, kept. What the audit found is appended to `log`."""
     ok = usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(ok, F.col(vector_col)).alias("v"))
     one = rows.filter(F.col("v").isNotNull()).groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v")
@@ -326,11 +365,13 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     classes = one.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
     member = stored(one.select("id", "h", "h2").join(classes, ["h", "h2"]).select("id", "rep", "times"), "members")
     nodes = stored(one.join(member.filter("id = rep"), "id").select("id", "label", "v", "times"), "nodes")
-    lists, _ = descent(as_units(nodes), cosine, seed=seed)
-    # single precision: entries next to the threshold are left to the check
-    kept = lists.filter(F.col("s") >= cosine + 1e-5).select("a", "b")
-    tied = ties(nodes, cosine, cell, block, seed)
-    found = stored(components(kept.unionByName(tied.select("a", "b"))), "components")
+    _, clusters, done = refine(as_units(nodes), cosine, seed=seed)
+    if log is not None:
+        log.extend(done)
+    # only what descent has brought into one cluster is compared; lone rows have no links
+    inside = nodes.join(clusters, F.col("id") == F.col("node")).select("id", F.col("component").alias("label"), "v", "times")
+    tied = ties(inside, cosine, cell, block, seed)
+    found = stored(components(tied.select("a", "b")), "components")
     links = tied.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of = member.join(found, F.col("rep") == F.col("node"), "left").join(links.withColumnRenamed("id", "_i"), F.col("rep") == F.col("_i"), "left")
     of = of.select(F.col("id").alias("_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
