@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
 
-Rows are dealt to shards of about SHARD_ROWS by a hash of their id. In a shard, equal vectors
+Rows of one vector length and about one norm (a band) are dealt to shards of about SHARD_ROWS by a
+hash of their id: with norms much apart, the longest vectors would crowd a graph. In a shard, equal vectors
 are one node; vectors get one more component that makes their lengths equal, so that largest
 inner product becomes nearest direction; nodes get geometric levels, and each level's graph is
 a flat array of neighbour numbers, built by inserting nodes in growing batches. Queries descend
 the levels and search the lowest with a beam; scores of what they find are computed again in
 double precision from the original vectors, and the shards' lists are merged.
 
-Defined results: vectors that are null, empty, zero, of another length than most vectors of the
-table (of lengths as frequent, the least), or hold null or non-finite components take no part, as
-queries or candidates; rows with the same id count once, by their least vector; rows without an id
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
+part, as queries or candidates; a query meets the vectors of its own length, of whatever lengths
+there are; rows with the same id count once, by their least vector; rows without an id
 take no part; ties go to the smaller id; a query with fewer than k
 candidates gets them all. Input columns other than id and vector are ignored.
 """
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_broadcast, stored
 
 #: Rows of a shard; queries that one task searches; neighbours per node on upper levels (twice
 #: on the lowest); beams while building and searching.
-SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH = 32768, 16384, 12, 64, 192
+SHARD_ROWS, QUERY_BLOCK, LINKS, EF_BUILD, EF_SEARCH = 8192, 16384, 12, 64, 256
+#: Ratio of the norms of a band, and most rows of the table of bands that is broadcast.
+NORM_RATIO, MAX_BROADCAST_ROWS = 1.1, 200_000
 
 
 def usable(vector: str) -> Column:
@@ -155,6 +158,7 @@ class Graph:
 
     @staticmethod
     def lift(v: np.ndarray) -> np.ndarray:
+        v = v / (np.abs(v).max(initial=0) or 1.0)  # the order of inner products stays
         length = (v.astype(np.float64) ** 2).sum(1)
         more = np.sqrt(np.maximum(length.max() - length, 0.0)) if len(v) else length
         return np.concatenate([v, more[:, None]], 1).astype(np.float32)
@@ -182,6 +186,7 @@ class Graph:
         return start
 
     def search(self, q: np.ndarray, ef: int) -> np.ndarray:
+        q = q / np.maximum(np.abs(q).max(1, initial=0), np.finfo(np.float64).tiny)[:, None]
         q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
         upper = Graph(self.x, self.levels[:-1])
         links = self.levels[-1][1]
@@ -195,36 +200,51 @@ class Graph:
         return np.vstack([np.pad(o, ((0, 0), (0, width - o.shape[1])), constant_values=-1) for o in out])
 
 
-INDEX = "shard int, dim int, n int, ids binary, first binary, vectors binary, level_sizes array<int>, nodes binary, links binary"
+INDEX = "shard bigint, dim int, n int, ids binary, first binary, vectors binary, level_sizes array<int>, nodes binary, links binary"
 
 
-def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows whose length is the most frequent, matrix of those rows)."""
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, which are of one length."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.diff(lists.offsets.to_numpy())
-    dim = np.bincount(size).argmax()
-    ok = np.flatnonzero(size == dim)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return ok, flat[np.repeat(size == dim, size)].reshape(len(ok), dim)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def build(vectors: DataFrame, id_col: str, vector_col: str, shards: int, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
-    """One row per shard: its ids, distinct vectors and flat neighbour arrays, written once."""
+def norm_band(vector: str) -> Column:
+    """Number of the band of norms that a vector lies in; norms about 1 are in the middle of theirs."""
+    v = F.col(vector)
+    most = F.array_max(F.transform(v, lambda x: F.abs(x).cast("double")))
+    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most))
+    return F.floor((F.log(most) + F.log(squares) / 2) / F.lit(math.log(NORM_RATIO)) + 0.5).cast("long")
+
+
+def bands(vectors: DataFrame, vector_col: str, shard_rows: int) -> DataFrame:
+    """dim, band and number of shards of each length and band of norms."""
+    rows = vectors.groupBy(F.size(vector_col).alias("dim"), norm_band(vector_col).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return stored(rows.select("dim", "band", F.ceil(F.col("n") / F.lit(shard_rows)).cast("int").alias("cuts")), "bands")
+
+
+def build(vectors: DataFrame, sizes: DataFrame, id_col: str, vector_col: str, shards: int, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
+    """One row per shard: its ids, distinct vectors and flat neighbour arrays, written once. sizes: of `bands`."""
 
     def run(t: pa.Table) -> pa.Table:
-        ok, v = _matrix(t["v"])
-        ids, shard = t["id"].to_numpy()[ok], t["shard"][0].as_py()
+        v, ids, shard = _matrix(t["v"]), t["id"].to_numpy(), t["shard"][0].as_py()
         distinct, inverse = np.unique(v, axis=0, return_inverse=True)
         order = np.lexsort([ids, inverse.ravel()])
         first = np.searchsorted(inverse.ravel()[order], np.arange(len(distinct) + 1))
-        g = Graph.build(distinct, links, ef, seed=3 + shard)
+        g = Graph.build(distinct, links, ef, seed=shard & 0x7FFFFFFF)
         row = [shard, v.shape[1], len(distinct), ids[order].tobytes(), first.tobytes(), distinct.astype(np.float64).tobytes(), [len(n) for n, _ in g.levels], np.concatenate([n for n, _ in g.levels]).astype(np.int64).tobytes(), b"".join(a[n].astype(np.int32).tobytes() for n, a in g.levels)]
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.list_(pa.int32())] + [pa.binary()] * 2, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 3 + [pa.list_(pa.int32())] + [pa.binary()] * 2, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"), norm_band(vector_col).alias("band"))
+    rows = rows.join(bounded_broadcast(sizes, MAX_BROADCAST_ROWS), ["dim", "band"])
+    dealt = rows.select(_shard(F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).alias("shard"), "id", "v")
     return stored(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, INDEX), "hnsw")
 
 
+def _shard(cut: Column) -> Column:
+    return F.xxhash64("dim", "band", cut)
+
+
 def _load(row: dict, links: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     v = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
     nodes, flat = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["links"], np.int32)
@@ -238,11 +258,12 @@ def _load(row: dict, links: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndar
     return Graph(Graph.lift(v), levels), v, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, shards: int, k: int, n_queries: int, ef: int = EF_SEARCH, links: int = LINKS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the query set against every shard, in blocks."""
+def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, id_col: str, vector_col: str, shards: int, k: int, n_queries: int, ef: int = EF_SEARCH, links: int = LINKS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the query set, in blocks, against every shard of its length."""
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(blocks)).cast("int").alias("block"))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    of = sizes.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).select("dim", _shard(F.col("cut")).alias("shard"))
+    q = q.withColumn("dim", F.size("v")).join(bounded_broadcast(of, MAX_BROADCAST_ROWS), "dim").select("qid", "v", "block", "shard")
     placed = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = "query_id bigint, vec_id bigint, score double"
 
@@ -251,10 +272,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, s
         if not left.num_rows or not right.num_rows:
             return empty
         graph, v, ids, first = _load(left.to_pylist()[0], links)
-        ok, qs = _matrix(right["v"])
-        if qs.shape[1] != v.shape[1]:
-            return empty
-        qid, qs = right["qid"].to_numpy()[ok], qs.astype(np.float64)
+        qid, qs = right["qid"].to_numpy(), _matrix(right["v"]).astype(np.float64)
         found = graph.search(qs, max(ef, k + 1))
         a, b, s = [], [], []
         for i in range(len(qid)):
@@ -282,8 +300,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     """The k nearest of all other vectors for each query."""
     one = lambda df: df.filter(usable(vector_col) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(vector_col).alias(vector_col))
     good = stored(one(vectors), "vectors")
-    lengths = good.groupBy(F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").first()
-    dim = F.size(vector_col) == (lengths["dim"] if lengths else 0)
-    good, asked = good.filter(dim), stored(one(queries).filter(dim), "queries")
-    shards = max(1, -(-good.count() // shard_rows))
-    return search(build(good, id_col, vector_col, shards), asked, id_col, vector_col, shards, k, asked.count(), ef)
+    asked, sizes = stored(one(queries), "queries"), bands(good, vector_col, shard_rows)
+    shards = sizes.agg(F.sum("cuts")).first()[0] or 1
+    return search(build(good, sizes, id_col, vector_col, shards), sizes, asked, id_col, vector_col, shards, k, asked.count(), ef)
