@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -209,6 +210,7 @@ def blocks(page: str, names: bool = True) -> list[tuple[str, list[float]]]:
     links, in an article, depth outside, heading, listed. names: class names and ids are read."""
     found: list[tuple[str, list[float]]] = []
     stack: list[tuple[str, int, int]] = []
+    opened: Counter[str] = Counter()  # how often each tag lies on the stack
     text: list[str] = []
     linked: list[str] = []
     in_link = article = outside = heading = own = 0  # own: the block's element itself is outside
@@ -267,14 +269,17 @@ def blocks(page: str, names: bool = True) -> list[tuple[str, list[float]]]:
             if not m["close"]:
                 if tag == "li" and stack and stack[-1][0] == "li":
                     _, a, o = stack.pop()
+                    opened[tag] -= 1
                     article, outside = article - a, outside - o
                 if not m["attrs"].endswith("/"):
-                    a, o = _kind(tag, m["attrs"], article > 0, any(x[0] == "article" for x in stack), names)
+                    a, o = _kind(tag, m["attrs"], article > 0, opened["article"] > 0, names)
                     stack.append((tag, a, o))
+                    opened[tag] += 1
                     article, outside = article + a, outside + o
-            elif any(x[0] == tag for x in stack):
+            elif opened[tag]:
                 while True:
                     name, a, o = stack.pop()
+                    opened[name] -= 1
                     article, outside = article - a, outside - o
                     if name == tag:
                         break

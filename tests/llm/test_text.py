@@ -376,3 +376,13 @@ def test_quality_equals_plain_counts(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in got if r["score"] >= order[k - 1]}
     noise = [r["score"] - r["log_weight"] for r in got]
     assert len(set(noise)) == len(noise) and abs(sum(noise) / len(noise) - 0.5772) < 0.4  # Gumbel noise
+
+
+def test_deep_nesting_takes_linear_time():
+    """100,000 nested elements and as many end tags that close nothing, in the time of flat ones."""
+    import time
+
+    page = "<div>" * 100_000 + "<p>The words that count, in a sentence of some length.</p>" + "</section>" * 100_000
+    began = time.process_time()
+    assert [t for t, _ in html_text.blocks(page)] == ["The words that count, in a sentence of some length."]
+    assert time.process_time() - began < 4
