@@ -67,3 +67,10 @@ def connected(sources: list[str], registry: DataFrame) -> DataFrame:
     known = registry.sparkSession.createDataFrame([(s,) for s in sources], "source string")
     have = registry.select("source").distinct().withColumn("_c", F.lit(True))
     return known.join(have, "source", "left").select("source", F.when(F.col("_c"), "connected").otherwise("not_connected").alias("status"))
+
+
+def connected_by_user(users: DataFrame, sources: tuple[str, ...], registry: DataFrame) -> DataFrame:
+    """user_id, source and status of each user and source. registry: (user_id, source), repeats allowed."""
+    each = users.select("user_id").distinct().withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources])))
+    have = registry.select("user_id", "source").distinct().withColumn("_c", F.lit(True))
+    return each.join(have, ["user_id", "source"], "left").select("user_id", "source", F.when(F.col("_c"), "connected").otherwise("not_connected").alias("status"))

@@ -149,6 +149,8 @@ def _sess(ms: str) -> str:
     return f"'sess_' || ltrim(array_to_string({_B36.format(ms=ms)}, ''), '0')"
 
 
+_PLANS = """pl AS (SELECT 'sess_' || o_orderkey AS session_id, CAST(floor(o_totalprice) AS BIGINT) % 300 AS s, 4.0::DOUBLE + o_custkey % 5 AS bpm,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'wood' WHEN '2-HIGH' THEN 'fire' WHEN '3-MEDIUM' THEN 'earth' WHEN '4-NOT SPECIFIED' THEN 'metal' WHEN '5-LOW' THEN 'water' END AS element FROM orders)"""
 _LOG = """lg AS (SELECT o_custkey AS user_id, 'sess_' || o_orderkey AS session_id, o_orderkey AS session_no, o_orderdate AS ts,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'wood' WHEN '2-HIGH' THEN 'fire' WHEN '3-MEDIUM' THEN 'earth' WHEN '4-NOT SPECIFIED' THEN 'metal' WHEN '5-LOW' THEN 'water' END AS element,
     'audio' AS tier, CAST(300 AS BIGINT) AS duration_seconds FROM orders)"""
@@ -192,7 +194,9 @@ ORACLES = {
         SELECT vs.* FROM vs, n WHERE CASE WHEN metric_type = 'heart_rate' THEN start_ms BETWEEN day * {DAY_MS} + {8 * HOUR_MS} AND day * {DAY_MS} + {12 * HOUR_MS} ELSE start_ms // {DAY_MS} BETWEEN day - 2 AND day END""",
     "sync_summary": f"WITH {_VENDOR} SELECT 'oura' AS source, count(*) AS samples_pushed, CAST(NULL AS VARCHAR) AS error FROM vs UNION ALL SELECT 'google_fit', 0, 'No token found'",
     "sync_requests": "SELECT event_id, (event_id % 3 = 1 AND event_id % 5 <> 0 AND event_id % 7 <> 0) AS synced FROM events",
-    "connected_sources": "SELECT 'oura' AS source, CASE WHEN count(*) > 0 THEN 'connected' ELSE 'not_connected' END AS status FROM events WHERE user_id > 0 UNION ALL SELECT 'google_fit', 'not_connected' UNION ALL SELECT 'apple_watch', 'not_connected'",
+    "connected_sources": f"""WITH {_EV}, r AS (SELECT DISTINCT user_id, CASE WHEN event_type = 'signup' AND k < 10 THEN 'oura' WHEN event_type = 'purchase' AND k % 9 = 0 THEN 'google_fit' END AS source FROM (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))
+        SELECT u.user_id, s.source, CASE WHEN r.source IS NULL THEN 'not_connected' ELSE 'connected' END AS status FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (VALUES ('oura'), ('google_fit'), ('apple_watch')) s(source) LEFT JOIN r ON r.user_id = u.user_id AND r.source = s.source""",
+    "sync_statuses": f"WITH {_VENDOR} SELECT 'oura' AS source, count(*) AS samples_pushed, false AS failed FROM vs UNION ALL SELECT 'google_fit', 0, true UNION ALL SELECT 'apple_watch', 0, true",
     "device_rules": f"""WITH d AS (SELECT event_id, {_pick(DEVICES)} AS device, {_pick(KINDS)} AS kind, {_pick(PRACTICES)} AS practice, {_pick(('a|1|peak|x', 'b|2|burnout|y|z', 'c|3', ''))} AS line FROM events)
         SELECT event_id, coalesce(len(list_filter([{', '.join(map(_text, dims.BUILTIN_SPEAKERS))}], lambda s: contains(lower(trim(device)), s))) = 0 AND device IS NOT NULL, false) AS headphones,
           (coalesce(regexp_matches(kind, '{dims.HEADPHONE_KINDS}'), false) OR coalesce(regexp_matches(device, '{dims.HEADPHONE_NAMES}'), false)) AS wireless,
@@ -219,8 +223,8 @@ ORACLES = {
         SELECT user_id, day, round(avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 27 PRECEDING AND CURRENT ROW), 6) AS baseline, round(avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS recent,
           round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(value, day) OVER w END, 6) AS slope FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 13 PRECEDING AND CURRENT ROW)""",
     "mode_selection": "SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 4 IN (0, 1) THEN 'mock' ELSE 'real' END AS mode FROM events",
-    "breathing_text": f"""WITH {_EL}, c AS (SELECT *, 4.0::DOUBLE + ord AS bpm, 60.0::DOUBLE / (4.0::DOUBLE + ord) AS d, ord * 15 + 30 AS s FROM el), n AS (SELECT *, CAST(floor(s / d) AS BIGINT) AS n, {_ROUND1.format(x='d / 3')} AS i, {_ROUND1.format(x='d * 2 / 3')} AS o FROM c)
-        SELECT element, chr(10) || label || ' · ' || organ || ' — ' || summary || chr(10) || n || ' breathing cycles at ' || CAST(bpm AS BIGINT) || ' BPM' || chr(10) || chr(10)
+    "breathing_text": f"""WITH {_EL}, {_PLANS}, c AS (SELECT pl.*, el.* EXCLUDE (element), 60.0::DOUBLE / bpm AS d FROM pl JOIN el ON pl.element = el.element), n AS (SELECT *, CAST(floor(s / d) AS BIGINT) AS n, {_ROUND1.format(x='d / 3')} AS i, {_ROUND1.format(x='d * 2 / 3')} AS o FROM c)
+        SELECT session_id, chr(10) || label || ' · ' || organ || ' — ' || summary || chr(10) || n || ' breathing cycles at ' || CAST(bpm AS BIGINT) || ' BPM' || chr(10) || chr(10)
           || array_to_string(list_transform(range(1, least(n, 6) + 1), lambda k: 'Cycle ' || k || '/' || n || ':' || chr(10) || '  Inhale... (' || i || 's)' || chr(10) || '  Exhale slowly... (' || o || 's)' || chr(10) || chr(10)), '')
           || CASE WHEN n > 6 THEN '  ... (' || (n - 6) || ' more cycles)' || chr(10) || chr(10) ELSE '' END || 'Session complete.' || chr(10) AS script FROM n""",
     "session_offers": f"WITH {_EV}, {_EL} SELECT event_id, {_sess('ms')} AS session_id, 'playing' AS status, 'audio' AS tier, ev.element, genre, CAST(300 AS BIGINT) AS duration_seconds, CAST(6.0 AS DOUBLE) AS breathing_rate_bpm FROM ev JOIN el ON ev.element = el.element WHERE event_type = 'purchase'",
@@ -261,8 +265,8 @@ ORACLES = {
         b AS (SELECT p.*, v.value AS value_before FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ms > v.ms),
         a AS (SELECT b.*, v.value AS value_after FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ms < v.ms)
         SELECT user_id, event_id, value_before, value_after, CASE WHEN value_before <> 0 THEN CAST(floor(100 * (value_after - value_before) / value_before + 0.5) AS BIGINT) END AS change_pct FROM a""",
-    "breathing_script": f"""WITH {_EL}, c AS (SELECT element, 60.0::DOUBLE / (4.0::DOUBLE + ord) AS d, ord * 15 + 30 AS s FROM el), n AS (SELECT *, CAST(floor(s / d) AS BIGINT) AS cycles FROM c)
-        SELECT element, cycles, g.generate_series AS cycle, d / 3 AS inhale_seconds, d * 2 / 3 AS exhale_seconds, CAST(greatest(cycles - 6, 0) AS BIGINT) AS more_cycles FROM n, generate_series(1, 6) g WHERE g.generate_series <= cycles""",
+    "breathing_script": f"""WITH {_PLANS}, c AS (SELECT session_id, element, 60.0::DOUBLE / bpm AS d, s FROM pl), n AS (SELECT *, CAST(floor(s / d) AS BIGINT) AS cycles FROM c)
+        SELECT session_id, element, cycles, g.generate_series AS cycle, d / 3 AS inhale_seconds, d * 2 / 3 AS exhale_seconds, CAST(greatest(cycles - 6, 0) AS BIGINT) AS more_cycles FROM n, generate_series(1, 6) g WHERE g.generate_series <= cycles""",
     "preferences_merged": """WITH u AS (SELECT DISTINCT o_custkey AS user_id FROM orders)
         SELECT user_id, CASE WHEN user_id % 5 <> 0 AND user_id % 7 = 0 THEN true WHEN user_id % 2 = 0 THEN user_id % 3 = 0 ELSE false END AS ambient_optin,
           CASE WHEN user_id % 5 <> 0 AND user_id % 7 = 0 THEN '1998-01-01T00:00:00Z' END AS ambient_optin_date,

@@ -160,8 +160,9 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breathing_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dims.elements(spark).select("ord", "element").withColumn("seconds", F.col("ord") * 15 + 30).withColumn("bpm", F.lit(4.0) + F.col("ord"))
-    return sessions.breathing_script(d, F.col("seconds"), F.col("bpm")).select("element", "cycles", "cycle", "inhale_seconds", "exhale_seconds", "more_cycles")
+    """The breathing cycles that each session shows."""
+    d = adapters.breathing_plans(spark, sf_dir)
+    return sessions.breathing_script(d, F.col("seconds"), F.col("bpm")).select("session_id", "element", "cycles", "cycle", "inhale_seconds", "exhale_seconds", "more_cycles")
 
 
 def preferences_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +259,17 @@ def sync_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of which some user's properties hold a small number."""
-    ring = adapters.events(spark, sf_dir).filter("user_id > 0").limit(1).select(F.lit("oura").alias("source"))
-    return prefs.connected(["oura", "google_fit", "apple_watch"], ring)
+    """Which sources each user has connected."""
+    e = adapters.events(spark, sf_dir)
+    return prefs.connected_by_user(e, ("oura", "google_fit", "apple_watch"), adapters.source_registry(e))
+
+
+def sync_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sync of three sources: one gives samples, one has a document that can't be read, one is not connected."""
+    e = adapters.events(spark, sf_dir)
+    broken = adapters.fit_json(e).unionByName(e.agg(F.lit("{").alias("json")))
+    rows = vendor.sync_sources({"oura": lambda: _vendor_samples(e), "google_fit": lambda: vendor.fit_heart_rate(vendor.parsed(broken, schemas.FIT_HEART_RATE, strict=True)), "apple_watch": None}, landing.shared_folder(spark, "samples"))
+    return spark.createDataFrame([(r["source"], r["samples_pushed"], r["error"] is not None) for r in rows], "source string, samples_pushed bigint, failed boolean")
 
 
 def device_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,8 +347,9 @@ def mode_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breathing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dims.elements(spark).withColumn("seconds", F.col("ord") * 15 + 30).withColumn("bpm", F.lit(4.0) + F.col("ord"))
-    return sessions.breathing_text(d, F.col("seconds"), F.col("bpm")).select("element", "script")
+    """The breathing script of each session."""
+    d = adapters.breathing_plans(spark, sf_dir).join(dims.elements(spark).select("element", "label", "organ", "summary"), "element")
+    return sessions.breathing_text(d, F.col("seconds"), F.col("bpm")).select("session_id", "script")
 
 
 def session_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +384,7 @@ QUERIES: list[Query] = [
     preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields, voiceover_switched, ring_samples,
     readiness_samples, fit_samples, lookback_samples, sync_summary, sync_requests, connected_sources, device_rules, token_rules,
     request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers, request_replay,
-    landed_samples, checked_documents,
+    landed_samples, checked_documents, sync_statuses,
 ]
 
 

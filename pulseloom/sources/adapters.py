@@ -147,3 +147,18 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"), F.concat(F.lit("sess_"), F.col("o_orderkey").cast("string")).alias("session_id"), F.col("o_orderkey").alias("session_no"),
         F.col("o_orderdate").cast("timestamp").alias("timestamp"), by_position(F.col("o_orderpriority"), PRIORITIES, dims.ELEMENTS).alias("element"),
         F.lit("audio").alias("tier"), F.lit(dims.SESSION_SECONDS).cast("long").alias("duration_seconds"))
+
+
+def breathing_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with how long they are to last and how fast to breathe, by their order's price and customer."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("sess_"), F.col("o_orderkey").cast("string")).alias("session_id"), by_position(F.col("o_orderpriority"), PRIORITIES, dims.ELEMENTS).alias("element"),
+        (F.floor("o_totalprice") % 300).cast("long").alias("seconds"), (F.lit(4.0) + F.col("o_custkey") % 5).alias("bpm"))
+
+
+def source_registry(ev: DataFrame) -> DataFrame:
+    """Sources that a user's events stand for: (user_id, source), with repeats."""
+    k = F.from_json("props", "k int")["k"]
+    source = F.when((F.col("event_type") == "signup") & (k < 10), "oura").when((F.col("event_type") == "purchase") & (k % 9 == 0), "google_fit")
+    return ev.select("user_id", source.alias("source")).filter("source is not null")

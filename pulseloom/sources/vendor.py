@@ -26,9 +26,9 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema, strict: bo
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def parsed(raw: DataFrame, schema: str) -> DataFrame:
-    """Rows of a `json` column by a declared schema; unreadable text gives nulls."""
-    return raw.select(F.from_json("json", schema).alias("j")).select("j.*")
+def parsed(raw: DataFrame, schema: str, strict: bool = False) -> DataFrame:
+    """Rows of a `json` column by a declared schema; unreadable text gives nulls, or, strict, an error."""
+    return raw.select(F.from_json("json", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("j")).select("j.*")
 
 
 def checked(raw: DataFrame, schema: str) -> DataFrame:
