@@ -1,8 +1,8 @@
 """Secret scan with built-in expressions only.
 
 Three pattern kinds give the base spans. On top, every candidate string (a maximal run of
-one character class) is read through a sliding window whose character counts are updated
-one in, one out; windows whose Shannon entropy reaches the class threshold are merged into
+one character class) is read through a sliding window whose character counts are kept and
+updated, one in, one out; windows whose Shannon entropy reaches the class threshold are merged into
 further spans, unless the candidate is on the allow-list.
 
 Spans are code points, end exclusive. A null text counts as empty: no spans, and the hash
@@ -77,27 +77,30 @@ def _spans(text: Column, pattern: str, guard: Column, kind: str, order: int, kee
 def _window_sql(c: EntropyClass) -> str:
     """SQL for the merged windows of high entropy in the candidate r, as array<struct<s,e>>.
 
-    `sum` holds the sum of k*log2(k) over the counts k of the window's characters. A step updates
-    the counts of two characters, x that enters and y that leaves; their counts before it are those
-    in the window's own few bytes (z.w), so no table of counts is copied."""
+    The state holds the counts of the window's characters, a byte for each ASCII code in `n`, and in
+    `sum` the sum of k*log2(k) over them. A step adds one to the count of the character that enters
+    and takes one from that of the character that leaves."""
     w = c.window
     weight = "array(" + ",".join(f"{k}D * log2({max(k, 1)}D)" for k in range(w + 2)) + ")"
-    count = lambda x: f"(length(z.w) - length(replace(z.w, {x}, '')))"
+    byte = "array(" + ",".join(f"X'{k:02X}'" for k in range(w + 2)) + ")"
+    empty = "X'" + "00" * 128 + "'"
+    code = lambda at: f"ascii(cast(substr(a.bytes, {at}, 1) as string))"
+
+    def counted(state: str, x: str, by: int, v: str) -> str:
+        """The state with `by` added to the count of the character code x; v: a letter for its variables."""
+        return f"""aggregate(array({x}), {state}, ({v}, {v}x) -> aggregate(array(ascii(cast(substr({v}.n, {v}x + 1, 1) as string))), {v}, ({v}s, {v}k) ->
+            named_struct('bytes', {v}s.bytes, 'n', overlay({v}s.n PLACING {byte}[{v}k + {by}] FROM {v}x + 1 FOR 1), 'sum', {v}s.sum + {weight}[{v}k + {by}] - {weight}[{v}k], 'got', {v}s.got)))"""
+
     last = "b.got[greatest(size(b.got) - 1, 0)]"
+    entered = counted("a", code("i + 1"), 1, "p")
+    left = counted("e", code(f"i - {w - 1}"), -1, "q")
     return f"""
       aggregate(
         sequence(0, length(r.m) - 1),
-        named_struct('bytes', cast(r.m as binary), 'sum', 0D, 'got', cast(array() as array<struct<s:int,e:int>>)),
+        named_struct('bytes', cast(r.m as binary), 'n', {empty}, 'sum', 0D, 'got', cast(array() as array<struct<s:int,e:int>>)),
         (a, i) -> aggregate(
-          array(named_struct('x', cast(substr(a.bytes, i + 1, 1) as string), 'y', if(i >= {w}, cast(substr(a.bytes, i - {w - 1}, 1) as string), ''),
-                             'w', cast(substr(a.bytes, greatest(i - {w}, 0) + 1, least(i, {w})) as string))),
-          a,
-          (b, z) -> named_struct(
-            'bytes', b.bytes,
-            'sum', b.sum + if(z.x = z.y, 0D, {weight}[{count('z.x')} + 1] - {weight}[{count('z.x')}]
-                 + if(z.y = '', 0D, {weight}[greatest({count('z.y')} - 1, 0)] - {weight}[{count('z.y')}])),
-            'got', b.got),
-          b -> named_struct('bytes', b.bytes, 'sum', b.sum, 'got',
+          array(0), aggregate(if(i >= {w}, array(0), cast(array() as array<int>)), {entered}, (e, g) -> {left}), (b, h) -> b,
+          b -> named_struct('bytes', b.bytes, 'n', b.n, 'sum', b.sum, 'got',
             if(i < {w - 1} or log2({w}D) - b.sum / {w}D < {c.bits}D - 1e-9D, b.got,
               if(size(b.got) > 0 and {last}.e >= r.s + i - {w - 1},
                  concat(slice(b.got, 1, size(b.got) - 1), array(named_struct('s', {last}.s, 'e', r.s + i + 1))),
