@@ -62,10 +62,16 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+#: Spark's own setting: shuffle files go when the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What is `stored` in the block is deleted at its end, but for tables that it was told to keep:
-    what the block gives out may read those only."""
+    what the block gives out may read those only. Spark drops the shuffle files of each of the
+    block's jobs when it ends, as its result is written by then."""
+    conf, before_it = spark.conf, spark.conf.get(CLEANUP, None)
     written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
     before, kept = len(written), set()
 
@@ -73,7 +79,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df.stored_at)
         return df
 
-    yield keep
+    conf.set(CLEANUP, "true")
+    try:
+        yield keep
+    finally:
+        if before_it is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before_it)
     mine = written[before:]
     written[before:] = [p for p in mine if p in kept]
     _delete(spark, [p for p in mine if p not in kept])
