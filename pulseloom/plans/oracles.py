@@ -196,6 +196,7 @@ ORACLES = {
     "sync_requests": "SELECT event_id, (event_id % 3 = 1 AND event_id % 5 <> 0 AND event_id % 7 <> 0) AS synced FROM events",
     "connected_sources": f"""WITH {_EV}, r AS (SELECT DISTINCT user_id, CASE WHEN event_type = 'signup' AND k < 10 THEN 'oura' WHEN event_type = 'purchase' AND k % 9 = 0 THEN 'google_fit' END AS source FROM (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events))
         SELECT u.user_id, s.source, CASE WHEN r.source IS NULL THEN 'not_connected' ELSE 'connected' END AS status FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (VALUES ('oura'), ('google_fit'), ('apple_watch')) s(source) LEFT JOIN r ON r.user_id = u.user_id AND r.source = s.source""",
+    "upserted_samples": f"WITH {_EV} SELECT user_id, metric_type, max(CASE WHEN user_id % 6 = 1 THEN -value ELSE value END) AS value, unit, ms AS start_ms, ms AS end_ms, 'events' AS source FROM ev WHERE value IS NOT NULL GROUP BY user_id, metric_type, unit, ts, ms",
     "sync_statuses": f"WITH {_VENDOR} SELECT 'oura' AS source, count(*) AS samples_pushed, false AS failed FROM vs UNION ALL SELECT 'google_fit', 0, true UNION ALL SELECT 'apple_watch', 0, true",
     "device_rules": f"""WITH d AS (SELECT event_id, {_pick(DEVICES)} AS device, {_pick(KINDS)} AS kind, {_pick(PRACTICES)} AS practice, {_pick(('a|1|peak|x', 'b|2|burnout|y|z', 'c|3', ''))} AS line FROM events)
         SELECT event_id, coalesce(len(list_filter([{', '.join(map(_text, dims.BUILTIN_SPEAKERS))}], lambda s: contains(lower(trim(device)), s))) = 0 AND device IS NOT NULL, false) AS headphones,

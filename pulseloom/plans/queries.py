@@ -258,6 +258,15 @@ def sync_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendor.sync(e).select("event_id", "synced")
 
 
+def upserted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample table after two syncs that overlap, of which the second has other values for some intervals."""
+    s = adapters.samples(adapters.events(spark, sf_dir))
+    path = landing.shared_folder(spark, "samples")
+    vendor.upsert(s.filter(F.col("user_id") % 3 < 2), path)
+    vendor.upsert(s.filter(F.col("user_id") % 3 > 0).withColumn("value", F.when(F.col("user_id") % 6 == 1, -F.col("value")).otherwise(F.col("value"))), path)
+    return _in_ms(spark.read.schema(schemas.SAMPLE).parquet(path))
+
+
 def connected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources each user has connected."""
     e = adapters.events(spark, sf_dir)
@@ -384,7 +393,7 @@ QUERIES: list[Query] = [
     preferences_merged, synthetic_state, synthetic_history, stop_sessions, state_json_fields, voiceover_switched, ring_samples,
     readiness_samples, fit_samples, lookback_samples, sync_summary, sync_requests, connected_sources, device_rules, token_rules,
     request_errors, valid_elements, stopped_sessions, user_status, trend_signals, mode_selection, breathing_text, session_offers, request_replay,
-    landed_samples, checked_documents, sync_statuses,
+    landed_samples, checked_documents, sync_statuses, upserted_samples,
 ]
 
 

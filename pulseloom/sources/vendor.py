@@ -8,6 +8,7 @@ required times drop it. Missing inner arrays count as empty.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from pulseloom import schemas
 from pulseloom.functions import scalars as S
+from pulseloom.shared import written
 
 COLUMNS = ["user_id", "metric_type", "value", "unit", "start_time", "end_time", "source"]
 LOOKBACK_HOURS, LOOKBACK_DAYS = 4, 2
@@ -145,4 +147,38 @@ def push(samples: DataFrame, path: str) -> None:
         samples.withColumn("day", S.utc_date(F.col("start_time"))).write.mode("append").partitionBy("source", "day").parquet(path)
 
 
-__all__ = ["COLUMNS", "checked", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "sync", "sync_sources", "union_samples"]
+def upsert(samples: DataFrame, path: str) -> int:
+    """Bring the sample table at `path` (laid out as by `push`) to one row per user, source, metric and
+    interval; a row given now replaces the one that is there. Only days in which a row is new or has
+    changed are written again, and their number is given; repeating a call writes nothing. Rows given
+    twice count once, by their largest value. One writer at a time.
+
+    The days' rows are written beside the table first: reading and replacing them are two jobs."""
+    spark = samples.sparkSession
+    keys = ["user_id", "source", "metric_type", "start_time", "end_time"]
+    rest = [c for c in COLUMNS if c not in keys]
+    new = samples.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_v")).select(*keys, "_v.*").withColumn("day", S.utc_date(F.col("start_time")))
+    new = written(new.select(*COLUMNS, "day"), "upsert")
+    if new.isEmpty():
+        return 0
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        have = spark.createDataFrame([], new.schema)
+    else:
+        have = spark.read.schema(new.schema).parquet(path)
+    same = lambda a, b, cols: functools.reduce(lambda x, c: x & a[c].eqNullSafe(b[c]), cols, F.lit(True))
+    # the layout's columns are compared plainly, so that other days are not read
+    place = lambda a, b: (a["source"] == b["source"]) & (a["day"] == b["day"])
+    changed = written(new.join(have, place(new, have) & same(new, have, COLUMNS), "left_anti"), "changed")
+    days = written(changed.select("source", "day").distinct(), "days")
+    n = days.count()
+    if not n:
+        return 0
+    old = have.join(days, ["source", "day"], "left_semi").select(*COLUMNS, "day")
+    kept = old.join(changed, place(old, changed) & same(old, changed, keys), "left_anti")
+    whole = written(kept.unionByName(changed), "days")
+    whole.repartition("source", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "day").parquet(path)
+    return n
+
+
+__all__ = ["COLUMNS", "checked", "dedupe", "fit_heart_rate", "push", "read_json", "ring_heart_rate", "ring_readiness", "ring_sleep", "schemas", "since", "source_summary", "sync", "sync_sources", "union_samples", "upsert"]

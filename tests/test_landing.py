@@ -128,3 +128,35 @@ def test_sync_on_request(spark, tmp_path, places):
     assert [r["samples_pushed"] for r in landing.sync(spark, asked, land, table, checkpoint)] == [0, 0]
     failed = landing.sync(spark, asked, str(tmp_path / "nowhere"), table, str(tmp_path / "other"))
     assert all(r["error"] and r["samples_pushed"] == 0 for r in failed)
+
+
+def files(path):
+    import os
+
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_upsert_writes_touched_days_only(spark, tmp_path):
+    path = str(tmp_path / "samples")
+
+    def sync(*rows):
+        ddl = "user_id long, metric_type string, value double, unit string, start string, source string"
+        df = spark.createDataFrame(list(rows), ddl).withColumn("start_time", F.to_timestamp("start")).withColumn("end_time", F.to_timestamp("start"))
+        return df.select(*vendor.COLUMNS)
+
+    def have():
+        return rows(spark.read.schema(schemas.SAMPLE).parquet(path).select("user_id", "value", F.date_format("start_time", "yyyy-MM-dd HH").alias("at"), "source"))
+
+    a, b, c = ((1, "heart_rate", v, "bpm", f"2024-01-0{d}T05:00:00Z", "oura") for d, v in ((1, 60.0), (2, 70.0), (3, 80.0)))
+    assert vendor.upsert(sync(a, b, b), path) == 2
+    first = files(path)
+    assert vendor.upsert(sync(a, b), path) == 0 and files(path) == first  # the same rows again
+    assert vendor.upsert(sync(b, c), path) == 1
+    assert {k: v for k, v in files(path).items() if k in first} == first  # a new day leaves the others as they are
+    second = files(path)
+    assert vendor.upsert(sync((1, "heart_rate", 71.0, "bpm", "2024-01-02T05:00:00Z", "oura"), (1, "heart_rate", 61.0, "bpm", "2024-01-02T06:00:00Z", "oura"), a), path) == 1
+    assert {k.split("day=")[1][:10] for k in set(second) - set(files(path))} == {"2024-01-02"}
+    assert have() == [(1, 60.0, "2024-01-01 05", "oura"), (1, 61.0, "2024-01-02 06", "oura"), (1, 71.0, "2024-01-02 05", "oura"), (1, 80.0, "2024-01-03 05", "oura")]
+    assert vendor.upsert(sync((None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura"), (None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura")), path) == 1
+    assert vendor.upsert(sync((None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura")), path) == 0
+    assert vendor.upsert(sync(a).limit(0), path) == 0 and len(have()) == 5
