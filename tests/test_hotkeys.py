@@ -26,7 +26,7 @@ def pairs(df):
 @pytest.mark.parametrize("seed, segment, d, strict", [(1, 50, 40, False), (2, 7, 40, True), (3, 200, 0, False), (4, 30, 5000, False), (5, 1, 3, True), (6, 90, 0, True)])
 def test_gate_equals_fold(spark, monkeypatch, seed, segment, d, strict):
     df = spark.createDataFrame(events(random.Random(seed), 900 if segment > 1 else 60), "k long, kind string, i long, ms long, force boolean")
-    for keys in (["k"], ["k", "kind"]):
+    for keys in (["k", "kind"] if seed % 2 else ["k"],):
         for force in (None, "force"):
             want = pairs(gates.gate(df, keys, "ms", "i", d, strict, force))
             with monkeypatch.context() as m:
