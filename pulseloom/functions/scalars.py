@@ -41,12 +41,17 @@ def _steps(x: Column, names: tuple[str, ...]) -> Column:
     return out.otherwise(names[-1])
 
 
+# Labels of the two scores, from high to low.
+YIN_LABELS = ("Fully Charged", "Steady", "Thinning", "Running Low", "Empty")
+YANG_LABELS = ("Fired Up", "Moving", "Coasting", "Sluggish", "Stalled")
+
+
 def yin_label(x: Column) -> Column:
-    return _steps(x, ("Fully Charged", "Steady", "Thinning", "Running Low", "Empty"))
+    return _steps(x, YIN_LABELS)
 
 
 def yang_label(x: Column) -> Column:
-    return _steps(x, ("Fired Up", "Moving", "Coasting", "Sluggish", "Stalled"))
+    return _steps(x, YANG_LABELS)
 
 
 def round_half_up(x: Column) -> Column:

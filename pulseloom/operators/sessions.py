@@ -91,6 +91,7 @@ def breathing_text(elements: DataFrame, seconds: Column, bpm: Column, shown: int
     n = F.floor(seconds / cycle).cast("long")
     out = elements.withColumn("_n", n).withColumn("_in", one(cycle / 3)).withColumn("_out", one(cycle * 2 / 3))
     numbers = F.expr(f"if(_n > 0, sequence(1L, least(_n, {shown}L)), cast(array() as array<bigint>))")
+    # The wording of the script.
     step = lambda i: F.concat(F.lit("Cycle "), i, F.lit("/"), F.col("_n"), F.lit(":\n  Inhale... ("), F.col("_in"), F.lit("s)\n  Exhale slowly... ("), F.col("_out"), F.lit("s)\n\n"))
     more = F.when(F.col("_n") > shown, F.concat(F.lit("  ... ("), F.col("_n") - shown, F.lit(" more cycles)\n\n"))).otherwise("")
     head = F.concat(F.lit("\n"), F.col("label"), F.lit(" · "), F.col("organ"), F.lit(" — "), F.col("summary"), F.lit("\n"), F.col("_n"), F.lit(" breathing cycles at "), S.shortest(bpm), F.lit(" BPM\n\n"))
