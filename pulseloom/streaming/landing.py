@@ -11,8 +11,10 @@ Layout: landing/<kind>/<any file of JSON documents, one a line>; table/{samples,
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +29,7 @@ KINDS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "ring_readiness": (schemas.RING_READINESS, vendor.ring_readiness), "fit_heart_rate": (schemas.FIT_HEART_RATE, vendor.fit_heart_rate),
 }
 PARTS = ("samples", "rejected", "ledger")
+COUNTS = ("documents", "rejected", "rescued", "samples")
 LEDGER = "kind string, file string, documents bigint, rejected bigint, rescued bigint, samples bigint, batch bigint"
 SAMPLES = f"{schemas.SAMPLE}, kind string, file string, batch bigint"
 REJECTED = "kind string, file string, json string, reason string, batch bigint"
@@ -52,31 +55,37 @@ def take_up(batch: DataFrame, table: str, number: int) -> None:
     if exists(spark, f"{table}/ledger/batch={number}/_SUCCESS"):
         return
     put = lambda df, part: df.write.mode("overwrite").parquet(f"{table}/{part}/batch={number}")
-    checked = {kind: vendor.checked(batch.filter(F.col("kind") == kind), schema) for kind, (schema, _) in KINDS.items()}
-    bad = [c.filter("reason is not null").select("kind", "file", "json", "reason") for c in checked.values()]
-    bad.append(batch.filter(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("kind", "file", "json", F.lit("unknown kind").alias("reason")))
-    found = []
-    for kind, (_, normalise) in KINDS.items():
-        good = checked[kind].filter("reason is null").select("file", "doc.*")
-        # the file travels with the row through the normaliser, which keeps user_id as it is
-        keyed = good.withColumn("user_id", F.struct("user_id", "file"))
-        found.append(normalise(keyed).withColumn("file", F.col("user_id.file")).withColumn("user_id", F.col("user_id.user_id")).withColumn("kind", F.lit(kind)))
-    samples, rejected = found[0], bad[0]
-    for more in found[1:]:
-        samples = samples.unionByName(more)
-    for more in bad[1:]:
-        rejected = rejected.unionByName(more)
-    put(samples, "samples")
-    put(rejected, "rejected")
-    # counted from what was written, so that the ledger says what readers will see
-    written = lambda part, ddl: spark.read.schema(ddl.removesuffix(", batch bigint")).parquet(f"{table}/{part}/batch={number}")
-    rescued = [c.filter("cardinality(rescued) > 0").select("kind", "file", F.lit("rescued").alias("what")) for c in checked.values()]
-    parts = [batch.select("kind", "file", F.lit("documents").alias("what")), written("rejected", REJECTED).select("kind", "file", F.lit("rejected").alias("what")), written("samples", SAMPLES).select("kind", "file", F.lit("samples").alias("what")), *rescued]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    number_of = lambda what: F.count(F.when(F.col("what") == what, 1)).alias(what)
-    put(every.groupBy("kind", "file").agg(*[number_of(w) for w in ("documents", "rejected", "rescued", "samples")]), "ledger")
+    # each document is read and parsed once: what follows uses the kept rows, where a text is held for rejected ones only
+    kept = {kind: _read_once(batch.filter(F.col("kind") == kind), schema) for kind, (schema, _) in KINDS.items()}
+    unknown = batch.filter(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("kind", "file", "json", F.lit("unknown kind").alias("reason"), F.lit(False).alias("rescued"))
+    try:
+        found = []
+        for kind, (_, normalise) in KINDS.items():
+            good = kept[kind].filter("reason is null").select("file", "doc.*")
+            # the file travels with the row through the normaliser, which keeps user_id as it is
+            keyed = good.withColumn("user_id", F.struct("user_id", "file"))
+            found.append(normalise(keyed).withColumn("file", F.col("user_id.file")).withColumn("user_id", F.col("user_id.user_id")).withColumn("kind", F.lit(kind)))
+        put(_all(found), "samples")
+        every = _all([*[k.drop("doc") for k in kept.values()], unknown])
+        put(every.filter("reason is not null").select("kind", "file", "json", "reason"), "rejected")
+        # counted from what was written, so that the ledger says what readers will see
+        written = lambda part, ddl: spark.read.schema(ddl.removesuffix(", batch bigint")).parquet(f"{table}/{part}/batch={number}")
+        count = lambda df, what: df.groupBy("kind", "file").agg(*[(F.count(F.lit(1)) if c == what else F.lit(0).cast("bigint")).alias(c) for c in COUNTS])
+        parts = [count(every, "documents"), count(written("rejected", REJECTED), "rejected"), count(every.filter("rescued"), "rescued"), count(written("samples", SAMPLES), "samples")]
+        put(_all(parts).groupBy("kind", "file").agg(*[F.sum(c).alias(c) for c in COUNTS]), "ledger")
+    finally:
+        for rows in kept.values():
+            rows.unpersist()
+
+
+def _read_once(documents: DataFrame, schema: str) -> DataFrame:
+    """What `vendor.checked` finds, kept on the executors' disks until the batch is taken up."""
+    rows = vendor.checked(documents, schema).select("kind", "file", F.when(F.col("reason").isNotNull(), F.col("json")).alias("json"), "reason", F.coalesce(F.cardinality("rescued") > 0, F.lit(False)).alias("rescued"), "doc")
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def land(spark: SparkSession, landing: str, table: str, checkpoint: str, files_per_batch: int | None = None, write: Callable[[DataFrame, str, int], None] = take_up) -> StreamingQuery:

@@ -160,3 +160,26 @@ def test_upsert_writes_touched_days_only(spark, tmp_path):
     assert vendor.upsert(sync((None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura"), (None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura")), path) == 1
     assert vendor.upsert(sync((None, "heart_rate", None, None, "2024-01-03T05:00:00Z", "oura")), path) == 0
     assert vendor.upsert(sync(a).limit(0), path) == 0 and len(have()) == 5
+
+
+def counting(spark):
+    """A step that passes rows of text on, and the number of rows that have passed it."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    return (lambda df: df.mapInArrow(run, df.schema)), passed
+
+
+def test_documents_are_parsed_once(spark, tmp_path, places, monkeypatch):
+    """However many writes need a document, it passes into the parser once."""
+    (part,), (step, passed), real = arrivals(spark, 1), counting(spark), vendor.checked
+    for kind in landing.KINDS:
+        put(tmp_path / "landing", kind, "a.json", *[j for k, j in part if k == kind])
+    monkeypatch.setattr(vendor, "checked", lambda raw, schema: real(step(raw), schema))
+    landing.land(spark, *places).awaitTermination()
+    assert passed.value == len(part) == landing.ledger(spark, places[1]).agg(F.sum("documents")).first()[0]
+    assert rows(landing.samples(spark, places[1]), *vendor.COLUMNS) == rows(one_read(spark, part), *vendor.COLUMNS)
