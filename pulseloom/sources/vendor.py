@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -131,20 +131,24 @@ def sync_sources(parts: dict[str, Callable[[], DataFrame] | None], path: str) ->
             row["error"] = "No token found"
         else:
             try:
-                samples = build().select(*COLUMNS)
-                n = samples.count()
-                push(samples, path)
-                row["samples_pushed"] = n
+                row["samples_pushed"] = push(build().select(*COLUMNS), path)
             except Exception as e:  # whatever the source raised is its row's error
                 row["error"] = str(e).split("\n")[0]
         out.append(row)
     return out
 
 
-def push(samples: DataFrame, path: str) -> None:
-    """Append to the sample table, laid out by source and day; nothing is written for no rows."""
-    if not samples.isEmpty():
-        samples.withColumn("day", S.utc_date(F.col("start_time"))).write.mode("append").partitionBy("source", "day").parquet(path)
+def push(samples: DataFrame, path: str) -> int:
+    """Append to the sample table, laid out by source and day, and give the number of rows; nothing is
+    written for no rows. The rows are made once: they are dealt by the layout, so that a day is written
+    to few files, and counted as they are written."""
+    if samples.isEmpty():
+        return 0
+    written = Observation()
+    dealt = samples.withColumn("day", S.utc_date(F.col("start_time"))).hint("rebalance", "source", "day")
+    # behind the shuffle, where a repeated task counts once
+    dealt.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("source", "day").parquet(path)
+    return written.get["n"]
 
 
 def upsert(samples: DataFrame, path: str) -> int:

@@ -183,3 +183,15 @@ def test_documents_are_parsed_once(spark, tmp_path, places, monkeypatch):
     landing.land(spark, *places).awaitTermination()
     assert passed.value == len(part) == landing.ledger(spark, places[1]).agg(F.sum("documents")).first()[0]
     assert rows(landing.samples(spark, places[1]), *vendor.COLUMNS) == rows(one_read(spark, part), *vendor.COLUMNS)
+
+
+def test_pushed_samples_are_made_once(spark, tmp_path):
+    """They are counted as they are written, one file a day."""
+    (step, passed), path = counting(spark), str(tmp_path / "samples")
+    at = F.to_timestamp(F.concat(F.lit("2024-01-0"), (F.col("id") % 3 + 1).cast("string")))
+    made = spark.range(0, 1000, 1, 20).select(F.col("id").alias("user_id"), F.lit("heart_rate").alias("metric_type"), F.lit(60.0).alias("value"), F.lit("bpm").alias("unit"), at.alias("start_time"), at.alias("end_time"), F.lit("oura").alias("source"))
+    got = vendor.sync_sources({"oura": lambda: step(made), "google_fit": lambda: made.limit(0)}, path)
+    assert [r["samples_pushed"] for r in got] == [1000, 0] and not any(r["error"] for r in got)
+    assert 1000 <= passed.value < 2000  # the look for a first row makes one partition
+    assert spark.read.schema(schemas.SAMPLE).parquet(path).count() == 1000 and len(files(path)) == 3
+    assert vendor.push(made, path) == 1000 and spark.read.schema(schemas.SAMPLE).parquet(path).count() == 2000
