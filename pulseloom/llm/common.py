@@ -55,6 +55,13 @@ def drop_stored(spark: SparkSession) -> int:
     return len(paths)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a `stored` table that nothing reads any more, before its operator has ended."""
+    spark = df.sparkSession
+    _WRITTEN[spark.sparkContext.applicationId].remove(df.stored_at)
+    _delete(spark, [df.stored_at])
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec as tv
-from .common import bounded_broadcast, row_key, scratch, short_batches, stored, tidy
+from .common import bounded_broadcast, forget, row_key, scratch, short_batches, stored, tidy
 from .components import components, roots
 
 #: About the share of sets that may need tiles for their empty parts.
@@ -331,8 +331,17 @@ def forest(rows: DataFrame, keys: list[str], percent: int, flat: Flat) -> DataFr
 
 
 def verified(pairs: DataFrame, have: DataFrame, percent: int, flat: Flat) -> DataFrame:
-    """The pairs (a, b) whose sets link. have: (id, s)."""
-    both = pairs.join(have.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) whose sets link. have: (id, s).
+
+    Few pairs are sent to the sets: then those of b are shuffled once, with their pairs, to those of
+    the a's, which are mostly fewer, and no other sets move. Else all sets are shuffled once, for both."""
+    pairs = stored(pairs, "asked")
+    x, y = have.select(F.col("id").alias("a"), F.col("s").alias("x")), have.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    if pairs.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        both = y.join(F.broadcast(pairs), "b").join(x.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi"), "a")
+    else:
+        both = pairs.join(x, "a").join(y, "b")
+    both = both.select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,7 +481,8 @@ def links(members: DataFrame, have: DataFrame, percent: int, flat: Flat, light:
     groups = stored(open_groups(rest, found), "groups")
     if not light and not groups.isEmpty():
         # pairs of nearest ones first: many groups hold the same pair, whose sets are then sent once
-        maps = stored(bitmaps(have.join(groups.select("id").distinct(), "id", "left_semi"), flat), "bitmaps")
+        ids = bounded_broadcast(stored(groups.select("id").distinct(), "open"), MAX_BROADCAST_ROWS)
+        maps = stored(bitmaps(have.join(ids, "id", "left_semi"), flat), "bitmaps")
         marked = lambda g: g.join(maps, "id").select(*groups.columns, "n", "bits")
         pairs = stored(not_ruled_out(marked(groups), percent, True), "pairs")
         good = good.unionByName(stored(verified(pairs, have, percent, flat), "links"))
@@ -507,6 +517,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         classed = keep(stored(classed, "classed"))
         reps = classed.filter("row = rep")
         members = tiles(have.select(F.col("row").alias("id"), "keys").join(bounded_broadcast(classed.filter("row <> rep").select(F.col("row").alias("id")), MAX_BROADCAST_ROWS), "id", "left_anti"))
+        forget(have)
         wanted = reps.join(members.select(F.col("id").alias("row")).distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), "k")
         wanted = bounded_broadcast(stored(wanted, "wanted"), MAX_BROADCAST_ROWS)
 
@@ -519,7 +530,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         texts = texts.filter(F.col("_i").eqNullSafe(F.col("_id"))).select("row", "text")
         arrays = stored(texts.mapInArrow(tidy(run), "id bigint, s binary"), "arrays")
         if arrays.count() > wanted.count():  # rows that repeat id and text
-            arrays = stored(arrays.dropDuplicates(["id"]), "arrays")
+            repeated, arrays = arrays, stored(arrays.dropDuplicates(["id"]), "arrays")
+            forget(repeated)
         found = keep(stored(links(members, arrays, percent, as_hashes, light=False), "components"))
         found = bounded_broadcast(found, MAX_BROADCAST_ROWS)
         out = classed.join(found, classed["rep"] == found["node"], "left").withColumn("component", F.coalesce("component", "rep"))

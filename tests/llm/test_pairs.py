@@ -561,3 +561,40 @@ def test_vectors_of_unequal_lengths(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1.0, 0.0], 1), (3, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (0, 4, True), None: (0, None, True)}  # of id 3 the least vector counts
+
+
+def test_tile_keys_go_before_sets_come(spark, monkeypatch):
+    """The table of keys, as large as the input, and the tables of sets do not lie on disk at once."""
+    import os
+
+    there = lambda: {d.rsplit("-", 1)[0] for d in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))}
+    before, seen, real = there(), [], ngram_join.links
+
+    def spy(*a, **k):
+        seen.append(there())
+        return real(*a, **k)
+
+    monkeypatch.setattr(ngram_join, "links", spy)
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, base), (2, base + " x"), (3, "a b c d e f g"), (4, base + " x")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert seen and "arrays" in seen[0] and "sets" not in seen[0] - before
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_few_pairs_move_their_own_sets_only(spark, monkeypatch, most):
+    """Sets that no pair names are not shuffled, if pairs are few; links are the same either way."""
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_ROWS", most)
+    sets = [list(range(10)), list(range(9)), list(range(100, 110)), *([k] for k in range(1000, 3000))]
+    have = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in enumerate(sets)], "id long, s binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 2)], "a long, b long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.verified(pairs, have, 80, ngram_join.as_hashes)
+        assert [tuple(r) for r in got.collect()] == [(0, 1)]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("strategy=broadcast") == (2 if most else 0)
