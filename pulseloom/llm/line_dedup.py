@@ -35,6 +35,9 @@ SHINGLE, BANDS, ROWS, PERCENT = 8, 16, 5, 80
 MIN_WORDS = 1
 #: Places of dropped lines (4 bytes each) up to which they are broadcast.
 MAX_BROADCAST_PLACES = 2_000_000
+#: Bytes of texts that are cut into lines at a time, few enough for arrays to stay in the cache, and
+#: lines that a task remembers having met.
+CHUNK_BYTES, MAX_MET = 1 << 18, 500_000
 _U = np.uint64
 
 
@@ -61,13 +64,13 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner[has], place[has], word[a], word_end[b - 1], b - a
 
 
-def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, edges of the lines among them) of the k-character shingles of byte spans; a line
-    of fewer characters is one shingle."""
+    of fewer characters is one shingle. sums: prefix_sums(data), if at hand."""
     points = np.flatnonzero((data & 0xC0) != 0x80)
     a, b = np.searchsorted(points, start), np.searchsorted(points, end)
     points = np.append(points, len(data))
-    sums = tv.prefix_sums(data)
+    sums = tv.prefix_sums(data) if sums is None else sums
     runs = np.maximum(b - a - k + 1, 1)
     edges = np.concatenate([[0], np.cumsum(runs)])
     # windows of k characters from every character; those within a line are picked
@@ -122,25 +125,31 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, min_words: int) -> DataFrame:
     """Per line (doc, k, place, h), k the key of the document's row; a task gives the keys where it
-    first meets the line."""
+    first meets the line, and again where it has forgotten that: what is given twice counts once."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros(0, _U)
+        met: set[int] = set()
         for batch in batches:
-            for i, _, data, off in tv.chunks(batch.column(2)):
+            for i, _, data, off in tv.chunks(batch.column(2), CHUNK_BYTES):
                 owner, place, start, end, words = lines(data, off)
                 use = words >= min_words
                 owner, place, start, end = owner[use], place[use], start[use], end[use]
                 if not len(owner):
                     continue
-                h = tv.hash_spans(tv.prefix_sums(data), start, end)
-                _, first = np.unique(h, return_index=True)
-                new = np.sort(first[~np.isin(h[first], met)])
-                met = np.concatenate([met, h[new]])
+                sums = tv.prefix_sums(data)
+                h = tv.hash_spans(sums, start, end)
+                if len(met) > MAX_MET:
+                    met.clear()
+                new = []
+                for at, x in enumerate(h.tolist()):
+                    if x not in met:
+                        met.add(x)
+                        new.append(at)
+                new = np.array(new, np.int64)
                 has = np.zeros(len(h), bool)
                 has[new] = True
-                of = band_keys(signatures(*shingles(data, start[new], end[new], shingle), bands * rows), bands)
+                of = band_keys(signatures(*shingles(data, start[new], end[new], shingle, sums), bands * rows), bands)
                 width = 8 * bands
                 # rows without keys are null: their offsets stand still
                 ends = np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32)

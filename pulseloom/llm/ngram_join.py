@@ -34,7 +34,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .common import bounded_broadcast, forget, row_key, scratch, short_batches, stored, tidy
@@ -53,6 +52,9 @@ CHUNK_ROWS, CHUNK_BYTES = 1024, 1 << 20
 BITS, SENT_BITS = 8, 8
 #: Rows of one tile key that may be sorted in one task; keys are counted in KEY_BUCKETS first.
 HOT_ROWS, KEY_BUCKETS = 1_000_000, 1 << 12
+#: Rows of tile keys that a task groups at a time, about; of these in one row of a shuffle, at best;
+#: and that a task holds at most until it deals them.
+DEALT_ROWS, PACKED_ROWS, HELD_ROWS = 1 << 17, 512, 1 << 20
 #: Rows of ids or classes (some 40 bytes each) up to which they are broadcast.
 MAX_BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -140,9 +142,9 @@ def sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, key:
     return stored(used.mapInArrow(tidy(run), "row bigint, id bigint, k bigint, n bigint, f1 bigint, f2 bigint, keys binary"), "sets")
 
 
-def hot_keys(keyed: DataFrame) -> DataFrame | None:
-    """(key, lead, last) of the keys with more than HOT_ROWS rows, or None. Rows are counted by
-    bucket of the key first, so only keys of full buckets are grouped."""
+def hot_keys(keyed: DataFrame) -> tuple[int, DataFrame | None]:
+    """The number of rows, and (key, lead, last) of the keys with more than HOT_ROWS rows, or None.
+    Rows are counted by bucket of the key first, so only keys of full buckets are grouped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(KEY_BUCKETS, np.int64)
@@ -152,12 +154,13 @@ def hot_keys(keyed: DataFrame) -> DataFrame | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(KEY_BUCKETS)), pa.array(n)], names=["bucket", "n"])
 
     counts = keyed.select("keys").mapInArrow(tidy(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    full = [r["bucket"] for r in counts.filter(F.col("n") > HOT_ROWS).collect()]  # at most KEY_BUCKETS numbers
+    n = {r["bucket"]: r["n"] for r in counts.collect()}  # at most KEY_BUCKETS numbers
+    full = [k for k, v in n.items() if v > HOT_ROWS]
     if not full:
-        return None
+        return sum(n.values()), None
     rows = key_rows(keyed).filter(F.col("key").bitwiseAND(F.lit(KEY_BUCKETS - 1)).isin(full))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("lead"), F.max("id").alias("last")).filter(F.col("_n") > HOT_ROWS)
-    return bounded_broadcast(stored(hot.drop("_n"), "hot"), MAX_BROADCAST_ROWS)
+    return sum(n.values()), bounded_broadcast(stored(hot.drop("_n"), "hot"), MAX_BROADCAST_ROWS)
 
 
 def key_rows(keyed: DataFrame) -> DataFrame:
@@ -172,16 +175,101 @@ def key_rows(keyed: DataFrame) -> DataFrame:
     return keyed.select("id", "keys").mapInArrow(tidy(run), "key bigint, id bigint")
 
 
+def dealt_keys(rows: DataFrame, several: bool, n: int) -> DataFrame:
+    """(part, keys, ids) of n rows (key, id), or (id, keys) if several: by ranges of the key, and many
+    in a row, as to shuffle and sort each of them alone takes many times as long."""
+    ranges = max(1, -(-n // DEALT_ROWS))
+    most = min(max(PACKED_ROWS * ranges, 1 << 15), HELD_ROWS)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, id_ = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (((key.view(_U) >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
+        edges = pa.py_buffer((8 * at).astype(np.int32).tobytes())
+        both = (pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, edges, pa.py_buffer(x[order].tobytes())]) for x in (key, id_))
+        return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]].astype(np.int64)), *both], names=["part", "keys", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            first, second = batch.columns
+            if several:
+                ids = first.to_numpy()
+                for i, j, data, off in tv.chunks(second.fill_null(b""), 8 * most):
+                    held.append((np.frombuffer(data.tobytes(), np.int64), np.repeat(ids[i:j], np.diff(off) // 8)))
+                    size += len(held[-1][0])
+                    if size >= most:
+                        yield packed(held)
+                        held, size = [], 0
+            elif batch.num_rows:
+                held.append((first.to_numpy(), second.to_numpy()))
+                size += batch.num_rows
+                if size >= most:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return rows.mapInArrow(tidy(run), "part bigint, keys binary, ids binary")
+
+
+def shared_keys(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, id, least id of the key) of the keys with several ids, each once."""
+    s = np.sort(key)
+    again = s[1:][s[1:] == s[:-1]]
+    # most keys come once: marks by their low bits pass over nearly all of these
+    marks = np.zeros(1 << max(10, (8 * len(again)).bit_length()), bool)
+    marks[again & (len(marks) - 1)] = True
+    some = marks[key & (len(marks) - 1)]
+    key, id_ = key[some], id_[some]
+    order = np.lexsort((id_, key))
+    key, id_ = key[order], id_[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    new = first.copy()
+    new[1:] |= id_[1:] != id_[:-1]
+    key, id_, at = key[new], id_[new], np.flatnonzero(first[new])
+    count = np.diff(np.append(at, len(key)))
+    several = np.repeat(count > 1, count)
+    return key[several], id_[several], np.repeat(id_[at], count)[several]
+
+
 def tiles(keyed: DataFrame) -> DataFrame:
     """From (id, keys) the members (key, id, lead) of tiles with several; lead is the least id."""
-    rows, hot = key_rows(keyed), hot_keys(keyed)
-    some = rows if hot is None else rows.join(hot.select("key"), "key", "left_anti")
-    w = Window.partitionBy("key").orderBy("id")
-    some = some.withColumn("lead", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("id").over(w))
-    some = some.filter((F.col("lead") != F.col("id")) | (F.col("next") != F.col("id"))).select("key", "id", "lead")
+    n, hot = hot_keys(keyed)
+    rows = key_rows(keyed)
+    dealt = dealt_keys(keyed.select("id", "keys"), True, n) if hot is None else dealt_keys(rows.join(hot.select("key"), "key", "left_anti").select("key", "id"), False, n)
+
+    def compare(t: pa.Table, ends: list[int]) -> list[pa.RecordBatch]:
+        out = []
+        for a, e in zip([0, *ends[:-1]], ends, strict=True):
+            key, id_ = (as_hashes(t[c].slice(a, e - a).combine_chunks())[0].view(np.int64) for c in ("keys", "ids"))
+            out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in shared_keys(key, id_)], names=["key", "id", "lead"]))
+        return out
+
+    some = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(lambda b: by_group(b, ["part"], compare)), "key bigint, id bigint, lead bigint")
     if hot is not None:
-        some = some.unionByName(rows.join(hot.filter("lead <> last"), "key").select("key", "id", "lead"))
-    return stored(some.distinct(), "tiles")
+        some = some.unionByName(rows.join(hot.filter("lead <> last"), "key").select("key", "id", "lead").distinct())
+    return stored(some, "tiles")
+
+
+def ranks(h: np.ndarray) -> np.ndarray:
+    """Numbers below len(h) that are equal where the hashes are, and only there."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    # hashes with their places in the low bits are sorted in a fraction of the time that argsort() takes
+    low = _U((1 << len(h).bit_length()) - 1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=_U)) & low).astype(np.int64)
+    s = h[order]
+    new = s[1:] != s[:-1]
+    if (new & ((s[1:] ^ s[:-1]) <= low)).any():  # unequal hashes with equal high bits may alternate
+        return np.unique(h, return_inverse=True)[1]
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(new)])
+    return rank
 
 
 class Members:
@@ -189,7 +277,7 @@ class Members:
 
     def __init__(self, h: np.ndarray, edges: np.ndarray, percent: int):
         self.percent, count = percent, len(edges) - 1
-        _, rank = np.unique(h, return_inverse=True)
+        rank = ranks(h)
         #: member and rank of the hash among all, sorted: the arrays of the sets, one after another
         self.key = tv.distinct((np.repeat(np.arange(count), np.diff(edges)) << 32) | rank)
         of = self.key >> 32

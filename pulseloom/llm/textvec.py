@@ -22,12 +22,13 @@ def _inverse(odd: int) -> int:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every input bit over the word."""
-    h = h.astype(_U, copy=True)
-    h ^= h >> _U(30)
+    h = np.array(h, _U)
+    high = h >> _U(30)
+    h ^= high
     h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(27)
+    h ^= np.right_shift(h, _U(27), out=high)
     h *= _U(0x94D049BB133111EB)
-    h ^= h >> _U(31)
+    h ^= np.right_shift(h, _U(31), out=high)
     return h
 
 

@@ -598,3 +598,44 @@ def test_few_pairs_move_their_own_sets_only(spark, monkeypatch, most):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("strategy=broadcast") == (2 if most else 0)
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"DEALT_ROWS": 700, "HELD_ROWS": 5000}, {"HOT_ROWS": 30}])
+def test_tile_keys_are_shuffled_many_in_a_row(spark, monkeypatch, bounds):
+    """Members of tiles are those of a plain grouping, and keys do not make a row of a shuffle each."""
+    for k, v in bounds.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rng = np.random.default_rng(21)
+    few = tv.mix(np.arange(300))  # keys of several ids, one of them of very many
+    rows = [(i, np.concatenate([tv.mix(np.arange(15) + 1000 * (i + 1)), few[rng.integers(300, size=1)], few[:1] if i % 20 == 0 else few[:0]])) for i in range(2000)]
+    rows += rows[:50]  # rows that repeat count once
+    want = collections.defaultdict(set)
+    for i, keys in rows:
+        for k in keys.view(np.int64).tolist():
+            want[k].add(i)
+    keyed = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in rows] + [(9999, bytearray()), (9998, None)], "id long, keys binary").coalesce(4).cache()
+    assert keyed.count() == len(rows) + 2
+    before = shuffled_rows(spark)
+    got = sorted(map(tuple, ngram_join.tiles(keyed).collect()))
+    written = shuffled_rows(spark) - before
+    assert got == sorted((k, i, min(v)) for k, v in want.items() if len(v) > 1 for i in v)
+    if "HOT_ROWS" not in bounds:
+        # beside counts by bucket
+        assert written < 4 * ngram_join.KEY_BUCKETS + 4 * 50 < len(rows) * 16
+
+
+def test_ranks():
+    """Equal numbers for equal hashes only, also where unequal ones have all their high bits in common."""
+    rng = np.random.default_rng(22)
+    for h in (np.zeros(0, np.uint64), tv.mix(np.arange(5000) % 700), tv.mix(np.arange(50))[rng.integers(50, size=900)] & ~np.uint64(1) | rng.integers(2, size=900).astype(np.uint64), np.array([7] * 9, np.uint64)):
+        r = ngram_join.ranks(h)
+        assert len(set(zip(h.tolist(), r.tolist(), strict=True))) == len(set(h.tolist())) == len(set(r.tolist()))
+        assert not len(h) or 0 <= r.min() <= r.max() < len(h)
