@@ -250,7 +250,8 @@ def tiles(keyed: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in shared_keys(key, id_)], names=["key", "id", "lead"]))
         return out
 
-    some = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(lambda b: by_group(b, ["part"], compare)), "key bigint, id bigint, lead bigint")
+    # partitions follow the rows, so that none grows with the input
+    some = dealt.repartition(max(1, n // (3 * DEALT_ROWS)), "part").sortWithinPartitions("part").mapInArrow(tidy(lambda b: by_group(b, ["part"], compare)), "key bigint, id bigint, lead bigint")
     if hot is not None:
         some = some.unionByName(rows.join(hot.filter("lead <> last"), "key").select("key", "id", "lead").distinct())
     return stored(some, "tiles")
