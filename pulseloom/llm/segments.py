@@ -35,6 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED = 2, 5
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 20
+#: Bytes of words whose lattices are kept for a task's later texts, at about 90 bytes of memory each.
+KEPT = 1 << 20
+#: Bytes of a word beyond which its lattice is not kept, as such words hardly come again.
+LONG = 64
 _U = np.uint64
 _loaded: dict[str, Vocabulary] = {}
 
@@ -97,19 +101,73 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Lattices of distinct words, laid out in `data` with one byte after each word.
+    """Lattices of distinct words, one after another in `data` with one byte after each word.
 
     The edges from position i are ptr[i]..ptr[i+1], the longest first; `cum` is the running sum of
-    their probabilities given i. The byte after a word is its end."""
-
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        n = len(data)
-        limit = np.zeros(n, np.int64)
-        limit[starts] = ends - np.concatenate([[0], ends[:-1]])
-        limit = np.cumsum(limit)  # of each position, the end of its word
-        self.is_end = np.zeros(n, bool)
-        self.is_end[ends] = True
-        head = np.flatnonzero(((data & 0xC0) != 0x80) & ~self.is_end)  # starts of characters
+    their probabilities given i. The byte after a word is its end. Words that come again are found
+    by hash: the first ones, of `keep` bytes in all, stay, the others go when the next texts come.
+    If hardly any of these are known, they take the place of those that stayed."""
+
+    def __init__(self, vocab: Vocabulary, keep: int = KEPT):
+        self.vocab, self.keep = vocab, keep
+        self.bytes = self.edges = 0  # in use; the arrays below are longer
+        self.data, self.is_end, self.ptr = np.zeros(0, np.uint8), np.zeros(0, bool), np.zeros(1, np.int64)
+        self.start, self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.logp, self.cum, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.known, self.origin = np.zeros(0, _U), np.zeros(0, np.int64)  # words that stay, by hash
+        self.stay = (0, 0)
+
+    def place(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where in the lattice the words data[starts:ends] with hashes h begin."""
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        size = (ends - starts)[first]
+        self.bytes, self.edges = self.stay
+        origin = np.empty(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        origin[~new] = self.origin[at[~new]]
+        fresh, room = int(size[new].sum()), self.keep - self.bytes
+        if fresh > max(room, 0.75 * size.sum(), self.keep / 8):  # the words that stay are of other texts
+            self.bytes = self.edges = 0
+            self.stay, self.known, self.origin = (0, 0), self.known[:0], self.origin[:0]
+            new[:], room = True, self.keep
+        # in the order of the text, so that what stays is no choice by hash
+        todo = np.flatnonzero(new)
+        todo = todo[np.argsort(first[todo])]
+        short = size[todo] <= LONG
+        fits = short & (np.cumsum(np.where(short, size[todo] + 1, 0)) <= room)
+        for part, stays in ((todo[fits], True), (todo[~fits], False)):
+            if not len(part):
+                continue
+            origin[part] = self._add(data, starts[first[part]], size[part])
+            if stays:
+                self.stay = (self.bytes, self.edges)
+                known = np.concatenate([self.known, h[part]])
+                order = np.argsort(known, kind="stable")
+                self.known, self.origin = known[order], np.concatenate([self.origin, origin[part]])[order]
+        return origin[inverse]
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        old = getattr(self, name)
+        if at + len(values) > len(old):
+            wide = np.empty(max(at + len(values), len(old) + len(old) // 4), old.dtype)
+            wide[:at] = old[:at]
+            setattr(self, name, wide)
+            old = wide
+        old[at : at + len(values)] = values
+
+    def _add(self, text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        vocab = self.vocab
+        begin = np.cumsum(size + 1) - size - 1
+        ends = begin + size
+        n = int((size + 1).sum())
+        inner = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        data = np.zeros(n, np.uint8)
+        data[inner] = text[inner + np.repeat(starts - begin, size)]
+        limit = np.repeat(ends, size + 1)  # of each position, the end of its word
+        is_end = np.zeros(n, bool)
+        is_end[ends] = True
+        head = np.flatnonzero(((data & 0xC0) != 0x80) & ~is_end)  # starts of characters
         width = np.zeros(n, np.int32)
         width[head] = np.minimum(np.diff(np.append(head, n)), limit[head] - head)
         found = []
@@ -118,206 +176,259 @@ class Lattice:
         while len(at):
             node = vocab.next[node * 256 + data[at + depth]].astype(np.int64)
             depth += 1
-            on = node > 0
+            on = np.flatnonzero(node)
             at, node = at[on], node[on]
             ids = vocab.ids[node]
-            hit = ids >= 0
+            hit = np.flatnonzero(ids >= 0)
             b = at[hit]
             found.append((b, b + depth, ids[hit]))
             if depth <= 4:
                 single[b[width[b] == depth]] = True
-            on = at + depth < limit[at]
+            on = np.flatnonzero(at + depth < limit[at])
             at, node = at[on], node[on]
         bare = head[~single[head]]  # characters without a piece of their own: bytes
         found.append((bare, bare + width[bare], np.full(len(bare), -1, np.int32)))
         many = np.zeros(n, np.int64)
         for b, _, _ in found:
             many[b] += 1  # a position has at most one edge of each length
-        self.ptr = np.concatenate([[0], np.cumsum(many)])
-        free = self.ptr[1:].copy()
-        count = int(self.ptr[-1])
-        self.end, self.piece = np.empty(count, np.int64), np.empty(count, np.int32)
+        ptr = np.concatenate([[0], np.cumsum(many)])
+        free = ptr[1:].copy()
+        count = int(ptr[-1])
+        end, piece = np.empty(count, np.int64), np.empty(count, np.int32)
         for b, e, p in found:
-            free[b] -= 1
-            self.end[free[b]], self.piece[free[b]] = e, p
-        self.data, self.start = data, np.repeat(np.arange(n), many)
-        weight = np.where(self.piece >= 0, vocab.weight[self.piece], vocab.weight[vocab.byte_ids[0]] * (self.end - self.start))
+            f = free[b] - 1
+            free[b] = f
+            end[f], piece[f] = e, p
+        start = np.repeat(np.arange(n, dtype=np.int32), many)
+        weight = vocab.weight[piece]
+        lone = np.flatnonzero(piece < 0)
+        weight[lone] = vocab.weight[vocab.byte_ids[0]] * (end[lone] - start[lone])
         # sums over the ways to the word's end, for all positions at one distance from it at a time
         far = limit[head] - head
         order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         by = head[order]
-        size = many[by]
-        first = np.cumsum(size) - size
-        edge = np.repeat(self.ptr[by] - first, size) + np.arange(count)
-        w, to = weight[edge], self.end[edge]
+        many_by = many[by]
+        first = np.cumsum(many_by) - many_by
+        edge = np.repeat(ptr[by] - first, many_by) + np.arange(count)
+        w, to = weight[edge], end[edge]
         stop = np.searchsorted(far[order], np.arange(1, far.max(initial=0) + 2))
         total, value = np.zeros(n), np.empty(count)
         for x, y in zip(stop[:-1], stop[1:], strict=True):
             if x == y:
                 continue
             i, j = first[x], first[y] if y < len(first) else count
-            own, rep = first[x:y] - i, size[x:y]
+            own, rep = first[x:y] - i, many_by[x:y]
             v = w[i:j] + total[to[i:j]]
             top = np.maximum.reduceat(v, own)
             sums = np.log(np.add.reduceat(np.exp(v - np.repeat(top, rep)), own)) + top
             total[by[x:y]] = sums
             value[i:j] = v - np.repeat(sums, rep)
-        self.logp = np.empty(count)
-        self.logp[edge] = np.minimum(value, 0.0)
-        self.prob = np.exp(self.logp)
-        run = np.cumsum(self.prob)
-        self.cum = run - np.repeat((run - self.prob)[self.ptr[:-1][many > 0]], many[many > 0])
-        self.cum[self.ptr[1:][many > 0] - 1] = 2.0  # the last edge takes what is left
+        logp = np.empty(count)
+        logp[edge] = np.minimum(value, 0.0)
+        prob = np.exp(logp)
+        rest = np.full(count, -np.inf)
+        several = np.flatnonzero(many > 1)
+        open_ = np.flatnonzero(np.repeat(many > 1, many))
         with np.errstate(divide="ignore"):
-            self.rest = np.where(many[self.start] > 1, np.log1p(-self.prob), -np.inf)
+            rest[open_] = np.log(1.0 - prob[open_])
+        cum, next_ = prob, ptr[several] + 1
+        left = many[several] - 1
+        while len(next_):
+            cum[next_] += cum[next_ - 1]
+            on = np.flatnonzero(left > 1)
+            next_, left = next_[on] + 1, left[on] - 1
+        cum[ptr[1:][many > 0] - 1] = 2.0  # the last edge takes what is left
+        n0, m0 = self.bytes, self.edges
+        for name, values in (("data", data), ("is_end", is_end)):
+            self._put(name, n0, values)
+        self._put("ptr", n0, ptr + m0)
+        for name, values in (("start", start + np.int32(n0)), ("end", end + n0), ("piece", piece), ("logp", logp), ("cum", cum), ("rest", rest)):
+            self._put(name, m0, values)
+        self.bytes, self.edges = n0 + n, m0 + count
+        return begin + n0
+
+
+_PLACE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+
+
+def unit(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit states."""
+    h = tv.mix(h)
+    h >>= _U(11)
+    out = h.astype(np.float64)
+    out += 0.5
+    out *= 1.0 / (1 << 53)
+    return out
 
 
 def uniform(key: np.ndarray, a, b, c: int) -> np.ndarray:
     """Numbers in (0, 1) from a row key, two counters and a purpose."""
-    h = key + np.asarray(a).astype(_U) * _U(0x9E3779B97F4A7C15) + np.asarray(b).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + _U(c)
-    return ((tv.mix(h) >> _U(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+    return unit(key + np.asarray(a).astype(_U) * _PLACE + np.asarray(b).astype(_U) * _STEP + _U(c))
 
 
 def walk(lat: Lattice, pos: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Random walks from each pos to its word's end: (walk, edge) of all steps, by walk."""
-    who, edge, step = [], [], 0
+    """Random walks from each pos to its word's end: (steps of each walk, edge of all steps, by walk)."""
+    taken, steps = [], np.zeros(len(pos), np.int64)
     live = np.arange(len(pos))
+    h = place.astype(_U)
+    h *= _PLACE
+    h += key
+    h += _U(1)  # the purpose, as in uniform()
     while len(live):
-        u = uniform(key[live], place[live], step, 1)
+        u = unit(h)
         k = lat.ptr[pos]
         on = np.flatnonzero(u > lat.cum[k])
         while len(on):
             k[on] += 1
             on = on[u[on] > lat.cum[k[on]]]
-        who.append(live)
-        edge.append(k)
+        taken.append((live, k))
         pos = lat.end[k]
-        on = ~lat.is_end[pos]
-        live, pos, step = live[on], pos[on], step + 1
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    who, edge = np.concatenate(who), np.concatenate(edge)
-    order = np.argsort(who, kind="stable")
-    return who[order], edge[order]
+        over = lat.is_end[pos]
+        steps[live[over]] = len(taken)
+        on = np.flatnonzero(~over)
+        live, pos, h = live[on], pos[on], h[on]
+        h += _STEP
+    first = np.cumsum(steps) - steps
+    edge = np.empty(int(steps.sum()), np.int64)
+    for step, (live, k) in enumerate(taken):
+        edge[first[live] + step] = k
+    return steps, edge
 
 
-def truncated(loc: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at loc, conditioned on being at most bound."""
-    with np.errstate(invalid="ignore"):
-        out = -np.logaddexp(-bound, np.log(-np.log(u)) - loc)
-    return np.where(np.isfinite(loc), out, -np.inf)
+def truncated(free: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Gumbel variables, drawn freely, as they are if conditioned on being at most bound."""
+    return -np.logaddexp(-bound, -free)
 
 
 class Paths:
     """One path per text (or none): its edges in order, and the regions beside each step."""
 
-    def __init__(self, lat: Lattice, owner: np.ndarray, place: np.ndarray, edge: np.ndarray, texts: int, base: np.ndarray, bound: np.ndarray, key: np.ndarray, sample: int):
-        self.at = np.searchsorted(owner, np.arange(texts + 1))
-        self.edge, self.place = edge, place
-        logp = lat.logp[edge]
-        run = np.cumsum(logp)
-        run = np.concatenate([[0.0], run])
-        before = run[:-1] - run[self.at[owner]] + base[owner]
-        self.before = before
+    def __init__(self, lat: Lattice, steps: np.ndarray, owner: np.ndarray, place: np.ndarray, edge: np.ndarray, texts: int, base: np.ndarray, bound: np.ndarray, key: np.ndarray, sample: int):
+        run = np.concatenate([[0], np.cumsum(steps)])
+        self.at = run[np.searchsorted(owner, np.arange(texts + 1))]
+        self.edge, self.word, self.words = edge, run[1:], place
+        size = np.diff(self.at)
+        run = np.concatenate([[0.0], np.cumsum(lat.logp[edge])])
+        self.before = run[:-1] + np.repeat(base - run[self.at[:-1]], size)
         self.total = base + run[self.at[1:]] - run[self.at[:-1]]
-        step = np.arange(len(edge)) - self.at[owner]
-        self.bound = truncated(before + lat.rest[edge], bound[owner], uniform(key[owner], step, sample, 2))
-
-    def best(self, t: int) -> tuple[float, int]:
-        a, b = self.at[t], self.at[t + 1]
-        if a == b:
-            return -np.inf, -1
-        i = a + int(self.bound[a:b].argmax())
-        return float(self.bound[i]), i
-
-
-def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[int, int, float, float, float, np.ndarray, Lattice]]:
-    """(text, sample from 1, log probability, perturbed, inclusion, edges, lattice) of the samples."""
+        # the bound is the same for all of a path's regions and keeps their order: only the greatest needs it
+        self.free = lat.rest[edge]
+        here = np.flatnonzero(self.free > -np.inf)
+        h = (np.arange(len(edge)) - np.repeat(self.at[:-1], size))[here].astype(_U)
+        h *= _PLACE
+        h += np.repeat(key + _U((sample * int(_STEP) + 2) % (1 << 64)), size)[here]
+        self.free[here] += self.before[here] - np.log(-np.log(unit(h)))
+        self.bound = bound
+
+    def place(self, i: np.ndarray) -> np.ndarray:
+        return self.words[np.searchsorted(self.word, i, "right")]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the greatest bound of a region and its place; -inf if there is none."""
+        some = np.flatnonzero(np.diff(self.at))
+        top, where = np.full(len(self.at) - 1, -np.inf), np.full(len(self.at) - 1, -1)
+        if len(some):
+            top[some] = np.maximum.reduceat(self.free, self.at[some])
+            hit = np.flatnonzero(self.free == np.repeat(top, np.diff(self.at)))
+            where[some] = hit[np.searchsorted(hit, self.at[some])]
+        return truncated(top, self.bound), where
+
+
+def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, k: int, lat: Lattice | None = None) -> list[tuple[int, int, float, float, float, np.ndarray, Lattice]]:
+    """(text, sample from 1, log probability, perturbed, inclusion, edges, lattice) of the samples.
+    A lattice that is handed in keeps words for the next call, which ends the use of these edges."""
     texts = len(off) - 1
     keys = tv.mix(keys)
     starts, at = words(data, off)
     ends = np.append(starts[1:], len(data))
-    h = tv.hash_spans(tv.prefix_sums(data, tv.EXACT), starts, ends)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    size = (ends - starts)[first]
-    begin = np.cumsum(size + 1) - size - 1
-    inner = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-    laid = np.zeros(int((size + 1).sum()), np.uint8)
-    laid[inner] = data[inner - np.repeat(begin, size) + np.repeat(starts[first], size)]
-    lat = Lattice(vocab, laid, begin, begin + size)
-    origin = begin[inverse]  # of each word in the lattice
+    if lat is None:
+        lat = Lattice(vocab)
+    origin = lat.place(tv.hash_spans(tv.prefix_sums(data, tv.EXACT), starts, ends), data, starts, ends)
     text = np.repeat(np.arange(texts), np.diff(at))
     place = np.arange(len(text)) - at[text]
     zero = np.zeros(texts)
     top = -np.log(-np.log(uniform(keys, zero, zero, 3)))
-    who, edge = walk(lat, origin, keys[text], place)
-    paths = [Paths(lat, text[who], place[who], edge, texts, zero, top, keys, 0)]
-    full = [[paths[0].edge[paths[0].at[t] : paths[0].at[t + 1]] for t in range(texts)]]
-    found = [[(float(paths[0].total[t]), float(top[t]))] for t in range(texts)]
+    steps, edge = walk(lat, origin, keys[text], place)
+    paths = [Paths(lat, steps, text, place, edge, texts, zero, top, keys, 0)]
+    full = [[edge[x:y] for x, y in zip(paths[0].at[:-1], paths[0].at[1:], strict=True)]]
+    found = [[x] for x in zip(paths[0].total.tolist(), top.tolist(), strict=True)]
     # per text: paths as (edges of the whole path, edges before its own steps), and reopened regions
     shared = [[0] for _ in range(texts)]
     extra: list[list[tuple[float, int, int, tuple[int, ...], float]]] = [[] for _ in range(texts)]
-    last = [-np.inf] * texts
+    last = np.full(texts, -np.inf)
     for r in range(1, k + 1):
-        todo = []
-        for t in range(texts):
-            options = [(*p.best(t), j) for j, p in enumerate(paths)]
-            g, i, j = max(options)
-            more = max(extra[t]) if extra[t] else (-np.inf,)
-            if max(g, more[0]) == -np.inf:
-                continue
-            if r == k:
-                last[t] = max(g, more[0])
-                continue
-            if more[0] > g:
-                extra[t].remove(more)
-                _, j, i, out, before = more
-            else:
-                paths[j].bound[i] = -np.inf
-                out, before, g = (int(paths[j].edge[i]),), float(paths[j].before[i]), g
-            g = max(g, more[0])
-            spot = int(i - paths[j].at[t]) + (j << 40)  # where in the text's own tree, whatever else is in the chunk
-            e0, e1 = lat.ptr[lat.start[out[0]]], lat.ptr[lat.start[out[0]] + 1]
-            choice = np.array([x for x in range(e0, e1) if x not in out])
-            p = lat.prob[choice]
-            c = int(choice[min(len(choice) - 1, np.searchsorted(np.cumsum(p), p.sum() * uniform(keys[t : t + 1], spot, r, 4)[0]))])
-            out = (*out, c)
-            left = choice[choice != c]
-            if len(left):
-                loc = np.array([before + np.log(lat.prob[left].sum())])
-                b = truncated(loc, np.array([g]), uniform(keys[t : t + 1], spot, r, 5))[0]
-                extra[t].append((float(b), j, i, out, before))
-            todo.append((t, j, i, c, before, g))
-        if r == k or not todo:
+        bests = [p.best() for p in paths]
+        top_of = np.array([b[0] for b in bests])
+        from_path = top_of.argmax(axis=0)
+        more = np.array([max(x)[0] if x else -np.inf for x in extra])
+        bound = np.maximum(top_of.max(axis=0), more)
+        if r == k:
+            last = bound
+            break
+        todo = np.flatnonzero(bound > -np.inf)
+        if not len(todo):
             continue
+        js, outs = from_path[todo], []
+        at_i = np.array([b[1] for b in bests])[js, todo]
+        befores = np.empty(len(todo))
+        for x, t in enumerate(todo.tolist()):
+            j, i = int(js[x]), int(at_i[x])
+            if more[t] > top_of[j, t]:
+                region = max(extra[t])
+                extra[t].remove(region)
+                _, js[x], at_i[x], out, befores[x] = region
+            else:
+                paths[j].free[i] = -np.inf
+                out, befores[x] = (int(paths[j].edge[i]),), paths[j].before[i]
+            outs.append(out)
+        # where in the text's own tree, whatever else is in the chunk
+        begin = np.array([p.at[:-1] for p in paths])[js, todo]
+        spot = at_i - begin + (js << 40)
+        pick = uniform(keys[todo], spot, r, 4).tolist()
+        node = lat.start[[out[0] for out in outs]]
+        chosen, spare = np.empty(len(todo), np.int64), np.zeros(len(todo))
+        for x, (e0, e1) in enumerate(zip(lat.ptr[node].tolist(), lat.ptr[node + 1].tolist(), strict=True)):
+            choice = [e for e in range(e0, e1) if e not in outs[x]]
+            p = np.exp(lat.logp[choice]).tolist()
+            aim, run, c = sum(p) * pick[x], 0.0, 0
+            for c, q in enumerate(p):  # noqa: B007
+                run += q
+                if run >= aim:
+                    break
+            chosen[x] = choice[c]
+            outs[x] = (*outs[x], choice[c])
+            spare[x] = sum(p[:c]) + sum(p[c + 1 :])
+        g = bound[todo]
+        rest = np.flatnonzero(spare > 0)
+        free = befores[rest] + np.log(spare[rest]) - np.log(-np.log(uniform(keys[todo[rest]], spot[rest], r, 5)))
+        for x, b in zip(rest.tolist(), truncated(free, g[rest]).tolist(), strict=True):
+            extra[todo[x]].append((b, int(js[x]), int(at_i[x]), outs[x], float(befores[x])))
         # the rest of the opened word, then all later words, of all texts at once
-        pos, owner, places = [], [], []
+        w = np.empty(len(todo), np.int64)
+        for j in range(len(paths)):
+            w[js == j] = paths[j].place(at_i[js == j])
+        inside = lat.end[chosen]
+        within = ~lat.is_end[inside]
+        size = at[todo + 1] - at[todo] - w - 1 + within
+        first = np.cumsum(size) - size
+        word = np.repeat(at[todo + 1] - size - first, size) + np.arange(size.sum())
+        pos = origin[word]
+        pos[first[within]] = inside[within]
+        owner = text[word]
         base, bound = np.zeros(texts), np.zeros(texts)
-        for t, j, i, c, before, g in todo:
-            w = int(paths[j].place[i])
-            rest = np.arange(at[t] + w + 1, at[t + 1])
-            inside = lat.end[c]
-            if not lat.is_end[inside]:
-                pos.append([inside])
-                places.append([w])
-                owner.append([t])
-            pos.append(origin[rest])
-            places.append(place[rest])
-            owner.append(np.full(len(rest), t))
-            base[t], bound[t] = before + lat.logp[c], g
-        cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
-        pos, owner, places = cat(pos), cat(owner), cat(places)
-        who, edge = walk(lat, pos, keys[owner] + _U(r), places)
-        new = Paths(lat, owner[who], places[who], edge, texts, base, bound, keys, r)
+        base[todo], bound[todo] = befores + lat.logp[chosen], g
+        steps, edge = walk(lat, pos, keys[owner] + _U(r), place[word])
+        new = Paths(lat, steps, owner, place[word], edge, texts, base, bound, keys, r)
         paths.append(new)
         grown: list[np.ndarray] = [np.zeros(0, np.int64)] * texts
-        for t in range(texts):
-            shared[t].append(0)
-        for t, j, i, c, before, g in todo:
-            head = full[j][t][: shared[t][j] + i - paths[j].at[t]]
-            grown[t] = np.concatenate([head, [c], new.edge[new.at[t] : new.at[t + 1]]])
+        for mine in shared:
+            mine.append(0)
+        for x, t in enumerate(todo.tolist()):
+            j = int(js[x])
+            head = full[j][t][: shared[t][j] + at_i[x] - begin[x]]
+            grown[t] = np.concatenate([head, chosen[x : x + 1], edge[new.at[t] : new.at[t + 1]]])
             shared[t][-1] = len(head) + 1
-            found[t].append((float(new.total[t]), g))
+            found[t].append((float(new.total[t]), float(g[x])))
         full.append(grown)
     out = []
     for t in range(texts):
@@ -328,27 +439,39 @@ def sample_texts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.
     return out
 
 
+def units_of(lat: Lattice, edge: np.ndarray) -> np.ndarray:
+    """How many vocabulary ids each edge gives."""
+    out = np.ones(len(edge), np.int64)
+    bare = np.flatnonzero(lat.piece[edge] < 0)
+    out[bare] = lat.end[edge[bare]] - lat.start[edge[bare]]
+    return out
+
+
 def ids_of(vocab: Vocabulary, lat: Lattice, edge: np.ndarray) -> np.ndarray:
     """Vocabulary ids of the edges; an edge without a piece gives its bytes."""
     piece = lat.piece[edge]
     if (piece >= 0).all():
         return piece
-    units = np.where(piece >= 0, 1, lat.end[edge] - lat.start[edge])
+    units = units_of(lat, edge)
     out = np.repeat(piece, units)
-    bare = np.repeat(piece < 0, units)
-    inner = np.arange(len(out)) - np.repeat(np.cumsum(units) - units, units)
-    out[bare] = vocab.byte_ids[lat.data[(np.repeat(lat.start[edge], units) + inner)[bare]]]
+    bare = np.flatnonzero(out < 0)
+    from_edge = np.flatnonzero(piece < 0)
+    units = units[from_edge]
+    inner = np.arange(len(bare)) - np.repeat(np.cumsum(units) - units, units)
+    out[bare] = vocab.byte_ids[lat.data[np.repeat(lat.start[edge[from_edge]], units) + inner]]
     return out
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, model: str = MODEL, seed: int = SEED, chunk: int = CHUNK, kept: int = KEPT) -> DataFrame:
     """One row per sample: id, sample, n_pieces, log_prob, score, inclusion, ids. The results do
-    not depend on `chunk`, the bytes of text worked on at a time: less takes less memory, but
-    builds the lattices of frequent words more often."""
+    not depend on `chunk`, the bytes of text worked on at a time, or on `kept`, the bytes of words
+    whose lattices a task keeps: less takes less memory, but builds the lattices of frequent words
+    more often."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(model)
+        lat = Lattice(vocab, kept)
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
             keys = batch.column(1).to_numpy().view(_U)
@@ -359,10 +482,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                 moved = np.concatenate([[0], np.cumsum(np.diff(off)[some] + 1)])
                 if not len(some):
                     continue
-                got = sample_texts(vocab, data, moved, keys[i:j][some], samples)
-                ids = [ids_of(vocab, lat, e) for *_, e, lat in got]
-                size = np.array([len(x) for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                got = sample_texts(vocab, data, moved, keys[i:j][some], samples, lat)
+                edge = np.concatenate([g[5] for g in got])
+                cuts = np.cumsum([0, *(len(g[5]) for g in got)])
+                cuts = np.concatenate([[0], np.cumsum(units_of(lat, edge))])[cuts]
+                size = np.diff(cuts)
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids_of(vocab, lat, edge)))
                 rows = i + some[[g[0] for g in got]]
                 cols = [pa.array([g[1] for g in got], pa.int32()), pa.array(size, pa.int64()), *(pa.array([g[c] for g in got], pa.float64()) for c in (2, 3, 4)), lists]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *cols], names=[id_col, "sample", "n_pieces", "log_prob", "score", "inclusion", "ids"])

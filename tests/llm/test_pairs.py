@@ -481,6 +481,48 @@ def test_encode_and_decode(spark):
     assert segments.encode(df.limit(0)).count() == 0
 
 
+def test_lattices_of_words_that_come_again_are_kept(monkeypatch):
+    """A task's later texts find the lattices of earlier words, with the same samples as without."""
+    vocab = segments.Vocabulary.load(segments.MODEL)
+    plain, built = segments.Lattice._add, []
+    monkeypatch.setattr(segments.Lattice, "_add", lambda self, text, starts, size: built.append(int(size.sum())) or plain(self, text, starts, size))
+    first = " the cat and the dog sat on the mat of the house near the long road"
+    texts = [first, first, first + " with a bird", " одни другие слова ü😀", " one", first + first, " " + "x" * 300, first]
+
+    def sampled(lat):
+        out, bytes_ = [], []
+        for n, text in enumerate(texts):
+            built.clear()
+            data = np.frombuffer(text.encode(), np.uint8)
+            got = segments.sample_texts(vocab, data, np.array([0, len(data)]), np.array([n], np.uint64), 4, lat and lat())
+            out.append([(*g[1:5], segments.ids_of(vocab, g[6], g[5]).tolist()) for g in got])
+            bytes_.append(sum(built))
+        return out, bytes_
+
+    want, every = sampled(None)
+    assert all(len(g) == 4 for g in want) and min(every) > 0
+    for keep in (0, 30, 1 << 20):
+        lat = segments.Lattice(vocab, keep)
+        got, new = sampled(lambda lat=lat: lat)
+        assert got == want and lat.stay[0] <= keep
+        if keep == 0:
+            assert new == every
+        elif keep == 30:
+            assert 0 < new[1] < every[1] and lat.bytes > keep
+        else:  # all words are known, then two are not, then all are of another text
+            assert new[:4] == [every[0], 0, len(" with a bird"), every[3]]
+
+
+def test_segmentations_do_not_depend_on_chunks(spark):
+    words = [f"{a}{b}" for a in ("under", "over", "Ü", "x9") for b in ("stand", "look", "\n", "ü", "s")]
+    texts = [" ".join(words[(i * j) % len(words)] for j in range(1, 3 + i % 40)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = sorted(map(str, segments.encode(df, samples=3).collect()))
+    assert len(want) == 180
+    for chunk, kept in ((1, 50), (700, 0), (700, 120), (1 << 20, 10)):
+        assert sorted(map(str, segments.encode(df, samples=3, chunk=chunk, kept=kept).collect())) == want
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
