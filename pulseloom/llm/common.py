@@ -111,11 +111,25 @@ Batches = Iterator[pa.RecordBatch]
 TEXT_ROWS = 1000
 
 
+#: Spark's own setting: rows of an Arrow batch.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def short_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch to TEXT_ROWS, if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run in the block have Arrow batches of so many rows, for rows of several MB."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:

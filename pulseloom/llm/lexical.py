@@ -4,7 +4,8 @@
 row of flat arrays per shard: documents with their lengths, terms in order, and of each term the
 documents and its occurrences. It depends on no query. `search` takes queries in blocks: document
 frequencies are summed over the shards, and then each shard finds the impact of every posting of
-the block's terms and the largest impact of each term.
+the block's terms and the largest impact of each term. Shards are written in row groups of their
+own and go to Python one by one, so a task holds one at a time, however many it has.
 
 WAND, in windows of documents: a document is a pivot if the largest impacts of the terms it holds
 add up to the threshold, the k-th best score found so far. Terms whose largest impacts together
@@ -36,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import textvec
-from .common import short_batches, stored, tidy
+from .common import batches_of, short_batches, stored, tidy
 
 #: A shard is closed when it holds so many postings or documents.
 SHARD_POSTINGS, SHARD_DOCS = 1 << 19, 1 << 16
@@ -44,9 +45,13 @@ SHARD_POSTINGS, SHARD_DOCS = 1 << 19, 1 << 16
 BLOCK_QUERIES, BLOCK_TERMS = 2_000, 200_000
 #: Documents of the first window of a shard; each next one is four times as large.
 FIRST_WINDOW = 256
-#: Shards are rows of several MB: row groups of a few of them, whose size is looked at after each.
-WRITTEN = {"parquet.block.size": str(1 << 25), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
-INDEX = "doc_ids array<{kind}>, lengths array<bigint>, terms array<bigint>, edges array<int>, docs array<int>, tfs array<int>"
+#: Shards are rows of several MB. Parquet's writer looks at a row group's size after 100 rows only, and Spark's reader
+#: takes up all rows of a row group at once, so each shard is a row group. Its arrays repeat too little for dictionaries.
+WRITTEN = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false", "compression": "zstd"}
+#: The arrays over terms and postings are kept as bytes of KINDS: as lists, each number of them
+#: would have two levels beside it in Spark's reader.
+INDEX = "doc_ids array<{kind}>, lengths array<bigint>, terms binary, edges binary, docs binary, tfs binary"
+KINDS = {"terms": np.int64, "edges": np.int32, "docs": np.int32, "tfs": np.int32}
 
 
 def _lists(values: np.ndarray | pa.Array, edges: list[int] | None = None) -> pa.ListArray:
@@ -55,6 +60,11 @@ def _lists(values: np.ndarray | pa.Array, edges: list[int] | None = None) -> pa.
     return pa.ListArray.from_arrays(pa.array(edges or [0, len(values)], pa.int32()), values)
 
 
+def _numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    """One of KINDS of a shard."""
+    return np.frombuffer(batch.column(name)[row].as_buffer(), KINDS[name])
+
+
 def term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, occurrences) of the different terms of each text, and the number of terms of each text."""
     starts, ends, edges = textvec.tokens(data, off, textvec.ALNUM)
@@ -79,8 +89,9 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         order = np.argsort(h, kind="stable")  # documents are in order already
         d, h, tf = d[order], h[order], tf[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        columns = [pa.concat_arrays(ids), np.concatenate(lengths).astype(np.int64), h[at].view(np.int64), np.append(at, len(h)).astype(np.int32), d.astype(np.int32), np.minimum(tf, 2**31 - 1).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([_lists(c) for c in columns], names=names)
+        lists = [_lists(pa.concat_arrays(ids)), _lists(np.concatenate(lengths).astype(np.int64))]
+        numbers = zip((h[at].view(np.int64), np.append(at, len(h)), d, np.minimum(tf, 2**31 - 1)), KINDS.values(), strict=True)
+        return pa.RecordBatch.from_arrays([*lists, *[pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in numbers]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, ...] = ([], [], [], [], [])
@@ -142,7 +153,7 @@ def frequencies(shards: DataFrame, terms: np.ndarray) -> np.ndarray:
         df = np.zeros(len(terms), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                held, edges = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
+                held, edges = (_numbers(batch, i, c) for c in ("terms", "edges"))
                 at, there = places(held, terms)
                 df[there] += np.diff(edges)[at]
         some = np.flatnonzero(df)
@@ -282,8 +293,8 @@ def _block(shards: DataFrame, block: list, n_docs: int, n_terms: int, k: int, ki
         heaps = [Heap(k) for _ in asked]
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, *arrays = (c[i].values for c in batch.columns)
-                shard = Shard(ids, *[a.to_numpy() for a in arrays], every, n_docs, n_terms)
+                ids, lengths = (batch.column(c)[i].values for c in ("doc_ids", "lengths"))
+                shard = Shard(ids, lengths.to_numpy(), *[_numbers(batch, i, c) for c in KINDS], every, n_docs, n_terms)
                 for (terms, factors), heap in zip(asked, heaps, strict=True):
                     shard.search(terms, factors, heap)
         rows = [(keys[q], items[q], d, s) for q, heap in enumerate(heaps) for s, d in heap.rows]
@@ -303,7 +314,9 @@ def search(shards: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
         raise ValueError("k must be at least 1")
     total = shards.agg(F.sum(F.size("doc_ids")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     kind, item_kind = dict(shards.dtypes)["doc_ids"][len("array<") : -1], dict(asked.dtypes)["item_id"]
-    done = [stored(_block(shards, b, total[0] or 0, total[1] or 0, k, kind, item_kind), "found") for b in blocks(stored(asked, "queries").toLocalIterator())]
+    asked = stored(asked, "queries")
+    with batches_of(shards.sparkSession, 1):
+        done = [stored(_block(shards, b, total[0] or 0, total[1] or 0, k, kind, item_kind), "found") for b in blocks(asked.toLocalIterator())]
     if not done:
         return shards.sparkSession.createDataFrame([], f"item_id {item_kind}, rank int, doc_id {kind}, score bigint")
     found = done[0]

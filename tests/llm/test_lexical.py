@@ -1,16 +1,18 @@
 """Ranked search against scores of all documents in plain Python, over many small shards and blocks."""
 
 import collections
+import glob
 import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.llm import lexical
+from pulseloom.llm import common, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,6 +76,24 @@ def test_odd_rows(spark):
         lexical.rank(df, asked, k=0)
 
 
+def test_a_task_holds_one_shard(spark, monkeypatch):
+    """Of a task's many shards each is a row group, and each goes to Python by itself."""
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 1000)
+    written, rows, block = [], [], lexical._block
+    monkeypatch.setattr(lexical, "stored", lambda df, name, **options: written.append((name, common.stored(df, name, **options))) or written[-1][1])
+    monkeypatch.setattr(lexical, "_block", lambda *args: rows.append(spark.conf.get(common.BATCH_ROWS)) or block(*args))
+    before = spark.conf.get(common.BATCH_ROWS)
+    # a batch of TEXT_ROWS gives a shard at most, so that one task of several of them has several shards
+    docs = spark.range(0, 6 * common.TEXT_ROWS, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', 'all', id, id % 7) AS text")
+    found = lexical.rank(docs, spark.createDataFrame([(1, "all 3"), (2, "5999")], "item_id long, text string"), k=3).collect()
+    assert sorted((r.item_id, r.rank, r.doc_id) for r in found) == [(1, 1, 3), (1, 2, 10), (1, 3, 17), (2, 1, 5999)]
+    path = next(df.stored_at for name, df in written if name == "index").removeprefix("file:")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert max(m.num_rows for m in files) >= 6
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
+    assert rows == ["1"] and int(spark.conf.get(common.BATCH_ROWS)) == min(int(before), common.TEXT_ROWS)
+
+
 def test_pivots_pass_over_documents():
     """Once good matches are known, few documents are scored and few postings are read."""
     rng = random.Random(2)
